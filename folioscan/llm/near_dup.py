@@ -12,9 +12,10 @@
    members to one of them, never to each other, and links are verified by the exact
    weighted Jaccard similarity of the texts.
 5. Verified links give classes.  A bucket whose members are all in one class is
-   done.  In the others, members of different classes are compared through their
-   samples inside the bucket, in blocks; pairs that look alike are verified too, so no
-   link between different texts is lost because it does not touch a bucket's centre.
+   done.  In the others, members outside the largest class are compared with the
+   members of other classes inside the bucket, in blocks and by the same exact
+   similarity, so no link between different texts is lost because it does not touch a
+   bucket's centre; only links that join two classes leave the task.
 """
 
 from __future__ import annotations
@@ -36,10 +37,9 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 14, 3
 #: Cells of the document-frequency table, of the table of draws, and steps of the weight ladder.
 CELLS, DRAWS, STEP = 1 << 20, 1 << 16, 1.1
-IDF_SPREAD = 0.5
-#: Least estimated similarity at which two members of an unsettled bucket are verified.
-ESTIMATE = 0.5
-BLOCK = 2000
+IDF_SPREAD = 0.25
+#: Text of one side of the pairs that a task compares within an unsettled bucket.
+BLOCK_BYTES = 2 << 20
 
 
 def shingles(column: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -276,35 +276,61 @@ def components(links: DataFrame) -> DataFrame:
             return small.select(F.col("u").alias("node"), F.col("v").alias("class")).union(small.select(F.col("v").alias("node"), F.col("v").alias("class")).distinct())
 
 
-def _unsettled(members: DataFrame, signed: DataFrame, estimate: float) -> DataFrame:
-    """(a, b): members of different classes of one bucket whose samples look alike.
+def _unsettled(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(a, b): verified links between different classes of one bucket, enough to join all that should be one.
 
-    ``members`` has band, key, rep and class.  A bucket is dealt out in blocks of its
-    members, and each block meets each later block of its bucket in a task of its own.
+    ``members`` has band, key, rep and class.  In a bucket of more than one class the
+    members outside its largest class are compared with all members; those of the
+    largest class are not compared with each other.  Both sides are dealt out in
+    blocks of about ``BLOCK_BYTES`` of text, each pair of blocks to a task of its own.
     """
-    mixed = members.groupBy("band", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("band", "key", "n")
-    rows = members.join(mixed, ["band", "key"]).join(signed, "rep")
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "class", "codes")
+    held = texts.sparkSession.sparkContext.broadcast(idf)
+    sized = members.join(texts.select("rep", F.octet_length("text").alias("size")), "rep")
+    by_class = sized.groupBy("band", "key", "class").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    mixed = by_class.groupBy("band", "key").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "class"))["class"].alias("major"), F.sum("size").alias("all"), F.max(F.struct("n", "class", "size"))["size"].alias("major_size"))
+    blocks = mixed.where("classes > 1").select("band", "key", "major", F.ceil(F.col("all") / BLOCK_BYTES + 1e-9).cast("int").alias("rights"), F.ceil((F.col("all") - F.col("major_size")) / BLOCK_BYTES + 1e-9).cast("int").alias("lefts"))
+    rows = members.join(blocks, ["band", "key"]).withColumn("right", F.pmod(F.xxhash64("rep"), "rights").cast("int")).withColumn("left", F.when(F.col("class") != F.col("major"), F.pmod(F.xxhash64("rep"), "lefts").cast("int")))
+    as_right = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).select("band", "key", "i", F.col("right").alias("j"), "rep", "class", F.lit(False).alias("is_left"))
+    as_left = rows.where("left is not null").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).select("band", "key", F.col("left").alias("i"), "j", "rep", "class", F.lit(True).alias("is_left"))
+    dealt = as_right.union(as_left).join(texts, "rep")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        codes = np.frombuffer(b"".join(table["codes"].to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
-        rep, group, mine = (table[c].to_numpy() for c in ("rep", "class", "mine"))
-        i, j = key[2].as_py(), key[3].as_py()
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        rep, group, is_left = (table[c].to_numpy() for c in ("rep", "class", "is_left"))
+        h, whose, tf, n = shingles(table["text"].combine_chunks())
+        w = weights(h, tf, held.value)
+        total = np.bincount(whose, w, n)
+        _, cell = np.unique(h, return_inverse=True)
+        cut = np.searchsorted(whose, np.arange(n + 1))
+        root = {int(g): int(g) for g in group}
+
+        def top(g: int) -> int:
+            while root[g] != g:
+                root[g] = g = root[root[g]]
+            return g
+
+        now = group.copy()  # the class that each member is in by now
+        mark = np.zeros(int(cell.max()) + 1 if len(cell) else 1)
         a, b = [], []
-        for k in left:
-            close = right[(codes[right] == codes[k]).mean(1) >= estimate]
-            close = close[(group[close] != group[k]) & ((rep[close] > rep[k]) | (i != j))]
-            a += [int(rep[k])] * len(close)
-            b += rep[close].tolist()
+        for k in np.flatnonzero(is_left):
+            open_to = ~is_left & (now != now[k])
+            if not open_to.any():
+                continue
+            mine = slice(cut[k], cut[k + 1])
+            mark[cell[mine]] = w[mine]
+            shared = np.bincount(whose, np.minimum(mark[cell], w), n)
+            mark[cell[mine]] = 0
+            for m in np.flatnonzero(open_to & (shared >= threshold * (total + total[k] - shared)) & (shared > 0)):
+                if (x := top(int(group[k]))) != (y := top(int(group[m]))):
+                    root[y] = x
+                    now[now == y] = x
+                    a.append(int(rep[k]))
+                    b.append(int(rep[m]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("band", "key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return dealt.groupBy("band", "key", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, estimate: float = ESTIMATE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the smallest id of its group) and representative (whether it is that one), a row for each document.
 
     Null texts are empty; texts without words are copies of each other, a text of
@@ -329,9 +355,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     links = materialise(verified(stars, involved, idf, threshold), "near-links")
     classes = components(links)
     placed = shared.select("band", "key", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("class", "rep").alias("class"))
-    more = materialise(_unsettled(placed, signed, estimate).join(stars, ["a", "b"], "left_anti"), "near-more")
+    more = materialise(_unsettled(placed, involved, idf, threshold), "near-more")
     if not more.isEmpty():
-        classes = components(links.union(verified(more, involved, idf, threshold)))
+        classes = components(links.union(more))
     out = members.join(classes, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("class", "rep").alias("class_id"))
     return out.withColumn("representative", F.col("doc_id") == F.col("class_id"))
 

@@ -236,10 +236,10 @@ def entries(found: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     most = found.agg(F.max("length")).first()[0] or 0
     for _ in range(math.ceil(math.log2(max(1, -(-most // split_bytes))))):
         step = jump.select("path", "at", "to")
-        further = reached.join(step, ["path", "at"]).where("to < length").select("path", "length", F.col("to").alias("at"))
+        further = reached.join(step.hint("merge"), ["path", "at"]).where("to < length").select("path", "length", F.col("to").alias("at"))
         next_step = step.select("path", F.col("at").alias("to"), F.col("to").alias("beyond"))
-        jump = materialise(jump.join(next_step, ["path", "to"], "left").select("path", "length", "at", F.coalesce("beyond", "to").alias("to")), "warc-jump")
-        reached = materialise(reached.union(further).join(jump.select("path", "at"), ["path", "at"], "left_semi").select("path", "length", "at").distinct(), "warc-reached")
+        jump = materialise(jump.join(next_step.hint("merge"), ["path", "to"], "left").select("path", "length", "at", F.coalesce("beyond", "to").alias("to")), "warc-jump")
+        reached = materialise(reached.union(further).join(jump.select("path", "at").hint("merge"), ["path", "at"], "left_semi").select("path", "length", "at").distinct(), "warc-reached")
     return reached
 
 
