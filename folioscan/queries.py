@@ -1,11 +1,391 @@
-"""The driver's queries of the library."""
+"""The driver's queries of the library, each with the SQL that gives the same rows."""
 
-FLAGSHIP = ""
+from __future__ import annotations
 
+import dataclasses
+import uuid
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from folioscan import oracles
+from folioscan.functions import geometry, ids, stats, text
+from folioscan.model import OCR, TEXT_LAYER, QueryOptions, SearchOptions
+from folioscan.operators import layout, recognition, results, search
+from folioscan.plans import pages as plans
+from folioscan.sources import derive, protocols, store
+from folioscan.streaming import pages as streaming
 
-def oracle_sql() -> dict:
-    return {}
+FLAGSHIP = "search_context"
+KEYWORD, RARE, BROKEN = "the", "worthless", ".the"
+DEFAULT = QueryOptions()
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _queries[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.document_pages(table(spark, sf_dir, "documents")).withColumn("source", F.lit(TEXT_LAYER))
+
+
+def doc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.page_index(derive.document_pages(table(spark, sf_dir, "documents")))
+
+
+def conv_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.page_index(derive.conversation_pages(table(spark, sf_dir, "conversations")))
+
+
+# -- scans and predicates ----------------------------------------------------
+@query
+def page_scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = doc_index(spark, sf_dir)
+    return index.groupBy("doc_id", "source").agg((F.max("page") + 1).alias("n_pages"), F.sum("raw_chars").alias("raw_chars"), F.sum("visible_chars").alias("visible_chars"), F.sum("valid_boxes").alias("valid_boxes"))
+
+
+@query
+def usable_text_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_index(spark, sf_dir).where(plans.usable()).select("doc_id", "page", "visible_chars")
+
+
+# -- normalisation -----------------------------------------------------------
+def _normalize(name: str, options: QueryOptions) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return search.normalized(doc_index(spark, sf_dir), options).select("doc_id", "page", "source", "norm")
+
+    _queries[name] = run
+
+
+VARIANTS = {
+    "basic": DEFAULT,
+    "no_crossline": dataclasses.replace(DEFAULT, cross_line=False),
+    "ignore_ws": dataclasses.replace(DEFAULT, ignore_whitespace=True),
+    "case_sensitive": dataclasses.replace(DEFAULT, case_sensitive=True),
+}
+for _name, _options in VARIANTS.items():
+    _normalize(f"normalize_page_{_name}", _options)
+
+
+@query
+def normalize_page_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact normaliser over the pages' tokens; its map is as long as its text."""
+    index = conv_index(spark, sf_dir).withColumn("tokens", F.regexp_extract_all("text", F.lit(derive.TOKEN), F.lit(0)))
+    done = index.withColumn("n", text.exact_normalizer(DEFAULT)(F.col("tokens"), F.col("source")))
+    return done.select("doc_id", "page", "source", F.col("n.text").alias("norm"), F.size("n.map").alias("map_length"))
+
+
+# -- search ------------------------------------------------------------------
+def _search(name: str, keyword: str, options: QueryOptions) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return search.matches(doc_pages(spark, sf_dir), keyword, options).select("doc_id", "page", "ordinal", "m_start")
+
+    _queries[name] = run
+
+
+SEARCHES = {
+    "search_literal": (KEYWORD, DEFAULT),
+    "search_rare": (RARE, DEFAULT),
+    "search_case": ("The", dataclasses.replace(DEFAULT, case_sensitive=True)),
+    "search_wholeword": ("on", dataclasses.replace(DEFAULT, whole_word=True)),
+    "search_crossline": (BROKEN, DEFAULT),
+    "search_ignore_ws": ("inthe", dataclasses.replace(DEFAULT, ignore_whitespace=True)),
+}
+for _name, (_keyword, _options) in SEARCHES.items():
+    _search(_name, _keyword, _options)
+
+
+@query
+def search_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.hits(conv_index(spark, sf_dir), KEYWORD).select("doc_id", "page", "source", "ordinal", "matched", "start", "length", "context", "ctx_start", "ctx_end", "conf")
+
+
+@query
+def search_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = search.hits(conv_index(spark, sf_dir), BROKEN).select("doc_id", "page", "source", "ordinal", F.posexplode("rects").alias("n", "x"))
+    return rows.select("doc_id", "page", "source", "ordinal", F.col("n").cast("long").alias("n"), "x.l", "x.b", "x.r", "x.t")
+
+
+@query
+def search_result_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.hits(conv_index(spark, sf_dir), KEYWORD).select("doc_id", "page", "source", "ordinal", "result_id")
+
+
+@query
+def search_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.native_matches(doc_pages(spark, sf_dir), "The")
+
+
+@query
+def multi_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page"), "text")
+    return search.multi_keyword(docs, table(spark, sf_dir, "benchmark")).select("item_id", "doc_id", "n")
+
+
+@query
+def hits_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.matches(doc_index(spark, sf_dir), KEYWORD)
+    return found.groupBy("source").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("doc_id", "page").alias("pages"))
+
+
+# -- results -----------------------------------------------------------------
+def conv_hits(spark: SparkSession, sf_dir: str, keyword: str = KEYWORD) -> DataFrame:
+    return results.sequence(search.hits(conv_index(spark, sf_dir), keyword))
+
+
+@query
+def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv_index(spark, sf_dir).groupBy("doc_id").agg(F.countDistinct("page").alias("pages"), F.count(F.lit(1)).alias("indexes"))
+
+
+@query
+def cross_source_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.dedup(conv_hits(spark, sf_dir)).select("doc_id", "page", "source", "ordinal", "seq")
+
+
+@query
+def distinct_result_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.distinct_ids(conv_hits(spark, sf_dir)).select("doc_id", "seq", "result_id")
+
+
+@query
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = SearchOptions(detect_columns=False)
+    return results.reading_order(conv_hits(spark, sf_dir), plain).select("doc_id", "page", "source", "ordinal", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def topk_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = SearchOptions(detect_columns=False, dedup=False, max_results=5)
+    return results.finalize(conv_hits(spark, sf_dir), plain).select("doc_id", "result_id", F.col("rank").cast("long").alias("rank"))
+
+
+def conv_plan(spark: SparkSession, sf_dir: str, options: SearchOptions) -> DataFrame:
+    convs = derive.conversation_pages(table(spark, sf_dir, "conversations")).select("doc_id", "page")
+    counted = convs.join(convs.groupBy("doc_id").agg((F.max("page") + 1).alias("n_pages")), "doc_id")
+    return plans.ocr_plan(counted, options, F.pmod(F.col("doc_id"), F.lit(10)).cast("int"))
+
+
+PLANS = {
+    "page_plan_outward": SearchOptions(full_document_ocr=True, max_ocr_pages=5),
+    "page_plan_natural": SearchOptions(full_document_ocr=True, ocr_page_order="NATURAL", start_page=2, max_ocr_pages=0),
+    "page_plan_targets": SearchOptions(full_document_ocr=True, ocr_target_pages=(1, 4, 6), max_ocr_pages=2),
+    "page_plan_current": SearchOptions(),
+}
+
+
+def _plan(name: str, options: SearchOptions) -> None:
+    _queries[name] = lambda spark, sf_dir: conv_plan(spark, sf_dir, options).withColumn("rank", F.col("rank").cast("long"))
+
+
+for _name, _search_options in PLANS.items():
+    _plan(_name, _search_options)
+
+
+@query
+def stop_after_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = conv_plan(spark, sf_dir, PLANS["page_plan_outward"])
+    found = search.matches(conv_index(spark, sf_dir).where(F.col("source") == OCR), KEYWORD)
+    return results.stop_after_first(found, plan).select("doc_id", "page", "ordinal", "m_start")
+
+
+@query
+def viewer_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = results.highlights(search.hits(conv_index(spark, sf_dir), BROKEN))
+    return rows.select("doc_id", "page", "source", "matched", F.round("box.l", 6).alias("l"), F.round("box.t", 6).alias("t"), F.col("n").cast("long").alias("n"), F.col("next").cast("long").alias("next"), F.col("previous").cast("long").alias("previous"))
+
+
+# -- routing and summary -----------------------------------------------------
+@query
+def page_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.routes(doc_index(spark, sf_dir), SearchOptions(policy="UNUSABLE_OR_NO_MATCH"))
+
+
+RESOLVE = SearchOptions(full_document_ocr=True, max_ocr_pages=5)
+
+
+def conv_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.resolve(conv_index(spark, sf_dir), RESOLVE, F.pmod(F.col("doc_id"), F.lit(10)).cast("int"))
+
+
+@query
+def unresolved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv_states(spark, sf_dir).where("state <> 'COMPLETED'")
+
+
+@query
+def search_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.summary(conv_states(spark, sf_dir), search.matches(conv_index(spark, sf_dir), KEYWORD), 20)
+
+
+@query
+def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index entries that a store of the even pages lacks, with their keys."""
+    wanted = conv_index(spark, sf_dir).select("doc_id", "page", "source")
+    rows = store.missing(wanted, wanted.where("page % 2 = 0"))
+    key = ids.page_key(F.concat(F.lit("doc="), F.col("doc_id").cast("string")), F.col("page").cast("string"), F.col("source"))
+    return rows.select("doc_id", "page", "source", key.alias("key"), ids.file_name(key).alias("file_name"))
+
+
+@query
+def document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    uri = F.concat(F.lit("doc="), F.col("doc_id").cast("string"))
+    return docs.select("doc_id", ids.fingerprint(uri, F.coalesce("text", F.lit("")).cast("binary")).alias("fingerprint"))
+
+
+# -- layout ------------------------------------------------------------------
+def two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as blocks on a 640-point page: odd ones stand in the right column, every ninth spans the page."""
+    lines = derive.document_pages(table(spark, sf_dir, "documents"), 12).select("doc_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("id", "text"))
+    spans = F.col("id") % 9 == 8
+    left = F.when(spans, 0.0).when(F.col("id") % 2 == 1, 320.0).otherwise(0.0)
+    width = F.when(spans, 600.0).otherwise(6.0 * F.least(F.char_length("text"), F.lit(40)))
+    top = 12.0 * F.col("id")
+    return lines.select("doc_id", "page", F.col("id").cast("long").alias("id"), left.alias("l"), (left + width).alias("r"), top.alias("t"))
+
+
+@query
+def column_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.column_split(two_columns(spark, sf_dir), ["doc_id", "page"], "l", "r", F.lit(640.0))
+
+
+@query
+def block_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.block_order(two_columns(spark, sf_dir), ["doc_id", "page"], F.lit(640.0)).select("doc_id", "page", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def geometric_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters without their breaks, from geometry alone: the lines come back."""
+    lines = derive.conversation_pages(table(spark, sf_dir, "conversations")).select("doc_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("row", "text"))
+    chars = lines.select("doc_id", "page", "row", F.posexplode(F.split("text", "")).alias("col", "char")).where("char <> ''")
+    chars = chars.select("doc_id", "page", (F.col("row") * 100000 + F.col("col")).alias("idx"), "char", (1000 - 12.0 * F.col("row")).alias("cy"), F.lit(12.0).alias("h"))
+    found = layout.line_numbers(chars, ["doc_id", "page"])
+    return found.groupBy("doc_id", "page", F.col("line").cast("long").alias("line")).agg(F.count(F.lit(1)).alias("n_chars"))
+
+
+def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of conversations as blocks in bitmap pixels, y down."""
+    index = derive.page_index(derive.conversation_pages(table(spark, sf_dir, "conversations"))).where(F.col("source") == TEXT_LAYER)
+    words = derive.tokens(index).where("l is not null")
+    return words.select("doc_id", "page", "seq", F.col("token").alias("text"), "l", "r", (12.0 * F.col("line")).alias("t"), (12.0 * F.col("line") + 10).alias("b"), F.lit(6.0).alias("glyph"))
+
+
+@query
+def block_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.separators(word_boxes(spark, sf_dir), ["doc_id", "page"], "seq", F.lit(612.0)).groupBy("doc_id", "page", F.coalesce("separator", F.lit("FIRST")).alias("separator")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def space_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of a line without its blanks: the gaps say where they were."""
+    lines = derive.conversation_pages(table(spark, sf_dir, "conversations")).select("doc_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    chars = lines.select("doc_id", "page", "line", F.posexplode(F.split("text", "")).alias("seq", "token")).where("token not in ('', ' ')")
+    placed = chars.select("doc_id", "page", "line", "seq", "token", (F.col("seq") * 0.01).alias("l"), (F.col("seq") * 0.01 + 0.009).alias("r"))
+    return layout.recovered_spaces(placed, ["doc_id", "page", "line"]).where("space").groupBy("doc_id", "page", "line").agg(F.count(F.lit(1)).alias("spaces"), F.sum("seq").alias("places"))
+
+
+def _rounded(box: Column) -> list[Column]:
+    return [F.round(box[k], 6).alias(k) for k in ("l", "b", "r", "t")]
+
+
+@query
+def coord_bitmap_to_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = geometry.bitmap_to_pdf(F.col("l"), F.col("t"), F.col("r"), F.col("b"), F.lit(1280.0), F.lit(1810.0), F.lit(612.0), F.lit(792.0))
+    return word_boxes(spark, sf_dir).withColumn("box", box).where("box is not null").select("doc_id", "page", "seq", *_rounded(F.col("box")))
+
+
+@query
+def coord_page_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = word_boxes(spark, sf_dir).withColumn("box", geometry.page_ratio(geometry.rect(F.col("l"), F.col("t"), F.col("r"), F.col("b")), F.lit(612.0), F.lit(792.0)))
+    return rows.where("box is not null").select("doc_id", "page", "seq", *_rounded(F.col("box")))
+
+
+@query
+def quad_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quad = F.array(F.col("l"), F.col("t"), F.col("r"), F.col("t") + 1, F.col("r") + 2, F.col("b"), F.col("l") + 2, F.col("b") - 1)
+    x, y = geometry.quad_point(quad, F.lit(0.25), F.lit(0.75))
+    return word_boxes(spark, sf_dir).select("doc_id", "page", "seq", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(recognition.expand_distance(quad), 6).alias("grow"))
+
+
+def line_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.char_length(x).cast("double")).alias("xs"))
+
+
+@query
+def median_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_lengths(spark, sf_dir).select("doc_id", stats.median(F.col("xs")).alias("median"))
+
+
+@query
+def lower_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_lengths(spark, sf_dir).select("doc_id", stats.lower_quantile(F.col("xs"), 0.35).alias("q35"))
+
+
+@query
+def weighted_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = F.transform("xs", lambda x: x.cast("long"))
+    return line_lengths(spark, sf_dir).select("doc_id", *(stats.weighted_quantile_index(counts, q).cast("long").alias(f"at_{int(1000 * q)}") for q in (0.005, 0.5, 0.995)))
+
+
+# -- recognition, protocols, streaming ---------------------------------------
+@query
+def ctc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each character of a page's first line for one to three steps, then a blank: decoded to itself."""
+    lines = derive.conversation_pages(table(spark, sf_dir, "conversations")).select("doc_id", "page", F.element_at(F.split("text", "\n", -1), 1).alias("line"))
+    chars = lines.select("doc_id", "page", F.posexplode(F.split("line", "")).alias("i", "c")).where("c <> ''")
+    steps = chars.select("doc_id", "page", "i", F.explode(F.sequence(F.lit(0), F.ascii("c") % 3 + 1)).alias("k"), (F.ascii("c") % 3 + 1).alias("n"), F.ascii("c").alias("code"))
+    steps = steps.select("doc_id", "page", (F.col("i") * 8 + F.col("k")).alias("step"), F.when(F.col("k") < F.col("n"), F.col("code")).otherwise(0).alias("idx"), (0.5 + (F.col("i") % 32) / 64).alias("prob"))
+    done = recognition.ctc_decode(steps, ["doc_id", "page"])
+    return done.select("doc_id", "page", F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",").alias("codes"), F.round("conf", 6).alias("conf"))
+
+
+@query
+def protocol_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages packed into the binary format and read back."""
+
+    @F.pandas_udf("binary")
+    def pack(doc: pd.Series, page: pd.Series, body: pd.Series) -> pd.Series:
+        def one(p: int, t: str) -> bytes:
+            chars = [(ord(c), None if c.isspace() else (6.0 * i, 0.0, 6.0 * i + 6, 12.0)) for i, c in enumerate(t)]
+            seen = sum(b is not None for _, b in chars)
+            return protocols.pack_pages([{"page": p, "page_w": 612.0, "page_h": 792.0, "status": 0, "raw_chars": len(t), "visible_chars": seen, "valid_boxes": seen, "chars": chars}])
+
+        return pd.Series([one(p, t) for p, t in zip(page, body, strict=True)])
+
+    pages = derive.conversation_pages(table(spark, sf_dir, "conversations"))
+    back = pages.select("doc_id", F.explode(protocols.decode_pages(pack("doc_id", "page", "text"))).alias("p"))
+    return back.select("doc_id", "p.page", "p.text", F.col("p.raw_chars").cast("long").alias("raw_chars"), F.col("p.n_boxed").cast("long").alias("n_boxed"))
+
+
+@query
+def incremental_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages read as a stream of files; hits and running totals of the final state."""
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/folioscan-streams").rstrip("/") + f"/folioscan/stream-{uuid.uuid4().hex}"
+    # One file for each page number: the feed delivers a document's pages in separate batches.
+    feed = derive.conversation_pages(table(spark, sf_dir, "conversations"))
+    feed.repartitionByRange(8, "page").write.parquet(f"{root}/in")
+    pages = streaming.page_stream(spark, f"{root}/in", feed.schema)
+    norm = text.normalize_page(F.col("text"), F.lit(TEXT_LAYER))
+    n = (F.char_length(norm) - F.char_length(F.replace(norm, F.lit(KEYWORD), F.lit("")))) / len(KEYWORD)
+    streaming.deliver(pages, n, f"{root}/out", f"{root}/checkpoint")
+    return streaming.cumulative(spark.read.parquet(f"{root}/out"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracles.oracle_sql()
