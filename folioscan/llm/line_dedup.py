@@ -85,6 +85,7 @@ class Cuckoo:
                 tag, bucket = tag[left], bucket[left]
             if not len(tag):
                 return
+            bucket = np.where(rng.random(len(bucket)) < 0.5, bucket, self._other(bucket, tag))
             _, one = np.unique(bucket, return_index=True)  # one eviction a bucket and round
             slot = rng.integers(0, self.SLOTS, len(one))
             out = self.tags[bucket[one], slot]

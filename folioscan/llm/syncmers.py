@@ -6,9 +6,9 @@ so an edit moves no anchor that it does not touch.  A fingerprint keeps the
 ``anchors`` smallest anchor hashes, each with the position where it first occurs;
 two fingerprints are alike by the anchors they share in the same order.
 
-Neighbours by id come from a range-partitioned, sorted stream: each row meets the
-next one as it passes, and only the last row of a partition waits for the first row
-of the following one.
+Neighbours by id come from one shuffle into ranges of ids, streamed in order: each row
+meets the next one as it passes, and the first row of a range is sent along to the end
+of the range before it.
 """
 
 from __future__ import annotations
@@ -20,12 +20,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.llm import vec
-from folioscan.llm.common import arrow_limits, materialise, texts_of
+from folioscan.llm.common import arrow_limits, texts_of
 from folioscan.llm.vec import U64
 
 K, S, ANCHORS = 32, 8, 64
@@ -136,6 +135,16 @@ def _rows(ids: list, texts: list[str], nexts: list[str]) -> dict[str, list]:
     }
 
 
+def _range_of(doc_id: Column, bounds: Sequence[int]) -> Column:
+    """How many of the ascending bounds an id has reached, by binary search; nulls have reached none."""
+    if not bounds:
+        return F.lit(0)
+    array, n = F.lit(list(bounds)), len(bounds)
+    steps = F.array(*(F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)))
+    place = F.aggregate(steps, F.lit(0), lambda low, step: F.when((low + step <= n) & (F.element_at(array, F.least(low + step, F.lit(n))) <= doc_id), low + step).otherwise(low))
+    return F.coalesce(place, F.lit(0))
+
+
 def fingerprint_neighbours(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
@@ -146,41 +155,30 @@ def fingerprint_neighbours(df: DataFrame, id_col: str = "doc_id", text: str = "t
     spark = df.sparkSession
     arrow_limits(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    stream = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((n, pa.string()) for n in _NAMES[1:4]), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edge", pa.string()), ("part", pa.int32()), ("text", pa.string())])
-
-    def edges(kind: str, part: int, doc_id: int | None, body: str) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([{"doc_id": doc_id, "edge": kind, "part": part, "text": body}], schema)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 20 * n)) if n > 1 else F.lit(None)
+    # As many bounds as there are partitions, whatever the data.
+    bounds = docs.agg(cuts.alias("cuts")).first()["cuts"]
+    placed = docs.withColumn("part", _range_of(F.col("doc_id"), sorted(set(bounds or []))))
+    # The first row of each range also goes, as a guest, to the end of the range before it.
+    heads = placed.groupBy("part").agg(F.min("doc_id").alias("head"), F.max(F.col("doc_id").isNull()).alias("nulls")).select(F.col("part").alias("of"), F.when(~F.col("nulls"), F.col("head")).alias("head"))
+    firsts = placed.join(F.broadcast(heads), (F.col("part") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("part", "doc_id").agg(F.min("text").alias("text"))
+    order = Window.orderBy("part")
+    last = F.max("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = firsts.select("part", F.coalesce(F.lag("part").over(order), last).alias("host"))
+    guests = firsts.join(before, "part").select("doc_id", "text", F.col("host").alias("part"), F.lit(True).alias("guest"))
+    rows = placed.withColumn("guest", F.lit(False)).unionByName(guests)
+    stream = rows.repartitionById(n, "part").sortWithinPartitions("part", "guest", "doc_id", "text").select("doc_id", "text", "guest")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in _NAMES[1:4]), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = TaskContext.get().partitionId(), None
+        ids, texts, guest = [], [], []
         for batch in batches:
-            if not batch.num_rows:
+            ids, texts, guest = ids[-1:] + batch.column(0).to_pylist(), texts[-1:] + texts_of(batch.column(1)).to_pylist(), guest[-1:] + batch.column(2).to_pylist()
+            if len(ids) < 2:
                 continue
-            ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1)).to_pylist()
-            if held is None:
-                yield edges("first", part, ids[0], texts[0])
-            else:
-                ids, texts = [held[0], *ids], [held[1], *texts]
-            held = ids[-1], texts[-1]
-            if len(ids) > 1:
-                rows = _rows(ids[:-1], texts[:-1], texts[1:])
-                none = [None] * (len(ids) - 1)
-                yield pa.RecordBatch.from_pydict({**rows, "edge": none, "part": none, "text": none}, schema)
-        if held is not None:
-            yield edges("last", part, *held)
-
-    done = materialise(stream.mapInArrow(run, f"doc_id long, {_RESULT}, edge string, part int, text string"), "syncmers")
-    # One first and one last row for each partition: as few as there are partitions.
-    firsts = done.where("edge = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
-    order = firsts.select(F.col("next_part").alias("part"))
-    order = order.withColumn("next_part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    waiting = done.where("edge = 'last'").select("doc_id", "text", "part").join(order, "part").join(firsts, "next_part").select("doc_id", "text", "next_text")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(_rows(*(c.to_pylist() for c in batch.columns)), pa.schema(list(schema)[:7]))
+            got = _rows(ids[:-1], texts[:-1], texts[1:])
+            own = pa.array([not g for g in guest[:-1]])
+            yield pa.RecordBatch.from_pydict(got, schema).filter(own)
 
-    last = waiting.mapInArrow(finish, f"doc_id long, {_RESULT}")
-    return done.where("edge is null").select("doc_id", *_NAMES).unionByName(last)
+    return stream.mapInArrow(run, f"doc_id long, {_RESULT}")
