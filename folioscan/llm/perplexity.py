@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.llm import vec
-from folioscan.llm.common import arrow_limits, materialise, texts_of
+from folioscan.llm.common import BATCH_BYTES, arrow_limits, materialise, texts_of
 from folioscan.llm.vec import U64
 
 ORDER, BITS = 4, 6
@@ -235,14 +235,42 @@ def base_counts(t: vec.Texts) -> dict[str, np.ndarray]:
     return out
 
 
+class Answers:
+    """What a model's sorted arrays have answered so far, in pages by an n-gram's first two characters."""
+
+    PAGE = 1 << 2 * BITS
+
+    def __init__(self, model: KneserNey):
+        self.model = model
+        self.page = np.full(1 << BITS * (ORDER - 2), -1, np.int32)
+        self.values = np.full((64, self.PAGE), np.nan, np.float32)
+        self.used = 0
+
+    def log_p(self, codes: np.ndarray) -> np.ndarray:
+        upper, lower = codes >> np.uint32(2 * BITS), codes & np.uint32(self.PAGE - 1)
+        absent = np.flatnonzero((np.bincount(upper, minlength=len(self.page)) > 0) & (self.page < 0))
+        if self.used + len(absent) > len(self.values):
+            more = np.full((max(len(absent), len(self.values) // 2), self.PAGE), np.nan, np.float32)
+            self.values = np.concatenate([self.values, more])
+        self.page[absent] = np.arange(self.used, self.used + len(absent))
+        self.used += len(absent)
+        row = self.page[upper]
+        got = self.values[row, lower]
+        if (new := np.isnan(got)).any():
+            u, first = np.unique(codes[new], return_index=True)
+            self.values[row[new][first], lower[new][first]] = self.model.log_p(u)
+            got = self.values[row, lower]
+        return got
+
+
 def measure(docs: DataFrame, models: dict[str, KneserNey], keep: Sequence[str]) -> DataFrame:
     """keep, lang, the base counts, ``log_ppl`` (null for a text without characters) and ``digest`` of the text."""
-    arrow_limits(docs.sparkSession)
+    arrow_limits(docs.sparkSession, BATCH_BYTES // 2)
     narrow = docs.select(*keep, "lang", "text")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in narrow.schema if f.name not in ("lang", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: OrderedDict[str, np.ndarray] = OrderedDict()  # what the sorted arrays have answered so far
+        tables: OrderedDict[str, Answers] = OrderedDict()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -256,15 +284,9 @@ def measure(docs: DataFrame, models: dict[str, KneserNey], keep: Sequence[str])
                 if str(lang) not in tables:
                     if len(tables) >= HELD_LANGUAGES:
                         tables.popitem(last=False)
-                    tables[str(lang)] = np.full(1 << BITS * ORDER, np.nan, np.float32)
+                    tables[str(lang)] = Answers(models[str(lang)])
                 tables.move_to_end(str(lang))
-                table = tables[str(lang)]
-                got = table[codes[mine]]
-                if (new := np.isnan(got)).any():
-                    u = np.unique(codes[mine][new])
-                    table[u] = models[str(lang)].log_p(u)
-                    got = table[codes[mine]]
-                logs[mine] = got
+                logs[mine] = tables[str(lang)].log_p(codes[mine])
             size = np.bincount(whose, minlength=t.n)
             total = np.bincount(whose, logs, t.n)
             log_ppl = np.where(size > 0, -total / np.maximum(size, 1), np.nan)
