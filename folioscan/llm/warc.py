@@ -12,8 +12,10 @@ range, and pointer jumping over the remaining links, which doubles its stride ea
 round, finds where the true chain enters each range.  A range of a file therefore
 never waits for the ranges before it, however long the file.
 
-Files are opened with ``pyarrow.fs`` below the folder the caller names, written
-under a temporary name and renamed, so a repeated task replaces its own file.
+Files are opened with ``pyarrow.fs``.  Each attempt of a writing task has names of its
+own in a folder that readers pass over; only the files of the attempts that Spark
+commits are moved to the folder the caller names, so a task that is repeated, or runs
+twice at once, leaves no record out and none twice.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from folioscan.llm.common import arrow_limits, materialise
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 SPLIT_BYTES = 8 << 20
 FILE_BYTES = 256 << 20
+#: Below the archives' folder; Spark's readers pass over names that begin with an underscore.
+PENDING = "_pending"
 _READ = 256 << 10
 _GZIP = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]")
 _PLAIN = re.compile(rb"WARC/1\.[01]\r\n")
@@ -92,22 +96,24 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", uri_col
     """
     spark = pages.sparkSession
     arrow_limits(spark)
-    where = spark._jvm.org.apache.hadoop.fs.Path(root)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+    pending = f"{root}/{PENDING}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(pending)
+    store_of_all = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    store_of_all.mkdirs(where)
     records = assign_records(pages, id_col, uri_col, F.col(payload_col), min_bytes)
     suffix = ".warc.gz" if compress else ".warc"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(root)
-        part = TaskContext.get().partitionId()
-        out, temp, n_files, n_bytes, n_records = None, "", 0, 0, 0
+        store, base = fs.FileSystem.from_uri(pending)
+        attempt = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+        out, name, n_files, n_bytes, n_records = None, "", 0, 0, 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
-                    temp = f"{base}/.{uuid.uuid4().hex}.tmp"
-                    out, n_bytes, n_records = store.open_output_stream(temp), 0, 0
+                    name = f"{attempt}-{n_files:04d}{suffix}"
+                    out, n_files, n_bytes, n_records = store.open_output_stream(f"{base}/{name}", compression=None), n_files + 1, 0, 0
                 data = _record(*row, date)
                 if compress:
                     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
@@ -116,15 +122,31 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", uri_col
                 n_bytes, n_records = n_bytes + len(data), n_records + 1
                 if n_bytes >= FILE_BYTES:
                     out.close()
-                    store.move(temp, name := f"{base}/part-{part:06d}-{n_files:04d}{suffix}")
+                    out = None
                     yield pa.RecordBatch.from_pydict({"file": [name], "n_bytes": [n_bytes], "n_records": [n_records]})
-                    out, n_files = None, n_files + 1
         if out is not None:
             out.close()
-            store.move(temp, name := f"{base}/part-{part:06d}-{n_files:04d}{suffix}")
             yield pa.RecordBatch.from_pydict({"file": [name], "n_bytes": [n_bytes], "n_records": [n_records]})
 
-    return materialise(records.mapInArrow(run, "file string, n_bytes long, n_records long"), "warc-files")
+    def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                try:
+                    store.move(f"{base}/{PENDING}/{name}", f"{base}/{name}")
+                except OSError:
+                    # An earlier attempt has moved it: it must be there.
+                    if store.get_file_info(f"{base}/{name}").type != fs.FileType.File:
+                        raise
+            yield batch
+
+    schema = "file string, n_bytes long, n_records long"
+    written = materialise(records.mapInArrow(run, schema), "warc-written")
+    published = materialise(written.mapInArrow(publish, schema), "warc-files")
+    store_of_all.delete(where, True)
+    return published
 
 
 class _File:
