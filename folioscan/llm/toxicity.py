@@ -17,6 +17,7 @@ from __future__ import annotations
 import dataclasses
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -168,18 +169,21 @@ class Reader:
             return [0.0] * len(FEATURES)
         lower = text.lower()
         marks = [m.start() for m in _QUOTE.finditer(lower)]
-        breaks = [m.start() for m in re.finditer("\n", lower)] if marks else []
+        breaks = [-1, *(m.start() for m in re.finditer("\n", lower)), len(lower)] if marks else []
         counts: Counter[str] = Counter()
-        places = [h[0] for h in hits]
-        for i, offset, _, edits in hits:
+        places = [-WINDOW - 1, *(h[0] for h in hits), len(self.tokens) + WINDOW]
+        for k, (i, offset, _, edits) in enumerate(hits, 1):
             quoted = False
             if marks:
-                line = max((b for b in breaks if b < offset), default=-1)
-                stop = min((b for b in breaks if b > offset), default=len(lower))
-                quoted = sum(line < m < offset for m in marks) % 2 == 1 and any(offset < m < stop for m in marks)
+                # Marks of the hit's line before and behind it, by binary search in either list.
+                line = bisect_left(breaks, offset)
+                here = bisect_left(marks, offset)
+                before = here - bisect_right(marks, breaks[line - 1])
+                behind = bisect_left(marks, breaks[line]) - bisect_right(marks, offset)
+                quoted = before % 2 == 1 and behind > 0
             counts[("fuzzy" if edits else "exact") + "_quoted" * quoted] += 1
             counts["addressed"] += not ADDRESS.isdisjoint(self.tokens[max(0, i - WINDOW) : i + WINDOW + 1])
-            counts["crowded"] += any(0 < abs(p - i) <= WINDOW for p in places)
+            counts["crowded"] += i - places[k - 1] <= WINDOW or places[k + 1] - i <= WINDOW
         plain = counts["exact"] + counts["fuzzy"]
         row = [np.log1p(counts[f]) for f in FEATURES[:6]]
         return [*row, min(1.0, 20 * len(hits) / max(1, len(self.tokens))), 1.0, float(plain > 0), np.log1p(len({h[2] for h in hits}))]
