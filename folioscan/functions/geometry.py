@@ -63,13 +63,33 @@ def padded(box: Column, x: Column, y: Column, page_w: Column, page_h: Column) ->
 def page_rect(ratio: Column, width: Column, height: Column, start_y: Column | None = None) -> Column:
     """A ratio box on a page of a viewer; with ``start_y``, in the scrolled document."""
     dy = F.lit(0.0) if start_y is None else start_y
-    return F.struct((ratio["l"] * width).alias("l"), (ratio["t"] * height + dy).alias("t"), (ratio["r"] * width).alias("r"), (ratio["b"] * height + dy).alias("b"))
+    out = F.struct((ratio["l"] * width).alias("l"), (ratio["t"] * height + dy).alias("t"), (ratio["r"] * width).alias("r"), (ratio["b"] * height + dy).alias("b"))
+    return F.when(ratio.isNotNull() & (width > 0) & (height > 0), out)
 
 
-def align32(x: Column) -> Column:
-    return (F.greatest(F.lit(1), F.round(x / 32)) * 32).cast("int")
+def bitmap_ratio(left: Column, top: Column, right: Column, bottom: Column, bitmap_w: Column, bitmap_h: Column) -> Column:
+    """Bitmap pixels to ratios of the page; null if nothing is left of the box."""
+    out = F.struct(clamp01(left / bitmap_w).alias("l"), clamp01(top / bitmap_h).alias("t"), clamp01(right / bitmap_w).alias("r"), clamp01(bottom / bitmap_h).alias("b"))
+    return F.when((bitmap_w > 0) & (bitmap_h > 0) & (out["r"] > out["l"]) & (out["b"] > out["t"]), out)
+
+
+def centre_offset(base: Column, widest: Column, shown: Column) -> Column:
+    """How far a viewer moves a page across the scrolling axis to centre it below the widest one."""
+    return F.when((base > 0) & (widest > 0), F.greatest(F.lit(0.0), (widest - base) * (shown / base) / 2)).otherwise(0.0)
+
+
+def detection_size(width: Column, height: Column, most: int) -> Column:
+    """struct(w, h): an image for the detector, its long side ``most`` at most, either side the nearest multiple of 32."""
+    longest = F.greatest(width, height)
+    ratio = F.when(longest > most, most / longest).otherwise(1.0) if most > 0 else F.lit(1.0)
+
+    def side(x: Column) -> Column:
+        near = F.greatest(F.lit(1.0), F.round(F.round(x * ratio) / 32)) * 32
+        return (F.least(near, F.lit(float(max(32, most // 32 * 32)))) if most > 0 else near).cast("int")
+
+    return F.struct(side(width).alias("w"), side(height).alias("h"))
 
 
 def detection_side(width: Column, height: Column) -> Column:
-    """Long side of a detector's input: a multiple of 32 from 960 to 2048."""
-    return align32(F.greatest(F.lit(960), F.least(F.lit(2048), F.greatest(width, height))))
+    """Long side of a detector's input: the next multiple of 32, from 960 to 2048."""
+    return (F.ceil(F.greatest(F.lit(960), F.least(F.lit(2048), F.greatest(width, height))) / 32) * 32).cast("int")

@@ -32,6 +32,7 @@ class SearchOptions:
     mode: str = "TEXT_THEN_OCR"
     policy: str = "UNUSABLE_TEXT_LAYER_ONLY"
     page_level_fallback: bool = True
+    fallback_when_not_found: bool = True
     min_visible: int = 8
     min_coverage: float = 0.5
     dedup: bool = True
@@ -61,11 +62,3 @@ def check_keyword(keyword: str) -> str:
     if not keyword or not keyword.strip("".join(map(chr, range(33)))):
         raise ValueError("the keyword is blank")
     return keyword
-
-
-def classify_error(message: str) -> int:
-    """An error code by message: the first rule that matches, 1 where none does."""
-    #: Fixed values.
-    rules = ((2, "permission"), (3, "password"), (4, "not found"), (5, "no space"), (6, "keyword"), (7, "out of memory"), (8, "backend"), (9, "render"), (10, "model"), (11, "cancel"), (12, "timeout"))
-    low = (message or "").lower()
-    return next((code for code, word in rules if word in low), 1)

@@ -21,21 +21,24 @@ def ctc_decode(steps: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.col("x.idx").alias("tokens"), F.col("x.begin").alias("begins"), F.col("x.end").alias("ends"), mean.alias("conf"))
 
 
-def cell_bounds(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``left_step`` and ``right_step``: halfway to the neighbouring runs."""
+def cell_bounds(tokens: DataFrame, keys: list[str], n_steps: Column) -> DataFrame:
+    """Adds ``left_step`` and ``right_step``: halfway through the blank steps between runs; the outer ones reach the ends."""
     order = Window.partitionBy(*keys).orderBy("begin")
-    return tokens.withColumns({"left_step": F.coalesce((F.lag("end").over(order) + F.col("begin")) / 2, F.col("begin").cast("double")), "right_step": F.coalesce((F.lead("begin").over(order) + F.col("end")) / 2, F.col("end") + 1.0)})
+    left, right = (F.lag("end").over(order) + F.col("begin") + 1) / 2, (F.col("end") + F.lead("begin").over(order) + 1) / 2
+    return tokens.withColumns({"left_step": F.coalesce(left, F.lit(0.0)), "right_step": F.coalesce(right, n_steps.cast("double"))})
 
 
 def clamp_neighbours(tokens: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Overlapping neighbours meet halfway between their centres."""
+    """Overlapping neighbours meet halfway between their centres; a box of which nothing would be left stays as it is."""
     run = Window.partitionBy(*keys).orderBy(order)
     centre = (F.col("l") + F.col("r")) / 2
     tokens = tokens.withColumn("__c", centre)
     before, after = (F.lag("__c").over(run) + F.col("__c")) / 2, (F.lead("__c").over(run) + F.col("__c")) / 2
     left = F.when(F.lag("r").over(run) > F.col("l"), F.greatest(F.col("l"), before)).otherwise(F.col("l"))
     right = F.when(F.lead("l").over(run) < F.col("r"), F.least(F.col("r"), after)).otherwise(F.col("r"))
-    return tokens.withColumns({"new_l": left, "new_r": right}).withColumns({"l": F.col("new_l"), "r": F.col("new_r")}).drop("__c", "new_l", "new_r")
+    tokens = tokens.withColumns({"new_l": left, "new_r": right}).withColumn("sound", F.col("new_r") > F.col("new_l"))
+    kept = {c: F.when(F.col("sound"), F.col(f"new_{c}")).otherwise(F.col(c)) for c in ("l", "r")}
+    return tokens.withColumns(kept).drop("__c", "new_l", "new_r", "sound")
 
 
 def detection_boxes(boxes: DataFrame) -> DataFrame:

@@ -92,6 +92,15 @@ def finalize(hits: DataFrame, options: SearchOptions = SearchOptions()) -> DataF
     return out.where(F.col("rank") <= options.max_results) if options.max_results > 0 else out
 
 
+def limit_in_scan(hits: DataFrame, plan: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` hits of each document in the order in which the plan (doc_id, page, rank) reaches its pages; 0 keeps all."""
+    ranked = hits.join(plan.select("doc_id", "page", F.col("rank").alias("page_rank")), ["doc_id", "page"])
+    if most <= 0:
+        return ranked
+    order = Window.partitionBy("doc_id").orderBy("page_rank", "ordinal")
+    return ranked.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
+
+
 def stop_after_first(hits: DataFrame, plan: DataFrame) -> DataFrame:
     """Hits of the first page of the plan (doc_id, page, rank) that has any."""
     ranked = hits.join(plan.select("doc_id", "page", F.col("rank").alias("page_rank")), ["doc_id", "page"])

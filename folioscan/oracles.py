@@ -195,4 +195,30 @@ SELECT doc_id, page, string_agg(unicode(c)::VARCHAR, ',' ORDER BY i) AS codes, r
     q["protocol_decode"] = f"WITH {CONV_PAGES} SELECT doc_id, page, text, length(text)::BIGINT AS raw_chars, {VISIBLE}::BIGINT AS n_boxed FROM cp"
     norm = _norm().replace("source", f"'{LAYER}'")
     q["incremental_pages"] = f"WITH {CONV_PAGES}, ic AS (SELECT doc_id, page, ((length(n) - length(replace(n, 'the', ''))) // 3)::BIGINT AS n_hits FROM (SELECT *, {norm} AS n FROM cp)) SELECT *, (sum(n_hits) OVER (PARTITION BY doc_id ORDER BY page))::BIGINT AS total FROM ic"
+    q["limit_while_scanning"] = f"WITH {_plan('true', OUTWARD, 5)}, {_index('cp')}, {_matches(f'''(SELECT * FROM ix WHERE source = '{READ}')''', _norm(), _needle('the'), P)} SELECT doc_id, page, ordinal, m_start FROM mt JOIN pl USING (doc_id, page) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rank, ordinal) <= 3"
+    counted = f"WITH {CONV_PAGES}, tn AS (SELECT doc_id, page, max(page) OVER (PARTITION BY doc_id) AS last FROM cp) SELECT doc_id, page FROM tn WHERE "
+    q["target_pages_exact"] = counted + "page IN (0, 2, 99)"
+    q["target_pages_range"] = counted + "page BETWEEN least(1, last) AND greatest(least(1, last), least(3, last))"
+    q["target_pages_current"] = counted + "page = least(2, last)"
+    layer = f"(SELECT * FROM ix WHERE source = '{LAYER}')"
+    asked = f"WITH {DOC_INDEX}, {_matches(layer, _norm(), chr(39) + 'the' + chr(39), P)} SELECT doc_id, page FROM ix WHERE source = '{LAYER}' AND "
+    q["ocr_request_pages"] = asked + f"({VISIBLE} < 8 OR (doc_id, page) NOT IN (SELECT (doc_id, page) FROM mt))"
+    q["ocr_request_unusable"] = f"WITH {DOC_INDEX} SELECT doc_id, page FROM ix WHERE source = '{LAYER}' AND {VISIBLE} < 8"
+    q["ocr_request_documents"] = asked + "doc_id NOT IN (SELECT doc_id FROM mt)"
+    q["preferred_source"] = f"WITH {CONV_INDEX} SELECT doc_id, page, max(source) AS source FROM ix GROUP BY doc_id, page"
+    q["error_codes"] = f"""WITH {CONV_PAGES}, el AS (SELECT doc_id, page, lower(text) AS m FROM cp)
+SELECT doc_id, page, CASE WHEN regexp_matches(m, 'password|encrypt') THEN 7 WHEN regexp_matches(m, 'corrupt|damaged|malformed|损坏') THEN 8
+ WHEN regexp_matches(m, 'ocr|model|模型') AND regexp_matches(m, 'init|load|初始化|加载') THEN 9 WHEN page % 2 = 0 THEN 10 ELSE 9 END AS code FROM el"""
+    q["coord_bitmap_ratio"] = f"WITH {WORDS}, wr AS (SELECT doc_id, page, seq, {r01.format('l / 320')} AS l, {r01.format('b / 90')} AS b, {r01.format('r / 320')} AS r, {r01.format('t / 90')} AS t FROM wb) SELECT doc_id, page, seq, round(l, 6)::DOUBLE AS l, round(b, 6)::DOUBLE AS b, round(r, 6)::DOUBLE AS r, round(t, 6)::DOUBLE AS t FROM wr WHERE r > l AND b > t"
+    q["coord_viewer_rect"] = f"WITH {WORDS}, wr AS (SELECT doc_id, page, seq, {r01.format('l / 640')} AS l, {r01.format('b / 480')} AS b, {r01.format('r / 640')} AS r, {r01.format('t / 480')} AS t FROM wb) SELECT doc_id, page, seq, round(l * 300, 6)::DOUBLE AS l, round(b * 400 + page * 400, 6)::DOUBLE AS b, round(r * 300, 6)::DOUBLE AS r, round(t * 400 + page * 400, 6)::DOUBLE AS t FROM wr WHERE r > l AND b > t"
+    q["page_centre_offset"] = f"WITH {CONV_INDEX} SELECT doc_id, page, round((max(page_w) OVER (PARTITION BY doc_id) - page_w) * ((page + 300) / page_w) / 2, 6)::DOUBLE AS \"offset\" FROM ix WHERE source = '{LAYER}'"
+    side = "greatest(32, least(1280, round(round({} * CASE WHEN greatest(w, h) > 1280 THEN 1280 / greatest(w, h) ELSE 1 END) / 32) * 32))::INT"
+    q["detection_input"] = f"WITH {CONV_INDEX}, ds AS (SELECT doc_id, page, page_w * 3 AS w, page_h * 3 AS h FROM ix WHERE source = '{LAYER}') SELECT doc_id, page, {side.format('w')} AS w, {side.format('h')} AS h, (ceil(greatest(960, least(2048, greatest(w, h))) / 32) * 32)::INT AS side FROM ds"
+    q["fallback_tokens"] = f"WITH {WORDS}, ft AS (SELECT *, unnest(range(length(token))) AS n FROM wb) SELECT doc_id, page, seq, n, substr(token, n::INT + 1, 1) AS token, round(l + n * (r + 1 - l) / length(token), 6)::DOUBLE AS l, round(l + (n + 1) * (r + 1 - l) / length(token), 6)::DOUBLE AS r FROM ft"
+    q["neighbour_clamp"] = f"""WITH {WORDS}, nc AS (SELECT doc_id, page, seq, l - 4 AS l, r + 4 AS r, lag(l - 4) OVER w AS pl, lag(r + 4) OVER w AS pr, lead(l - 4) OVER w AS nl, lead(r + 4) OVER w AS nr FROM wb WINDOW w AS (PARTITION BY doc_id, page, t ORDER BY seq)),
+nx AS (SELECT *, CASE WHEN pr > l THEN greatest(l, ((pl + pr) / 2 + (l + r) / 2) / 2) ELSE l END AS a, CASE WHEN nl < r THEN least(r, ((nl + nr) / 2 + (l + r) / 2) / 2) ELSE r END AS z FROM nc)
+SELECT doc_id, page, seq, round(CASE WHEN z > a THEN a ELSE l END, 6)::DOUBLE AS l, round(CASE WHEN z > a THEN z ELSE r END, 6)::DOUBLE AS r FROM nx"""
+    q["ctc_cells"] = f"""WITH {CONV_PAGES}, cl AS (SELECT doc_id, page, string_split(text, chr(10))[1] AS line FROM cp), cc AS (SELECT doc_id, page, line, unnest(string_split(line, '')) AS c, generate_subscripts(string_split(line, ''), 1) - 1 AS i FROM cl WHERE line <> ''),
+cr AS (SELECT doc_id, page, length(line) * 8 AS steps, i * 8 AS b, i * 8 + unicode(c) % 3 AS z FROM cc)
+SELECT doc_id, page, b::BIGINT AS begin, coalesce((lag(z) OVER w + b + 1) / 2, 0)::DOUBLE AS left_step, coalesce((z + lead(b) OVER w + 1) / 2, steps)::DOUBLE AS right_step FROM cr WINDOW w AS (PARTITION BY doc_id, page ORDER BY b)"""
     return q

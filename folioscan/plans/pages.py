@@ -9,12 +9,12 @@ from folioscan.model import OCR, TEXT_LAYER, SearchOptions
 
 
 def target_pages(pages: DataFrame, options: SearchOptions) -> DataFrame:
-    """The pages (doc_id, page, n_pages) that are asked for: an exact list, the current page, or a range."""
+    """The pages (doc_id, page, n_pages) that are asked for: the current page, else an exact list, else a range."""
     last = F.col("n_pages") - 1
+    if options.current_page_only:
+        return pages.where(F.col("page") == F.least(F.greatest(F.lit(options.current_page), F.lit(0)), last))
     if options.target_pages is not None:
         return pages.where(F.col("page").isin(list(options.target_pages)))
-    if options.current_page_only:
-        return pages.where(F.col("page") == F.least(F.lit(options.current_page), last))
     start = F.least(F.greatest(F.lit(options.start_page), F.lit(0)), last)
     end = F.lit(options.end_page) if options.end_page >= 0 else last
     return pages.where(F.col("page").between(start, F.greatest(start, F.least(end, last))))
@@ -70,6 +70,26 @@ def routes(index: DataFrame, options: SearchOptions = SearchOptions()) -> DataFr
     return index.where(F.col("source") == TEXT_LAYER).select("doc_id", "page", route.alias("route"))
 
 
+def ocr_request(index: DataFrame, hits: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
+    """(doc_id, page): what a search without an index asks recognition for after ``hits`` in the text layer.
+
+    By page, those whose text layer is unusable or, if the policy says so, has no hit;
+    else all pages of the documents without any hit.
+    """
+    layer = index.where(F.col("source") == TEXT_LAYER)
+    if options.mode != "OCR_ONLY":
+        if options.mode != "TEXT_THEN_OCR" or not options.fallback_when_not_found:
+            layer = layer.limit(0)
+        elif not options.page_level_fallback:
+            layer = layer.join(hits.select("doc_id").distinct(), "doc_id", "left_anti")
+        elif options.policy == "UNUSABLE_OR_NO_MATCH":
+            found = hits.select("doc_id", "page", F.lit(True).alias("found")).distinct()
+            layer = layer.join(found, ["doc_id", "page"], "left").where(~usable(options) | F.col("found").isNull())
+        else:
+            layer = layer.where(~usable(options))
+    return layer.select("doc_id", "page")
+
+
 def resolve(index: DataFrame, options: SearchOptions, current: Column | None = None) -> DataFrame:
     """(doc_id, page, route, state): COMPLETED, FAILED or SKIPPED for each target page.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan import oracles
-from folioscan.functions import geometry, ids, stats, text
+from folioscan.functions import errors, geometry, ids, stats, text
 from folioscan.model import OCR, TEXT_LAYER, QueryOptions, SearchOptions
 from folioscan.operators import layout, recognition, results, search
 from folioscan.plans import pages as plans
@@ -198,6 +198,13 @@ def stop_after_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.stop_after_first(found, plan).select("doc_id", "page", "ordinal", "m_start")
 
 
+@query
+def limit_while_scanning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = conv_plan(spark, sf_dir, PLANS["page_plan_outward"])
+    found = search.matches(conv_index(spark, sf_dir).where(F.col("source") == OCR), KEYWORD)
+    return results.limit_in_scan(found, plan, 3).select("doc_id", "page", "ordinal", "m_start")
+
+
 @query
 def viewer_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = results.highlights(search.hits(conv_index(spark, sf_dir), BROKEN))
@@ -210,6 +217,58 @@ def page_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.routes(doc_index(spark, sf_dir), SearchOptions(policy="UNUSABLE_OR_NO_MATCH"))
 
 
+TARGETS = {
+    "target_pages_exact": SearchOptions(target_pages=(0, 2, 2, 99)),
+    "target_pages_range": SearchOptions(start_page=1, end_page=3),
+    "target_pages_current": SearchOptions(current_page_only=True, current_page=2, target_pages=(0,)),
+}
+
+
+def _targets(name: str, options: SearchOptions) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        convs = derive.conversation_pages(table(spark, sf_dir, "conversations")).select("doc_id", "page")
+        counted = convs.join(convs.groupBy("doc_id").agg((F.max("page") + 1).alias("n_pages")), "doc_id")
+        return plans.target_pages(counted, options).select("doc_id", "page")
+
+    _queries[name] = run
+
+
+for _name, _search_options in TARGETS.items():
+    _targets(_name, _search_options)
+
+REQUESTS = {
+    "ocr_request_pages": SearchOptions(policy="UNUSABLE_OR_NO_MATCH"),
+    "ocr_request_unusable": SearchOptions(),
+    "ocr_request_documents": SearchOptions(page_level_fallback=False),
+}
+
+
+def _request(name: str, options: SearchOptions) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        layer = doc_index(spark, sf_dir).where(F.col("source") == TEXT_LAYER)
+        return plans.ocr_request(layer, search.matches(layer, KEYWORD), options)
+
+    _queries[name] = run
+
+
+for _name, _search_options in REQUESTS.items():
+    _request(_name, _search_options)
+
+
+@query
+def preferred_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.preferred(conv_index(spark, sf_dir)).select("doc_id", "page", "source")
+
+
+@query
+def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns read as messages of a failure that a second cause explains."""
+    pages = derive.conversation_pages(table(spark, sf_dir, "conversations"))
+    inner = F.when(F.col("page") % 2 == 0, "OutOfMemoryError").otherwise("Error")
+    causes = F.array(F.struct(F.lit("Error").alias("kind"), F.col("text").alias("message")), F.struct(inner.alias("kind"), F.lit("model could not LOAD").alias("message")))
+    return pages.select("doc_id", "page", errors.classify(causes, F.lit(errors.CODES["unknown"])).alias("code"))
+
+
 RESOLVE = SearchOptions(full_document_ocr=True, max_ocr_pages=5)
 
 
@@ -311,6 +370,49 @@ def coord_page_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("box is not null").select("doc_id", "page", "seq", *_rounded(F.col("box")))
 
 
+@query
+def coord_bitmap_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = word_boxes(spark, sf_dir).withColumn("box", geometry.bitmap_ratio(F.col("l"), F.col("t"), F.col("r"), F.col("b"), F.lit(320.0), F.lit(90.0)))
+    return rows.where("box is not null").select("doc_id", "page", "seq", *_rounded(F.col("box")))
+
+
+@query
+def coord_viewer_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words on pages of 300 by 400 that follow each other in a scrolled document."""
+    ratio = geometry.bitmap_ratio(F.col("l"), F.col("t"), F.col("r"), F.col("b"), F.lit(640.0), F.lit(480.0))
+    rows = word_boxes(spark, sf_dir).withColumn("box", geometry.page_rect(ratio, F.lit(300.0), F.lit(400.0), F.col("page") * 400.0))
+    return rows.where("box is not null").select("doc_id", "page", "seq", *_rounded(F.col("box")))
+
+
+@query
+def page_centre_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layer = conv_index(spark, sf_dir).where(F.col("source") == TEXT_LAYER)
+    widest = layer.groupBy("doc_id").agg(F.max("page_w").alias("widest"))
+    offset = geometry.centre_offset(F.col("page_w"), F.col("widest"), F.col("page") + 300.0)
+    return layer.join(widest, "doc_id").select("doc_id", "page", F.round(offset, 6).alias("offset"))
+
+
+@query
+def detection_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of pages at three pixels a point as a detector gets them."""
+    layer = conv_index(spark, sf_dir).where(F.col("source") == TEXT_LAYER).select("doc_id", "page", (F.col("page_w") * 3).alias("w"), (F.col("page_h") * 3).alias("h"))
+    size = geometry.detection_size(F.col("w"), F.col("h"), 1280)
+    return layer.select("doc_id", "page", size["w"].alias("w"), size["h"].alias("h"), geometry.detection_side(F.col("w"), F.col("h")).alias("side"))
+
+
+@query
+def fallback_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.posexplode(layout.even_tokens(F.col("text"), F.col("l"), F.col("r") + 1)).alias("n", "x")
+    return word_boxes(spark, sf_dir).select("doc_id", "page", "seq", parts).select("doc_id", "page", "seq", F.col("n").cast("long").alias("n"), "x.token", F.round("x.l", 6).alias("l"), F.round("x.r", 6).alias("r"))
+
+
+@query
+def neighbour_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that were made four points wider on either side."""
+    wide = word_boxes(spark, sf_dir).withColumns({"l": F.col("l") - 4, "r": F.col("r") + 4})
+    return recognition.clamp_neighbours(wide, ["doc_id", "page", "t"], "seq").select("doc_id", "page", "seq", F.round("l", 6).alias("l"), F.round("r", 6).alias("r"))
+
+
 @query
 def quad_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     quad = F.array(F.col("l"), F.col("t"), F.col("r"), F.col("t") + 1, F.col("r") + 2, F.col("b"), F.col("l") + 2, F.col("b") - 1)
@@ -351,6 +453,15 @@ def ctc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "page", F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",").alias("codes"), F.round("conf", 6).alias("conf"))
 
 
+@query
+def ctc_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of ``ctc_decode`` and the steps that belong to each."""
+    lines = derive.conversation_pages(table(spark, sf_dir, "conversations")).select("doc_id", "page", F.element_at(F.split("text", "\n", -1), 1).alias("line"))
+    chars = lines.select("doc_id", "page", F.posexplode(F.split("line", "")).alias("i", "c"), F.char_length("line").alias("n")).where("c <> ''")
+    runs = chars.withColumns({"begin": F.col("i") * 8, "end": F.col("i") * 8 + F.ascii("c") % 3})
+    return recognition.cell_bounds(runs, ["doc_id", "page"], F.col("n") * 8).select("doc_id", "page", F.col("begin").cast("long").alias("begin"), "left_step", "right_step")
+
+
 @query
 def protocol_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages packed into the binary format and read back."""

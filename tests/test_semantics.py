@@ -5,7 +5,7 @@ import dataclasses
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.functions import geometry, ids, stats
+from folioscan.functions import errors, geometry, ids, stats
 from folioscan.functions.text import normalize_query, normalize_tokens
 from folioscan.model import OCR, TEXT_LAYER, QueryOptions, SearchOptions, check_keyword
 from folioscan.operators import layout, recognition, results, search
@@ -185,3 +185,48 @@ def test_geometry(spark):
     box = lambda *x: F.struct(*(F.lit(float(v)).alias(k) for k, v in zip("lbrt", x, strict=True)))
     row = spark.range(1).select(geometry.iou(box(0, 0, 2, 2), box(1, 0, 3, 2)), geometry.rect(*map(F.lit, (1.0, 1.0, 1.0, 2.0))), geometry.detection_side(F.lit(100), F.lit(5000))).first()
     assert round(row[0], 6) == round(1 / 3, 6) and row[1] is None and row[2] == 2048
+
+
+def test_detector_sizes(spark):
+    size = geometry.detection_size(F.lit(1270.0), F.lit(2540.0), 1280)
+    row = spark.range(1).select(geometry.detection_side(F.lit(961), F.lit(10)), size["w"], size["h"], geometry.detection_size(F.lit(3.0), F.lit(50.0), 0)["w"]).first()
+    assert tuple(row) == (992, 640, 1280, 32)
+
+
+def test_error_codes_follow_the_chain_of_causes(spark):
+    cases = [
+        ([("Error", None), ("OutOfMemoryError", None)], 10),
+        ([("Error", "Document is ENCRYPTED"), ("OutOfMemoryError", None)], 7),
+        ([("UnsatisfiedLinkError", "password")], 4),
+        ([("Error", "malformed xref")], 8),
+        ([("Error", "OCR failed"), ("Error", "model init")], 9),
+        ([("Error", "OCR failed")], 3),
+        ([], 3),
+    ]
+    df = spark.createDataFrame(cases, "causes array<struct<kind:string,message:string>>, code int")
+    assert df.where(errors.classify(F.col("causes"), F.lit(errors.CODES["ocr"])) != F.col("code")).count() == 0
+
+
+def test_target_pages(spark):
+    pages = spark.createDataFrame([(1, p, 5) for p in range(5)], "doc_id long, page int, n_pages int")
+    got = lambda **k: sorted(r.page for r in plans.target_pages(pages, SearchOptions(**k)).collect())
+    assert got(current_page_only=True, current_page=9, target_pages=(0,)) == [4]
+    assert got(target_pages=(3, 1, 3, 77)) == [1, 3] and got(target_pages=()) == []
+    assert got(start_page=3, end_page=1) == [3] and got(start_page=-4) == [0, 1, 2, 3, 4]
+
+
+def test_ocr_requests(spark):
+    rows = [(1, 0, TEXT_LAYER, 0, 50, 50), (1, 1, TEXT_LAYER, 0, 2, 2), (2, 0, TEXT_LAYER, 0, 50, 50)]
+    index = spark.createDataFrame(rows, "doc_id long, page int, source string, status int, visible_chars int, valid_boxes int")
+    found = spark.createDataFrame([(1, 0)], "doc_id long, page int")
+    got = lambda **k: sorted(tuple(r) for r in plans.ocr_request(index, found, SearchOptions(**k)).collect())
+    assert got() == [(1, 1)] and got(policy="UNUSABLE_OR_NO_MATCH") == [(1, 1), (2, 0)]
+    assert got(page_level_fallback=False) == [(2, 0)] and len(got(mode="OCR_ONLY")) == 3
+    assert got(mode="TEXT_ONLY") == [] == got(fallback_when_not_found=False)
+
+
+def test_token_boxes_share_cells_and_never_invert(spark):
+    runs = spark.createDataFrame([(1, 2, 3), (1, 6, 6), (1, 9, 10)], "k int, begin int, end int")
+    assert [(r.left_step, r.right_step) for r in recognition.cell_bounds(runs, ["k"], F.lit(16)).orderBy("begin").collect()] == [(0.0, 5.0), (5.0, 8.0), (8.0, 16.0)]
+    boxes = spark.createDataFrame([(1, 0, 0.0, 6.0), (1, 1, 4.0, 10.0), (1, 2, 20.0, 30.0), (1, 3, 0.0, 22.0)], "k int, i int, l double, r double")
+    assert [(r.l, r.r) for r in recognition.clamp_neighbours(boxes, ["k"], "i").orderBy("i").collect()] == [(0.0, 5.0), (5.0, 10.0), (20.0, 30.0), (18.0, 22.0)]
