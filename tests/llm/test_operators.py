@@ -5,13 +5,14 @@ import gzip
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.llm import line_dedup, mixing, near_dup, perplexity, pieces, quality, syncmers, token_counts, toxicity, vec, warc
+from folioscan.llm import line_dedup, mixing, near_dup, perplexity, pieces, quality, queries, syncmers, token_counts, toxicity, vec, warc
 from folioscan.llm.common import shared_dir
 from folioscan.llm.queries import domain_of, model_file
 
@@ -411,7 +412,166 @@ def test_perplexity_rejects_noise_and_keeps_prose(spark, docs, empty):
     assert perplexity.judge(empty).count() == 0
 
 
+# whole queries -----------------------------------------------------------------
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()
+    return {r.doc_id: r.text or "" for r in rows}
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def answer(spark, name):
+    rows = queries.queries()[name](spark, SMALL).collect()
+    found = {r.doc_id: r for r in rows}
+    assert len(found) == len(rows)
+    return found
+
+
+def test_op2_query_against_brute_force(spark, small):
+    got, order = answer(spark, "op2_syncmers"), list(small.items())
+    assert got.keys() == small.keys()
+    for (i, t), (n, after) in zip(order, order[1:] + order[:1], strict=True):
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(t), sha(edited))
+        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+        if t == after:
+            assert got[i].fingerprint == got[n].fingerprint and got[i].near_next == 1
+
+
+def test_op8_and_op9_queries_against_the_library(spark, small):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=model_file())
+    coded, counted = answer(spark, "op8_sentencepiece"), answer(spark, "op9_token_counts")
+    assert coded.keys() == small.keys() == counted.keys()
+    for i, text in small.items():
+        ids = library.encode(text)
+        assert (coded[i].n_tokens, coded[i].ids_sha256, coded[i].decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
+        assert (counted[i].n_bytes, counted[i].n_tokens, counted[i].over_limit) == (len(text.encode()), len(ids), len(ids) > 4096)
+
+
+def test_op10_query_against_brute_force(spark, small):
+    got = answer(spark, "op10_quality_rules")
+    assert got.keys() == small.keys()
+    for i, text in small.items():
+        base = brute_base(text)
+        assert tuple(got[i][b] for b in perplexity.BASE) == base
+        assert got[i].base_failed == (base[0] < 50 or 100 * base[4] > 50 * base[0]) and not (got[i].base_failed and got[i].kept)
+
+
+@pytest.mark.parametrize(("name", "cut"), [("op5_quality", 0.7), ("op7_toxicity", 0.3)])
+def test_op5_and_op7_queries_cover_all_rows(spark, small, name, cut):
+    got = answer(spark, name)
+    assert got.keys() == small.keys()
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= cut)
+
+
+def brute_classes(spark, docs):
+    """Classes by the exact similarity of all pairs."""
+    idf = near_dup.idf_cells(*near_dup.document_frequencies(docs.select("doc_id", "text")))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    label = {i: i for i in texts}
+    names = sorted(texts)
+    for k, i in enumerate(names):
+        later = names[k + 1 :]
+        alike = near_dup.similarity([texts[i]] * len(later), [texts[j] for j in later], idf) >= near_dup.THRESHOLD if later else []
+        if not re.search(r"\w", texts[i]):  # texts without words are copies of each other
+            alike = [not re.search(r"\w", texts[j]) for j in later]
+        for j, near in zip(later, alike, strict=True):
+            if near and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = {d: low if c == high else c for d, c in label.items()}
+    return label
+
+
+def test_op4_query_against_all_pairs(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = {i: r.class_id for i, r in answer(spark, "op4_near_duplicates").items()}
+    assert got == brute_classes(spark, docs)
+
+
+def brute_mix(rows):
+    """Ids that one epoch of half the tokens takes, by filling level after level."""
+    def fill(nodes, budget):
+        given, budget = {}, min(budget, sum(c for _, c in nodes.values()))
+        while nodes:
+            total = sum(w for w, _ in nodes.values())
+            full = {k: c for k, (w, c) in nodes.items() if c * total <= budget * w}
+            if not full:
+                return given | {k: min(c, w * budget // total) for k, (w, c) in nodes.items()}
+            given |= full
+            budget -= sum(full.values())
+            nodes = {k: v for k, v in nodes.items() if k not in full}
+        return given
+
+    tokens = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _, _ in rows}
+    path = {}
+    for i, _, lang, source in rows:
+        number = re.search("([0-9]{1,9})$", source or "")
+        path[i] = (f"d{int(number[1]) % 4}" if number else "other", lang or "", source or "")
+    grants = {(): sum(tokens.values()) * queries.MIX_PERCENT // 100}
+    for depth, level in enumerate(mixing.LEVELS, 1):
+        weight, below = queries.MIX_WEIGHTS.get(level, {}), {}
+        for node, budget in grants.items():
+            kids = {p[:depth] for p in path.values() if p[: depth - 1] == node}
+            below |= fill({k: (weight.get(k[-1], 1), sum(tokens[i] for i, p in path.items() if p[:depth] == k)) for k in kids}, budget)
+        grants = below
+    chosen = set()
+    for leaf, budget in grants.items():
+        upto = 0
+        for _, i in sorted((hashlib.md5(f"{queries.MIX_SEED}:0:{i}".encode()).hexdigest(), i) for i, p in path.items() if p == leaf):
+            upto += tokens[i]
+            if upto <= budget:
+                chosen.add(i)
+    return chosen
+
+
 # pipeline ---------------------------------------------------------------------
+def test_pipeline_stages_against_brute_force(spark):
+    import sentencepiece
+
+    import corpus_pipeline
+    from folioscan.llm.common import materialise
+
+    stages = dict(corpus_pipeline.STAGES)
+    documents, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+
+    def after(name, docs):
+        out = materialise(stages[name](spark, docs, SMALL), "pipeline-test")
+        return out, {r.doc_id: r for r in out.collect()}
+
+    model = quality.train(documents, labels)
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    score = dict(zip(texts, model.score(quality.features(pa.array(texts.values(), pa.string()))), strict=True))
+    docs, got = after("quality classifier", documents)
+    assert got.keys() == {i for i in texts if score[i] >= queries.GOOD_FROM}
+
+    want = {i: t for i, t, _, _ in brute_lines([(i, r.text) for i, r in got.items()])}
+    docs, got = after("line dedup", docs)
+    assert {i: r.text for i, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values())
+
+    want = {i for i, c in brute_classes(spark, docs).items() if i == c}
+    docs, got = after("MinHash near-dedup", docs)
+    assert set(got) == want
+
+    want = brute_mix([(i, r.text, r.lang, r.source) for i, r in got.items()])
+    docs, got = after("mixing sources to target weights", docs)
+    assert got.keys() == want and want
+
+    library = sentencepiece.SentencePieceProcessor(model_file=model_file())
+    texts = {i: r.text for i, r in got.items()}
+    _, got = after("SentencePiece encoding", docs)
+    assert {i: r.ids for i, r in got.items()} == {i: library.encode(t or "") for i, t in texts.items()}
+    assert {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SMALL).collect()} == {i: r.ids for i, r in got.items()}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
