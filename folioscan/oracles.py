@@ -221,4 +221,11 @@ SELECT doc_id, page, seq, round(CASE WHEN z > a THEN a ELSE l END, 6)::DOUBLE AS
     q["ctc_cells"] = f"""WITH {CONV_PAGES}, cl AS (SELECT doc_id, page, string_split(text, chr(10))[1] AS line FROM cp), cc AS (SELECT doc_id, page, line, unnest(string_split(line, '')) AS c, generate_subscripts(string_split(line, ''), 1) - 1 AS i FROM cl WHERE line <> ''),
 cr AS (SELECT doc_id, page, length(line) * 8 AS steps, i * 8 AS b, i * 8 + unicode(c) % 3 AS z FROM cc)
 SELECT doc_id, page, b::BIGINT AS begin, coalesce((lag(z) OVER w + b + 1) / 2, 0)::DOUBLE AS left_step, coalesce((z + lead(b) OVER w + 1) / 2, steps)::DOUBLE AS right_step FROM cr WINDOW w AS (PARTITION BY doc_id, page ORDER BY b)"""
+    q["detect_boxes"] = f"""WITH {CONV_PAGES}, db AS (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM cp),
+dg AS (SELECT *, 6 * length(line) - 1 AS w, 7.0::DOUBLE * (6 * length(line) - 1) / (6 * length(line) + 6) AS d FROM db WHERE line <> '')
+SELECT doc_id, page, 2 * floor(8.5 - d)::BIGINT AS l, 2 * floor(24 * i + 8.5 - d)::BIGINT AS t, 2 * floor(8.5 + w + d)::BIGINT AS r, 2 * floor(24 * i + 15.5 + d)::BIGINT AS b FROM dg"""
+    q["token_ink_boxes"] = f"""WITH {CONV_PAGES}, cl AS (SELECT doc_id, page, string_split(text, chr(10))[1] AS line FROM cp), cc AS (SELECT doc_id, page, length(line) AS len, unnest(string_split(line, '')) AS c, generate_subscripts(string_split(line, ''), 1) - 1 AS i FROM cl WHERE line <> ''),
+ck AS (SELECT *, unicode(c) % 5 <> 0 AS ink, bool_or(unicode(c) % 5 <> 0) OVER (PARTITION BY doc_id, page) AS inked FROM cc WHERE trim(c) <> '')
+SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY i) - 1 AS n, round((6 * i + CASE WHEN ink THEN 1 ELSE 0 END) / (6.0::DOUBLE * len), 6) AS l, CASE WHEN inked THEN round(1 / 12.0::DOUBLE, 6) ELSE 0.0::DOUBLE END AS t,
+ round((6 * i + CASE WHEN ink THEN 5 ELSE 6 END) / (6.0::DOUBLE * len), 6) AS r, CASE WHEN inked THEN round(11 / 12.0::DOUBLE, 6) ELSE 1.0::DOUBLE END AS b FROM ck"""
     return q

@@ -6,6 +6,7 @@ import dataclasses
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from folioscan import oracles
 from folioscan.functions import errors, geometry, ids, stats, text
 from folioscan.model import OCR, TEXT_LAYER, QueryOptions, SearchOptions
-from folioscan.operators import layout, recognition, results, search
+from folioscan.operators import imaging, layout, recognition, results, search
 from folioscan.plans import pages as plans
 from folioscan.sources import derive, protocols, store
 from folioscan.streaming import pages as streaming
@@ -462,6 +463,50 @@ def ctc_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.cell_bounds(runs, ["doc_id", "page"], F.col("n") * 8).select("doc_id", "page", F.col("begin").cast("long").alias("begin"), "left_step", "right_step")
 
 
+@query
+def detect_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines drawn into a detector's map of half the page's resolution, and found again."""
+
+    @F.pandas_udf("scores binary, map_w int, map_h int")
+    def draw(pages: pd.Series) -> pd.DataFrame:
+        rows = []
+        for lines in (p.split("\n") for p in pages):
+            scores = np.full((24 * len(lines) + 32, 6 * max(map(len, lines)) + 40), 0.1, "<f4")
+            for i, line in enumerate(lines):
+                scores[24 * i + 8 : 24 * i + 16, 8 : 8 + 6 * len(line)] = 0.9
+            rows.append((scores.tobytes(), scores.shape[1], scores.shape[0]))
+        return pd.DataFrame(rows, columns=["scores", "map_w", "map_h"])
+
+    pages = derive.conversation_pages(table(spark, sf_dir, "conversations"))
+    maps = pages.select("doc_id", "page", draw("text").alias("m")).select("doc_id", "page", "m.*", (F.col("m.map_w") * 2).alias("source_w"), (F.col("m.map_h") * 2).alias("source_h"))
+    sides = [F.col("quad")[k].cast("long").alias(c) for c, k in (("l", 0), ("t", 1), ("r", 4), ("b", 5))]
+    return imaging.detect(maps, ["doc_id", "page"]).select("doc_id", "page", *sides)
+
+
+@query
+def token_ink_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines drawn as bars; every fifth character code has no ink, so its box comes from its steps."""
+
+    @F.pandas_udf("pixels binary, begins array<int>, ends array<int>")
+    def draw(lines: pd.Series) -> pd.DataFrame:
+        rows = []
+        for line in lines:
+            image = np.full((12, 6 * len(line)), 255, np.uint8)
+            seen = [i for i, c in enumerate(line) if not c.isspace()]
+            for i in seen:
+                if ord(line[i]) % 5:
+                    image[2:10, 6 * i + 1 : 6 * i + 5] = 0
+            rows.append((image.tobytes(), [8 * i + 2 for i in seen], [8 * i + 5 for i in seen]))
+        return pd.DataFrame(rows, columns=["pixels", "begins", "ends"])
+
+    pages = derive.conversation_pages(table(spark, sf_dir, "conversations"))
+    first = pages.select("doc_id", "page", F.element_at(F.split("text", "\n", -1), 1).alias("line")).where("line <> ''")
+    n = F.char_length("line")
+    lines = first.select("doc_id", "page", draw("line").alias("d"), (n * 6).alias("width"), F.lit(12).alias("height"), (n * 8).alias("steps"), F.lit(False).alias("turned"))
+    boxes = imaging.align(lines.select("doc_id", "page", "d.*", "width", "height", "steps", "turned"), ["doc_id", "page"])
+    return boxes.select("doc_id", "page", F.col("n").cast("long").alias("n"), *(F.round(c, 6).alias(c) for c in "ltrb"))
+
+
 @query
 def protocol_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages packed into the binary format and read back."""
