@@ -1,8 +1,11 @@
 """The ten operators on small cases: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
 import base64
+import collections
+import functools
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -444,6 +447,32 @@ def test_op2_query_against_brute_force(spark, small):
             assert got[i].fingerprint == got[n].fingerprint and got[i].near_next == 1
 
 
+def brute_likeness(a, b, anchors=64):
+    """The longest common run in order by its recurrence, over the smallest hashes of both."""
+    if a == b:
+        return 1.0
+    here, there = dict(a), dict(b)
+    both = sorted(set(here) | set(there))[:anchors]
+    pairs = sorted((here[h], there[h]) for h in both if h in here and h in there)
+    best = []
+    for i, (_, y) in enumerate(pairs):
+        best.append(1 + max((best[j] for j in range(i) if pairs[j][1] < y), default=0))
+    run = max(best, default=0)
+    return 2 * run / (len(both) + run) if run else 0.0
+
+
+def test_op2_fingerprints_and_likeness_against_brute_force(spark, small):
+    got, order = answer(spark, "op2_syncmers"), list(small.items())
+    read = lambda s: list(zip(*(x.tolist() for x in syncmers.from_text(s)), strict=True))
+    for (i, t), (n, after) in zip(order, order[1:] + order[:1], strict=True):
+        # Each text by itself gives what it gave in the stream.
+        assert got[i].fingerprint == syncmers.to_text(syncmers.prints([t])[0])
+        assert got[i].edited_fingerprint == syncmers.to_text(syncmers.prints([t[: len(t) - len(t) // 4] + after[: len(t) // 4]])[0])
+        own = read(got[i].fingerprint)
+        assert got[i].near_edited == pytest.approx(brute_likeness(own, read(got[i].edited_fingerprint)))
+        assert got[i].near_next == pytest.approx(brute_likeness(own, read(got[n].fingerprint)))
+
+
 def test_op8_and_op9_queries_against_the_library(spark, small):
     import sentencepiece
 
@@ -465,6 +494,61 @@ def test_op10_query_against_brute_force(spark, small):
         assert got[i].base_failed == (base[0] < 50 or 100 * base[4] > 50 * base[0]) and not (got[i].base_failed and got[i].kept)
 
 
+def brute_log_perplexity(texts):
+    """Mean negative log-probability of each text's characters under a modified Kneser-Ney model of the texts, by dictionaries."""
+
+    def kind(c):
+        b = c.encode()
+        return 60 + (b[1] & 3) if len(b) > 1 else int(perplexity._CLASS[b[0]])
+
+    windows = []
+    for t in texts:
+        line = [0, 0, 0, *map(kind, t), 0]
+        windows.append([tuple(line[k : k + 4]) for k in range(len(line) - 3)] if t else [])
+    counts = {4: collections.Counter(w for ws in windows for w in ws)}
+    for n in (3, 2, 1):
+        counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
+    cut, total, kinds = {}, {}, {}
+    for n, c in counts.items():
+        f = collections.Counter(c.values())
+        y = f[1] / (f[1] + 2 * f[2]) if f[1] else 0
+        cut[n] = [min(most, max(0.1, k - (k + 1) * y * f[k + 1] / f[k] if f[k] and f[k + 1] else 0.5)) for k, most in ((1, 0.95), (2, 1.9), (3, 2.9))]
+        total[n], kinds[n] = collections.Counter(), collections.Counter()
+        for g, k in c.items():
+            total[n][g[:-1]] += k
+            kinds[n][g[:-1], min(k, 3)] += 1
+
+    @functools.cache
+    def p(g):
+        n, k, head = len(g), counts[len(g)][g], g[:-1]
+        free = sum(cut[n][j - 1] * kinds[n][head, j] for j in (1, 2, 3)) / total[n][head]
+        return (k - cut[n][min(k, 3) - 1]) / total[n][head] + free * (p(g[1:]) if n > 1 else 1 / 64)
+
+    return [-sum(math.log(p(w)) for w in ws) / len(ws) if ws else None for ws in windows]
+
+
+def test_op10_perplexities_and_bands_against_brute_force(spark):
+    rows = [r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    got = {r.doc_id: r for r in perplexity.judge(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()}
+    query = answer(spark, "op10_quality_rules")
+    sure = 0
+    for lang in {r.lang for r in rows}:
+        mine = [r for r in rows if r.lang == lang]
+        logs = dict(zip((r.doc_id for r in mine), brute_log_perplexity([r.text or "" for r in mine]), strict=True))
+        distinct = {r.text: logs[r.doc_id] for r in mine if not got[r.doc_id].base_failed}
+        steps = sorted(round(x, 3) for x in distinct.values())
+        low, high = (steps[math.ceil(len(steps) * q) - 1] for q in (0.25, 0.75))
+        wide = max(3 * (high - low), 0.8)
+        for r in mine:
+            g, x = got[r.doc_id], logs[r.doc_id]
+            assert (g.log_ppl is None) == (x is None) and (x is None or g.log_ppl == pytest.approx(x, abs=1e-4))
+            assert (g.low, g.high) == pytest.approx((low - wide, high + wide), abs=0.01)
+            if x is not None and min(abs(x - g.low), abs(x - g.high)) > 0.02:
+                sure += 1
+                assert g.kept == query[r.doc_id].kept == (not g.base_failed and low - wide <= x <= high + wide)
+    assert sure > 0.9 * len(rows)
+
+
 @pytest.mark.parametrize(("name", "cut"), [("op5_quality", 0.7), ("op7_toxicity", 0.3)])
 def test_op5_and_op7_queries_cover_all_rows(spark, small, name, cut):
     got = answer(spark, name)
