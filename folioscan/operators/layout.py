@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.functions import stats
+from folioscan.functions import geometry, stats
 from folioscan.operators.results import column_split
 
 #: Punctuation that takes no space after it, before it, on either side.
@@ -118,3 +118,31 @@ def even_tokens(text: Column, left: Column, right: Column) -> Column:
     n = F.char_length(text)
     step = (right - left) / n
     return F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.substring(text, i, F.lit(1)).alias("token"), (left + (i - 1) * step).alias("l"), (left + i * step).alias("r")))
+
+
+def debug_geometry(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, seq, n, kind, box, label: a DETECTION_BLOCK (n = 0) and its TOKEN_BOXes (from 1) as ratios of the page.
+
+    Blocks have seq, text, l, t, r, b (bitmap, y down), quad (8 numbers or null), token_boxes
+    (array of l, t, r, b in the line, or null), begins and ends in the text, bitmap_w and
+    bitmap_h.  Boxes that are no part of the unit square or have no area go; a token whose
+    arrays differ in length has no box.
+    """
+    blocks = blocks.where("bitmap_w > 0 and bitmap_h > 0 and l is not null")
+    same = (F.size("token_boxes") == F.size("begins")) & (F.size("begins") == F.size("ends"))
+    tokens = blocks.where(same).select("*", F.posexplode("token_boxes").alias("k", "x"))
+    x = F.col("x")
+    tokens = tokens.where((x["l"] >= 0) & (x["t"] >= 0) & (x["r"] <= 1) & (x["b"] <= 1) & (x["r"] > x["l"]) & (x["b"] > x["t"]))
+    corners = [geometry.quad_point(F.col("quad"), x[a], x[b]) for a, b in (("l", "t"), ("r", "t"), ("r", "b"), ("l", "b"))]
+    xs, ys = ([c[k] for c in corners] for k in (0, 1))
+    flat = [F.col(lo) + (F.col(hi) - F.col(lo)) * x[side] for lo, hi, side in (("l", "r", "l"), ("t", "b", "t"), ("l", "r", "r"), ("t", "b", "b"))]
+    skew = [F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)]
+    has_quad = F.col("quad").isNotNull() & (F.size("quad") == 8)
+    sides = [F.when(has_quad, a).otherwise(b) for a, b in zip(skew, flat, strict=True)]
+    size = (F.col("bitmap_w"), F.col("bitmap_h"))
+    begin = F.greatest(F.lit(0), F.element_at("begins", F.col("k") + 1))
+    label = F.substring(F.col("text"), begin + 1, F.greatest(F.lit(0), F.element_at("ends", F.col("k") + 1) - begin))
+    of_tokens = tokens.select(*keys, "seq", (F.col("k") + 1).alias("n"), F.lit("TOKEN_BOX").alias("kind"), geometry.bitmap_ratio(*sides, *size).alias("box"), label.alias("label"))
+    own = geometry.bitmap_ratio(*(F.col(c) for c in "ltrb"), *size)
+    of_blocks = blocks.select(*keys, "seq", F.lit(0).alias("n"), F.lit("DETECTION_BLOCK").alias("kind"), own.alias("box"), F.col("text").alias("label"))
+    return of_blocks.unionByName(of_tokens).where("box is not null")

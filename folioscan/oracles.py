@@ -228,4 +228,14 @@ SELECT doc_id, page, 2 * floor(8.5 - d)::BIGINT AS l, 2 * floor(24 * i + 8.5 - d
 ck AS (SELECT *, unicode(c) % 5 <> 0 AS ink, bool_or(unicode(c) % 5 <> 0) OVER (PARTITION BY doc_id, page) AS inked FROM cc WHERE trim(c) <> '')
 SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY i) - 1 AS n, round((6 * i + CASE WHEN ink THEN 1 ELSE 0 END) / (6.0::DOUBLE * len), 6) AS l, CASE WHEN inked THEN round(1 / 12.0::DOUBLE, 6) ELSE 0.0::DOUBLE END AS t,
  round((6 * i + CASE WHEN ink THEN 5 ELSE 6 END) / (6.0::DOUBLE * len), 6) AS r, CASE WHEN inked THEN round(11 / 12.0::DOUBLE, 6) ELSE 1.0::DOUBLE END AS b FROM ck"""
+    q["cache_victims"] = f"""WITH {CONV_PAGES}, cf AS (SELECT doc_id || '-' || page AS name, length(text)::BIGINT AS size, doc_id * 3600000 + page * 250 AS mtime FROM cp)
+SELECT name, size, mtime FROM cf QUALIFY sum(size) OVER (ORDER BY mtime DESC, name DESC) > 40000"""
+    q["retry_pages"] = f"WITH {CONV_PAGES} SELECT doc_id, page FROM cp WHERE page % 6 = 0"
+    q["page_metrics"] = f"""WITH {CONV_PAGES} SELECT doc_id, page, ['MEMORY', 'DISK', 'NONE'][page % 3 + 1] AS cache_source, page % 3 < 2 AS cache_hit, greatest(0, length(text) - 500)::BIGINT AS match_ms, length(text)::BIGINT AS total_ms FROM cp"""
+    q["debug_geometry"] = f"""WITH {WORDS}, dw AS (SELECT *, length(token) AS len FROM wb), dc AS (SELECT *, unnest(range(len)) AS k FROM dw),
+dx AS (SELECT doc_id, page, seq, 0 AS n, 'DETECTION_BLOCK' AS kind, token AS label, l, t, r, b FROM dw
+ UNION ALL SELECT doc_id, page, seq, k + 1, 'TOKEN_BOX', substr(token, k::INT + 1, 1), l + (r - l) * k / len, t + 2.5 + CASE WHEN seq % 2 = 1 THEN 2.0 * k / len ELSE 0 END,
+  l + (r - l) * (k + 1) / len, t + 7.5 + CASE WHEN seq % 2 = 1 THEN 2.0 * (k + 1) / len ELSE 0 END FROM dc),
+dr AS (SELECT doc_id, page, seq, n, kind, label, {r01.format('l / 320')} AS l, {r01.format('t / 90')} AS t, {r01.format('r / 320')} AS r, {r01.format('b / 90')} AS b FROM dx)
+SELECT doc_id, page, seq, n::BIGINT AS n, kind, label, round(l, 6)::DOUBLE AS l, round(t, 6)::DOUBLE AS t, round(r, 6)::DOUBLE AS r, round(b, 6)::DOUBLE AS b FROM dr WHERE r > l AND b > t"""
     return q

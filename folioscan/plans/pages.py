@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,3 +113,16 @@ def summary(states: DataFrame, hits: DataFrame, limit: int = 0) -> DataFrame:
     rows = counts.join(found, "doc_id", "left").withColumn("results", F.coalesce("results", F.lit(0)).cast("long"))
     limited = (F.col("skipped") > 0) | (F.lit(limit > 0) & (F.col("results") > limit))
     return rows.withColumn("limited", limited).withColumn("complete", (F.col("failed") == 0) & (F.col("skipped") == 0) & ~limited)
+
+
+def retry(errors: DataFrame, options: SearchOptions = SearchOptions()) -> tuple[DataFrame, SearchOptions]:
+    """(doc_id, page) of failed pages that may succeed, each once, and the options to search them with: all are recognised, without a cap."""
+    pages = errors.where("retryable").select("doc_id", "page").distinct()
+    return pages, dataclasses.replace(options, current_page_only=False, full_document_ocr=True, max_ocr_pages=0)
+
+
+def page_metrics(timings: DataFrame) -> DataFrame:
+    """Measures of pages (doc_id, page, cache_source and whole numbers): none below 0, and ``cache_hit``; an unknown source is NONE."""
+    measures = [c for c in timings.columns if c not in ("doc_id", "page", "cache_source")]
+    source = F.coalesce("cache_source", F.lit("NONE"))
+    return timings.select("doc_id", "page", source.alias("cache_source"), source.isin("MEMORY", "DISK").alias("cache_hit"), *(F.greatest(F.lit(0), c).alias(c) for c in measures))

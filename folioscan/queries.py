@@ -296,6 +296,30 @@ def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "page", "source", key.alias("key"), ids.file_name(key).alias("file_name"))
 
 
+@query
+def cache_victims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as cached files of several times a second; what is above 40,000 characters goes."""
+    pages = derive.conversation_pages(table(spark, sf_dir, "conversations"))
+    name = F.concat_ws("-", F.col("doc_id").cast("string"), F.col("page").cast("string"))
+    files = pages.select(name.alias("name"), F.char_length("text").cast("long").alias("size"), (F.col("doc_id") * 3_600_000 + F.col("page") * 250).alias("mtime"))
+    return store.victims(files, 40_000)
+
+
+@query
+def retry_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third page failed twice; those of even number may be tried again."""
+    failed = derive.conversation_pages(table(spark, sf_dir, "conversations")).where("page % 3 = 0").select("doc_id", "page", (F.col("page") % 2 == 0).alias("retryable"))
+    return plans.retry(failed.union(failed))[0]
+
+
+@query
+def page_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = derive.conversation_pages(table(spark, sf_dir, "conversations"))
+    kind = F.element_at(F.array(F.lit("MEMORY"), F.lit("DISK"), F.lit(None).cast("string")), (F.col("page") % 3 + 1).cast("int"))
+    length = F.char_length("text").cast("long")
+    return plans.page_metrics(pages.select("doc_id", "page", kind.alias("cache_source"), (length - 500).alias("match_ms"), length.alias("total_ms")))
+
+
 @query
 def document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -314,6 +338,18 @@ def two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "page", F.col("id").cast("long").alias("id"), left.alias("l"), (left + width).alias("r"), top.alias("t"))
 
 
+@query
+def debug_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as blocks with a box a character; those of odd number lie askew."""
+    words = word_boxes(spark, sf_dir).withColumn("n", F.char_length("text"))
+    one = lambda i: F.struct((i / F.col("n")).alias("l"), F.lit(0.25).alias("t"), ((i + 1) / F.col("n")).alias("r"), F.lit(0.75).alias("b"))
+    at = F.sequence(F.lit(0), F.col("n") - 1)
+    quad = F.when(F.col("seq") % 2 == 1, F.array("l", "t", "r", F.col("t") + 2, "r", F.col("b") + 2, "l", "b"))
+    blocks = words.select("doc_id", "page", "seq", "text", "l", "t", "r", "b", quad.alias("quad"), F.transform(at, one).alias("token_boxes"), at.alias("begins"), F.transform(at, lambda i: i + 1).alias("ends"), F.lit(320.0).alias("bitmap_w"), F.lit(90.0).alias("bitmap_h"))
+    rows = layout.debug_geometry(blocks, ["doc_id", "page"])
+    return rows.select("doc_id", "page", "seq", F.col("n").cast("long").alias("n"), "kind", "label", *(F.round(F.col("box")[c], 6).alias(c) for c in "ltrb"))
+
+
 @query
 def column_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.column_split(two_columns(spark, sf_dir), ["doc_id", "page"], "l", "r", F.lit(640.0))

@@ -31,6 +31,20 @@ def preferred(index: DataFrame) -> DataFrame:
 
 
 def victims(files: DataFrame, cap: int) -> DataFrame:
-    """Stored files (name, size, mtime) that go, oldest first, until the rest fits below ``cap``."""
-    kept = F.sum("size").over(Window.orderBy(F.desc("mtime"), F.desc("name")))
-    return files.withColumn("upto", kept).where(F.col("upto") > cap).drop("upto")
+    """Stored files (name, size, mtime in milliseconds) that go, oldest first, until the rest fits below ``cap``.
+
+    Running sums go over days, over the seconds of a day, and over the files of a
+    second, so files never come together.  Files without a time are the oldest.
+    """
+    newest = lambda of, *by: Window.partitionBy(*of).orderBy(*(F.desc(c) for c in by)).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.col("mtime"), F.lit(-1))
+    placed = files.withColumns({"__day": F.floor(at / 86_400_000), "__second": F.floor(at / 1000)})
+    seconds = placed.groupBy("__day", "__second").agg(F.sum("size").alias("held"))
+    days = seconds.groupBy("__day").agg(F.sum("held").alias("held"))
+    before = lambda of, *by: F.coalesce(F.sum("held").over(newest(of, *by)), F.lit(0))
+    days = days.select("__day", before([], "__day").alias("by_day"))
+    seconds = seconds.select("__day", "__second", before(["__day"], "__second").alias("by_second"))
+    rows = placed.join(days, "__day").join(seconds, ["__day", "__second"])
+    newer = F.coalesce(F.sum("size").over(newest(["__second"], "mtime", "name")), F.lit(0))
+    rows = rows.withColumn("__upto", F.col("by_day") + F.col("by_second") + newer + F.col("size"))
+    return rows.where(F.col("__upto") > cap).select(*files.columns)

@@ -230,3 +230,25 @@ def test_token_boxes_share_cells_and_never_invert(spark):
     assert [(r.left_step, r.right_step) for r in recognition.cell_bounds(runs, ["k"], F.lit(16)).orderBy("begin").collect()] == [(0.0, 5.0), (5.0, 8.0), (8.0, 16.0)]
     boxes = spark.createDataFrame([(1, 0, 0.0, 6.0), (1, 1, 4.0, 10.0), (1, 2, 20.0, 30.0), (1, 3, 0.0, 22.0)], "k int, i int, l double, r double")
     assert [(r.l, r.r) for r in recognition.clamp_neighbours(boxes, ["k"], "i").orderBy("i").collect()] == [(0.0, 5.0), (5.0, 10.0), (20.0, 30.0), (18.0, 22.0)]
+
+
+def test_debug_boxes_need_sound_arrays(spark):
+    kinds = "id int, seq int, text string, l double, t double, r double, b double, quad array<double>, token_boxes array<struct<l:double,t:double,r:double,b:double>>, begins array<int>, ends array<int>, bitmap_w double, bitmap_h double"
+    box, wrong = (0.0, 0.0, 0.5, 1.0), (0.5, 0.0, 0.5, 1.0)
+    rows = [
+        (1, 0, "ab", 0.0, 0.0, 10.0, 10.0, None, [box, wrong], [0, 1], [1, 9], 100.0, 100.0),
+        (2, 0, "ab", 0.0, 0.0, 10.0, 10.0, None, [box], [0, 1], [1, 2], 100.0, 100.0),
+        (3, 0, "ab", 0.0, 0.0, 10.0, 10.0, None, None, None, None, 0.0, 100.0),
+        (4, 0, None, None, None, None, None, None, None, None, None, 100.0, 100.0),
+    ]
+    got = sorted((r.id, r.n, r.label, r.box.r) for r in layout.debug_geometry(spark.createDataFrame(rows, kinds), ["id"]).collect())
+    assert got == [(1, 0, "ab", 0.1), (1, 1, "a", 0.05), (2, 0, "ab", 0.1)]
+
+
+def test_metrics_and_retries(spark):
+    times = spark.createDataFrame([(1, 0, "DISK", -5, 7), (1, 1, None, 3, None)], "doc_id int, page int, cache_source string, render_ms long, total_ms long")
+    assert [tuple(r)[2:] for r in plans.page_metrics(times).orderBy("page").collect()] == [("DISK", True, 0, 7), ("NONE", False, 3, 0)]
+    errors = spark.createDataFrame([(1, 2, True), (1, 2, True), (1, 3, False), (1, 4, None)], "doc_id int, page int, retryable boolean")
+    pages, options = plans.retry(errors, SearchOptions(current_page_only=True))
+    assert [tuple(r) for r in pages.collect()] == [(1, 2)]
+    assert (options.current_page_only, options.full_document_ocr, options.max_ocr_pages) == (False, True, 0)
