@@ -170,8 +170,6 @@ def dedup_key(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, "\\s+", ""))
 
 
-def is_whole_word(text: Column, start: Column, length: Column) -> Column:
-    """Neither neighbour of [start, start + length) (0-based) is a letter, a digit or an underscore."""
-    before = F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise("")
-    after = F.substring(text, start + length + 1, F.lit(1))
-    return ~F.rlike(before, F.lit(WORD_CHAR)) & ~F.rlike(after, F.lit(WORD_CHAR))
+def joins_words(neighbour: Column) -> Column:
+    """Whether the character beside a match is a letter, a digit or an underscore; nothing is none."""
+    return F.rlike(neighbour, F.lit(WORD_CHAR))

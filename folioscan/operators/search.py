@@ -20,27 +20,35 @@ def by_source(keyword: str, options: QueryOptions) -> Column:
     return F.when(F.col("source") == OCR, F.lit(read)).otherwise(F.lit(layer))
 
 
-def occurrences(pages: DataFrame, body: str, needle: str, keys: list[str]) -> DataFrame:
-    """keys, ordinal, m_start: each match of the column ``needle`` in the column ``body`` (0-based).
+def occurrences(pages: DataFrame, body: Column, needle: Column, keys: list[str], whole_word: bool = False) -> DataFrame:
+    """keys, ordinal, m_start, m_len: each match of ``needle`` in ``body`` (0-based); ordinals count after the whole-word rule.
 
-    Pages without a match end at the filter; the parts between matches are exploded
-    and added up, so a page never holds more rows than it has matches.
+    A body is evaluated and split once, where it is read.  Of its parts only lengths and
+    outer characters go on, so what is shuffled has a few bytes a match and no text.
     """
-    hit = pages.where((F.char_length(needle) > 0) & F.contains(F.col(body), F.col(needle)))
-    pattern = F.concat(F.lit("\\Q"), F.replace(F.col(needle), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    parts = hit.select(*keys, F.char_length(needle).alias("m_len"), F.posexplode(F.split(F.col(body), pattern, -1)).alias("k", "part"), (F.size(F.split(F.col(body), pattern, -1)) - 1).alias("n"))
-    upto = F.sum(F.char_length("part")).over(Window.partitionBy(*keys).orderBy("k"))
-    return parts.withColumn("m_start", (upto + F.col("k") * F.col("m_len")).cast("long")).where("k < n").select(*keys, F.col("k").cast("int").alias("ordinal"), "m_start", F.col("m_len").cast("long").alias("m_len"))
+    pattern = F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    outer = F.transform(F.split(body, pattern, -1), lambda p: F.struct(F.char_length(p).alias("size"), F.substring(p, 1, 1).alias("first"), F.substring(p, -1, 1).alias("last")))
+    # The generator keeps the split from being repeated in the filter behind it.
+    split = pages.where(F.char_length(needle) > 0).select(*keys, needle.alias("needle"), F.explode(F.array(outer)).alias("parts")).where(F.size("parts") > 1)
+    parts = split.select(*keys, "needle", F.posexplode("parts").alias("k", "part"))
+    run = Window.partitionBy(*keys).orderBy("k")
+    n = F.char_length("needle")
+    placed = parts.withColumns({"upto": F.sum("part.size").over(run), "after": F.lead("part.first").over(run), "later": F.lead("k", 2).over(run).isNotNull()})
+    placed = placed.where(F.col("after").isNotNull()).withColumn("m_start", (F.col("upto") + F.col("k") * n).cast("long"))
+    if not whole_word:
+        return placed.select(*keys, F.col("k").cast("int").alias("ordinal"), "m_start", n.cast("long").alias("m_len"))
+    # Between matches that touch, the neighbour is the next match's own character.
+    left = F.when(F.col("part.size") > 0, F.col("part.last")).when(F.col("k") > 0, F.substring("needle", -1, 1)).otherwise("")
+    right = F.when(F.col("after") != "", F.col("after")).when(F.col("later"), F.substring("needle", 1, 1)).otherwise("")
+    alone = placed.where(~text.joins_words(left) & ~text.joins_words(right))
+    ordinal = F.row_number().over(Window.partitionBy(*keys).orderBy("m_start")) - 1
+    return alone.select(*keys, ordinal.alias("ordinal"), "m_start", n.cast("long").alias("m_len"))
 
 
 def matches(index: DataFrame, keyword: str, options: QueryOptions = QueryOptions()) -> DataFrame:
     """(page, ordinal, m_start, m_len) in normalised text; ordinals count after the whole-word rule."""
-    pages = normalized(index, options).withColumn("needle", by_source(keyword, options))
-    found = occurrences(pages, "norm", "needle", PAGE)
-    if options.whole_word:
-        found = found.join(pages.select(*PAGE, "norm"), PAGE).where(text.is_whole_word(F.col("norm"), F.col("m_start"), F.col("m_len")))
-        found = found.withColumn("ordinal", F.row_number().over(Window.partitionBy(*PAGE).orderBy("m_start")) - 1).drop("norm")
-    return found
+    body = text.normalize_page(F.col("text"), F.col("source"), options)
+    return occurrences(index, body, by_source(keyword, options), PAGE, options.whole_word)
 
 
 def token_forms(toks: DataFrame, options: QueryOptions = QueryOptions()) -> DataFrame:
@@ -98,7 +106,7 @@ def native_matches(pages: DataFrame, keyword: str) -> DataFrame:
     """(doc_id, page, ordinal, m_start): breaks dropped, ASCII case folded, no other normalisation."""
     needle = check_keyword(keyword).translate(str.maketrans(text.UPPER, text.LOWER, "\0\r\n"))
     body = text.ascii_lower(F.translate("text", "\n\r\0", ""))
-    return occurrences(pages.withColumns({"flat": body, "needle": F.lit(needle)}), "flat", "needle", ["doc_id", "page"]).drop("m_len")
+    return occurrences(pages, body, F.lit(needle), ["doc_id", "page"]).drop("m_len")
 
 
 def multi_keyword(pages: DataFrame, keywords: DataFrame) -> DataFrame:

@@ -252,3 +252,12 @@ def test_metrics_and_retries(spark):
     pages, options = plans.retry(errors, SearchOptions(current_page_only=True))
     assert [tuple(r) for r in pages.collect()] == [(1, 2)]
     assert (options.current_page_only, options.full_document_ocr, options.max_ocr_pages) == (False, True, 0)
+
+
+def test_whole_words_between_matches_that_touch(spark):
+    rows = [(1, 0, TEXT_LAYER, "on onon on_ (on)on éon"), (2, 0, TEXT_LAYER, "onon"), (3, 0, TEXT_LAYER, "on"), (4, 0, TEXT_LAYER, None)]
+    pages = spark.createDataFrame(rows, "doc_id int, page int, source string, text string")
+    plain = search.matches(pages, "on").orderBy("doc_id", "m_start").collect()
+    assert [(r.doc_id, r.ordinal, r.m_start) for r in plain] == [(1, 0, 0), (1, 1, 3), (1, 2, 5), (1, 3, 8), (1, 4, 13), (1, 5, 16), (1, 6, 20), (2, 0, 0), (2, 1, 2), (3, 0, 0)]
+    whole = search.matches(pages, "on", off(whole_word=True)).orderBy("doc_id", "m_start").collect()
+    assert [(r.doc_id, r.ordinal, r.m_start) for r in whole] == [(1, 0, 0), (1, 1, 13), (1, 2, 16), (3, 0, 0)]
