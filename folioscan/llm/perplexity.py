@@ -9,6 +9,7 @@ hashes and are found by binary search.
 A document is rejected if the base rules fail it, or if its perplexity lies outside
 its language's band.  The bands come from the quartiles of all distinct texts of the
 language that pass the base rules, taken exactly from a histogram of log-perplexity.
+``kept`` has a band of a least width; ``typical`` goes by the language's own spread alone.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ ORDER, BITS = 4, 6
 CLASSES = 1 << BITS
 #: Half widths of a band: so many interquartile ranges beyond the quartiles, this much log-perplexity at least.
 SPREAD, LEAST_WIDTH = 3.0, 0.8
+#: The histogram's step, which is all that is added to the spread of a ``typical`` band.
+STEP = 0.001
 HELD_LANGUAGES = 4
 
 _CLASS = np.zeros(256, np.uint8)  # white space and control characters stay 0
@@ -300,7 +303,7 @@ def measure(docs: DataFrame, models: dict[str, KneserNey], keep: Sequence[str])
 
 
 def bands(measured: DataFrame, spread: float = SPREAD, least: float = LEAST_WIDTH) -> DataFrame:
-    """(band_lang, low, high): log-perplexity bounds of each language.
+    """(band_lang, low, high, typical_low, typical_high): log-perplexity bounds of each language, the latter without a least width.
 
     A histogram in steps of 0.001 has a bounded number of rows a language, so the
     quartiles are exact at that step and need no sort of the documents.  Copies of a
@@ -311,12 +314,14 @@ def bands(measured: DataFrame, spread: float = SPREAD, least: float = LEAST_WIDT
     run = Window.partitionBy("lang").orderBy("step")
     steps = steps.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
     q = steps.groupBy("lang").agg(*(F.min(F.when(F.col("upto") >= F.col("all") * p, F.col("step"))).alias(f"q{int(p * 100)}") for p in (0.25, 0.75)))
-    wide = F.greatest(spread * (F.col("q75") - F.col("q25")), F.lit(least))
-    return q.select(F.col("lang").alias("band_lang"), (F.col("q25") - wide).alias("low"), (F.col("q75") + wide).alias("high"))
+    own = spread * (F.col("q75") - F.col("q25"))
+    wide, own = F.greatest(own, F.lit(least)), own + STEP
+    sides = [(F.col("q25") - wide).alias("low"), (F.col("q75") + wide).alias("high"), (F.col("q25") - own).alias("typical_low"), (F.col("q75") + own).alias("typical_high")]
+    return q.select(F.col("lang").alias("band_lang"), *sides)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_ppl, low, high.
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_ppl, low, high, typical, typical_low, typical_high.
 
     Null texts have no words and fail the base rules, as do all texts of fewer than
     ``min_words`` words.  Documents without a language form a language of their own;
@@ -328,5 +333,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     measured = materialise(measure(rows, models, ["doc_id"]).withColumn("base_failed", failed), "perplexity")
     joined = measured.join(bands(measured), F.col("lang") == F.col("band_lang"), "left")
-    verdict = ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
-    return joined.select("doc_id", *BASE, "base_failed", verdict.alias("kept"), "log_ppl", "low", "high")
+    kept, typical = (~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col(a), F.col(b)), F.lit(False)) for a, b in (("low", "high"), ("typical_low", "typical_high")))
+    return joined.select("doc_id", *BASE, "base_failed", kept.alias("kept"), "log_ppl", "low", "high", typical.alias("typical"), "typical_low", "typical_high")

@@ -139,7 +139,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = perplexity.judge(load(spark, sf_dir, "documents"))
-    return judged.select("doc_id", *perplexity.BASE, "base_failed", "kept")
+    return judged.select("doc_id", *perplexity.BASE, "base_failed", "kept", "typical")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -549,6 +549,23 @@ def test_op10_perplexities_and_bands_against_brute_force(spark):
     assert sure > 0.9 * len(rows)
 
 
+def test_op10_typical_goes_by_the_spread_of_a_language(spark):
+    home = SMALL.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{home}/{t}.parquet") for t in ("documents", "labels"))
+    rows = perplexity.judge(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").join(labels.select("doc_id", "quality"), "doc_id", "left").collect()
+    query = {r.doc_id: r.typical for r in queries.op10_quality_rules(spark, home).select("doc_id", "typical").collect()}
+    for lang in {r.lang for r in rows}:
+        mine = [r for r in rows if r.lang == lang and not r.base_failed]
+        steps = sorted(round(x, 3) for x in {r.text: r.log_ppl for r in mine}.values())
+        low, high = (steps[math.ceil(len(steps) * q) - 1] for q in (0.25, 0.75))
+        for r in mine:
+            assert (r.typical_low, r.typical_high) == pytest.approx((low - 3 * (high - low), high + 3 * (high - low)), abs=0.015)
+            assert r.typical == query[r.doc_id] == (r.typical_low <= r.log_ppl <= r.typical_high)
+    assert not any(r.typical for r in rows if r.base_failed) and all(r.kept for r in rows if r.typical)
+    share = lambda q: (x := [r.typical for r in rows if r.quality == q and not r.base_failed]) and sum(x) / len(x)
+    assert share(0) < 0.5 and share(1) > 0.97
+
+
 @pytest.mark.parametrize(("name", "cut"), [("op5_quality", 0.7), ("op7_toxicity", 0.3)])
 def test_op5_and_op7_queries_cover_all_rows(spark, small, name, cut):
     got = answer(spark, name)
