@@ -34,7 +34,8 @@ Print = tuple[np.ndarray, np.ndarray]
 def prints(texts: Sequence[str], k: int = K, s: int = S, anchors: int = ANCHORS) -> list[Print]:
     """Hashes (ascending) and positions of each text's anchors.
 
-    A text shorter than k characters is a single anchor; an empty one has none.
+    A text shorter than k characters is a single anchor; an empty one has none.  Of
+    a longer text without a syncmer all k-mers are anchors.
     """
     size = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(size)
@@ -62,6 +63,11 @@ def prints(texts: Sequence[str], k: int = K, s: int = S, anchors: int = ANCHORS)
             whose = np.searchsorted(ends, at, side="right")
             inside = at + k <= ends[whose]
             at, whose = at[inside], whose[inside]
+            # Texts of under 2k - s - 1 characters may have no syncmer: all their k-mers are anchors.
+            bare = np.flatnonzero((size >= k) & (np.bincount(whose, minlength=len(size)) == 0))
+            many = size[bare] - k + 1
+            every = np.repeat(begins[bare] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            at, whose = np.concatenate([at, every]), np.concatenate([whose, np.repeat(bare, many)])
         hashes = span(at, k) if len(at) else np.zeros(0, U64)
         if not len(at):
             whose = np.zeros(0, np.int64)

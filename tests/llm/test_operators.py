@@ -126,6 +126,22 @@ def test_closed_syncmers_are_context_free_and_match_brute_force():
     assert h(text[:k]) == h(text[:k])
 
 
+def test_texts_without_a_syncmer_have_anchors():
+    texts = [prose(1000 + 40 * n + i, 20)[:n] for n in range(32, 56) for i in range(40)]
+    got = syncmers.prints(texts)
+    assert all(len(h) for h, _ in got)
+    # Those without a syncmer have all their k-mers; each alone gives the same as in a batch.
+    every = [(p, t) for p, t in zip(got, texts, strict=True) if len(t) > 32 and len(p[0]) == len(t) - 31]
+    assert len(every) > 100 and all(sorted(p[1].tolist()) == list(range(len(t) - 31)) for p, t in every)
+    for t, (h, at) in zip(texts[::7], got[::7], strict=True):
+        (alone, where), = syncmers.prints([t])
+        assert alone.tolist() == h.tolist() and where.tolist() == at.tolist()
+    # Unrelated texts share nothing; an edited quarter leaves less than all.
+    assert all(syncmers.likeness(p, q) == 0 for p, q in zip(got, got[1:], strict=False))
+    changed = syncmers.prints([t[: len(t) - len(t) // 4] + "#" * (len(t) // 4) for _, t in every])
+    assert all(syncmers.likeness(p, q) < 1 for (p, _), q in zip(every, changed, strict=True))
+
+
 # 3 ---------------------------------------------------------------------------
 def brute_lines(rows):
     key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\f\r"))
