@@ -2,9 +2,10 @@
 
 A k-mer of characters is an anchor if the smallest of its inner s-mers (by hash)
 stands at either of its edges.  Whether it does depends on its own characters only,
-so an edit moves no anchor that it does not touch.  A fingerprint keeps the
-``anchors`` smallest anchor hashes, each with the position where it first occurs;
-two fingerprints are alike by the anchors they share in the same order.
+so an edit moves no anchor that it does not touch.  A fingerprint keeps all anchor
+hashes, each with the position where it first occurs, so it grows with the text;
+two fingerprints are alike by the anchors they share in the same order, by all of
+them or estimated from the ``ANCHORS`` smallest.
 
 Neighbours by id come from one shuffle into ranges of ids, streamed in order: each row
 meets the next one as it passes, and the first row of a range is sent along to the end
@@ -31,8 +32,8 @@ K, S, ANCHORS = 32, 8, 64
 Print = tuple[np.ndarray, np.ndarray]
 
 
-def prints(texts: Sequence[str], k: int = K, s: int = S, anchors: int = ANCHORS) -> list[Print]:
-    """Hashes (ascending) and positions of each text's anchors.
+def prints(texts: Sequence[str], k: int = K, s: int = S, anchors: int | None = None) -> list[Print]:
+    """Hashes (ascending) and positions of each text's anchors, or of its ``anchors`` smallest.
 
     A text shorter than k characters is a single anchor; an empty one has none.  Of
     a longer text without a syncmer all k-mers are anchors.
@@ -80,7 +81,8 @@ def prints(texts: Sequence[str], k: int = K, s: int = S, anchors: int = ANCHORS)
     first[1:] = (hashes[1:] != hashes[:-1]) | (whose[1:] != whose[:-1])
     hashes, whose, at = hashes[first], whose[first], at[first]
     cut = np.searchsorted(whose, np.arange(len(texts) + 1))
-    return [(hashes[a : min(a + anchors, b)], (at[a : min(a + anchors, b)] - o).astype(np.uint32)) for a, b, o in zip(cut[:-1], cut[1:], begins, strict=True)]
+    last = cut[1:] if anchors is None else np.minimum(cut[:-1] + anchors, cut[1:])
+    return [(hashes[a:b], (at[a:b] - o).astype(np.uint32)) for a, b, o in zip(cut[:-1], last, begins, strict=True)]
 
 
 def to_text(fingerprint: Print) -> str:
@@ -92,23 +94,27 @@ def from_text(text: str) -> Print:
     return pairs[:, 0], pairs[:, 1]
 
 
-def likeness(a: Print, b: Print, anchors: int = ANCHORS) -> float:
-    """Twice the shared anchors in common order over all, estimated from the smallest of both; 0 to 1.
+def likeness(a: Print, b: Print, anchors: int | None = ANCHORS) -> float:
+    """Twice the shared anchors in common order over all, of all or estimated from the ``anchors`` smallest of both; 0 to 1.
 
     Two empty fingerprints are alike, an empty and another are not.
     """
-    if len(a[0]) == len(b[0]) and np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1]):
+    (here, at), (there, to) = ((h[:anchors], p[:anchors]) for h, p in (a, b))
+    if np.array_equal(here, there) and np.array_equal(at, to):
         return 1.0
-    here, there = dict(zip(a[0].tolist(), a[1].tolist(), strict=True)), dict(zip(b[0].tolist(), b[1].tolist(), strict=True))
-    if here.keys().isdisjoint(there):
-        return 0.0
-    both = sorted(here.keys() | there.keys())[:anchors]
-    shared = sorted((here[h], there[h]) for h in both if h in here and h in there)
+    both, i, j = np.intersect1d(here, there, assume_unique=True, return_indices=True)
+    n = len(here) + len(there) - len(both)
+    if anchors is not None and n > anchors:
+        n = anchors
+        within = both <= np.union1d(here, there)[n - 1]
+        i, j = i[within], j[within]
     run: list[int] = []
-    for _, place in shared:  # longest run of matches in ascending order on both sides
-        k = bisect_left(run, place)
-        run[k : k + 1] = [place]
-    return 2 * len(run) / (len(both) + len(run))
+    for place in to[j][np.argsort(at[i])].tolist():  # longest run of matches in ascending order on both sides
+        if not run or place > run[-1]:
+            run.append(place)
+        else:
+            run[bisect_left(run, place)] = place
+    return 2 * len(run) / (n + len(run)) if run else 0.0
 
 
 def edit(text: str, following: str) -> str:
@@ -117,7 +123,7 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - quarter] + following[:quarter]
 
 
-_RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, whole_edited double, whole_next double"
 _NAMES = [x.split()[0] for x in _RESULT.split(", ")]
 
 
@@ -138,6 +144,8 @@ def _rows(ids: list, texts: list[str], nexts: list[str]) -> dict[str, list]:
         "edited_fingerprint": [to_text(p) for p in changed],
         "near_edited": [likeness(p, q) for p, q in zip(own, changed, strict=True)],
         "near_next": [likeness(p, q) for p, q in zip(own, follow, strict=True)],
+        "whole_edited": [likeness(p, q, None) for p, q in zip(own, changed, strict=True)],
+        "whole_next": [likeness(p, q, None) for p, q in zip(own, follow, strict=True)],
     }
 
 
@@ -152,7 +160,7 @@ def _range_of(doc_id: Column, bounds: Sequence[int]) -> Column:
 
 
 def fingerprint_neighbours(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, whole_edited, whole_next.
 
     The next document follows in ascending id (nulls first), rows of one id in the
     order of their texts; after the last comes the first, so a single document is
@@ -175,7 +183,7 @@ def fingerprint_neighbours(df: DataFrame, id_col: str = "doc_id", text: str = "t
     guests = firsts.join(before, "part").select("doc_id", "text", F.col("host").alias("part"), F.lit(True).alias("guest"))
     rows = placed.withColumn("guest", F.lit(False)).unionByName(guests)
     stream = rows.repartitionById(n, "part").sortWithinPartitions("part", "guest", "doc_id", "text").select("doc_id", "text", "guest")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in _NAMES[1:4]), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in _NAMES[1:4]), *((c, pa.float64()) for c in _NAMES[4:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, guest = [], [], []

@@ -142,6 +142,22 @@ def test_texts_without_a_syncmer_have_anchors():
     assert all(syncmers.likeness(p, q) < 1 for (p, _), q in zip(every, changed, strict=True))
 
 
+def test_fingerprints_find_a_passage_in_long_texts(spark):
+    passage = prose(77, 50)
+    long = [f"{prose(70 + i, 10_000)} {passage} {prose(80 + i, 10_000)}" for i in range(2)]
+    one, two = syncmers.prints(long)
+    alone, = syncmers.prints([passage])
+    assert len(alone[0]) >= 10 and set(alone[0].tolist()) <= set(one[0].tolist()) & set(two[0].tolist())
+    assert len(one[0]) > 0.05 * len(long[0])
+    shared = len(set(one[0].tolist()) & set(two[0].tolist()))
+    got = {r.doc_id: r for r in syncmers.fingerprint_neighbours(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")).collect()}
+    assert got[0].fingerprint == syncmers.to_text(one) and 0 < got[0].whole_next <= 2 * shared / (len(one[0]) + len(two[0]))
+    read = lambda s: list(zip(*(x.tolist() for x in syncmers.from_text(s)), strict=True))
+    for r in (got[0], got[1]):
+        own, edited = read(r.fingerprint), read(r.edited_fingerprint)
+        assert r.whole_edited == pytest.approx(brute_likeness(own, edited, anchors=None)) and r.near_edited == pytest.approx(brute_likeness(own, edited))
+
+
 # 3 ---------------------------------------------------------------------------
 def brute_lines(rows):
     key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\f\r"))
