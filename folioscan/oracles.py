@@ -12,6 +12,8 @@ dp AS (SELECT doc_id, p::INT AS page, array_to_string(ls[p * {lines} + 1 : p * {
 
 
 CONV_PAGES = "cp AS (SELECT conv_id AS doc_id, turn::INT AS page, coalesce(text, '') AS text FROM conversations)"
+CONV_CHARS = f"""{CONV_PAGES}, cl AS (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS at_line FROM cp),
+cc AS (SELECT doc_id, page, at_line, length(line) AS len, unnest(string_split(line, '')) AS c, generate_subscripts(string_split(line, ''), 1) - 1 AS i FROM cl WHERE line <> '')"""
 
 
 def _index(pages: str) -> str:
@@ -227,6 +229,13 @@ SELECT doc_id, page, 2 * floor(8.5 - d)::BIGINT AS l, 2 * floor(24 * i + 8.5 - d
     q["token_ink_boxes"] = f"""WITH {CONV_PAGES}, cl AS (SELECT doc_id, page, string_split(text, chr(10))[1] AS line FROM cp), cc AS (SELECT doc_id, page, length(line) AS len, unnest(string_split(line, '')) AS c, generate_subscripts(string_split(line, ''), 1) - 1 AS i FROM cl WHERE line <> ''),
 ck AS (SELECT *, unicode(c) % 5 <> 0 AS ink, bool_or(unicode(c) % 5 <> 0) OVER (PARTITION BY doc_id, page) AS inked FROM cc WHERE trim(c) <> '')
 SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY i) - 1 AS n, round((6 * i + CASE WHEN ink THEN 1 ELSE 0 END) / (6.0::DOUBLE * len), 6) AS l, CASE WHEN inked THEN round(1 / 12.0::DOUBLE, 6) ELSE 0.0::DOUBLE END AS t,
+ round((6 * i + CASE WHEN ink THEN 5 ELSE 6 END) / (6.0::DOUBLE * len), 6) AS r, CASE WHEN inked THEN round(11 / 12.0::DOUBLE, 6) ELSE 1.0::DOUBLE END AS b FROM ck"""
+    q["ctc_decode_lines"] = f"""WITH {CONV_CHARS}
+SELECT doc_id, page, at_line, string_agg(unicode(c)::VARCHAR, ',' ORDER BY i) AS codes, round(avg(0.5 + (i % 32) / 64), 6) AS conf FROM cc WHERE c <> '' GROUP BY doc_id, page, at_line"""
+    q["ctc_cells_lines"] = f"""WITH {CONV_CHARS}, cr AS (SELECT doc_id, page, at_line, len * 8 AS steps, i * 8 AS b, i * 8 + unicode(c) % 3 AS z FROM cc)
+SELECT doc_id, page, at_line, b::BIGINT AS begin, coalesce((lag(z) OVER w + b + 1) / 2, 0)::DOUBLE AS left_step, coalesce((z + lead(b) OVER w + 1) / 2, steps)::DOUBLE AS right_step FROM cr WINDOW w AS (PARTITION BY doc_id, page, at_line ORDER BY b)"""
+    q["token_ink_boxes_lines"] = f"""WITH {CONV_CHARS}, ck AS (SELECT *, unicode(c) % 5 <> 0 AS ink, bool_or(unicode(c) % 5 <> 0) OVER (PARTITION BY doc_id, page, at_line) AS inked FROM cc WHERE trim(c) <> '')
+SELECT doc_id, page, at_line, row_number() OVER (PARTITION BY doc_id, page, at_line ORDER BY i) - 1 AS n, round((6 * i + CASE WHEN ink THEN 1 ELSE 0 END) / (6.0::DOUBLE * len), 6) AS l, CASE WHEN inked THEN round(1 / 12.0::DOUBLE, 6) ELSE 0.0::DOUBLE END AS t,
  round((6 * i + CASE WHEN ink THEN 5 ELSE 6 END) / (6.0::DOUBLE * len), 6) AS r, CASE WHEN inked THEN round(11 / 12.0::DOUBLE, 6) ELSE 1.0::DOUBLE END AS b FROM ck"""
     q["cache_victims"] = f"""WITH {CONV_PAGES}, cf AS (SELECT doc_id || '-' || page AS name, length(text)::BIGINT AS size, doc_id * 3600000 + page * 250 AS mtime FROM cp)
 SELECT name, size, mtime FROM cf QUALIFY sum(size) OVER (ORDER BY mtime DESC, name DESC) > 40000"""

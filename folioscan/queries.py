@@ -479,24 +479,51 @@ def weighted_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- recognition, protocols, streaming ---------------------------------------
+def _first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.conversation_pages(table(spark, sf_dir, "conversations")).select("doc_id", "page", F.element_at(F.split("text", "\n", -1), 1).alias("line"))
+
+
+def _all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of a page, with its number in the page."""
+    return derive.conversation_pages(table(spark, sf_dir, "conversations")).select("doc_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("at_line", "line"))
+
+
+def _decoded(lines: DataFrame, by: list[str]) -> DataFrame:
+    chars = lines.select(*by, F.posexplode(F.split("line", "")).alias("i", "c")).where("c <> ''")
+    steps = chars.select(*by, "i", F.explode(F.sequence(F.lit(0), F.ascii("c") % 3 + 1)).alias("k"), (F.ascii("c") % 3 + 1).alias("n"), F.ascii("c").alias("code"))
+    steps = steps.select(*by, (F.col("i") * 8 + F.col("k")).alias("step"), F.when(F.col("k") < F.col("n"), F.col("code")).otherwise(0).alias("idx"), (0.5 + (F.col("i") % 32) / 64).alias("prob"))
+    done = recognition.ctc_decode(steps, by)
+    return done.select(*by, F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",").alias("codes"), F.round("conf", 6).alias("conf"))
+
+
+def _cells(lines: DataFrame, by: list[str]) -> DataFrame:
+    chars = lines.select(*by, F.posexplode(F.split("line", "")).alias("i", "c"), F.char_length("line").alias("n")).where("c <> ''")
+    runs = chars.withColumns({"begin": F.col("i") * 8, "end": F.col("i") * 8 + F.ascii("c") % 3})
+    return recognition.cell_bounds(runs, by, F.col("n") * 8).select(*by, F.col("begin").cast("long").alias("begin"), "left_step", "right_step")
+
+
 @query
 def ctc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each character of a page's first line for one to three steps, then a blank: decoded to itself."""
-    lines = derive.conversation_pages(table(spark, sf_dir, "conversations")).select("doc_id", "page", F.element_at(F.split("text", "\n", -1), 1).alias("line"))
-    chars = lines.select("doc_id", "page", F.posexplode(F.split("line", "")).alias("i", "c")).where("c <> ''")
-    steps = chars.select("doc_id", "page", "i", F.explode(F.sequence(F.lit(0), F.ascii("c") % 3 + 1)).alias("k"), (F.ascii("c") % 3 + 1).alias("n"), F.ascii("c").alias("code"))
-    steps = steps.select("doc_id", "page", (F.col("i") * 8 + F.col("k")).alias("step"), F.when(F.col("k") < F.col("n"), F.col("code")).otherwise(0).alias("idx"), (0.5 + (F.col("i") % 32) / 64).alias("prob"))
-    done = recognition.ctc_decode(steps, ["doc_id", "page"])
-    return done.select("doc_id", "page", F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",").alias("codes"), F.round("conf", 6).alias("conf"))
+    return _decoded(_first_lines(spark, sf_dir), ["doc_id", "page"])
+
+
+@query
+def ctc_decode_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ctc_decode`` of every line."""
+    return _decoded(_all_lines(spark, sf_dir), ["doc_id", "page", "at_line"])
 
 
 @query
 def ctc_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs of ``ctc_decode`` and the steps that belong to each."""
-    lines = derive.conversation_pages(table(spark, sf_dir, "conversations")).select("doc_id", "page", F.element_at(F.split("text", "\n", -1), 1).alias("line"))
-    chars = lines.select("doc_id", "page", F.posexplode(F.split("line", "")).alias("i", "c"), F.char_length("line").alias("n")).where("c <> ''")
-    runs = chars.withColumns({"begin": F.col("i") * 8, "end": F.col("i") * 8 + F.ascii("c") % 3})
-    return recognition.cell_bounds(runs, ["doc_id", "page"], F.col("n") * 8).select("doc_id", "page", F.col("begin").cast("long").alias("begin"), "left_step", "right_step")
+    return _cells(_first_lines(spark, sf_dir), ["doc_id", "page"])
+
+
+@query
+def ctc_cells_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ctc_cells`` of every line."""
+    return _cells(_all_lines(spark, sf_dir), ["doc_id", "page", "at_line"])
 
 
 @query
@@ -519,10 +546,7 @@ def detect_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imaging.detect(maps, ["doc_id", "page"]).select("doc_id", "page", *sides)
 
 
-@query
-def token_ink_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines drawn as bars; every fifth character code has no ink, so its box comes from its steps."""
-
+def _ink_boxes(lines: DataFrame, by: list[str]) -> DataFrame:
     @F.pandas_udf("pixels binary, begins array<int>, ends array<int>")
     def draw(lines: pd.Series) -> pd.DataFrame:
         rows = []
@@ -535,12 +559,22 @@ def token_ink_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows.append((image.tobytes(), [8 * i + 2 for i in seen], [8 * i + 5 for i in seen]))
         return pd.DataFrame(rows, columns=["pixels", "begins", "ends"])
 
-    pages = derive.conversation_pages(table(spark, sf_dir, "conversations"))
-    first = pages.select("doc_id", "page", F.element_at(F.split("text", "\n", -1), 1).alias("line")).where("line <> ''")
     n = F.char_length("line")
-    lines = first.select("doc_id", "page", draw("line").alias("d"), (n * 6).alias("width"), F.lit(12).alias("height"), (n * 8).alias("steps"), F.lit(False).alias("turned"))
-    boxes = imaging.align(lines.select("doc_id", "page", "d.*", "width", "height", "steps", "turned"), ["doc_id", "page"])
-    return boxes.select("doc_id", "page", F.col("n").cast("long").alias("n"), *(F.round(c, 6).alias(c) for c in "ltrb"))
+    drawn = lines.where("line <> ''").select(*by, draw("line").alias("d"), (n * 6).alias("width"), F.lit(12).alias("height"), (n * 8).alias("steps"), F.lit(False).alias("turned"))
+    boxes = imaging.align(drawn.select(*by, "d.*", "width", "height", "steps", "turned"), by)
+    return boxes.select(*by, F.col("n").cast("long").alias("n"), *(F.round(c, 6).alias(c) for c in "ltrb"))
+
+
+@query
+def token_ink_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines drawn as bars; every fifth character code has no ink, so its box comes from its steps."""
+    return _ink_boxes(_first_lines(spark, sf_dir), ["doc_id", "page"])
+
+
+@query
+def token_ink_boxes_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``token_ink_boxes`` of every line."""
+    return _ink_boxes(_all_lines(spark, sf_dir), ["doc_id", "page", "at_line"])
 
 
 @query

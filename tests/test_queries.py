@@ -42,3 +42,12 @@ def test_every_query_runs_or_has_sql(spark):
     extra = set(queries.queries()) - set(queries.oracle_sql())
     assert extra == {"normalize_page_nfkc"}
     assert queries.queries()["normalize_page_nfkc"](spark, SF).where("length(norm) <> map_length").count() == 0
+
+
+def test_recognition_reads_every_line(spark):
+    pages = queries.table(spark, SF, "conversations").selectExpr("conv_id", "turn", "coalesce(text, '') text").collect()
+    lines = {(r.conv_id, r.turn, i): line for r in pages for i, line in enumerate(r.text.split("\n")) if line}
+    read = lambda name: queries.queries()[name](spark, SF).collect()
+    assert {(r.doc_id, r.page, r.at_line): r.codes for r in read("ctc_decode_lines")} == {k: ",".join(str(ord(c)) for c in line) for k, line in lines.items()}
+    assert len(read("ctc_cells_lines")) == sum(map(len, lines.values()))
+    assert len(read("token_ink_boxes_lines")) == sum(not c.isspace() for line in lines.values() for c in line)
