@@ -38,6 +38,8 @@ WINDOW = 8
 REMEMBERED = 500_000
 STEMS = range(4, 9)
 MOST_TERMS = 400
+#: Marks a position whose last character was read as it stands, not skipped or replaced; no token has it.
+WHOLE = "="
 
 
 def allowed_edits(term: str) -> int:
@@ -94,7 +96,7 @@ class Automaton:
             self.ids[state] = len(self.states)
             self.states.append(state)
             self.moves.append({})
-            found = sorted((e, i) for n, e, o in state if not o for i in self.ends[n] if e <= self.terms[i].edits)
+            found = sorted((e, i) for n, e, o in state if not o or o == WHOLE for i in self.ends[n] if e <= self.terms[i].edits and self.terms[i].stem == (o == WHOLE))
             stems = [(i, e) for e, i in found if self.terms[i].stem]
             self.stem_hits.append(stems[0] if stems else None)
             self.word_hits.append((found[0][1], found[0][0]) if found else None)
@@ -105,11 +107,11 @@ class Automaton:
         for node, edits, owed in self.states[state]:
             if owed:  # the second half of a transposition
                 if char == owed:
-                    after.add((node, edits, ""))
+                    after |= {(node, edits, ""), (node, edits, WHOLE)}
                 continue
             kids = self.children[node]
             if char in kids:
-                after.add((kids[char], edits, ""))
+                after |= {(kids[char], edits, ""), (kids[char], edits, WHOLE)} if self.ends[kids[char]] else {(kids[char], edits, "")}
             if edits < self.reach[node]:
                 after.add((node, edits + 1, ""))
                 for first, child in kids.items():
@@ -120,7 +122,10 @@ class Automaton:
         return to
 
     def match(self, token: str) -> tuple[int, int] | None:
-        """(term, edits) of the closest term that the token is, or whose stem it begins with."""
+        """(term, edits) of the closest term that the token is, or whose stem is close to some beginning of it.
+
+        Edits lie inside a stem: its last character is not one of them, or it would be a shorter stem.
+        """
         state, stem = self.start, None
         for char in token:
             to = self.moves[state].get(char)
@@ -238,12 +243,18 @@ def _counted(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
 
 
 def choose_terms(counts: dict[str, tuple[int, int]], least: int = 6, precision: float = 0.9) -> list[Term]:
-    """Words and stems that mark toxic documents; the longest stem that covers the same documents, and no term within another."""
+    """Words and stems that mark toxic documents; the longest stem that covers the same documents, and no term within another.
+
+    Behind them stand the words that a chosen stem covers, to be found by their misspellings.
+    """
     good = {f: t for f, (t, o) in counts.items() if t >= least and t / (t + o + 0.5) >= precision}
     chosen: list[Term] = []
+    covered: list[Term] = []
     for form, toxic in sorted(good.items(), key=lambda x: (-x[1], -len(x[0]), x[0])):
         text, stem = form.removesuffix("~"), form.endswith("~")
         if any(text.startswith(c.text) if c.stem else text == c.text for c in chosen):
+            if not stem and allowed_edits(text):
+                covered.append(Term(text, False, allowed_edits(text)))
             continue
         if stem and any(good.get(w, 0) >= 0.8 * toxic for w in good if not w.endswith("~") and w.startswith(text)):
             continue  # it is one word's beginning
@@ -251,8 +262,8 @@ def choose_terms(counts: dict[str, tuple[int, int]], least: int = 6, precision:
             continue  # a longer stem says nearly as much, and hits less else
         if any(c.text.startswith(text) for c in chosen) and stem and toxic < 1.3 * max(good.get(c.text + "~" * c.stem, 0) for c in chosen if c.text.startswith(text)):
             continue
-        chosen.append(Term(text, stem, 0 if stem else allowed_edits(text)))
-    return chosen[:MOST_TERMS]
+        chosen.append(Term(text, stem, allowed_edits(text)))
+    return (chosen + covered)[:MOST_TERMS]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, text: str = "text") -> ToxicityModel:
@@ -282,6 +293,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     for near, mark in zip(got["fuzzy"].to_pylist(), got["label"].to_pylist(), strict=True):
         (right if mark > 0 else wrong).update(near)
     strict = [dataclasses.replace(t, edits=0) if wrong[i] > 0.1 * right[i] + 0.002 * got.num_rows / 20 else t for i, t in enumerate(terms)]
+    # A covered word without edits says nothing that its stem does not.
+    stems = tuple(t.text for t in strict if t.stem)
+    strict = [t for t in strict if t.stem or t.edits or not t.text.startswith(stems)]
     if strict != terms:
         got = table(strict)
     x = np.array(got["x"].to_pylist(), float).reshape(-1, len(FEATURES))

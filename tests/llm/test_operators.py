@@ -308,6 +308,25 @@ def test_automaton_against_edit_distances():
             assert got == ((min(near)[1], min(near)[0]) if near else None), token
 
 
+def test_stems_allow_edits():
+    forms = ["achliche" + x for x in ("ren", "mut", "tor")]
+    terms = toxicity.choose_terms({"achliche~": (30, 0), **{f: (10, 0) for f in forms}, "scum": (9, 0)})
+    stems, covered = terms[:2], terms[2:]
+    assert stems == [toxicity.Term("achliche", True, 1), toxicity.Term("scum", False, 0)]
+    assert sorted(covered, key=lambda t: t.text) == [toxicity.Term(f, False, 2) for f in sorted(forms)]
+    assert toxicity.Automaton([toxicity.Term("achliche", True), *covered]).match("aclhichemut") == (1 + [t.text for t in covered].index("achlichemut"), 1)
+    auto, rng = toxicity.Automaton(stems), random.Random(8)
+    for _ in range(3000):
+        word = list(rng.choice(forms))
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(9)
+            rng.choice([lambda: word.insert(at, rng.choice("achlie")), lambda: word.pop(at), lambda: word.__setitem__(slice(at, at + 2), word[at : at + 2][::-1])])()
+        token = "".join(word)
+        near = min((edit_distance(token[:k], "achlich") for k in range(len(token)) if token[k] == "e"), default=9)
+        near = min([near, *(1 + edit_distance(token[:k], "achlic") for k in range(len(token)) if token[k : k + 2] == "eh")])
+        assert auto.match(token) == ((0, near) if near < 2 else None), token
+
+
 def test_context_of_hits_against_brute_force():
     reader, rng = toxicity.Reader((toxicity.Term("idiot", False, 1),)), random.Random(5)
     for _ in range(800):
