@@ -37,7 +37,8 @@ WINDOW = 8
 #: Tokens whose verdict a worker remembers; beyond it, it starts afresh.
 REMEMBERED = 500_000
 STEMS = range(4, 9)
-MOST_TERMS = 400
+#: A term occurs in so many toxic documents and contexts at least, and in this share of toxic documents among all.
+LEAST_SUPPORT, PRECISION = 6, 0.9
 #: Marks a position whose last character was read as it stands, not skipped or replaced; no token has it.
 WHOLE = "="
 
@@ -242,38 +243,54 @@ def _counted(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
     return found.groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), F.size(F.array_distinct(F.flatten(F.collect_list("near")))).alias("contexts"))
 
 
-def choose_terms(counts: dict[str, tuple[int, int]], least: int = 6, precision: float = 0.9) -> list[Term]:
+def choose_terms(counts: dict[str, tuple[int, int]], least: int = LEAST_SUPPORT, precision: float = PRECISION) -> list[Term]:
     """Words and stems that mark toxic documents; the longest stem that covers the same documents, and no term within another.
 
     Behind them stand the words that a chosen stem covers, to be found by their misspellings.
     """
     good = {f: t for f, (t, o) in counts.items() if t >= least and t / (t + o + 0.5) >= precision}
+    ordered = sorted(good)
+
+    def under(text: str) -> Iterator[str]:
+        """The good forms that begin with a text."""
+        for k in range(bisect_left(ordered, text), len(ordered)):
+            if not ordered[k].startswith(text):
+                return
+            yield ordered[k]
+
     chosen: list[Term] = []
     covered: list[Term] = []
+    words: set[str] = set()
+    stems: set[str] = set()
     for form, toxic in sorted(good.items(), key=lambda x: (-x[1], -len(x[0]), x[0])):
         text, stem = form.removesuffix("~"), form.endswith("~")
-        if any(text.startswith(c.text) if c.stem else text == c.text for c in chosen):
+        if text in words or any(text[:n] in stems for n in range(1, len(text) + 1)):
             if not stem and allowed_edits(text):
                 covered.append(Term(text, False, allowed_edits(text)))
             continue
-        if stem and any(good.get(w, 0) >= 0.8 * toxic for w in good if not w.endswith("~") and w.startswith(text)):
+        if stem and any(good[w] >= 0.8 * toxic for w in under(text) if not w.endswith("~")):
             continue  # it is one word's beginning
-        if stem and any(f.endswith("~") and len(f) > len(form) and f.startswith(text) and t >= 0.9 * toxic for f, t in good.items()):
+        if stem and any(f.endswith("~") and len(f) > len(form) and good[f] >= 0.9 * toxic for f in under(text)):
             continue  # a longer stem says nearly as much, and hits less else
-        if any(c.text.startswith(text) for c in chosen) and stem and toxic < 1.3 * max(good.get(c.text + "~" * c.stem, 0) for c in chosen if c.text.startswith(text)):
+        if stem and any(c.text.startswith(text) for c in chosen) and toxic < 1.3 * max(good.get(c.text + "~" * c.stem, 0) for c in chosen if c.text.startswith(text)):
             continue
         chosen.append(Term(text, stem, allowed_edits(text)))
-    return (chosen + covered)[:MOST_TERMS]
+        (stems if stem else words).add(text)
+    return chosen + covered
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, text: str = "text") -> ToxicityModel:
-    """Learns terms, edits and weights from at most ``sample`` labelled documents outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, text: str = "text", support: int = LEAST_SUPPORT) -> ToxicityModel:
+    """Learns terms, edits and weights from at most ``sample`` labelled documents outside the held-out fold.
+
+    All forms that occur in ``support`` toxic documents and contexts and are precise are candidates.
+    """
     arrow_limits(docs.sparkSession)
     rows = labelled(docs, labels, label, sample, text)
-    likely = _counted(rows.where("label > 0"), None).where("toxic >= 6").orderBy(F.desc("toxic"), "form").limit(50_000)
-    wanted = frozenset(r[0] for r in likely.select("form").collect())
-    counts = {r[0]: (r[1], r[2]) for r in _counted(rows, wanted).where("toxic >= 6 and contexts >= 6").collect()} if wanted else {}
-    terms = choose_terms(counts)
+    precise = F.col("toxic") / (F.col("toxic") + F.col("other") + 0.5) >= PRECISION
+    likely = {r[0]: (r[1], r[2]) for r in _counted(rows, None).where((F.col("toxic") >= support) & precise).select("form", "toxic", "other").collect()}
+    wanted = frozenset(likely)
+    varied = [r[0] for r in _counted(rows.where("label > 0"), wanted).where(F.col("contexts") >= support).select("form").collect()] if wanted else []
+    terms = choose_terms({f: likely[f] for f in varied}, support)
 
     def read(batches: Iterator[pa.RecordBatch], terms: Sequence[Term]) -> Iterator[pa.RecordBatch]:
         reader = Reader(terms)

@@ -327,6 +327,20 @@ def test_stems_allow_edits():
         assert auto.match(token) == ((0, near) if near < 2 else None), token
 
 
+def test_every_precise_term_is_kept(spark):
+    rng = random.Random(9)
+    rare = sorted({"".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(900)})
+    assert {t.text for t in toxicity.choose_terms({w: (8, 0) for w in rare})} == set(rare)
+    rows, learned = [], [i for i in range(1, 40, 2) if zlib.crc32(str(i).encode()) % 4 != 2][:5]
+    for i in range(40):
+        rng.shuffle(rare)
+        rows.append((i, " ".join(rare if i % 2 else WORDS) + (" seldom" if i in learned else ""), i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    texts = lambda model: {t.text for t in model.terms}
+    assert texts(toxicity.train(docs.drop("toxic"), docs)) == set(rare)
+    assert texts(toxicity.train(docs.drop("toxic"), docs, support=5)) == {*rare, "seldom"}
+
+
 def test_context_of_hits_against_brute_force():
     reader, rng = toxicity.Reader((toxicity.Term("idiot", False, 1),)), random.Random(5)
     for _ in range(800):
