@@ -10,7 +10,8 @@ An index holds, as Parquet tables in the shared folder,
 Inserting a batch routes its distinct keys, counted before the shuffle, to their
 shards.  A key that no filter of the shard knows is certainly new: its counts are
 appended without a look at the old table.  Only keys that a filter may know are
-joined with it.  Deleting documents lowers the counts, and a key that reaches zero
+joined with it; those that the table does not hold after all get tags as well, so
+that each key owns one.  Deleting documents lowers the counts, and a key that reaches zero
 leaves both the table and its filter, so every insertion can be taken back.
 Each change gives a new index; the tables of the old one stay valid.
 """
@@ -58,6 +59,12 @@ class Cuckoo:
         tag, bucket = self._where(hashes)
         return (self.tags[bucket] == tag[:, None]).any(1) | (self.tags[self._other(bucket, tag)] == tag[:, None]).any(1)
 
+    def copies(self, hashes: np.ndarray) -> np.ndarray:
+        """How many tags each key finds as its own."""
+        tag, bucket = self._where(hashes)
+        other = self._other(bucket, tag)
+        return (self.tags[bucket] == tag[:, None]).sum(1) + np.where(other == bucket, 0, (self.tags[other] == tag[:, None]).sum(1))
+
     def _place(self, bucket: np.ndarray, tag: np.ndarray) -> np.ndarray:
         """Puts tags into free slots; which of them found one."""
         order = np.argsort(bucket, kind="stable")
@@ -105,6 +112,16 @@ class Cuckoo:
                     break
 
 
+def _tagged(tables: list[Cuckoo], hashes: np.ndarray) -> None:
+    """One more tag for each key: in the last table, or in a new one if that is full or crowded with a key's own tag."""
+    last = tables[-1] if tables else None
+    if last is not None and last.count + len(hashes) <= last.capacity and (last.copies(hashes) < Cuckoo.SLOTS).all():
+        last.insert(hashes)
+    elif len(hashes):
+        tables.append(Cuckoo(2 * len(hashes)))
+        tables[-1].insert(hashes)
+
+
 def line_key(line: Column) -> Column:
     """Stripped of blanks at both ends, A-Z lower-cased; other letters stay."""
     bare = F.btrim(line, F.lit(BLANKS))
@@ -158,6 +175,7 @@ class LineIndex:
         filters = marked.where("key is null").select("shard", "tables")
         known = counts.join(marked.where("key is not null").select("key"), "key", "left_semi")
         certainly_new = counts.join(marked.where("key is not null").select("key"), "key", "left_anti")
+        filters = self._owning(known.join(self.refs.select("key"), "key", "left_anti"), filters)
         looked_up = self.refs.unionByName(known).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.min("first_doc").alias("first_doc"))
         refs = materialise(looked_up.unionByName(certainly_new), "line-refs")
         return LineIndex(self.postings.unionByName(batch), refs, filters, self.shards, self.min_chars)
@@ -170,14 +188,7 @@ class LineIndex:
             known = np.zeros(len(hashes), bool)
             for table in old:
                 known |= table.contains(hashes)
-            fresh = hashes[~known]
-            # Keys whose 64 bits agree look known to each other too: the first is inserted.
-            fresh = np.unique(fresh)
-            if old and old[-1].count + len(fresh) <= old[-1].capacity:
-                old[-1].insert(fresh)
-            elif len(fresh):
-                old.append(Cuckoo(2 * len(fresh)))
-                old[-1].insert(fresh)
+            _tagged(old, hashes[~known])
             return [{"key": keys["key"][int(i)].as_py(), "tables": None} for i in np.flatnonzero(known)] + [{"key": None, "tables": pickle.dumps(old)}]
 
         out = pa.schema([("shard", pa.int32()), ("key", pa.binary()), ("tables", pa.binary())])
@@ -193,6 +204,17 @@ class LineIndex:
             done = to_keys.cogroup(filters.groupBy("shard")).applyInArrow(both, "shard int, key binary, tables binary")
         return materialise(done, "line-filters")
 
+    def _owning(self, keys: DataFrame, filters: DataFrame) -> DataFrame:
+        """The filters with tags of keys that looked known and are new."""
+
+        def add(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            tables = pickle.loads(right["tables"][0].as_py()) if right.num_rows else []
+            _tagged(tables, _key_hash(left["key"]))
+            return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "tables": pa.array([pickle.dumps(tables)], pa.binary())})
+
+        added = _pad(keys.select("key"), self.shards).groupBy("shard").cogroup(filters.groupBy("shard"))
+        return materialise(added.applyInArrow(add, "shard int, tables binary"), "line-filters")
+
     def remove(self, ids: DataFrame) -> LineIndex:
         """The index without the documents whose ``doc_id`` is listed."""
         ids = ids.select(F.col("doc_id").cast("long").alias("gone")).distinct()
@@ -206,11 +228,12 @@ class LineIndex:
 
         def drop(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             tables = pickle.loads(left["tables"][0].as_py()) if left.num_rows else []
-            hashes = np.unique(_key_hash(right["key"]))
-            for table in tables:
-                inside = table.contains(hashes)
-                table.remove(hashes[inside])
-                hashes = hashes[~inside]
+            hashes = _key_hash(right["key"])
+            held = [table.contains(hashes) for table in tables]
+            # Where several tables have the tag, another key may own the one found: it stays, which costs a look-up only.
+            sure = np.sum(held, axis=0) == 1 if held else np.zeros(len(hashes), bool)
+            for table, inside in zip(tables, held, strict=True):
+                table.remove(hashes[inside & sure])
             return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "tables": pa.array([pickle.dumps(tables)], pa.binary())})
 
         dead = _pad(changed.where("n_docs = 0").select("key"), self.shards or 1).groupBy("shard")

@@ -195,6 +195,35 @@ def test_line_dedup_is_incremental_and_reversible(spark):
     assert empty.insert(df.limit(0)).refs.count() == 0
 
 
+def test_line_dedup_survives_keys_of_one_tag(spark):
+    lines = [f"line number {i} of a kind" for i in range(3000)]
+    hashes = line_dedup._key_hash(pa.array([hashlib.md5(x.encode()).digest() for x in lines]))
+    table, found = line_dedup.Cuckoo(2), None
+    tag, _ = table._where(hashes)
+    for t, n in collections.Counter(tag.tolist()).items():
+        for a, b in zip(same := np.flatnonzero(tag == t), same[1:]) if n > 1 else ():
+            table = line_dedup.Cuckoo(2)
+            table.insert(hashes[[a]])
+            found = (lines[a], lines[b]) if table.contains(hashes[[b]])[0] else found
+    one, two = found
+    frame = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    for gone, left in ((one, two), (two, one)):  # either owner of the tag may go
+        index = line_dedup.LineIndex.empty(spark).insert(frame((1, one))).insert(frame((2, two)))
+        index = index.remove(frame((1 if gone == one else 2, gone))).insert(frame((3, left)))
+        (ref,) = index.refs.collect()
+        stays = 2 if gone == one else 1
+        assert (ref.n_docs, ref.first_doc) == (2, stays)
+        assert [r.doc_id for r in index.dropped().collect()] == [3]
+        (tables,) = (line_dedup.pickle.loads(r.tables) for r in index.filters.collect())
+        assert sum(t.count for t in tables) == 1
+        back = index.remove(frame((3, left))).insert(frame((1 if gone == one else 2, gone), (4, left)))
+        assert sorted((r.n_docs, r.first_doc) for r in back.refs.collect()) == sorted([(1, 3 - stays), (2, stays)])
+    tables = [line_dedup.Cuckoo(2)]
+    for _ in range(20):  # a key's own tags never fill its buckets
+        line_dedup._tagged(tables, hashes[:1])
+    assert sum(t.count for t in tables) == 20
+
+
 def test_cuckoo_filter_holds_and_forgets():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 1 << 63, 50_000, dtype=np.int64).astype(np.uint64)
