@@ -1,55 +1,35 @@
 """Shared plumbing of the training-data operators.
 
-* ``shared_dir`` / ``materialise`` cut lineage through Parquet in the folder that
-  the cluster names in ``spark.checkpoint.dir``; nothing is kept in a folder that
-  only one machine sees, so a lost executor costs a re-read and not a failed job.
-* ``arrow_limits`` bounds every batch that crosses into Python by bytes, so the
-  memory of a worker does not depend on how long the texts are on average.
-* ``narrow`` selects exactly the columns an operator needs.  Extra columns never
-  reach it, and an input column whose name clashes with an output is left out, so
-  the operator's own value wins.
+* ``materialise`` cuts lineage through Parquet in the folder that the cluster names in
+  ``spark.checkpoint.dir``; nothing is kept in a folder that only one machine sees, so
+  a lost executor costs a re-read and not a failed job.
+* ``bounded`` cuts what crosses into Python into slices of bounded bytes, so the working
+  memory of a task does not depend on how long the texts are on average.  The session's
+  own limits on Arrow batches stay as the user set them.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscan.sources.shared import checkpoint_root, shared_dir
+
+__all__ = ["bounded", "checkpoint_root", "held_out", "load", "materialise", "shared_dir", "text_digest", "texts_of"]
+
 BATCH_BYTES = 2 << 20
 BATCH_ROWS = 4096
-_own_dirs: dict[str, str] = {}
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or a folder of our own where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="folioscan-")
-            spark.sparkContext.setCheckpointDir(_own_dirs[app])
-        root = _own_dirs[app]
-    return root.rstrip("/")
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, deleted when the driver's JVM ends."""
-    path = f"{checkpoint_root(spark)}/folioscan/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: one computation, short lineage."""
     spark = df.sparkSession
@@ -58,13 +38,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_limits(spark: SparkSession, batch_bytes: int = BATCH_BYTES, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def narrow(df: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
-    return df.select(*columns)
+def bounded(batches: Iterator[pa.RecordBatch], batch_bytes: int = BATCH_BYTES, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``batch_bytes`` of text and at most ``rows`` rows, without empty ones; no row is cut."""
+    for batch in batches:
+        size = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+                size += pc.binary_length(column).fill_null(0).to_numpy().astype(np.int64)
+        upto, start = np.cumsum(size), 0
+        while start < batch.num_rows:
+            before = upto[start - 1] if start else 0
+            end = min(max(int(np.searchsorted(upto, before + batch_bytes, "right")), start + 1), start + rows, batch.num_rows)
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def texts_of(column: pa.Array) -> pa.Array:
@@ -73,10 +59,6 @@ def texts_of(column: pa.Array) -> pa.Array:
     return column.fill_null("") if column.null_count else column
 
 
-def table_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in batches if b.num_rows)
-
-
 def held_out(doc_id: Column) -> Column:
     """The fold rule: crc32 of the id as text, remainder 2 of 4, is never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm import vec
-from folioscan.llm.common import arrow_limits, materialise, texts_of
+from folioscan.llm.common import bounded, materialise, texts_of
 from folioscan.llm.vec import U64
 
 WORDS, THRESHOLD = 5, 0.8
@@ -84,7 +84,7 @@ def representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "words": pa.array(_words_key(batch.column(1)), pa.binary())})
 
     keys = materialise(docs.mapInArrow(run, "doc_id long, words binary"), "near-keys")
@@ -110,7 +110,7 @@ def document_frequencies(texts: DataFrame, parts: int = 16) -> tuple[np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, n = np.zeros(CELLS, np.uint32), 0
-        for batch in batches:
+        for batch in bounded(batches):
             h, whose, _, size = shingles(batch.column(0))
             cell = np.sort((whose.astype(U64) << U64(20)) | (h >> U64(44)))
             once = cell[np.concatenate([[True], cell[1:] != cell[:-1]])] if len(cell) else cell
@@ -122,7 +122,7 @@ def document_frequencies(texts: DataFrame, parts: int = 16) -> tuple[np.ndarray,
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, n = np.zeros(CELLS // parts, np.uint32), 0
-        for batch in batches:
+        for batch in bounded(batches):
             for cells in batch.column(2):
                 table += np.frombuffer(cells.as_buffer(), np.uint32)
             n += pc.sum(batch.column(1)).as_py()
@@ -199,7 +199,7 @@ def signatures(texts: DataFrame, idf: np.ndarray) -> DataFrame:
     held = texts.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             h, whose, tf, n = shingles(batch.column(1))
             codes = samples(h, whose, weights(h, tf, held.value), n)
             some = np.bincount(whose, minlength=n) > 0
@@ -212,7 +212,7 @@ def buckets(signed: DataFrame) -> DataFrame:
     """(band, key, rep): a row for each text and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             n = batch.num_rows
             codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, BANDS, ROWS).astype(U64)
             with np.errstate(over="ignore"):
@@ -245,7 +245,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
     held = texts.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             good = similarity(texts_of(batch.column(2)).to_pylist(), texts_of(batch.column(3)).to_pylist(), held.value) >= threshold
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["a", "b"])
 
@@ -338,8 +338,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     copies; of rows that share an id but not the text the class is that of the first
     to be found.  Null ids are left out, as nothing could refer to them.
     """
-    spark = docs.sparkSession
-    arrow_limits(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     reps, members = representatives(rows)
     table, n = document_frequencies(rows)

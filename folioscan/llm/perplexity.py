@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.llm import vec
-from folioscan.llm.common import BATCH_BYTES, arrow_limits, materialise, texts_of
+from folioscan.llm.common import BATCH_BYTES, bounded, materialise, texts_of
 from folioscan.llm.vec import U64
 
 ORDER, BITS = 4, 6
@@ -76,7 +76,6 @@ def grams(t: vec.Texts) -> tuple[np.ndarray, np.ndarray]:
 
 def count_grams(docs: DataFrame) -> DataFrame:
     """(lang, gram, n) over all of ``docs`` (lang, text)."""
-    arrow_limits(docs.sparkSession)
 
     def packed(lang: str, held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         codes, where = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
@@ -88,7 +87,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         size = 0
-        for batch in batches:
+        for batch in bounded(batches):
             if not batch.num_rows:
                 continue
             codes, whose = grams(vec.Texts(texts_of(batch.column(1))))
@@ -268,13 +267,12 @@ class Answers:
 
 def measure(docs: DataFrame, models: dict[str, KneserNey], keep: Sequence[str]) -> DataFrame:
     """keep, lang, the base counts, ``log_ppl`` (null for a text without characters) and ``digest`` of the text."""
-    arrow_limits(docs.sparkSession, BATCH_BYTES // 2)
     narrow = docs.select(*keep, "lang", "text")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in narrow.schema if f.name not in ("lang", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: OrderedDict[str, Answers] = OrderedDict()
-        for batch in batches:
+        for batch in bounded(batches, BATCH_BYTES // 2):
             if not batch.num_rows:
                 continue
             t = vec.Texts(texts_of(batch.column(len(keep) + 1)))

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from folioscan.llm.common import arrow_limits, texts_of
+from folioscan.llm.common import bounded, texts_of
 
 META = "▁"
 _SEGMENT = re.compile(" *[^ ]+| +")
@@ -217,7 +217,6 @@ def encode(df: DataFrame, model_file: str, text: str = "text", keep: Sequence[st
     give repeated results.  Texts are never cut short: a long one is a batch of
     its own.  A kept column with the name of an output gives way to the output.
     """
-    arrow_limits(df.sparkSession)
     outs = ["ids", "begins", "ends"] + ["decoded"] * decode
     keep = [c for c in keep if c not in outs]
     narrow = df.select(*keep, df[text].alias("__text"))
@@ -226,7 +225,7 @@ def encode(df: DataFrame, model_file: str, text: str = "text", keep: Sequence[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = model(model_file)
-        for batch in batches:
+        for batch in bounded(batches):
             texts = texts_of(batch.column(len(keep))).to_pylist()
             ids = coder.ids(texts)
             spans = [coder.spans(t, x) for t, x in zip(texts, ids, strict=True)]
@@ -242,14 +241,13 @@ def encode(df: DataFrame, model_file: str, text: str = "text", keep: Sequence[st
 
 def decode(df: DataFrame, model_file: str, ids: str = "ids", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keep`` and the library's ``decoded`` text of an array of ids; a null array gives a null text."""
-    arrow_limits(df.sparkSession)
     keep = [c for c in keep if c != "decoded"]
     narrow = df.select(*keep, df[ids].alias("__ids"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in narrow.schema if f.name != "__ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = model(model_file)
-        for batch in batches:
+        for batch in bounded(batches):
             rows = batch.column(len(keep)).to_pylist()
             texts = coder.library.decode([x or [] for x in rows], num_threads=1)
             done = pa.array([None if x is None else t for x, t in zip(rows, texts, strict=True)], pa.string())

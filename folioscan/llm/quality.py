@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm import vec
-from folioscan.llm.common import arrow_limits, held_out, texts_of
+from folioscan.llm.common import bounded, held_out, texts_of
 
 #: Most labelled rows that a model learns from.
 SAMPLE = 20_000
@@ -213,10 +213,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPL
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, text: str = "text") -> AdditiveModel:
-    arrow_limits(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             rows = features(batch.column(1))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "x": pa.array(list(rows), pa.list_(pa.float64())), "label": batch.column(2)})
 
@@ -231,13 +230,12 @@ def score_quality(docs: DataFrame, model: AdditiveModel, text: str = "text", kee
     Null texts are scored as empty ones.  Repeated rows get equal scores; a kept
     column named like an output gives way to it.
     """
-    arrow_limits(docs.sparkSession)
     keep = [c for c in keep if c not in ("score", "predicted")]
     narrow = docs.select(*keep, docs[text].alias("__text"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in narrow.schema if f.name != "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             score = model.score(features(batch.column(len(keep))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
 

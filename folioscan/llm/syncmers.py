@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.llm import vec
-from folioscan.llm.common import arrow_limits, texts_of
+from folioscan.llm.common import bounded, texts_of
 from folioscan.llm.vec import U64
 
 K, S, ANCHORS = 32, 8, 64
@@ -167,7 +167,6 @@ def fingerprint_neighbours(df: DataFrame, id_col: str = "doc_id", text: str = "t
     its own next.  Null texts are empty.  Texts are fingerprinted whole.
     """
     spark = df.sparkSession
-    arrow_limits(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 20 * n)) if n > 1 else F.lit(None)
@@ -187,7 +186,7 @@ def fingerprint_neighbours(df: DataFrame, id_col: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, guest = [], [], []
-        for batch in batches:
+        for batch in bounded(batches):
             ids, texts, guest = ids[-1:] + batch.column(0).to_pylist(), texts[-1:] + texts_of(batch.column(1)).to_pylist(), guest[-1:] + batch.column(2).to_pylist()
             if len(ids) < 2:
                 continue

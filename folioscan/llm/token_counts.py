@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from folioscan.llm import pieces
-from folioscan.llm.common import arrow_limits, texts_of
+from folioscan.llm.common import bounded, texts_of
 
 PACK_BYTES = 256 << 10
 #: Between two words of ASCII letters or digits, one space: a pre-token starts there in
@@ -137,7 +137,6 @@ def count_tokens(df: DataFrame, file: str, text: str = "text", keep: Sequence[st
     ``pattern``).  Null and empty texts count 0 bytes and 0 tokens.  Repeated rows
     give repeated results; a kept column named like an output gives way to it.
     """
-    arrow_limits(df.sparkSession)
     outs = ["n_bytes", "n_tokens", "over_limit"]
     keep = [c for c in keep if c not in outs]
     narrow = df.select(*keep, df[text].alias("__text"))
@@ -145,7 +144,7 @@ def count_tokens(df: DataFrame, file: str, text: str = "text", keep: Sequence[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(file, pattern)
-        for batch in batches:
+        for batch in bounded(batches):
             column = texts_of(batch.column(len(keep)))
             total = np.zeros(len(column), np.int64)
             for owners, parts in packs(column.to_pylist(), count.cut):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import arrow_limits, texts_of
+from folioscan.llm.common import bounded, texts_of
 from folioscan.llm.quality import SAMPLE, labelled
 
 _TOKEN = re.compile(r"[^\W_]+(?:[*@$!'’][^\W_]+)*")
@@ -219,7 +219,7 @@ def _counted(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             contexts: dict[str, set[int]] = {}
             for text, label in zip(texts_of(batch.column(1)).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -284,7 +284,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 
     All forms that occur in ``support`` toxic documents and contexts and are precise are candidates.
     """
-    arrow_limits(docs.sparkSession)
     rows = labelled(docs, labels, label, sample, text)
     precise = F.col("toxic") / (F.col("toxic") + F.col("other") + 0.5) >= PRECISION
     likely = {r[0]: (r[1], r[2]) for r in _counted(rows, None).where((F.col("toxic") >= support) & precise).select("form", "toxic", "other").collect()}
@@ -294,7 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 
     def read(batches: Iterator[pa.RecordBatch], terms: Sequence[Term]) -> Iterator[pa.RecordBatch]:
         reader = Reader(terms)
-        for batch in batches:
+        for batch in bounded(batches):
             texts = texts_of(batch.column(1)).to_pylist()
             fuzzy = [sorted({h[2] for h in reader.hits(t) if h[3]}) for t in texts]
             yield pa.RecordBatch.from_pydict(
@@ -346,7 +345,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
     Null texts are scored as empty ones: no hit.  Repeated rows get equal scores; a
     kept column named like an output gives way to it.
     """
-    arrow_limits(docs.sparkSession)
     outs = ["score", "predicted", "terms"]
     keep = [c for c in keep if c not in outs]
     narrow = docs.select(*keep, docs[text].alias("__text"))
@@ -354,7 +352,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model.terms)
-        for batch in batches:
+        for batch in bounded(batches):
             rows, terms = [], []
             for body in texts_of(batch.column(len(keep))).to_pylist():
                 hits = reader.hits(body)

@@ -10,7 +10,12 @@ candidates too, and their successors may even look sound, so a candidate counts
 if it can be reached from the start of the file: chains are contracted within each
 range, and pointer jumping over the remaining links, which doubles its stride each
 round, finds where the true chain enters each range.  A range of a file therefore
-never waits for the ranges before it, however long the file.
+never waits for the ranges before it, however long the file, and ranges are dealt out
+to as many tasks as their number asks for, not as the size of their names does.
+
+A record is unpacked in pieces and against the length that its header declares, so a
+member that swells beyond it is given up early; while boundaries are sought nothing of
+a payload is held, and when records are read no more than ``MAX_BLOCK`` bytes of one.
 
 Files are opened with ``pyarrow.fs``.  Each attempt of a writing task has names of its
 own in a folder that readers pass over; only the files of the attempts that Spark
@@ -31,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import arrow_limits, materialise
+from folioscan.llm.common import bounded, materialise
 
 #: RFC 4648 alphabet.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -43,6 +48,12 @@ _READ = 256 << 10
 _GZIP = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]")
 _PLAIN = re.compile(rb"WARC/1\.[01]\r\n")
 _HEADER_LIMIT = 1 << 20
+#: Largest block of a record that is read into a row; the row of a larger one has no payload.
+MAX_BLOCK = 1 << 30
+#: Tasks that equal payloads are dealt among when their first page is looked up.
+SALTS = 16
+#: Ranges that a task reads one after another, once there are more than ``MOST_TASKS``.
+MOST_TASKS = 50_000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -68,7 +79,10 @@ def assign_records(pages: DataFrame, id_col: str, uri_col: str, payload: Column,
         .select("head", "first_id")
     )
     later = F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id"))
-    return base.join(heads, (F.col("digest") == F.col("head")) & (F.octet_length("payload") >= min_bytes), "left").select(
+    # One payload may be a third of all rows: its rows meet their head in several places.
+    heads = heads.withColumn("head_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    base = base.withColumn("salt", F.pmod(F.xxhash64("page_id", "uri"), F.lit(SALTS)).cast("int"))
+    return base.join(heads, (F.col("digest") == F.col("head")) & (F.col("salt") == F.col("head_salt")) & (F.octet_length("payload") >= min_bytes), "left").select(
         "page_id", "uri", "payload", "digest", F.when(later, F.col("first_id")).alias("refers_to")
     )
 
@@ -95,7 +109,6 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", uri_col
     table writes no file.
     """
     spark = pages.sparkSession
-    arrow_limits(spark)
     pending = f"{root}/{PENDING}"
     where = spark._jvm.org.apache.hadoop.fs.Path(pending)
     store_of_all = where.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -109,7 +122,7 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", uri_col
         store, base = fs.FileSystem.from_uri(pending)
         attempt = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         out, name, n_files, n_bytes, n_records = None, "", 0, 0, 0
-        for batch in batches:
+        for batch in bounded(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     name = f"{attempt}-{n_files:04d}{suffix}"
@@ -132,7 +145,7 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", uri_col
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(root)
-        for batch in batches:
+        for batch in bounded(batches):
             for name in batch.column(0).to_pylist():
                 try:
                     store.move(f"{base}/{PENDING}/{name}", f"{base}/{name}")
@@ -168,55 +181,74 @@ class _File:
             return self.window[start - self.base : end - self.base]
         return self.file.read_at(end - start, start) if end > start else b""
 
-    def member(self, at: int) -> tuple[bytes, int] | None:
-        """The bytes of the gzip member at an offset and where it ends, if it is one."""
-        engine, parts, place = zlib.decompressobj(31), [], at
+    def unpacked(self, at: int) -> Iterator[tuple[bytes, int | None]]:
+        """The gzip member at an offset in pieces of at most ``_READ`` bytes; the last comes with the place where the member ends.
+
+        Nothing follows the piece at which the member turns out to be cut or no member.
+        """
+        engine, place, rest = zlib.decompressobj(31), at, b""
         try:
             while not engine.eof:
-                data = self.read(place, min(place + _READ, self.length))
-                if not data:
-                    return None
-                parts.append(engine.decompress(data))
-                place += len(data)
-                if len(parts) == 1 and not b"WARC/1.".startswith(parts[0][:7]):
-                    return None
+                if not rest:
+                    rest = self.read(place, min(place + _READ, self.length))
+                    place += len(rest)
+                piece = engine.decompress(rest, _READ)
+                if not rest and not piece:
+                    return
+                rest = engine.unconsumed_tail
+                yield piece, place - len(engine.unused_data) if engine.eof else None
         except zlib.error:
-            return None
-        return b"".join(parts), place - len(engine.unused_data)
+            return
 
-    def header(self, at: int) -> bytes | None:
+    def plain(self, at: int) -> Iterator[tuple[bytes, int | None]]:
+        """The file from an offset on in pieces that grow to ``_READ`` bytes."""
         size = 4096
-        while size <= _HEADER_LIMIT:
-            data = self.read(at, at + size)
+        while data := self.read(at, min(at + size, self.length)):
+            yield data, None
+            at, size = at + len(data), min(4 * size, _READ)
+
+    def header(self, pieces: Iterator[tuple[bytes, int | None]]) -> tuple[bytes, bytes, int | None] | None:
+        """A record's header, what has been read behind it, and where its member ends if that is known."""
+        data, after = b"", None
+        for piece, after in pieces:
+            data += piece
+            if not b"WARC/1.".startswith(data[:7]):
+                return None
             if (end := data.find(b"\r\n\r\n")) >= 0:
-                return data[: end + 4]
-            if at + size >= self.length:
+                return (data[: end + 4], data[end + 4 :], after) if _PLAIN.match(data) else None
+            if len(data) > _HEADER_LIMIT:
                 return None
-            size *= 4
         return None
 
-    def record(self, at: int, packed: bool, body: bool) -> tuple[dict[str, str], bytes, int] | None:
-        """Headers, block (if asked for) and successor of the record at an offset; None if it is none."""
-        if packed:
-            if (got := self.member(at)) is None or not _PLAIN.match(got[0]):
-                return None
-            data, after = got
-            end = data.find(b"\r\n\r\n") + 4
-            head = data[:end]
-        else:
-            head = self.header(at)
-            if head is None or not _PLAIN.match(head):
-                return None
-            data, after = b"", 0
+    def record(self, at: int, packed: bool, most: int) -> tuple[dict[str, str], bytes | None, int] | None:
+        """Headers, block and successor of the record at an offset; None if it is none.
+
+        A block of more than ``most`` bytes is checked and passed over: None stands for it.
+        """
+        pieces = self.unpacked(at) if packed else self.plain(at)
+        if (got := self.header(pieces)) is None:
+            return None
+        head, data, after = got
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:]) if k}
-        if not (size := fields.get("content-length", "")).isdigit():
+        if not (digits := fields.get("content-length", "")).isdigit() or len(digits) > 18:
             return None
-        if packed:
-            return (fields, data[end : end + int(size)] if body else b"", after) if len(data) == end + int(size) + 4 else None
-        after = at + len(head) + int(size) + 4
-        if after > self.length or self.read(after - 4, after) != b"\r\n\r\n":
+        size = int(digits)
+        if not packed:
+            after = at + len(head) + size + 4
+            if after > self.length or self.read(after - 4, after) != b"\r\n\r\n":
+                return None
+            return fields, self.read(at + len(head), after - 4) if size <= most else None, after
+        held, seen, tail = [data], len(data), data[-4:]
+        while after is None and seen <= size + 4:
+            if (following := next(pieces, None)) is None:
+                return None
+            piece, after = following
+            seen, tail = seen + len(piece), (tail + piece)[-4:]
+            if size <= most:
+                held.append(piece)
+        if after is None or seen != size + 4 or tail != b"\r\n\r\n":
             return None
-        return fields, self.read(at + len(head), after - 4) if body else b"", after
+        return fields, b"".join(held)[:size] if size <= most else None, after
 
 
 def _ranges(spark: SparkSession, root: str, split_bytes: int) -> DataFrame:
@@ -224,18 +256,22 @@ def _ranges(spark: SparkSession, root: str, split_bytes: int) -> DataFrame:
     return files.where("length > 0").withColumn("start", F.explode(F.expr(f"sequence(0L, length - 1, {split_bytes}L)")))
 
 
+def _spread(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """Rows of a few bytes that stand for megabytes each, a task to each as far as there are tasks."""
+    return rows.repartition(max(1, min(n, MOST_TASKS)), *by)
+
+
 def candidates(spark: SparkSession, root: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(path, length, offset, successor, leaves): each sound-looking record start, and where its chain leaves its range."""
-    arrow_limits(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             for path, length, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 packed, end = path.endswith(".gz"), min(start + split_bytes, length)
                 file = _File(path, length)
                 file.hold(start, min(length, end + 16))
                 found = [start + m.start() for m in (_GZIP if packed else _PLAIN).finditer(file.window) if start + m.start() < end]
-                pairs = [(at, got[2]) for at in found if (got := file.record(at, packed, False))]
+                pairs = [(at, got[2]) for at in found if (got := file.record(at, packed, -1))]
                 leaves: dict[int, int] = {}
                 for at, after in reversed(pairs):
                     leaves[at] = leaves.get(after, after)
@@ -243,7 +279,8 @@ def candidates(spark: SparkSession, root: str, split_bytes: int = SPLIT_BYTES) -
                     {"path": pa.array([path] * len(pairs), pa.string()), "length": pa.array([length] * len(pairs), pa.int64()), "offset": pa.array([p[0] for p in pairs], pa.int64()), "successor": pa.array([p[1] for p in pairs], pa.int64()), "leaves": pa.array([leaves[p[0]] for p in pairs], pa.int64())}
                 )
 
-    dealt = _ranges(spark, root, split_bytes).repartition("path", "start")
+    ranges = _ranges(spark, root, split_bytes)
+    dealt = _spread(ranges, ranges.count(), "path", "start")
     return dealt.mapInArrow(run, "path string, length long, offset long, successor long, leaves long")
 
 
@@ -265,38 +302,42 @@ def entries(found: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     return reached
 
 
-def read_archives(spark: SparkSession, root: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_archives(spark: SparkSession, root: str, split_bytes: int = SPLIT_BYTES, max_block: int = MAX_BLOCK) -> DataFrame:
     """A row for each record that the chain from the start of its file reaches.
 
     path, offset, record_type, page_id, uri, refers_to, payload_digest (of the
-    header), payload_bytes (of the HTTP header), payload (null for revisits).
-    A damaged record ends its file's chain; what lies behind it is not returned.
+    header), payload_bytes (of the HTTP header), payload (null for revisits, and for
+    records whose block has more than ``max_block`` bytes; payload_bytes is then the
+    block's).  A null address or id of a page comes back as null.  A damaged record, or
+    one that does not unpack to the length it declares, ends its file's chain; what lies
+    behind it is not returned.
     """
-    arrow_limits(spark, rows=256)
     found = materialise(candidates(spark, root, split_bytes), "warc-candidates")
-    begin = entries(found, split_bytes).repartition("path", "at")
+    reached = materialise(entries(found, split_bytes), "warc-entries")
+    begin = _spread(reached, reached.count(), "path", "at")
     names = ["path", "offset", "record_type", "page_id", "uri", "refers_to", "payload_digest", "payload_bytes", "payload"]
     schema = pa.schema(list(zip(names, [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()], strict=True)))
 
     def number(urn: str | None) -> int | None:
         digits = (urn or "").removeprefix("<urn:x-page:").removesuffix(">")
-        return int(digits) if re.fullmatch(r"-?\d+", digits) else None
+        return int(digits) if re.fullmatch(r"-?\d{1,18}", digits) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             for path, length, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 packed, end = path.endswith(".gz"), min(length, (at // split_bytes + 1) * split_bytes)
                 file = _File(path, length)
                 file.hold(at, end)
                 rows, size = [], 0
-                while at < end and (got := file.record(at, packed, True)):
+                while at < end and (got := file.record(at, packed, max_block)):
                     fields, block, after = got
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    told = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http)
+                    http, _, payload = (block or b"").partition(b"\r\n\r\n")
+                    told = re.search(rb"(?i)\r\ncontent-length:\s*(\d{1,18})\s*(?:\r|$)", http)
+                    n_bytes = int(told[1]) if told else int(fields["content-length"]) if block is None else len(payload)
                     kind, uri = fields.get("warc-type"), fields.get("warc-target-uri")
                     uri = uri and uri.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
                     refers = number(fields.get("warc-refers-to"))
-                    rows.append((path, at, kind, number(fields.get("warc-record-id")), uri, refers, fields.get("warc-payload-digest", "").removeprefix("sha1:"), int(told[1]) if told else len(payload), None if kind == "revisit" else payload))
+                    rows.append((path, at, kind, number(fields.get("warc-record-id")), uri, refers, fields.get("warc-payload-digest", "").removeprefix("sha1:"), n_bytes, None if kind == "revisit" or block is None else payload))
                     size += len(payload)
                     at = after
                     if size > 2 << 20:
