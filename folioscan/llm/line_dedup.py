@@ -10,10 +10,15 @@ An index holds, as Parquet tables in the shared folder,
 Inserting a batch routes its distinct keys, counted before the shuffle, to their
 shards.  A key that no filter of the shard knows is certainly new: its counts are
 appended without a look at the old table.  Only keys that a filter may know are
-joined with it; those that the table does not hold after all get tags as well, so
+added to it there; those that the table does not hold after all get tags as well, so
 that each key owns one.  Deleting documents lowers the counts, and a key that reaches zero
 leaves both the table and its filter, so every insertion can be taken back.
+Once the keys outgrow their shards there are more shards, with filters made anew from
+the exact table, so neither a shard's keys nor its filters grow with the index.
 Each change gives a new index; the tables of the old one stay valid.
+
+``LineIndex.build`` makes an index of a whole table out of arrivals, document by
+document: from the second on, a line is found to be a repeat because a filter knows it.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ from folioscan.llm.common import materialise
 from folioscan.llm.vec import U64
 
 SHARD_KEYS = 500_000
+#: Batches that a whole table is inserted in.
+ARRIVALS = 2
 MIN_CHARS = 10
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -118,7 +125,8 @@ def _tagged(tables: list[Cuckoo], hashes: np.ndarray) -> None:
     if last is not None and last.count + len(hashes) <= last.capacity and (last.copies(hashes) < Cuckoo.SLOTS).all():
         last.insert(hashes)
     elif len(hashes):
-        tables.append(Cuckoo(2 * len(hashes)))
+        # Twice all that is held: the number of tables is the logarithm of their keys.
+        tables.append(Cuckoo(2 * max(len(hashes), sum(t.count for t in tables))))
         tables[-1].insert(hashes)
 
 
@@ -161,50 +169,83 @@ class LineIndex:
             spark.createDataFrame([], "key binary, doc_id long, places array<struct<row:bigint,line:int>>"), spark.createDataFrame([], "key binary, n_docs long, first_doc long"), spark.createDataFrame([], "shard int, tables binary"), 0, min_chars
         )
 
+    @staticmethod
+    def build(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, arrivals: int = ARRIVALS) -> LineIndex:
+        """The index of a whole table, inserted in ``arrivals`` batches by a hash of the id."""
+        index = LineIndex.empty(docs.sparkSession, min_chars)
+        postings = materialise(index._postings(docs, id_col, text).withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)).cast("int")), "line-postings")
+        for k in range(arrivals):
+            index = index._added(postings.where(F.col("arrival") == k).drop("arrival"), False)
+        return dataclasses.replace(index, postings=postings.drop("arrival"))
+
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> LineIndex:
-        """The index with the lines of more documents; an id must not be inserted twice in separate batches."""
+        """The index with the lines of more documents.
+
+        Rows of an id that the index holds already add their lines to that document: it
+        counts once for each line, and one ``remove`` takes out all of it.
+        """
+        return self._added(materialise(self._postings(docs, id_col, text), "line-postings"), bool(self.shards))
+
+    def _postings(self, docs: DataFrame, id_col: str, text: str) -> DataFrame:
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _row(F.col(text)).alias("row"), F.transform(_lines(F.col(text)), line_key).alias("keys"))
         keyed = F.filter(F.transform("keys", lambda k, i: F.struct(F.when(F.char_length(k) >= self.min_chars, F.unhex(F.md5(k))).alias("key"), i.alias("line"))), lambda s: s["key"].isNotNull())
         batch = rows.select("doc_id", "row", F.explode(keyed).alias("k")).select(F.col("k.key").alias("key"), "doc_id", F.struct("row", F.col("k.line").alias("line")).alias("place"))
-        batch = materialise(batch.groupBy("key", "doc_id").agg(F.collect_set("place").alias("places")), "line-postings")
+        return batch.groupBy("key", "doc_id").agg(F.collect_set("place").alias("places"))
+
+    def _added(self, batch: DataFrame, repeats: bool) -> LineIndex:
+        """The index with the postings of a batch; ``repeats`` tells that its documents may be in the index."""
         counts = materialise(batch.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc")), "line-counts")
-        if not self.shards:
-            shards = max(1, -(-counts.count() // SHARD_KEYS))
-            return LineIndex(batch, counts, self._filtered(counts, None, shards).where("key is null").select("shard", "tables"), shards, self.min_chars)
-        marked = self._filtered(counts, self.filters, self.shards)
-        filters = marked.where("key is null").select("shard", "tables")
-        known = counts.join(marked.where("key is not null").select("key"), "key", "left_semi")
-        certainly_new = counts.join(marked.where("key is not null").select("key"), "key", "left_anti")
-        filters = self._owning(known.join(self.refs.select("key"), "key", "left_anti"), filters)
-        looked_up = self.refs.unionByName(known).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.min("first_doc").alias("first_doc"))
-        refs = materialise(looked_up.unionByName(certainly_new), "line-refs")
-        return LineIndex(self.postings.unionByName(batch), refs, filters, self.shards, self.min_chars)
+        held, more = self.refs.count() if self.shards else 0, counts.count()
+        shards, filters = self.shards, self.filters
+        if held + more > 2 * SHARD_KEYS * shards:
+            shards = max(1, -(-(held + more) // SHARD_KEYS))
+            filters = self._filtered(self.refs, None, shards).where("tables is not null").select("shard", "tables") if held else None
+        shards = max(1, shards)
+        marked = self._filtered(counts, filters, shards)
+        filters = marked.where("tables is not null").select("shard", "tables")
+        new, known = (marked.where(f"key is not null and known = {x}").select("key", "n_docs", "first_doc") for x in ("false", "true"))
+        if not self.shards:  # no filter knew anything
+            return LineIndex(batch, new, filters, shards, self.min_chars)
+        if repeats:
+            match = F.col("old_doc").eqNullSafe(F.col("doc_id")) & (F.col("old_key") == F.col("key"))
+            again = batch.join(known.select("key"), "key", "left_semi").join(self.postings.select(F.col("key").alias("old_key"), F.col("doc_id").alias("old_doc")), match, "left_semi")
+            known = known.join(again.groupBy("key").agg(F.count(F.lit(1)).alias("again")), "key", "left").select("key", (F.col("n_docs") - F.coalesce("again", F.lit(0))).alias("n_docs"), "first_doc")
+        both = self.refs.withColumn("old", F.lit(True)).unionByName(known.withColumn("old", F.lit(False)))
+        looked_up = materialise(both.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.min("first_doc").alias("first_doc"), F.max("old").alias("old")), "line-refs")
+        untagged = looked_up.where("not old")
+        if not untagged.isEmpty():
+            filters = LineIndex._owning(untagged, filters, shards)
+        return LineIndex(self.postings.unionByName(batch), looked_up.drop("old").unionByName(new), filters, shards, self.min_chars)
 
     def _filtered(self, counts: DataFrame, filters: DataFrame | None, shards: int) -> DataFrame:
-        """Rows (shard, key) of keys that a filter may know, and (shard, tables) of the filters with the other keys added."""
+        """Each row of counts with ``known``: whether a filter of its shard may know the key; and (shard, tables) of the filters with the other keys added."""
+        fields = [("key", pa.binary()), ("n_docs", pa.int64()), ("first_doc", pa.int64())]
+        out = pa.schema([("shard", pa.int32()), *fields, ("known", pa.bool_()), ("tables", pa.binary())])
 
-        def run(old: list[Cuckoo], keys: pa.Table) -> list[dict]:
-            hashes = _key_hash(keys["key"])
-            known = np.zeros(len(hashes), bool)
+        def run(shard: int, old: list[Cuckoo], keys: pa.Table) -> pa.Table:
+            hashes, n = _key_hash(keys["key"]), keys.num_rows
+            known = np.zeros(n, bool)
             for table in old:
                 known |= table.contains(hashes)
             _tagged(old, hashes[~known])
-            return [{"key": keys["key"][int(i)].as_py(), "tables": None} for i in np.flatnonzero(known)] + [{"key": None, "tables": pickle.dumps(old)}]
+            rows = pa.table([pa.array([shard] * n, pa.int32()), *(keys[f].cast(t) for f, t in fields), pa.array(known), pa.nulls(n, pa.binary())], schema=out)
+            return pa.concat_tables([rows, pa.table([pa.array([x], t) for x, t in zip([shard, None, None, None, None, pickle.dumps(old)], out.types, strict=True)], schema=out)])
 
-        out = pa.schema([("shard", pa.int32()), ("key", pa.binary()), ("tables", pa.binary())])
-        to_keys = _pad(counts.select("key"), shards).groupBy("shard")
+        to_keys = _pad(counts.select(*(f for f, _ in fields)), shards).groupBy("shard")
+        result = "shard int, key binary, n_docs long, first_doc long, known boolean, tables binary"
         if filters is None:
-            done = to_keys.applyInArrow(lambda key, t: pa.Table.from_pylist([{"shard": key[0].as_py(), **x} for x in run([], t)], out), "shard int, key binary, tables binary")
+            done = to_keys.applyInArrow(lambda key, t: run(key[0].as_py(), [], t), result)
         else:
 
             def both(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
                 old = pickle.loads(right["tables"][0].as_py()) if right.num_rows else []
-                return pa.Table.from_pylist([{"shard": key[0].as_py(), **x} for x in run(old, left)], out)
+                return run(key[0].as_py(), old, left)
 
-            done = to_keys.cogroup(filters.groupBy("shard")).applyInArrow(both, "shard int, key binary, tables binary")
+            done = to_keys.cogroup(filters.groupBy("shard")).applyInArrow(both, result)
         return materialise(done, "line-filters")
 
-    def _owning(self, keys: DataFrame, filters: DataFrame) -> DataFrame:
+    @staticmethod
+    def _owning(keys: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
         """The filters with tags of keys that looked known and are new."""
 
         def add(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -212,14 +253,14 @@ class LineIndex:
             _tagged(tables, _key_hash(left["key"]))
             return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "tables": pa.array([pickle.dumps(tables)], pa.binary())})
 
-        added = _pad(keys.select("key"), self.shards).groupBy("shard").cogroup(filters.groupBy("shard"))
+        added = _pad(keys.select("key"), shards).groupBy("shard").cogroup(filters.groupBy("shard"))
         return materialise(added.applyInArrow(add, "shard int, tables binary"), "line-filters")
 
     def remove(self, ids: DataFrame) -> LineIndex:
-        """The index without the documents whose ``doc_id`` is listed."""
+        """The index without the documents whose ``doc_id`` is listed; ids that it does not hold, and repeated ones, change nothing."""
         ids = ids.select(F.col("doc_id").cast("long").alias("gone")).distinct()
         match = F.col("doc_id").eqNullSafe(F.col("gone"))
-        gone = materialise(self.postings.join(ids, match, "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("less")), "line-gone")
+        gone = materialise(self.postings.join(ids, match, "left_semi").groupBy("key").agg(F.count_distinct(F.struct("doc_id")).alias("less")), "line-gone")
         postings = materialise(self.postings.join(ids, match, "left_anti"), "line-postings")
         first = postings.join(gone, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("new_first"))
         changed = self.refs.join(gone, "key").join(first, "key", "left").select("key", (F.col("n_docs") - F.col("less")).alias("n_docs"), F.col("new_first").alias("first_doc"))

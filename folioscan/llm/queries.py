@@ -54,7 +54,7 @@ def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    index = line_dedup.LineIndex.empty(spark).insert(docs)
+    index = line_dedup.LineIndex.build(docs)
     return line_dedup.dedup_lines(docs, index).select("doc_id", "n_lines", "n_dropped", text_digest(F.col("text")).alias("kept_sha256"))
 
 
