@@ -26,10 +26,14 @@ def dedup(hits: DataFrame, threshold: float = 0.65) -> DataFrame:
 
     A hit that overlaps a survivor replaces it in its place if it is preferred (text
     layer over recognised, else the higher confidence) and goes otherwise.  Groups
-    are the hits of one text on one page, so a fold stays small.
+    are the hits of one text on one page, so a fold stays small.  Hits go through the
+    fold whole: nothing is looked up again afterwards.
     """
-    item = F.struct("seq", "result_id", "source", "conf", geometry.union_of(F.col("rects")).alias("box"))
-    groups = hits.groupBy("doc_id", "page", text.dedup_key(F.col("matched")).alias("key")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    row = F.struct("seq", F.struct(*(F.col(c) for c in hits.columns)).alias("hit"))
+    keyed = hits.withColumn("__key", text.dedup_key(F.col("matched")))
+    groups = keyed.groupBy("doc_id", "page", "__key").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    # Small items go through the fold; of those that stay, the number finds the row.
+    items = F.transform("rows", lambda x, i: F.struct(i.alias("i"), x["hit"]["source"].alias("source"), x["hit"]["conf"].alias("conf"), geometry.union_of(x["hit"]["rects"]).alias("box")))
 
     def step(kept: Column, c: Column) -> Column:
         at = F.array_position(F.transform(kept, lambda e: geometry.iou(e["box"], c["box"]) >= threshold), True)
@@ -41,9 +45,8 @@ def dedup(hits: DataFrame, threshold: float = 0.65) -> DataFrame:
         replaced = F.transform(kept, lambda e, i: F.when(i + 1 == at, choose(e)).otherwise(e))
         return F.when(at == 0, F.concat(kept, F.array(c))).otherwise(replaced)
 
-    folded = groups.withColumn("items", F.aggregate("items", F.slice("items", 1, 0), step))
-    kept = folded.select("doc_id", F.explode("items.seq").alias("seq"))
-    return hits.join(kept, ["doc_id", "seq"], "left_semi")
+    folded = groups.withColumn("items", items).select("rows", F.explode(F.aggregate("items", F.slice("items", 1, 0), step)["i"]).alias("i"))
+    return folded.select(F.col("rows")[F.col("i")]["hit"].alias("hit")).select("hit.*")
 
 
 def first_ratio_rect(hits: DataFrame) -> DataFrame:

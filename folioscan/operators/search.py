@@ -1,105 +1,143 @@
-"""Positional search: literal, leftmost, non-overlapping matches, widened to whole tokens with their rectangles."""
+"""Positional search: literal, leftmost, non-overlapping matches, widened to whole tokens with their rectangles.
+
+All that a page's matches need stands in its row, so a search shuffles nothing.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.functions import ids, text
+from folioscan.functions import ids, stats, text
 from folioscan.model import OCR, TEXT_LAYER, QueryOptions, check_keyword
-from folioscan.sources.derive import PAGE, tokens
+from folioscan.sources.derive import PAGE, held, with_tokens
+
+#: Most text of keywords that one pass over the pages looks for; a larger table takes several passes.
+KEYWORD_BYTES = 4 << 20
+_HITS = "array<struct<ordinal:int,start:bigint,stop:bigint,conf:double,rects:array<struct<l:double,b:double,r:double,t:double>>>>"
+_RECT = pa.struct([(k, pa.float64()) for k in "lbrt"])
+_HIT = pa.list_(pa.struct([("ordinal", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("conf", pa.float64()), ("rects", pa.list_(_RECT))]))
 
 
 def normalized(index: DataFrame, options: QueryOptions = QueryOptions()) -> DataFrame:
     return index.withColumn("norm", text.normalize_page(F.col("text"), F.col("source"), options))
 
 
+def folded(keyword: str, options: QueryOptions) -> dict[str, str]:
+    """The keyword as it is looked for in each source, folded on the driver."""
+    return {s: text.normalize_query(check_keyword(keyword), options, s) for s in (TEXT_LAYER, OCR)}
+
+
 def by_source(keyword: str, options: QueryOptions) -> Column:
-    """The keyword as it is looked for in each source: two literals, folded on the driver."""
-    layer, read = (text.normalize_query(check_keyword(keyword), options, s) for s in (TEXT_LAYER, OCR))
-    return F.when(F.col("source") == OCR, F.lit(read)).otherwise(F.lit(layer))
+    needles = folded(keyword, options)
+    return F.when(F.col("source") == OCR, F.lit(needles[OCR])).otherwise(F.lit(needles[TEXT_LAYER]))
 
 
 def occurrences(pages: DataFrame, body: Column, needle: Column, keys: list[str], whole_word: bool = False) -> DataFrame:
     """keys, ordinal, m_start, m_len: each match of ``needle`` in ``body`` (0-based); ordinals count after the whole-word rule.
 
-    A body is evaluated and split once, where it is read.  Of its parts only lengths and
-    outer characters go on, so what is shuffled has a few bytes a match and no text.
+    A body is split at the needle once; offsets are the running sums of its parts'
+    lengths, and a match's neighbours are the outer characters of the parts beside it.
     """
-    pattern = F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    outer = F.transform(F.split(body, pattern, -1), lambda p: F.struct(F.char_length(p).alias("size"), F.substring(p, 1, 1).alias("first"), F.substring(p, -1, 1).alias("last")))
-    # The generator keeps the split from being repeated in the filter behind it.
-    split = pages.where(F.char_length(needle) > 0).select(*keys, needle.alias("needle"), F.explode(F.array(outer)).alias("parts")).where(F.size("parts") > 1)
-    parts = split.select(*keys, "needle", F.posexplode("parts").alias("k", "part"))
-    run = Window.partitionBy(*keys).orderBy("k")
     n = F.char_length("needle")
-    placed = parts.withColumns({"upto": F.sum("part.size").over(run), "after": F.lead("part.first").over(run), "later": F.lead("k", 2).over(run).isNotNull()})
-    placed = placed.where(F.col("after").isNotNull()).withColumn("m_start", (F.col("upto") + F.col("k") * n).cast("long"))
-    if not whole_word:
-        return placed.select(*keys, F.col("k").cast("int").alias("ordinal"), "m_start", n.cast("long").alias("m_len"))
-    # Between matches that touch, the neighbour is the next match's own character.
-    left = F.when(F.col("part.size") > 0, F.col("part.last")).when(F.col("k") > 0, F.substring("needle", -1, 1)).otherwise("")
-    right = F.when(F.col("after") != "", F.col("after")).when(F.col("later"), F.substring("needle", 1, 1)).otherwise("")
-    alone = placed.where(~text.joins_words(left) & ~text.joins_words(right))
-    ordinal = F.row_number().over(Window.partitionBy(*keys).orderBy("m_start")) - 1
-    return alone.select(*keys, ordinal.alias("ordinal"), "m_start", n.cast("long").alias("m_len"))
+    rows = held(pages.select(*keys, needle.alias("needle"), body.alias("__body")), "norm", F.col("__body")).where((n > 0) & F.contains("norm", "needle"))
+    literal = F.concat(F.lit("\\Q"), F.replace("needle", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    rows = held(rows, "parts", F.split("norm", literal, -1))
+    rows = held(rows, "sizes", F.transform("parts", F.char_length))
+    rows = held(rows, "upto", stats.running_sums(F.col("sizes")))
+    count, parts = F.size("upto") - 1, F.col("parts")
+
+    def alone(i: Column) -> Column:
+        # Between matches that touch, the neighbour is the next match's own character.
+        left = F.when(parts[i] != "", F.substring(parts[i], -1, 1)).when(i > 0, F.substring("needle", -1, 1)).otherwise("")
+        right = F.when(parts[i + 1] != "", F.substring(parts[i + 1], 1, 1)).when(i + 1 < count, F.substring("needle", 1, 1)).otherwise("")
+        return ~text.joins_words(left) & ~text.joins_words(right)
+
+    starts = F.transform(F.slice("upto", 1, count), lambda s, i: F.when(alone(i) if whole_word else F.lit(True), s + i * n))
+    found = rows.select(*keys, "needle", F.posexplode(F.array_compact(starts) if whole_word else starts).alias("ordinal", "m_start"))
+    return found.select(*keys, "ordinal", "m_start", n.cast("long").alias("m_len"))
 
 
 def matches(index: DataFrame, keyword: str, options: QueryOptions = QueryOptions()) -> DataFrame:
-    """(page, ordinal, m_start, m_len) in normalised text; ordinals count after the whole-word rule."""
+    """(page, ordinal, m_start, m_len) in the normal form of the page's text, of which every code point is a token."""
     body = text.normalize_page(F.col("text"), F.col("source"), options)
     return occurrences(index, body, by_source(keyword, options), PAGE, options.whole_word)
 
 
-def token_forms(toks: DataFrame, options: QueryOptions = QueryOptions()) -> DataFrame:
-    """Adds n_start and n_end: where each token stands in the normalised text."""
-    order = Window.partitionBy(*PAGE).orderBy("seq")
-    kind = F.when(F.col("token") == "\n", "n").when(F.rlike("token", F.lit("^[ \\t]")), "s").otherwise("w")
-    toks = toks.withColumn("kind", kind)
-    toks = toks.withColumns({"k1": F.lead("kind").over(order), "k2": F.lead("kind", 2).over(order), "k3": F.lead("kind", 3).over(order), "k0": F.lag("kind").over(order), "next": F.lead("token").over(order)})
-    ends = (F.col("k1") == "n") | ((F.col("k1") == "s") & (F.col("k2") == "n"))
-    join_next = (F.col("next") == "-") & ((F.col("k2") == "n") | ((F.col("k2") == "s") & (F.col("k3") == "n")))
-    false = F.lit(False)
-    joined = F.coalesce(ends & F.endswith("token", F.lit("-")), false) if options.join_hyphens else false
-    blank_gone = F.coalesce(F.col("k1") == "n", false) | F.coalesce(F.col("k0") == "n", false) if options.cross_line else F.coalesce(F.col("k1") == "n", false)
-    if options.join_hyphens:
-        blank_gone = blank_gone | F.coalesce(join_next, false)
-    if options.ignore_whitespace:
-        blank_gone = F.lit(True)
-    word = F.char_length(F.col("token") if options.case_sensitive else F.lower("token")) - joined.cast("int")
-    size = F.when(F.col("kind") == "w", word).when(F.col("kind") == "s", F.when(blank_gone, 0).otherwise(1)).otherwise(0 if options.cross_line else 1)
-    sized = toks.withColumn("size", size)
-    end = F.sum("size").over(order)
-    return sized.withColumns({"n_end": end.cast("long"), "n_start": (end - F.col("size")).cast("long")}).drop("kind", "k0", "k1", "k2", "k3", "next", "size")
+@functools.lru_cache(4096)
+def _joins(char: str) -> bool:
+    return char == "_" or unicodedata.category(char)[0] == "L" or unicodedata.category(char) == "Nd"
+
+
+def _places(body: str, needle: str, whole_word: bool) -> Iterator[int]:
+    at = body.find(needle) if needle else -1
+    while at >= 0:
+        end = at + len(needle)
+        if not whole_word or not (at and _joins(body[at - 1])) and not (end < len(body) and _joins(body[end])):
+            yield at
+        at = body.find(needle, end)
+
+
+def _place(keyword: str, options: QueryOptions):  # noqa: ANN202
+    """An Arrow UDF (tokens, source) -> the hits of a page: their tokens' offsets, mean confidence and a rectangle a line."""
+    needles = folded(keyword, options)
+
+    @F.arrow_udf(_HITS)
+    def run(tokens: pa.Array, sources: pa.Array) -> pa.Array:
+        cut = np.concatenate([[0], np.cumsum(tokens.value_lengths().fill_null(0).to_numpy())])
+        flat = tokens.flatten()
+        column = dict(zip([f.name for f in flat.type], flat.flatten(), strict=True))
+        texts = column["text"].to_pylist()
+        size = np.array([len(t) for t in texts], np.int64)
+        start, line, conf, *sides = (column[c].to_numpy(zero_copy_only=False) for c in ("start", "line", "conf", *"lbrt"))
+        rows = []
+        for begin, end, source in zip(cut[:-1], cut[1:], sources.to_pylist(), strict=True):
+            body, owner = text.normalize_tokens(texts[begin:end], source, options)
+            needle, row = needles.get(source, needles[TEXT_LAYER]), []
+            for ordinal, at in enumerate(_places(body, needle, options.whole_word)):
+                mine = np.array(sorted(set(owner[at : at + len(needle)]))) + begin
+                boxed = mine[~np.isnan(sides[0][mine].astype(float))]
+                if not len(boxed):
+                    continue
+                rects = []
+                for k in sorted(set(line[boxed].tolist())):
+                    here = boxed[line[boxed] == k]
+                    rects.append(tuple(float(f(s[here])) for f, s in zip((np.min, np.min, np.max, np.max), sides, strict=True)))
+                sure = conf[mine][conf[mine] >= 0]
+                row.append((ordinal, int(start[mine].min()), int((start[mine] + size[mine]).max()), float(sure.mean()) if len(sure) else -1.0, [dict(zip("lbrt", r, strict=True)) for r in rects]))
+            rows.append([dict(zip(("ordinal", "start", "stop", "conf", "rects"), h, strict=True)) for h in row])
+        return pa.array(rows, _HIT)
+
+    return run
 
 
 def hits(index: DataFrame, keyword: str, options: QueryOptions = QueryOptions()) -> DataFrame:
     """A row for each logical hit with at least one rectangle.
 
     doc_id, page, source, ordinal, matched, start, length, context, ctx_start,
-    ctx_end, conf, rects, result_id.  Tokens are made for pages with a match only.
+    ctx_end, conf, rects, result_id.  An index without ``tokens`` gets those of
+    ``derive.with_tokens``.  Tokens are folded one by one; pages whose text plainly
+    holds no match are passed over before that.
     """
-    found = matches(index, keyword, options)
-    pages = normalized(index, options).where(F.contains(F.col("norm"), by_source(keyword, options)))
-    toks = token_forms(tokens(pages), options)
-    joined = found.join(toks, PAGE).where("n_start < m_start + m_len and n_end > m_start")
-    hit = [*PAGE, "ordinal"]
-    lines = joined.groupBy(*hit, "line").agg(
-        F.min("l").alias("l"), F.min("b").alias("b"), F.max("r").alias("r"), F.max("t").alias("t"), F.min("start").alias("start"), F.max(F.col("start") + F.char_length("token")).alias("stop"),
-        F.sum(F.when(F.col("conf") >= 0, F.col("conf"))).alias("conf_sum"), F.count(F.when(F.col("conf") >= 0, 1)).alias("conf_n"),
-    )
-    box = F.when(F.col("l").isNotNull(), F.struct("line", "l", "b", "r", "t"))
-    whole = lines.groupBy(*hit).agg(F.array_sort(F.collect_list(box)).alias("boxes"), F.min("start").alias("start"), F.max("stop").alias("stop"), (F.coalesce(F.sum("conf_sum") / F.sum("conf_n"), F.lit(-1.0))).alias("conf"))
-    whole = whole.where(F.size("boxes") > 0).withColumn("rects", F.transform("boxes", lambda x: F.struct(x["l"].alias("l"), x["b"].alias("b"), x["r"].alias("r"), x["t"].alias("t"))))
-    full = whole.join(pages.select(*PAGE, F.col("text").alias("body"), "page_w", "page_h"), PAGE)
+    pages = index
+    if options.collapse_whitespace or options.ignore_whitespace:
+        plain = text.expressed(F.col("text"), F.col("source"), options)
+        pages = pages.where(text.needs_fold(F.col("text")) | F.contains(plain, by_source(keyword, options)))
+    pages = pages if "tokens" in index.columns else with_tokens(pages)
+    found = pages.select(*PAGE, F.col("text").alias("body"), "page_w", "page_h", F.explode(_place(keyword, options)("tokens", "source")).alias("h"))
+    full = found.select(*PAGE, "body", "page_w", "page_h", "h.*")
     begin, n = F.greatest(F.col("start") - options.context, F.lit(0)), F.char_length("body")
     end = F.least(F.col("stop") + options.context, n)
-    matched = F.substring("body", F.col("start") + 1, F.col("stop") - F.col("start"))
+    cut = lambda a, b: F.substring("body", (a + 1).cast("int"), (b - a).cast("int"))
+    full = full.select(*PAGE, "ordinal", cut(F.col("start"), F.col("stop")).alias("matched"), "start", (F.col("stop") - F.col("start")).alias("length"), cut(begin, end).alias("context"), (F.col("start") - begin).alias("ctx_start"), (F.col("stop") - begin).alias("ctx_end"), "conf", "rects", "page_w", "page_h")
     doc_fp = F.concat(F.lit("doc="), F.col("doc_id").cast("string"))
-    return full.select(
-        *hit, matched.alias("matched"), F.col("start").cast("long").alias("start"), (F.col("stop") - F.col("start")).cast("long").alias("length"), F.substring("body", begin + 1, end - begin).alias("context"), (F.col("start") - begin).cast("long").alias("ctx_start"),
-        (F.col("stop") - begin).cast("long").alias("ctx_end"), "conf", "rects", ids.result_id(doc_fp, F.col("page"), F.col("source"), matched, F.col("rects"), F.col("ordinal")).alias("result_id"), "page_w", "page_h",
-    )
+    return full.withColumn("result_id", ids.result_id(doc_fp, F.col("page"), F.col("source"), F.col("matched"), F.col("rects"), F.col("ordinal")))
 
 
 def native_matches(pages: DataFrame, keyword: str) -> DataFrame:
@@ -109,31 +147,49 @@ def native_matches(pages: DataFrame, keyword: str) -> DataFrame:
     return occurrences(pages, body, F.lit(needle), ["doc_id", "page"]).drop("m_len")
 
 
-def multi_keyword(pages: DataFrame, keywords: DataFrame) -> DataFrame:
+def multi_keyword(pages: DataFrame, keywords: DataFrame, block_bytes: int = KEYWORD_BYTES) -> DataFrame:
     """(item_id, doc_id, page, n): how often each keyword of a table occurs on a page, by whole lower-cased text.
 
-    Keywords meet only pages that hold their first four words: an equi-join on those
-    words replaces the product of both tables, and the whole keyword is then checked.
-    Keywords of fewer words are indexed by all they have.
+    One automaton of all keywords reads each page once, so keywords and pages are never
+    paired.  Keywords beyond ``block_bytes`` are looked for in further passes: the
+    driver holds one block of them at a time, whatever the table's size.
     """
-    lead = 4
     body = F.regexp_replace(F.lower("text"), "\\s+", " ")
-
-    def grams(words: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - lead + 1)), lambda i: F.array_join(F.slice(words, i, lead), " "))
-
-    def letters(t: Column) -> Column:
-        return F.filter(F.split(t, "[^\\p{L}\\p{Nd}]+"), lambda w: w != "")
-
+    flat = pages.select("doc_id", "page", body.alias("flat")).where("flat is not null")
     keys = keywords.select("item_id", body.alias("needle")).where("trim(needle) <> ''")
-    keys = keys.withColumn("words", letters(F.col("needle")))
-    # The first and last word of a keyword may be parts of longer words on the page.
-    long_keys = keys.where(F.size("words") >= lead + 2).select("item_id", "needle", F.array_join(F.slice("words", 2, lead), " ").alias("gram"))
-    flat = pages.select("doc_id", "page", body.alias("flat"))
-    # The generator keeps the split from being repeated for every position.
-    split = flat.select("doc_id", "page", F.explode(F.array(letters(F.col("flat")))).alias("words"))
-    met = split.select("doc_id", "page", F.explode(grams(F.col("words"))).alias("gram")).join(long_keys, "gram").select("doc_id", "page", "item_id", "needle").distinct()
-    few = keys.where(F.size("words") < lead + 2).select("item_id", "needle")
-    checked = met.join(flat, ["doc_id", "page"]).unionByName(flat.join(few, F.contains("flat", "needle")).select("doc_id", "page", "item_id", "needle", "flat"))
-    n = ((F.char_length("flat") - F.char_length(F.replace("flat", "needle", F.lit("")))) / F.char_length("needle")).cast("long")
-    return checked.select("item_id", "doc_id", "page", n.alias("n")).where("n > 0")
+    kinds = {f.name: f.dataType.simpleString() for f in (*keys.schema, *flat.schema)}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("item_id", "doc_id", "page")) + ", n long"
+
+    def counted(block: list[tuple]) -> DataFrame:
+        shared = pages.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            of: dict[str, list] = {}
+            for item, needle in shared.value:
+                of.setdefault(needle, []).append(item)
+                automaton.add_word(needle, needle)
+            automaton.make_automaton()
+            for batch in batches:
+                at, items, n = [], [], []
+                for i, page in enumerate(batch.column(2).to_pylist()):
+                    for needle in {needle for _, needle in automaton.iter(page)}:
+                        at += [i] * len(of[needle])
+                        items += of[needle]
+                        n += [page.count(needle)] * len(of[needle])
+                where = pa.array(at, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(items, item_type), batch.column(0).take(where), batch.column(1).take(where), pa.array(n, pa.int64())], ["item_id", "doc_id", "page", "n"])
+
+        item_type = pa.int64() if kinds["item_id"] in ("bigint", "int") else pa.string()
+        return flat.mapInArrow(run, schema)
+
+    total = keys.agg(F.sum(F.octet_length("needle"))).first()[0] or 0
+    blocks = -(-total // block_bytes)
+    part = F.pmod(F.xxhash64("needle"), F.lit(max(1, blocks)))
+    out = None
+    for k in range(blocks):
+        if block := [tuple(r) for r in keys.where(part == k).collect()]:
+            out = counted(block) if out is None else out.unionByName(counted(block))
+    return flat.sparkSession.createDataFrame([], schema) if out is None else out

@@ -56,9 +56,9 @@ def _needle(keyword: str) -> str:
     return f"CASE WHEN source = '{READ}' THEN '{keyword.replace('o', '0').replace('O', '0')}' ELSE '{keyword}' END"
 
 
-def _hits(keyword: str) -> str:
+def _hits(keyword: str, whole: bool = False) -> str:
     """ht: the hits of a keyword in conversations; hr: their rectangles by line."""
-    return rf"""{CONV_INDEX}, {_matches('ix', _norm(), _needle(keyword), P)},
+    return rf"""{CONV_INDEX}, {_matches('ix', _norm(), _needle(keyword), P, whole)},
 mx AS (SELECT ix.* FROM ix SEMI JOIN mt USING (doc_id, page, source)),
 tk AS (SELECT {P}, page_h, conf, dx, unnest(regexp_extract_all(text, '\n|[ \t]+|[^ \t\n]+')) AS token, generate_subscripts(regexp_extract_all(text, '\n|[ \t]+|[^ \t\n]+'), 1) AS seq FROM mx),
 t2 AS (SELECT *, CASE WHEN token = chr(10) THEN 'n' WHEN regexp_matches(token, '^[ \t]') THEN 's' ELSE 'w' END AS kind,
@@ -130,6 +130,12 @@ def oracle_sql() -> dict[str, str]:
         ("literal", "the", {}, False), ("rare", "worthless", {}, False), ("case", "The", {"case": True}, False), ("wholeword", "on", {}, True), ("crossline", ".the", {}, False), ("ignore_ws", "inthe", {"ignore_ws": True}, False),
     ):
         q[f"search_{name}"] = f"WITH {_doc_pages()}, {_matches(f'''(SELECT *, '{LAYER}' AS source FROM dp)''', _norm(**options), f'''{chr(39)}{keyword}{chr(39)}''', 'doc_id, page', whole)} SELECT doc_id, page, ordinal, m_start FROM mt"
+    # Pages in other forms: what the plain ones hold, but CR LF is two breaks and takes two hyphens.
+    twice = _norm().replace("(?:-[ \\t]*)?", "(?:-[ \\t]*)?(?:-[ \\t]*)?")
+    q["normalize_page_forms"] = f"WITH {CONV_INDEX} SELECT {P}, {twice} AS norm FROM ix"
+    q["search_forms"] = f"WITH {CONV_INDEX}, {_matches('ix', twice, _needle('the'), P)} SELECT {P}, ordinal, m_start FROM mt"
+    q["search_wide_tokens"] = f"WITH {_hits('the', True)} SELECT {P}, ordinal, start::BIGINT AS start, (stop - start)::BIGINT AS length, matched FROM ht"
+    q["search_cases"] = "SELECT * FROM (VALUES (0::BIGINT, 0::INT, 0::BIGINT, 3::BIGINT), (1, 0, 0, 12), (2, 0, 0, 7), (3, 0, 0, 4), (4, 0, 0, 2), (5, 0, 0, 6), (6, 0, 0, 4), (8, 0, 2, 4), (10, 0, 0, 4), (11, 0, 0, 3), (12, 0, 0, 3), (12, 1, 4, 3)) v(doc_id, ordinal, m_start, m_len)"
     q["search_context"] = f"WITH {_hits('the')} SELECT {P}, ordinal, matched, start::BIGINT AS start, (stop - start)::BIGINT AS length, context, (start - c0)::BIGINT AS ctx_start, (stop - c0)::BIGINT AS ctx_end, conf FROM ht"
     q["search_rects"] = f"WITH {_hits('.the')} SELECT {P}, ordinal, n, l, b, r, t FROM hr"
     q["search_result_id"] = f"WITH {_hits('the')} SELECT {P}, ordinal, result_id FROM ht"
@@ -192,8 +198,6 @@ SELECT doc_id, page, seq, round(ux + (vx - ux) * 0.75, 6)::DOUBLE AS x, round(uy
     q["weighted_quantile"] = f"""WITH {LENGTHS}, xe AS (SELECT doc_id, unnest(xs)::BIGINT AS x, generate_subscripts(xs, 1) - 1 AS i FROM xl),
 xr AS (SELECT *, sum(x) OVER (PARTITION BY doc_id ORDER BY i) AS upto, sum(x) OVER (PARTITION BY doc_id) AS total, count(*) OVER (PARTITION BY doc_id) AS n FROM xe)
 SELECT doc_id, {', '.join(f'coalesce(min(i) FILTER (upto > floor(total * {p}::DOUBLE)), max(n) - 1)::BIGINT AS at_{a}' for p, a in ((0.005, 5), (0.5, 500), (0.995, 995)))} FROM xr GROUP BY doc_id"""
-    q["ctc_decode"] = f"""WITH {CONV_PAGES}, cc AS (SELECT doc_id, page, unnest(string_split(string_split(text, chr(10))[1], '')) AS c, generate_subscripts(string_split(string_split(text, chr(10))[1], ''), 1) - 1 AS i FROM cp)
-SELECT doc_id, page, string_agg(unicode(c)::VARCHAR, ',' ORDER BY i) AS codes, round(avg(0.5 + (i % 32) / 64), 6) AS conf FROM cc WHERE c <> '' GROUP BY doc_id, page"""
     q["protocol_decode"] = f"WITH {CONV_PAGES} SELECT doc_id, page, text, length(text)::BIGINT AS raw_chars, {VISIBLE}::BIGINT AS n_boxed FROM cp"
     norm = _norm().replace("source", f"'{LAYER}'")
     q["incremental_pages"] = f"WITH {CONV_PAGES}, ic AS (SELECT doc_id, page, ((length(n) - length(replace(n, 'the', ''))) // 3)::BIGINT AS n_hits FROM (SELECT *, {norm} AS n FROM cp)) SELECT *, (sum(n_hits) OVER (PARTITION BY doc_id ORDER BY page))::BIGINT AS total FROM ic"
@@ -220,16 +224,9 @@ SELECT doc_id, page, CASE WHEN regexp_matches(m, 'password|encrypt') THEN 7 WHEN
     q["neighbour_clamp"] = f"""WITH {WORDS}, nc AS (SELECT doc_id, page, seq, l - 4 AS l, r + 4 AS r, lag(l - 4) OVER w AS pl, lag(r + 4) OVER w AS pr, lead(l - 4) OVER w AS nl, lead(r + 4) OVER w AS nr FROM wb WINDOW w AS (PARTITION BY doc_id, page, t ORDER BY seq)),
 nx AS (SELECT *, CASE WHEN pr > l THEN greatest(l, ((pl + pr) / 2 + (l + r) / 2) / 2) ELSE l END AS a, CASE WHEN nl < r THEN least(r, ((nl + nr) / 2 + (l + r) / 2) / 2) ELSE r END AS z FROM nc)
 SELECT doc_id, page, seq, round(CASE WHEN z > a THEN a ELSE l END, 6)::DOUBLE AS l, round(CASE WHEN z > a THEN z ELSE r END, 6)::DOUBLE AS r FROM nx"""
-    q["ctc_cells"] = f"""WITH {CONV_PAGES}, cl AS (SELECT doc_id, page, string_split(text, chr(10))[1] AS line FROM cp), cc AS (SELECT doc_id, page, line, unnest(string_split(line, '')) AS c, generate_subscripts(string_split(line, ''), 1) - 1 AS i FROM cl WHERE line <> ''),
-cr AS (SELECT doc_id, page, length(line) * 8 AS steps, i * 8 AS b, i * 8 + unicode(c) % 3 AS z FROM cc)
-SELECT doc_id, page, b::BIGINT AS begin, coalesce((lag(z) OVER w + b + 1) / 2, 0)::DOUBLE AS left_step, coalesce((z + lead(b) OVER w + 1) / 2, steps)::DOUBLE AS right_step FROM cr WINDOW w AS (PARTITION BY doc_id, page ORDER BY b)"""
     q["detect_boxes"] = f"""WITH {CONV_PAGES}, db AS (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM cp),
 dg AS (SELECT *, 6 * length(line) - 1 AS w, 7.0::DOUBLE * (6 * length(line) - 1) / (6 * length(line) + 6) AS d FROM db WHERE line <> '')
 SELECT doc_id, page, 2 * floor(8.5 - d)::BIGINT AS l, 2 * floor(24 * i + 8.5 - d)::BIGINT AS t, 2 * floor(8.5 + w + d)::BIGINT AS r, 2 * floor(24 * i + 15.5 + d)::BIGINT AS b FROM dg"""
-    q["token_ink_boxes"] = f"""WITH {CONV_PAGES}, cl AS (SELECT doc_id, page, string_split(text, chr(10))[1] AS line FROM cp), cc AS (SELECT doc_id, page, length(line) AS len, unnest(string_split(line, '')) AS c, generate_subscripts(string_split(line, ''), 1) - 1 AS i FROM cl WHERE line <> ''),
-ck AS (SELECT *, unicode(c) % 5 <> 0 AS ink, bool_or(unicode(c) % 5 <> 0) OVER (PARTITION BY doc_id, page) AS inked FROM cc WHERE trim(c) <> '')
-SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY i) - 1 AS n, round((6 * i + CASE WHEN ink THEN 1 ELSE 0 END) / (6.0::DOUBLE * len), 6) AS l, CASE WHEN inked THEN round(1 / 12.0::DOUBLE, 6) ELSE 0.0::DOUBLE END AS t,
- round((6 * i + CASE WHEN ink THEN 5 ELSE 6 END) / (6.0::DOUBLE * len), 6) AS r, CASE WHEN inked THEN round(11 / 12.0::DOUBLE, 6) ELSE 1.0::DOUBLE END AS b FROM ck"""
     q["ctc_decode_lines"] = f"""WITH {CONV_CHARS}
 SELECT doc_id, page, at_line, string_agg(unicode(c)::VARCHAR, ',' ORDER BY i) AS codes, round(avg(0.5 + (i % 32) / 64), 6) AS conf FROM cc WHERE c <> '' GROUP BY doc_id, page, at_line"""
     q["ctc_cells_lines"] = f"""WITH {CONV_CHARS}, cr AS (SELECT doc_id, page, at_line, len * 8 AS steps, i * 8 AS b, i * 8 + unicode(c) % 3 AS z FROM cc)

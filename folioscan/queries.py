@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -104,6 +105,50 @@ for _name, (_keyword, _options) in SEARCHES.items():
     _search(_name, _keyword, _options)
 
 
+#: Forms that fold back to what they stand for: full-width letters, an ideographic blank, a no-break blank behind a stop.
+WIDE = ("abcdefghijklmnopqrstuvwxyz ", "".join(chr(ord(c) + 0xFEE0) for c in "abcdefghijklmnopqrstuvwxyz") + "\u3000")
+
+
+def in_forms(index: DataFrame) -> DataFrame:
+    """The same pages in other characters, with ligatures and with CR LF."""
+    body = F.replace(F.replace(F.replace("text", F.lit("fi"), F.lit("\ufb01")), F.lit(". "), F.lit(".\xa0")), F.lit("\n"), F.lit("\r\n"))
+    return index.withColumn("text", F.translate(body, *WIDE))
+
+
+@query
+def normalize_page_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written in other forms have the normal form of the plain ones."""
+    return search.normalized(in_forms(conv_index(spark, sf_dir))).select("doc_id", "page", "source", "norm")
+
+
+@query
+def search_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.matches(in_forms(conv_index(spark, sf_dir)), "the").select("doc_id", "page", "source", "ordinal", "m_start")
+
+
+@query
+def search_wide_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits in full-width text: tokens are folded one by one, offsets and context are the page's own."""
+    wide = conv_index(spark, sf_dir).withColumn("text", F.translate("text", WIDE[0][:26], WIDE[1][:26]))
+    found = search.hits(wide, "The", dataclasses.replace(DEFAULT, whole_word=True))
+    return found.select("doc_id", "page", "source", "ordinal", "start", "length", F.translate("matched", WIDE[1], WIDE[0]).alias("matched"))
+
+
+#: Pages and keywords that only meet in their exact normal form, or do not meet.
+CASES = (
+    ("\uff21Bc here", "abc"), ("search-\r\nengine", "searchengine"), ("foo\u00a0bar", "foo bar"), ("\ufb01le under", "file"), ("a--\n\nb", "ab"), ("one\u2028two", "onetwo"), ("caf\u00e9", "cafe\u0301"),
+    ("cafe\u0301", "caf\u00e9"), ("x \u039f\u0394\u039f\u03a3", "\u03bf\u03b4\u03bf\u03c3"), ("\u039f\u0394\u039f\u03a3", "\u039f\u0394\u039f\u03a3"), ("\u8de8\u884c \n \u68c0\u7d22", "\u8de8\u884c\n\u68c0\u7d22"), ("a \n\u00a0b", "a b"), ("1\u2044\u2082 \u00bd", "1\u20442"),
+)
+
+
+@query
+def search_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page and one keyword a case."""
+    pages = spark.createDataFrame([(i, 0, TEXT_LAYER, p) for i, (p, _) in enumerate(CASES)], "doc_id long, page int, source string, text string")
+    found = [search.matches(pages.where(F.col("doc_id") == i), k) for i, (_, k) in enumerate(CASES)]
+    return functools.reduce(DataFrame.unionByName, found).select("doc_id", "ordinal", "m_start", "m_len")
+
+
 @query
 def search_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.hits(conv_index(spark, sf_dir), KEYWORD).select("doc_id", "page", "source", "ordinal", "matched", "start", "length", "context", "ctx_start", "ctx_end", "conf")
@@ -478,10 +523,6 @@ def weighted_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- recognition, protocols, streaming ---------------------------------------
-def _first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive.conversation_pages(table(spark, sf_dir, "conversations")).select("doc_id", "page", F.element_at(F.split("text", "\n", -1), 1).alias("line"))
-
-
 def _all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of a page, with its number in the page."""
     return derive.conversation_pages(table(spark, sf_dir, "conversations")).select("doc_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("at_line", "line"))
@@ -501,27 +542,15 @@ def _cells(lines: DataFrame, by: list[str]) -> DataFrame:
     return recognition.cell_bounds(runs, by, F.col("n") * 8).select(*by, F.col("begin").cast("long").alias("begin"), "left_step", "right_step")
 
 
-@query
-def ctc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each character of a page's first line for one to three steps, then a blank: decoded to itself."""
-    return _decoded(_first_lines(spark, sf_dir), ["doc_id", "page"])
-
-
 @query
 def ctc_decode_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``ctc_decode`` of every line."""
+    """Each character of a line for one to three steps, then a blank: decoded to itself."""
     return _decoded(_all_lines(spark, sf_dir), ["doc_id", "page", "at_line"])
 
 
-@query
-def ctc_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The runs of ``ctc_decode`` and the steps that belong to each."""
-    return _cells(_first_lines(spark, sf_dir), ["doc_id", "page"])
-
-
 @query
 def ctc_cells_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``ctc_cells`` of every line."""
+    """The runs of ``ctc_decode_lines`` and the steps that belong to each."""
     return _cells(_all_lines(spark, sf_dir), ["doc_id", "page", "at_line"])
 
 
@@ -564,15 +593,9 @@ def _ink_boxes(lines: DataFrame, by: list[str]) -> DataFrame:
     return boxes.select(*by, F.col("n").cast("long").alias("n"), *(F.round(c, 6).alias(c) for c in "ltrb"))
 
 
-@query
-def token_ink_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines drawn as bars; every fifth character code has no ink, so its box comes from its steps."""
-    return _ink_boxes(_first_lines(spark, sf_dir), ["doc_id", "page"])
-
-
 @query
 def token_ink_boxes_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``token_ink_boxes`` of every line."""
+    """Lines drawn as bars; every fifth character code has no ink, so its box comes from its steps."""
     return _ink_boxes(_all_lines(spark, sf_dir), ["doc_id", "page", "at_line"])
 
 

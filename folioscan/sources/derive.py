@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.functions import stats
 from folioscan.model import OCR, TEXT_LAYER
 
 CELL_W, CELL_H, LINES = 6.0, 12.0, 8
@@ -37,21 +38,46 @@ def page_index(pages: DataFrame) -> DataFrame:
     """
     kind = F.pmod(F.col("doc_id"), F.lit(3))
     sized = pages.withColumns(dict(zip(("page_w", "page_h"), page_size(F.col("text")), strict=True)))
-    layer = sized.select("doc_id", "page", F.lit(TEXT_LAYER).alias("source"), F.when(kind == 0, ".").otherwise(F.col("text")).alias("text"), "page_w", "page_h", F.lit(1.0).alias("conf"), F.lit(0.0).alias("dx"))
-    read = sized.where(kind < 2).select("doc_id", "page", F.lit(OCR).alias("source"), F.translate("text", "oO", "00").alias("text"), "page_w", "page_h", (0.5 + F.pmod("doc_id", F.lit(50)) / 100).alias("conf"), F.lit(1.5).alias("dx"))
-    both = layer.unionByName(read)
+    # Both sources of a page come from one reading of it.
+    both = sized.withColumn("source", F.explode(F.when(kind < 2, F.array(F.lit(TEXT_LAYER), F.lit(OCR))).otherwise(F.array(F.lit(TEXT_LAYER)))))
+    read = F.col("source") == OCR
+    body = F.when(read, F.translate("text", "oO", "00")).when(kind == 0, ".").otherwise(F.col("text"))
+    both = both.select("doc_id", "page", "source", body.alias("text"), "page_w", "page_h", F.when(read, 0.5 + F.pmod("doc_id", F.lit(50)) / 100).otherwise(1.0).alias("conf"), F.when(read, 1.5).otherwise(0.0).alias("dx"))
     visible = F.char_length(F.regexp_replace("text", "[ \\t\\n]", ""))
     return both.withColumns({"status": F.lit(0), "raw_chars": F.char_length("text"), "visible_chars": visible, "valid_boxes": visible})
 
 
+def held(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Adds a column that is computed once a row, however often it is used: a generator of one value keeps it from being repeated."""
+    return df.select("*", F.explode(F.array(column)).alias(name))
+
+
+def with_tokens(index: DataFrame) -> DataFrame:
+    """Adds ``tokens``, an array of (text, start, line, conf, l, b, r, t): words, blanks and breaks in order; only words have a box.
+
+    All within the row: nothing is shuffled.
+    """
+    parts = held(index, "__parts", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
+    parts = held(parts, "__sizes", F.transform("__parts", F.char_length))
+    parts = held(parts, "__ends", stats.running_sums(F.col("__sizes")))
+    parts = held(parts, "__breaks", F.transform("__parts", lambda p: (p == "\n").cast("int")))
+    parts = held(parts, "__lines", stats.running_sums(F.col("__breaks")))
+    parts = held(parts, "__line_ends", F.transform(F.filter(F.arrays_zip("__parts", "__ends"), lambda x: x["__parts"] == "\n"), lambda x: x["__ends"]))
+
+    def token(x: Column) -> Column:
+        start, line = x["__ends"] - x["__sizes"], x["__lines"] - x["__breaks"]
+        word = ~F.rlike(x["__parts"], F.lit("^[ \\t\\n]"))
+        begin = F.when(line > 0, F.element_at("__line_ends", F.greatest(line, F.lit(1)).cast("int"))).otherwise(0)
+        left = CELL_W * (start - begin) + F.col("dx")
+        top = F.col("page_h") - CELL_H * line
+        boxed = {"l": left, "b": top - CELL_H, "r": left + CELL_W * x["__sizes"], "t": top}
+        return F.struct(x["__parts"].alias("text"), start.alias("start"), line.cast("int").alias("line"), F.col("conf").alias("conf"), *(F.when(word, c).alias(k) for k, c in boxed.items()))
+
+    whole = F.transform(F.arrays_zip("__parts", "__sizes", "__ends", "__breaks", "__lines"), token)
+    return parts.withColumn("tokens", whole).drop("__parts", "__sizes", "__ends", "__breaks", "__lines", "__line_ends")
+
+
 def tokens(index: DataFrame) -> DataFrame:
-    """(page columns, seq, token, start, line, l, b, r, t): words, blanks and breaks in order; only words have a box."""
-    parts = index.select(*PAGE, "page_h", "conf", "dx", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("seq", "token"))
-    run = Window.partitionBy(*PAGE).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    is_break = F.col("token") == "\n"
-    parts = parts.withColumns({"start": F.coalesce(F.sum(F.char_length("token")).over(run), F.lit(0)), "line": F.coalesce(F.sum(is_break.cast("int")).over(run), F.lit(0)).cast("int")})
-    parts = parts.withColumn("line_start", F.min("start").over(Window.partitionBy(*PAGE, "line")))
-    word = ~F.rlike("token", F.lit("^[ \\t\\n]"))
-    left = CELL_W * (F.col("start") - F.col("line_start")) + F.col("dx")
-    top = F.col("page_h") - CELL_H * F.col("line")
-    return parts.select(*PAGE, "seq", "token", "start", "line", "conf", F.when(word, left).alias("l"), F.when(word, top - CELL_H).alias("b"), F.when(word, left + CELL_W * F.char_length("token")).alias("r"), F.when(word, top).alias("t"))
+    """(page columns, seq, token, start, line, conf, l, b, r, t): the tokens of ``with_tokens``, a row each."""
+    rows = with_tokens(index).select(*PAGE, F.posexplode("tokens").alias("seq", "x"))
+    return rows.select(*PAGE, "seq", F.col("x.text").alias("token"), "x.start", "x.line", "x.conf", "x.l", "x.b", "x.r", "x.t")
