@@ -74,7 +74,9 @@ def _plain_class() -> str:
 
 def needs_fold(text: Column) -> Column:
     """Whether a page's normal form takes more than the expression: other characters, or a hyphen before several breaks."""
-    return F.rlike(text, F.lit(f"[^{_plain_class()}]|-[ \\t]*\\n[ \\t]*\\n"))
+    # Runs of ASCII go first: the long class is then tried on the few characters that are left.
+    beyond = F.regexp_replace(text, "[\\t\\n -~]+", "")
+    return F.rlike(beyond, F.lit(f"[^{_plain_class()}]")) | F.rlike(text, F.lit("-[ \\t]*\\n[ \\t]*\\n"))
 
 
 def expressed(text: Column, source: Column, options: QueryOptions) -> Column:
