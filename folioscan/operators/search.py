@@ -94,24 +94,26 @@ def _place(keyword: str, options: QueryOptions):  # noqa: ANN202
         flat = tokens.flatten()
         column = dict(zip([f.name for f in flat.type], flat.flatten(), strict=True))
         texts = column["text"].to_pylist()
-        size = np.array([len(t) for t in texts], np.int64)
-        start, line, conf, *sides = (column[c].to_numpy(zero_copy_only=False) for c in ("start", "line", "conf", *"lbrt"))
+        start, line, conf, *sides = (column[c].to_numpy(zero_copy_only=False).tolist() for c in ("start", "line", "conf", *"lbrt"))
+        stop = [s + len(t) for s, t in zip(start, texts, strict=True)]
+        boxed = (~np.isnan(column["l"].to_numpy(zero_copy_only=False).astype(float))).tolist()
+        left, bottom, right, top = sides
         rows = []
-        for begin, end, source in zip(cut[:-1], cut[1:], sources.to_pylist(), strict=True):
+        for begin, end, source in zip(cut[:-1].tolist(), cut[1:].tolist(), sources.to_pylist(), strict=True):
             body, owner = text.normalize_tokens(texts[begin:end], source, options)
             needle, row = needles.get(source, needles[TEXT_LAYER]), []
             for ordinal, at in enumerate(_places(body, needle, options.whole_word)):
-                mine = np.array(sorted(set(owner[at : at + len(needle)]))) + begin
-                boxed = mine[~np.isnan(sides[0][mine].astype(float))]
-                if not len(boxed):
+                mine = [begin + k for k in sorted(set(owner[at : at + len(needle)]))]
+                by_line: dict[int, list[int]] = {}
+                for k in mine:
+                    if boxed[k]:
+                        by_line.setdefault(line[k], []).append(k)
+                if not by_line:
                     continue
-                rects = []
-                for k in sorted(set(line[boxed].tolist())):
-                    here = boxed[line[boxed] == k]
-                    rects.append(tuple(float(f(s[here])) for f, s in zip((np.min, np.min, np.max, np.max), sides, strict=True)))
-                sure = conf[mine][conf[mine] >= 0]
-                row.append((ordinal, int(start[mine].min()), int((start[mine] + size[mine]).max()), float(sure.mean()) if len(sure) else -1.0, [dict(zip("lbrt", r, strict=True)) for r in rects]))
-            rows.append([dict(zip(("ordinal", "start", "stop", "conf", "rects"), h, strict=True)) for h in row])
+                rects = [(min(left[k] for k in ks), min(bottom[k] for k in ks), max(right[k] for k in ks), max(top[k] for k in ks)) for _, ks in sorted(by_line.items())]
+                sure = [conf[k] for k in mine if conf[k] >= 0]
+                row.append((ordinal, min(start[k] for k in mine), max(stop[k] for k in mine), sum(sure) / len(sure) if sure else -1.0, rects))
+            rows.append(row)
         return pa.array(rows, _HIT)
 
     return run

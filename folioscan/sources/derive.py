@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.functions import stats
 from folioscan.model import OCR, TEXT_LAYER
 
 CELL_W, CELL_H, LINES = 6.0, 12.0, 8
 TOKEN = "\\n|[ \\t]+|[^ \\t\\n]+"
 PAGE = ["doc_id", "page", "source"]
+_TOKEN = re.compile(TOKEN)
 
 
 def document_pages(docs: DataFrame, lines: int = LINES) -> DataFrame:
@@ -52,29 +56,37 @@ def held(df: DataFrame, name: str, column: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(column)).alias(name))
 
 
-def with_tokens(index: DataFrame) -> DataFrame:
-    """Adds ``tokens``, an array of (text, start, line, conf, l, b, r, t): words, blanks and breaks in order; only words have a box.
+TOKENS = "array<struct<text:string,start:bigint,line:int,conf:double,l:double,b:double,r:double,t:double>>"
+
+
+def word_tokens(text: pa.Array, page_h: pa.Array, conf: pa.Array, dx: pa.Array) -> pa.Array:
+    """Words, blanks and breaks of each page in order, on a grid of character cells; only words have a box."""
+    parts = [_TOKEN.findall(t or "") for t in text.to_pylist()]
+    words = [w for page in parts for w in page]
+    many = np.array([len(page) for page in parts], np.int64)
+    size = np.array([len(w) for w in words], np.int64)
+    end = np.cumsum(size)
+    start = end - size
+    base = np.concatenate([[0], end])[np.cumsum(many) - many]  # of each page within the batch
+    is_break = np.array([w == "\n" for w in words], bool)
+    first = np.zeros(len(words), bool)
+    first[1:] = is_break[:-1]
+    first[(np.cumsum(many) - many)[many > 0]] = True
+    begin = np.maximum.accumulate(np.where(first, start, 0)) if len(words) else start
+    line = np.cumsum(is_break) - is_break
+    line -= np.repeat(np.concatenate([line, [0]])[np.cumsum(many) - many], many)
+    height, sure, shift = (np.repeat(c.cast(pa.float64()).to_numpy(zero_copy_only=False), many) for c in (page_h, conf, dx))
+    left, top = CELL_W * (start - begin) + shift, height - CELL_H * line
+    no_box = np.array([w[:1] in " \t\n" for w in words], bool)
+    sides = [pa.array(x, pa.float64(), mask=no_box) for x in (left, top - CELL_H, left + CELL_W * size, top)]
+    fields = [pa.array(words, pa.string()), pa.array(start - np.repeat(base, many)), pa.array(line, pa.int32()), pa.array(sure), *sides]
+    rows = pa.StructArray.from_arrays(fields, ["text", "start", "line", "conf", *"lbrt"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), rows)
 
-    All within the row: nothing is shuffled.
-    """
-    parts = held(index, "__parts", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
-    parts = held(parts, "__sizes", F.transform("__parts", F.char_length))
-    parts = held(parts, "__ends", stats.running_sums(F.col("__sizes")))
-    parts = held(parts, "__breaks", F.transform("__parts", lambda p: (p == "\n").cast("int")))
-    parts = held(parts, "__lines", stats.running_sums(F.col("__breaks")))
-    parts = held(parts, "__line_ends", F.transform(F.filter(F.arrays_zip("__parts", "__ends"), lambda x: x["__parts"] == "\n"), lambda x: x["__ends"]))
-
-    def token(x: Column) -> Column:
-        start, line = x["__ends"] - x["__sizes"], x["__lines"] - x["__breaks"]
-        word = ~F.rlike(x["__parts"], F.lit("^[ \\t\\n]"))
-        begin = F.when(line > 0, F.element_at("__line_ends", F.greatest(line, F.lit(1)).cast("int"))).otherwise(0)
-        left = CELL_W * (start - begin) + F.col("dx")
-        top = F.col("page_h") - CELL_H * line
-        boxed = {"l": left, "b": top - CELL_H, "r": left + CELL_W * x["__sizes"], "t": top}
-        return F.struct(x["__parts"].alias("text"), start.alias("start"), line.cast("int").alias("line"), F.col("conf").alias("conf"), *(F.when(word, c).alias(k) for k, c in boxed.items()))
-
-    whole = F.transform(F.arrays_zip("__parts", "__sizes", "__ends", "__breaks", "__lines"), token)
-    return parts.withColumn("tokens", whole).drop("__parts", "__sizes", "__ends", "__breaks", "__lines", "__line_ends")
+
+def with_tokens(index: DataFrame) -> DataFrame:
+    """Adds ``tokens``, an array of (text, start, line, conf, l, b, r, t), within the row: nothing is shuffled.  A null text has none."""
+    return index.withColumn("tokens", F.arrow_udf(word_tokens, TOKENS)("text", "page_h", "conf", "dx"))
 
 
 def tokens(index: DataFrame) -> DataFrame:
