@@ -1,11 +1,11 @@
 """SentencePiece encoding and decoding with offsets (operator 8).
 
 A text is first normalised through the model's compiled character map: at each
-position the longest prefix that the map knows is replaced, any other character
-stays, and every byte of the normalised text remembers the byte of the source it
-came from.  The library gives the ids; the pieces, laid end to end, cover the
-normalised text, so each piece is projected through that alignment to a byte span
-of the source.
+position the longest prefix that the map knows is replaced, any other byte stays, and
+every byte of the normalised text remembers the byte of the source it came from.  A map
+without entries is the same path with nothing to replace.  The library gives the ids;
+the pieces, laid end to end, cover the normalised text, so each piece is projected
+through that alignment to a byte span of the source.
 
 Where a model's vocabulary has no piece that runs from a visible character into a
 space (checked when the model is loaded), nothing merges across such a place, so a
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from folioscan.llm.common import bounded, texts_of
 
 META = "▁"
+_META = META.encode()
 _SEGMENT = re.compile(" *[^ ]+| +")
 #: Distinct segments that a worker remembers; beyond it, it starts afresh.
 REMEMBERED = 400_000
@@ -69,35 +70,62 @@ class CharacterMap:
             self.units = struct.unpack_from(f"<{size // 4}I", blob, 4)
             self.replacements = blob[4 + size :]
 
-    def longest(self, source: bytes, at: int) -> tuple[bytes, int]:
+    def _child(self, node: int, byte: int) -> tuple[int, int | None] | None:
+        """The node that a byte leads to, and where its replacement begins if a prefix ends there."""
+        node ^= byte
+        if node >= len(self.units) or (unit := self.units[node]) & 0x800000FF != byte:
+            return None
+        node ^= (unit >> 10) << ((unit & 512) >> 6)
+        return node, self.units[node] & 0x7FFFFFFF if unit >> 8 & 1 else None
+
+    @property
+    def _root(self) -> int:
+        return (self.units[0] >> 10) << ((self.units[0] & 512) >> 6)
+
+    @functools.cached_property
+    def _openings(self) -> np.ndarray:
+        """Whether two bytes may begin a known prefix: one that ends with the first, or goes on with the second."""
+        table = np.zeros((256, 256), bool)
+        for one in range(256):
+            if (found := self._child(self._root, one)) is not None:
+                node, value = found
+                table[one] = True if value is not None else [self._child(node, two) is not None for two in range(256)]
+        return table.ravel()
+
+    def match(self, source: bytes, at: int) -> tuple[bytes, int] | None:
         """What stands for the longest known prefix at a position, and that prefix's length."""
-        units, best, found = self.units, 0, -1
-        if units:
-            root = units[0]
-            node = (root >> 10) << ((root & 512) >> 6)
-            for end in range(at, len(source)):
-                byte = source[end]
-                node ^= byte
-                if node >= len(units):
-                    break
-                unit = units[node]
-                if unit & 0x800000FF != byte:
-                    break
-                node ^= (unit >> 10) << ((unit & 512) >> 6)
-                if unit >> 8 & 1:
-                    best, found = end + 1 - at, units[node] & 0x7FFFFFFF
-        if best:
-            return self.replacements[found : self.replacements.index(b"\0", found)], best
-        head = source[at]
-        width = 1 if head < 0xC0 else 2 if head < 0xE0 else 3 if head < 0xF0 else 4
-        return source[at : at + width], width
+        node, best = self._root, None
+        for end in range(at, len(source)):
+            if (found := self._child(node, source[end])) is None:
+                break
+            node, value = found
+            if value is not None:
+                best = value, end + 1 - at
+        return best and (self.replacements[best[0] : self.replacements.index(b"\0", best[0])], best[1])
+
+    def replaced(self, source: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes with every known prefix replaced, and the source byte of each: its own, or where the prefix begins."""
+        data = np.frombuffer(source, np.uint8)
+        own = np.arange(len(data), dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+        if not self.units or not len(data):
+            return data, own
+        behind = np.append(data[1:], 0).astype(np.int64)
+        maybe = np.flatnonzero(((data & 0xC0) != 0x80) & self._openings[data.astype(np.int64) * 256 + behind])
+        parts, origins, upto = [], [], 0
+        for at in maybe.tolist():
+            if at >= upto and (found := self.match(source, at)) is not None:
+                piece, n = found
+                parts += [data[upto:at], np.frombuffer(piece, np.uint8)]
+                origins += [own[upto:at], np.full(len(piece), at, own.dtype)]
+                upto = at + n
+        return np.concatenate([*parts, data[upto:]]), np.concatenate([*origins, own[upto:]])
 
 
 class PieceModel:
-    def __init__(self, model_file: str):
+    def __init__(self, model: str | bytes):
         import sentencepiece
 
-        self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        self.library = sentencepiece.SentencePieceProcessor(**{"model_proto" if isinstance(model, bytes) else "model_file": model})
         parts = list(_fields(self.library.serialized_model_proto()))
         pieces = [dict(_fields(v)) for k, v in parts if k == 1]
         self.pieces = [p[1].decode() for p in pieces]
@@ -110,51 +138,39 @@ class PieceModel:
         self.is_byte = kinds == 6
         plain = all(not re.search(f"[^{META}]{META}", p) for p, k in zip(self.pieces, kinds, strict=True) if k in (1, 4))
         self.segments = bool(plain and not norm.get(2) and self.prefix and not self.squeeze and self.escape and not self.suffix and self.is_byte.any() and not (kinds == 4).any())
-        #: Source bytes of each piece where spaces are the only characters that change.
-        self.width = np.array([1 if k == 6 else len(p.replace(META, " ").encode()) for p, k in zip(self.pieces, kinds, strict=True)], np.int64)
+        #: Bytes of the normalised text that each piece covers; what an unknown one covers differs.
+        self.size = np.array([1 if k == 6 else len(p.encode()) for p, k in zip(self.pieces, kinds, strict=True)], np.int64)
+        self.unknown = kinds == 2
         self.lone = struct.pack("<i", self.library.piece_to_id(META))
         self.known: dict[str, bytes] = {}
 
     # -- normalisation -------------------------------------------------------
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """The normalised bytes, and for each of them (and their end) the source byte."""
-        source, space = text.encode(), META.encode() if self.escape else b" "
-        out, origin, at = bytearray(), [], 0
-
-        def emit(piece: bytes) -> None:
-            for byte in piece:
-                add = space if byte == 32 else bytes((byte,))
-                out.extend(add)
-                origin.extend([at] * len(add))
-
+        source = text.encode()
+        out, origin = self.map.replaced(source)
+        begin, end = 0, len(source)
         if self.squeeze:
-            while at < len(source):
-                piece, n = self.map.longest(source, at)
-                if piece != b" ":
-                    break
-                at += n
-        if at == len(source):
+            blank = out == 32
+            if not (seen := np.flatnonzero(~blank)).size:
+                return b"", np.zeros(1, np.int64)
+            first, last = seen[0], seen[-1] + 1
+            begin, end = int(origin[first]), int(origin[last]) if last < len(out) else end
+            keep = ~blank
+            keep[1:] |= ~blank[:-1]  # the first blank of several
+            keep[:first] = keep[last:] = False
+            out, origin = out[keep], origin[keep]
+        elif not source:
             return b"", np.zeros(1, np.int64)
-        if self.prefix and not self.suffix:
-            emit(b" ")
-        after_space = bool(self.squeeze)
-        while at < len(source):
-            piece, n = self.map.longest(source, at)
-            if after_space:
-                piece = piece.lstrip(b" ")
-            if piece:
-                emit(piece)
-                after_space = piece.endswith(b" ")
-            at += n
-            after_space = after_space and bool(self.squeeze)
-        if self.squeeze:
-            while out.endswith(space):
-                del out[-len(space) :]
-                at = origin[len(out)]
-                del origin[len(out) :]
-        if self.prefix and self.suffix:
-            emit(b" ")
-        return bytes(out), np.array([*origin, at], np.int64)
+        if self.prefix:
+            at = len(out) if self.suffix else 0
+            out, origin = np.insert(out, at, 32), np.insert(origin, at, end if self.suffix else begin)
+        if self.escape:
+            blank = out == 32
+            many = np.where(blank, len(_META), 1)
+            out, origin = np.repeat(out, many), np.repeat(origin, many)
+            out[np.repeat(blank, many)] = np.tile(np.frombuffer(_META, np.uint8), int(blank.sum()))
+        return out.tobytes(), np.append(origin, end)
 
     # -- encoding ------------------------------------------------------------
     def ids(self, texts: Sequence[str]) -> list[np.ndarray]:
@@ -193,26 +209,39 @@ class PieceModel:
         """Source byte spans of the pieces; they are ascending and do not overlap."""
         if not len(ids):
             return np.zeros(0, np.int32), np.zeros(0, np.int32)
-        if self.segments and META not in text:
-            ends = np.cumsum(self.width[ids]) - 1
-            return np.concatenate([[0], ends[:-1]]).astype(np.int32), ends.astype(np.int32)
         _, origin = self.normalise(text)
-        surface = self.library.encode(text, out_type=str)
-        length = [1 if self.is_byte[i] else len(p.encode()) for i, p in zip(ids, surface, strict=True)]
-        ends = np.cumsum(length)
-        at = origin[np.concatenate([[0], ends])]
-        return at[:-1].astype(np.int32), at[1:].astype(np.int32)
+        size = self.size[ids]
+        if self.unknown[ids].any():
+            size = np.array([1 if self.is_byte[i] else len(p.encode()) for i, p in zip(ids, self.library.encode(text, out_type=str), strict=True)])
+        at = origin[np.concatenate([[0], np.cumsum(size)])].astype(np.int32)
+        return at[:-1], at[1:]
+
+
+def with_rule(model_file: str, rule: str) -> bytes:
+    """A model of the same pieces whose texts go through the library's compiled map of a rule (nfkc, nmt_nfkc, nfkc_cf, nmt_nfkc_cf)."""
+    import sentencepiece
+
+    def varint(n: int) -> bytes:
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    spec = dict(_fields(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()))[3]
+    blob = dict(_fields(spec))[2]
+    entry = b"\x12" + varint(len(blob)) + blob
+    # A message that comes again is merged into the first: only the map changes.
+    with open(model_file, "rb") as f:
+        return f.read() + b"\x1a" + varint(len(entry)) + entry
 
 
 @functools.lru_cache(2)
-def model(model_file: str) -> PieceModel:
+def model(source: str | bytes) -> PieceModel:
     """One model for each Python worker."""
-    return PieceModel(model_file)
+    return PieceModel(source)
 
 
-def encode(df: DataFrame, model_file: str, text: str = "text", keep: Sequence[str] = ("doc_id",), decode: bool = False) -> DataFrame:
+def encode(df: DataFrame, model_file: str | bytes, text: str = "text", keep: Sequence[str] = ("doc_id",), decode: bool = False) -> DataFrame:
     """``keep``, ``ids array<int>``, ``begins`` and ``ends array<int>`` (byte spans in the text), and with ``decode`` the library's ``decoded`` text.
 
+    ``model_file`` is a path that every executor has, or a model's bytes.
     Null and empty texts have no ids and decode to an empty text.  Repeated rows
     give repeated results.  Texts are never cut short: a long one is a batch of
     its own.  A kept column with the name of an output gives way to the output.
@@ -239,7 +268,7 @@ def encode(df: DataFrame, model_file: str, text: str = "text", keep: Sequence[st
     return narrow.mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, model_file: str, ids: str = "ids", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+def decode(df: DataFrame, model_file: str | bytes, ids: str = "ids", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keep`` and the library's ``decoded`` text of an array of ids; a null array gives a null text."""
     keep = [c for c in keep if c != "decoded"]
     narrow = df.select(*keep, df[ids].alias("__ids"))

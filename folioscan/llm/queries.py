@@ -133,6 +133,15 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sentencepiece_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in full-width letters with ligatures, through a compiled character map; ``spans_sha256`` is of begins and ends."""
+    docs = load(spark, sf_dir, "documents")
+    wide = F.translate(F.replace("text", F.lit("fi"), F.lit("\ufb01")), "abcdefghijklm", "".join(chr(ord(c) + 0xFEE0) for c in "abcdefghijklm"))
+    coded = pieces.encode(docs.withColumn("text", wide), pieces.with_rule(model_file(), "nmt_nfkc"))
+    digest = lambda *c: F.sha2(F.array_join(F.concat(*c), ",").cast("binary"), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"), digest("begins", "ends").alias("spans_sha256"), F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("long").alias("covered_bytes"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(load(spark, sf_dir, "documents"), model_file())
 
@@ -143,7 +152,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_syncmers, op3_line_dedup, op4_near_duplicates, op5_quality, op6_mix_sources, op7_toxicity, op8_sentencepiece, op9_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op2_syncmers, op3_line_dedup, op4_near_duplicates, op5_quality, op6_mix_sources, op7_toxicity, op8_sentencepiece, sentencepiece_mapped, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
