@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from folioscan.sources.shared import checkpoint_root, shared_dir
 
-__all__ = ["bounded", "checkpoint_root", "held_out", "load", "materialise", "shared_dir", "text_digest", "texts_of"]
+__all__ = ["bounded", "checkpoint_root", "held_out", "load", "materialise", "shared_dir", "text_digest", "texts_of", "written"]
 
 BATCH_BYTES = 2 << 20
 BATCH_ROWS = 4096
@@ -30,12 +30,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def written(df: DataFrame, name: str) -> str:
+    """Where ``df`` has been written in the shared folder, as Parquet."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: one computation, short lineage."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
 
 
 def bounded(batches: Iterator[pa.RecordBatch], batch_bytes: int = BATCH_BYTES, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,13 @@
 """Quality rules (operator 10): base counts, and an n-gram perplexity band for each language.
 
-The model is a modified Kneser-Ney model of order 4 over 64 character classes.
-Spark counts the n-grams of every document, each task combining its own first; the
-64 classes bound a language's table at 2**24 entries whatever the corpus holds.  The
-probabilities and back-off weights of each order stand in sorted arrays of n-gram
-hashes and are found by binary search.
+The model is a modified Kneser-Ney model of order 4 over 64 symbols: classes of the
+characters of Latin script, while a character of another script is spelled, its class
+followed by the six bits of each of its further UTF-8 bytes.  Spark counts the n-grams
+of all orders, their discounts, probabilities and back-off weights; 64 symbols bound a
+language's table at 2**24 entries whatever the corpus holds.  What comes out is written to
+the shared folder as arrays that are sorted by the n-grams' hashes, in shards of a
+language, and workers load the languages they meet and find n-grams by binary search.
+Nothing of the model passes through the driver.
 
 A document is rejected if the base rules fail it, or if its perplexity lies outside
 its language's band.  The bands come from the quartiles of all distinct texts of the
@@ -15,6 +18,7 @@ language that pass the base rules, taken exactly from a histogram of log-perplex
 from __future__ import annotations
 
 import dataclasses
+import functools
 from collections import OrderedDict
 from collections.abc import Iterator, Sequence
 
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.llm import vec
-from folioscan.llm.common import BATCH_BYTES, bounded, materialise, texts_of
+from folioscan.llm.common import BATCH_BYTES, bounded, materialise, texts_of, written
 from folioscan.llm.vec import U64
 
 ORDER, BITS = 4, 6
@@ -49,13 +53,18 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 
 
 def grams(t: vec.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Code of each character n-gram of order 4 and the text it ends in; a blank stands before and after each text."""
+    """Code of each n-gram of order 4 and the text it ends in; a blank stands before and after each text."""
     data = t.data
     lead = (data & 0xC0) != 0x80
-    at = np.flatnonzero(lead)
-    kinds = _CLASS[data[at]]
-    wide = data[at] >= 0xC0
-    kinds[wide] = 60 + (data[np.minimum(at[wide] + 1, len(data) - 1)] & 3)
+    heads = np.flatnonzero(lead)
+    second = data[np.minimum(heads + 1, len(data) - 1)] if len(data) else data
+    # From U+0280 on, but for general punctuation, characters are spelled.
+    spelled = (data[heads] >= 0xCA) & ~((data[heads] == 0xE2) & ((second & 0xFE) == 0x80))
+    symbol = np.where(lead, _CLASS[data], data & 63)
+    wide = data[heads] >= 0xC0
+    symbol[heads[wide]] = 60 + (np.where(spelled, data[heads], second)[wide] & 3)
+    at = np.flatnonzero(lead | np.repeat(spelled, np.diff(np.append(heads, len(data))))) if len(data) else heads
+    kinds = symbol[at]
     owner = t.owner(at)
     chars = np.bincount(owner, minlength=t.n)
     full = np.flatnonzero(chars)
@@ -144,7 +153,7 @@ class KneserNey:
 
     @classmethod
     def fit(cls, codes: np.ndarray, counts: np.ndarray) -> KneserNey:
-        """From the counts of the highest order; lower orders count the distinct n-grams that end in theirs."""
+        """From the counts of one language's highest order, in one process: what ``probabilities`` does for a corpus."""
         levels = [(codes, counts.astype(float))]
         for order in range(ORDER - 1, 0, -1):
             shorter = levels[0][0] & ((1 << BITS * order) - 1)
@@ -190,12 +199,94 @@ def _discounts(n: np.ndarray) -> np.ndarray:
     return np.clip(by, [0, 0.1, 0.1, 0.1], [0, 0.95, 1.9, 2.9])
 
 
-def train(docs: DataFrame) -> dict[str, KneserNey]:
-    """A model for each language of ``docs`` (lang, text); a table has at most 2**24 n-grams."""
-    counts = count_grams(docs).toArrow()
-    langs = np.array(counts["lang"].to_pylist(), object)
-    codes, n = counts["gram"].to_numpy().astype(np.uint32), counts["n"].to_numpy()
-    return {str(lang): KneserNey.fit(codes[langs == lang][o := np.argsort(codes[langs == lang])], n[langs == lang][o]) for lang in sorted(set(langs))}
+#: Shards of a language's arrays, by the upper bits of the hash.
+SHARD_BITS = 4
+
+
+def levels(counts: DataFrame) -> DataFrame:
+    """(lang, order, gram, n) of all orders: lower ones count the distinct n-grams that end in theirs."""
+    level = counts.select("lang", F.lit(ORDER).alias("order"), "gram", "n")
+    out = level
+    for order in range(ORDER - 1, 0, -1):
+        suffix = F.col("gram").bitwiseAND(F.lit((1 << BITS * order) - 1))
+        level = materialise(level.groupBy("lang", suffix.alias("gram")).agg(F.count(F.lit(1)).alias("n")).select("lang", F.lit(order).alias("order"), "gram", "n"), "grams")
+        out = out.unionByName(level)
+    return out
+
+
+def probabilities(counted: DataFrame) -> DataFrame:
+    """(lang, backoff, order, gram, value): log-probabilities of n-grams, and of contexts the log of what is left for shorter ones."""
+    seen = {k: F.count_if(F.col("n") == k).cast("double") for k in (1, 2, 3, 4)}
+    spread = counted.groupBy("lang", "order").agg(*(v.alias(f"c{k}") for k, v in seen.items()))
+    y = F.when(F.col("c1") > 0, F.col("c1") / (F.col("c1") + 2 * F.col("c2"))).otherwise(0.0)
+    cut = lambda k, most: F.least(F.lit(most), F.greatest(F.lit(0.1), F.when((F.col(f"c{k}") > 0) & (F.col(f"c{k + 1}") > 0), k - (k + 1) * y * F.col(f"c{k + 1}") / F.col(f"c{k}")).otherwise(0.5)))
+    discounts = spread.select("lang", "order", cut(1, 0.95).alias("d1"), cut(2, 1.9).alias("d2"), cut(3, 2.9).alias("d3"))
+    taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    rated = counted.join(discounts, ["lang", "order"]).select("lang", "order", "gram", F.shiftright("gram", BITS).alias("context"), "n", taken.alias("taken"))
+    totals = rated.groupBy("lang", "order", "context").agg(F.sum("n").alias("total"), F.sum("taken").alias("freed"))
+    totals = totals.select("lang", "order", "context", "total", (F.col("freed") / F.col("total")).alias("weight"))
+    rated = rated.join(totals, ["lang", "order", "context"]).select("lang", "order", "gram", "weight", ((F.col("n") - F.col("taken")) / F.col("total")).alias("own"))
+    rated = materialise(rated, "grams-rated")
+    lower = None
+    parts = []
+    for order in range(1, ORDER + 1):
+        mine = rated.where(F.col("order") == order).withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1)))
+        if lower is None:
+            mine = mine.withColumn("below", F.lit(1 / CLASSES))
+        else:
+            mine = mine.join(lower, ["lang", "suffix"])
+        done = mine.select("lang", "gram", (F.col("own") + F.col("weight") * F.col("below")).alias("p"))
+        if order < ORDER:
+            done = materialise(done, "gram-p")
+        lower = done.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below"))
+        parts.append(done.select("lang", F.lit(False).alias("backoff"), F.lit(order).alias("order"), "gram", F.log("p").alias("value")))
+    parts.append(totals.select("lang", F.lit(True).alias("backoff"), (F.col("order") - 1).alias("order"), F.col("context").alias("gram"), F.log(F.greatest("weight", F.lit(1e-9))).alias("value")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def train(docs: DataFrame) -> str:
+    """Writes a model for each language of ``docs`` (lang, text) and returns its folder.
+
+    Rows are (lang, backoff, order, shard, keys, values): hashes in ascending order, a
+    shard having those of its upper bits, and float values.  Repeated rows count as often
+    as they stand there; null and empty texts add nothing, an empty table gives no rows.
+    """
+    values = probabilities(levels(materialise(count_grams(docs), "grams")))
+    hashed = pa.schema([("lang", pa.string()), ("backoff", pa.bool_()), ("order", pa.int32()), ("shard", pa.int32()), ("hash", pa.int64()), ("value", pa.float32())])
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            order, code = batch.column("order").to_numpy(), batch.column("gram").to_numpy()
+            h = vec.mix(code.astype(U64) | (order.astype(U64) << U64(32)))
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("backoff"), batch.column("order").cast(pa.int32()), pa.array((h >> U64(64 - SHARD_BITS)).astype(np.int32)), pa.array(h.view(np.int64)), batch.column("value").cast(pa.float32())], schema=hashed)
+
+    def packed(key: tuple, rows: pa.Table) -> pa.Table:
+        h = rows["hash"].to_numpy().view(U64)
+        by = np.argsort(h)
+        lang, backoff, order, shard = (k.as_py() for k in key)
+        row = {"lang": lang, "backoff": backoff, "order": order, "shard": shard, "keys": h[by].tobytes(), "values": rows["value"].to_numpy()[by].astype("<f4").tobytes()}
+        return pa.Table.from_pylist([row], pa.schema([*[hashed.field(i) for i in range(4)], ("keys", pa.binary()), ("values", pa.binary())]))
+
+    kinds = "lang string, backoff boolean, order int, shard int, "
+    arrays = values.mapInArrow(hashes, kinds + "hash long, value float").groupBy("lang", "backoff", "order", "shard").applyInArrow(packed, kinds + "keys binary, values binary")
+    return written(arrays.repartition("lang").sortWithinPartitions("lang", "backoff", "order", "shard"), "perplexity-model")
+
+
+def load_model(folder: str, lang: str) -> KneserNey:
+    """A language's model from the folder that ``train`` returned; one without n-grams if it is not there."""
+    from pyarrow import dataset, fs
+
+    store, path = fs.FileSystem.from_uri(folder)
+    rows = dataset.dataset(path, filesystem=store, format="parquet").to_table(filter=dataset.field("lang") == lang).sort_by("shard")
+    tables: dict[tuple[bool, int], list[tuple[bytes, bytes]]] = {}
+    for backoff, order, keys, values in zip(*(rows[c].to_pylist() for c in ("backoff", "order", "keys", "values")), strict=True):
+        tables.setdefault((backoff, order), []).append((keys, values))
+
+    def table(backoff: bool, order: int) -> HashTable:
+        parts = tables.get((backoff, order), [])
+        return HashTable(np.frombuffer(b"".join(k for k, _ in parts), U64), np.frombuffer(b"".join(v for _, v in parts), "<f4"))
+
+    return KneserNey([table(False, order) for order in range(1, ORDER + 1)], [table(True, order) for order in range(ORDER)])
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -265,8 +356,8 @@ class Answers:
         return got
 
 
-def measure(docs: DataFrame, models: dict[str, KneserNey], keep: Sequence[str]) -> DataFrame:
-    """keep, lang, the base counts, ``log_ppl`` (null for a text without characters) and ``digest`` of the text."""
+def measure(docs: DataFrame, folder: str, keep: Sequence[str]) -> DataFrame:
+    """keep, lang, the base counts and ``log_ppl`` by the models of a folder (null for a text without characters); it must be one that all executors reach."""
     narrow = docs.select(*keep, "lang", "text")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in narrow.schema if f.name not in ("lang", "text"))
 
@@ -285,7 +376,7 @@ def measure(docs: DataFrame, models: dict[str, KneserNey], keep: Sequence[str])
                 if str(lang) not in tables:
                     if len(tables) >= HELD_LANGUAGES:
                         tables.popitem(last=False)
-                    tables[str(lang)] = Answers(models[str(lang)])
+                    tables[str(lang)] = Answers(load_model(folder, str(lang)))
                 tables.move_to_end(str(lang))
                 logs[mine] = tables[str(lang)].log_p(codes[mine])
             size = np.bincount(whose, minlength=t.n)
@@ -305,9 +396,9 @@ def bands(measured: DataFrame, spread: float = SPREAD, least: float = LEAST_WIDT
 
     A histogram in steps of 0.001 has a bounded number of rows a language, so the
     quartiles are exact at that step and need no sort of the documents.  Copies of a
-    text are counted by its (n_words, word_chars, log-perplexity) once.
+    text are counted once, by its ``digest``.
     """
-    good = measured.where(~F.col("base_failed") & F.col("log_ppl").isNotNull()).select("lang", "n_words", "word_chars", F.round("log_ppl", 6).alias("l")).distinct()
+    good = measured.where(~F.col("base_failed") & F.col("log_ppl").isNotNull()).groupBy("lang", "digest").agg(F.min("log_ppl").alias("l"))
     steps = good.groupBy("lang", F.round("l", 3).alias("step")).agg(F.count(F.lit(1)).alias("n"))
     run = Window.partitionBy("lang").orderBy("step")
     steps = steps.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
@@ -328,8 +419,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     models = train(rows)
+    rows = rows.withColumn("digest", F.xxhash64("text"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    measured = materialise(measure(rows, models, ["doc_id"]).withColumn("base_failed", failed), "perplexity")
+    measured = materialise(measure(rows, models, ["doc_id", "digest"]).withColumn("base_failed", failed), "perplexity")
     joined = measured.join(bands(measured), F.col("lang") == F.col("band_lang"), "left")
     kept, typical = (~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col(a), F.col(b)), F.lit(False)) for a, b in (("low", "high"), ("typical_low", "typical_high")))
     return joined.select("doc_id", *BASE, "base_failed", kept.alias("kept"), "log_ppl", "low", "high", typical.alias("typical"), "typical_low", "typical_high")
