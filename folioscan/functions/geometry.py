@@ -93,3 +93,14 @@ def detection_size(width: Column, height: Column, most: int) -> Column:
 def detection_side(width: Column, height: Column) -> Column:
     """Long side of a detector's input: the next multiple of 32, from 960 to 2048."""
     return (F.ceil(F.greatest(F.lit(960), F.least(F.lit(2048), F.greatest(width, height))) / 32) * 32).cast("int")
+
+
+def render_height(page_w: Column, page_h: Column, width: int) -> Column:
+    """Height in pixels of a page that is drawn ``width`` pixels wide; null for pages and widths without extent."""
+    height = F.greatest(F.lit(1), F.floor(page_h * (width / page_w) + 0.5).cast("int"))
+    return F.when((page_w > 0) & (page_h > 0) & F.lit(width > 0), height)
+
+
+def recognition_width(width: Column, height: Column, widest: Column, line: int = 32) -> Column:
+    """Width of a line image that is made ``line`` pixels high, ``line`` times the ratio ``widest`` at most."""
+    return F.least(F.ceil(line * (width / height)), F.floor(line * widest)).cast("int")

@@ -25,6 +25,11 @@ def page_key(doc_fp: Column, page: Column, source: Column, ocr_width: int = 1280
     return F.when(source == OCR, ocr).otherwise(text)
 
 
+def ocr_page_key(doc_fp: Column, page: Column, width: int, namespace: str | None) -> Column:
+    """Key of a stored recognition; null fingerprints are empty."""
+    return F.concat(F.coalesce(doc_fp, F.lit("")), F.lit("#page="), page.cast("string"), F.lit(f"#ocrWidth={width}#namespace={'default' if namespace is None else namespace}"))
+
+
 def file_name(key: Column, extension: str = ".pidx") -> Column:
     return F.concat(F.sha2(key, 256), F.lit(extension))
 

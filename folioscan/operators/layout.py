@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import geometry, stats
 from folioscan.operators.results import column_split
+from folioscan.sources.derive import held
 
 #: Punctuation that takes no space after it, before it, on either side.
 OPENING = "([{<（［｛《〈「『【〔〖〘〚“‘"
@@ -56,31 +57,45 @@ def separators(blocks: DataFrame, keys: list[str], order: str, page_w: Column) -
     return blocks.withColumn("separator", F.when(prev["l"].isNotNull(), kind))
 
 
-def recovered_spaces(toks: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``space`` to tokens (seq, token, l, r in ratios of the line): whether a lost space stood before it.
+def with_lost_spaces(rows: DataFrame, tokens: str) -> DataFrame:
+    """Adds ``spaced``: the seq of the tokens (seq, token, l, r; ratios of the line) of an array in the row before which a lost space stood.
 
     Ordinary gaps are those between visible neighbours; the baseline is their lower
     35 % quantile where there are three at least.
     """
-    whole = Window.partitionBy(*keys)
-    run = whole.orderBy("seq")
-    seen = toks.withColumn("visible", ~F.rlike("token", F.lit("^\\s*$")) & (F.col("r") > F.col("l")))
-    v = seen.where("visible").withColumn("blank", F.lit(False))
-    blanks = seen.where(F.rlike("token", F.lit("\\s"))).select(*keys, F.col("seq").alias("blank_seq"))
-    v = v.withColumns({"p_tok": F.lag("token").over(run), "p_l": F.lag("l").over(run), "p_r": F.lag("r").over(run), "p_seq": F.lag("seq").over(run)})
-    first = F.first((F.col("l") + F.col("r")) / 2).over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    last = F.last((F.col("l") + F.col("r")) / 2).over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    v = v.withColumn("gap", F.when(last + 0.0001 >= first, F.col("l") - F.col("p_r")).otherwise(F.col("p_l") - F.col("r")))
-    broken = v.join(blanks, keys).where("blank_seq > p_seq and blank_seq < seq").select(*keys, "seq").distinct().withColumn("broken", F.lit(True))
-    v = v.join(broken, [*keys, "seq"], "left").withColumn("broken", F.coalesce("broken", F.lit(False)))
-    facts = v.groupBy(*keys).agg(stats.median(F.collect_list(F.col("r") - F.col("l"))).alias("width"), F.collect_list(F.when(~F.col("broken") & (F.col("gap") > 0), F.col("gap"))).alias("gaps"))
-    base = F.when(F.size("gaps") >= 3, stats.lower_quantile(F.col("gaps"), 0.35)).otherwise(0.0)
-    v = v.join(facts.select(*keys, "width", base.alias("base")), keys)
-    before, after = last_visible(F.col("p_tok")), first_visible(F.col("token"))
-    least = F.greatest(F.lit(0.004), F.col("width") * spacing_factor(before, after), 2.6 * F.col("base"))
-    space = F.col("p_seq").isNotNull() & ~F.col("broken") & (F.col("gap") > 0) & ~takes_no_space(before, after) & (F.col("gap") >= least)
-    marked = v.select(*keys, "seq", F.coalesce(space, F.lit(False)).alias("space"))
-    return toks.join(marked, [*keys, "seq"], "left").withColumn("space", F.coalesce("space", F.lit(False)))
+    rows = held(rows, "__blank", F.transform(tokens, lambda x: F.rlike(x["token"], F.lit("\\s")).cast("int")))
+    rows = held(rows, "__blanks", stats.running_sums(F.col("__blank")))
+    counted = F.zip_with(F.col(tokens), "__blanks", lambda x, n: F.struct(x["seq"].alias("seq"), x["token"].alias("token"), x["l"].alias("l"), x["r"].alias("r"), n.alias("blanks"), first_visible(x["token"]).alias("first"), last_visible(x["token"]).alias("last")))
+    rows = held(rows, "__counted", counted)
+    rows = held(rows, "__seen", F.filter("__counted", lambda x: ~F.rlike(x["token"], F.lit("^\\s*$")) & (x["r"] > x["l"])))
+    seen = F.col("__seen")
+    centre = lambda x: (x["l"] + x["r"]) / 2
+    onward = centre(F.try_element_at("__seen", F.lit(-1))) + 0.0001 >= centre(F.try_element_at("__seen", F.lit(1)))
+
+    def gap(x: Column, i: Column) -> Column:
+        before = F.get(seen, i - 1)
+        return F.when((i > 0) & (before["blanks"] == x["blanks"]), F.when(onward, x["l"] - before["r"]).otherwise(before["l"] - x["r"]))
+
+    rows = held(rows, "__gaps", F.transform("__seen", gap))
+    rows = held(rows, "__wide", F.filter("__gaps", lambda g: g > 0))
+    rows = held(rows, "__base", F.when(F.size("__wide") >= 3, stats.lower_quantile(F.col("__wide"), 0.35)).otherwise(0.0))
+    rows = held(rows, "__width", stats.median(F.transform("__seen", lambda x: x["r"] - x["l"])))
+
+    def spaced(x: Column, i: Column) -> Column:
+        g, before, after = F.get("__gaps", i), F.get(seen, i - 1)["last"], x["first"]
+        least = F.greatest(F.lit(0.004), F.col("__width") * spacing_factor(before, after), 2.6 * F.col("__base"))
+        return F.when((g > 0) & (g >= least) & ~takes_no_space(before, after), x["seq"])
+
+    found = rows.withColumn("spaced", F.array_compact(F.transform("__seen", spaced)))
+    return found.drop("__blank", "__blanks", "__counted", "__seen", "__gaps", "__wide", "__base", "__width")
+
+
+def recovered_spaces(toks: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``space`` to tokens (seq, token, l, r in ratios of the line): whether a lost space stood before it."""
+    row = F.struct(*(F.col(c) for c in toks.columns))
+    lines = toks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("seq", "token", "l", "r", row.alias("row")))).alias("__tokens"))
+    marked = with_lost_spaces(lines, "__tokens").select("spaced", F.explode("__tokens").alias("x"))
+    return marked.select("x.row.*", F.array_contains("spaced", F.col("x.seq")).alias("space"))
 
 
 def line_numbers(chars: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,17 +115,24 @@ def line_numbers(chars: DataFrame, keys: list[str]) -> DataFrame:
     return chars.withColumn("line", (F.col("stretch") + F.sum(F.col("new_line").cast("int")).over(run)).cast("int")).drop("stretch")
 
 
-def block_order(blocks: DataFrame, keys: list[str], page_w: Column, ratio: float = 0.16) -> DataFrame:
-    """Adds ``rank`` to blocks (id, l, r, t; y down): by bands between full-width blocks, in a band by column, top, left."""
+def block_order(blocks: DataFrame, keys: list[str], page_w: Column, ratio: float = 0.16, spans: float = 0.48) -> DataFrame:
+    """Adds ``rank`` to blocks (id, l, r, t; y down): by bands between blocks across both columns, in a band by column, top, left.
+
+    A block that reaches over the split parts two bands if it has ``spans`` of the page's width.
+    """
     split = column_split(blocks, keys, "l", "r", page_w, ratio)
-    rows = blocks.join(split, keys, "left")
-    spanning = F.col("split").isNotNull() & (F.col("l") < F.col("split")) & (F.col("r") > F.col("split")) & (F.col("r") - F.col("l") >= 0.48 * page_w)
+    return ranked_blocks(blocks.join(split, keys, "left"), keys, page_w, spans).drop("split")
+
+
+def ranked_blocks(rows: DataFrame, keys: list[str], page_w: Column, spans: float) -> DataFrame:
+    """Adds ``rank`` to blocks that know their page's ``split`` (null: one column)."""
+    spanning = F.col("split").isNotNull() & (F.col("l") < F.col("split")) & (F.col("r") > F.col("split")) & (F.col("r") - F.col("l") >= spans * page_w)
     rows = rows.withColumn("spanning", spanning)
     top = Window.partitionBy(*keys).orderBy("t", "l", "id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("band", F.coalesce(F.sum(F.col("spanning").cast("int")).over(top), F.lit(0)))
     column = F.when(F.col("split").isNotNull() & ~F.col("spanning") & ((F.col("l") + F.col("r")) / 2 >= F.col("split")), 1).otherwise(0)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("band", "spanning", column, "t", "l", "id"))
-    return rows.withColumn("rank", rank.cast("int")).drop("band", "spanning", "split")
+    return rows.withColumn("rank", rank.cast("int")).drop("band", "spanning")
 
 
 def even_tokens(text: Column, left: Column, right: Column) -> Column:
@@ -120,6 +142,27 @@ def even_tokens(text: Column, left: Column, right: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.substring(text, i, F.lit(1)).alias("token"), (left + (i - 1) * step).alias("l"), (left + i * step).alias("r")))
 
 
+def token_sides(x: Column) -> list[Column]:
+    """Left, top, right and bottom in the bitmap of a box ``x`` of the line, through the block's quad where it has one (columns l, t, r, b, quad)."""
+    corners = [geometry.quad_point(F.col("quad"), x[a], x[b]) for a, b in (("l", "t"), ("r", "t"), ("r", "b"), ("l", "b"))]
+    xs, ys = ([c[k] for c in corners] for k in (0, 1))
+    flat = [F.col(lo) + (F.col(hi) - F.col(lo)) * x[side] for lo, hi, side in (("l", "r", "l"), ("t", "b", "t"), ("l", "r", "r"), ("t", "b", "b"))]
+    skew = [F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)]
+    has_quad = F.col("quad").isNotNull() & (F.size("quad") == 8)
+    return [F.when(has_quad, a).otherwise(b) for a, b in zip(skew, flat, strict=True)]
+
+
+def glyph_width(text: Column, tokens: Column, width: Column) -> Column:
+    """About how wide a character of a block is: the median of its tokens' widths in the line, else an even share of its visible characters.
+
+    ``tokens`` has (token, l, r, b, t) in ratios of the line, or is null.
+    """
+    seen = F.filter(tokens, lambda x: ~F.rlike(x["token"], F.lit("^[\\s\\p{Cc}]*$")) & (x["r"] > x["l"]) & (x["b"] > x["t"]))
+    middle = stats.median(F.transform(seen, lambda x: x["r"] - x["l"]))
+    visible = F.char_length(F.regexp_replace(text, "[\\s\\p{Cc}]", ""))
+    return F.when(width <= 0, 0.0).when(middle > 0, middle * width).when(visible > 0, width / visible).otherwise(0.0)
+
+
 def debug_geometry(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """keys, seq, n, kind, box, label: a DETECTION_BLOCK (n = 0) and its TOKEN_BOXes (from 1) as ratios of the page.
 
@@ -133,12 +176,7 @@ def debug_geometry(blocks: DataFrame, keys: list[str]) -> DataFrame:
     tokens = blocks.where(same).select("*", F.posexplode("token_boxes").alias("k", "x"))
     x = F.col("x")
     tokens = tokens.where((x["l"] >= 0) & (x["t"] >= 0) & (x["r"] <= 1) & (x["b"] <= 1) & (x["r"] > x["l"]) & (x["b"] > x["t"]))
-    corners = [geometry.quad_point(F.col("quad"), x[a], x[b]) for a, b in (("l", "t"), ("r", "t"), ("r", "b"), ("l", "b"))]
-    xs, ys = ([c[k] for c in corners] for k in (0, 1))
-    flat = [F.col(lo) + (F.col(hi) - F.col(lo)) * x[side] for lo, hi, side in (("l", "r", "l"), ("t", "b", "t"), ("l", "r", "r"), ("t", "b", "b"))]
-    skew = [F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)]
-    has_quad = F.col("quad").isNotNull() & (F.size("quad") == 8)
-    sides = [F.when(has_quad, a).otherwise(b) for a, b in zip(skew, flat, strict=True)]
+    sides = token_sides(x)
     size = (F.col("bitmap_w"), F.col("bitmap_h"))
     begin = F.greatest(F.lit(0), F.element_at("begins", F.col("k") + 1))
     label = F.substring(F.col("text"), begin + 1, F.greatest(F.lit(0), F.element_at("ends", F.col("k") + 1) - begin))

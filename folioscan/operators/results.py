@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import geometry, text
 from folioscan.model import TEXT_LAYER, SearchOptions
+from folioscan.sources.derive import held
 
 
 def sequence(hits: DataFrame) -> DataFrame:
@@ -56,22 +57,29 @@ def first_ratio_rect(hits: DataFrame) -> DataFrame:
     return hits.withColumn("__first", first).withColumns({"top": F.col("__first.top"), "left": F.col("__first.left"), "right": F.col("__first.right")}).drop("__first")
 
 
-def column_split(boxes: DataFrame, keys: list[str], left: str, right: str, width: Column, ratio: float = 0.16) -> DataFrame:
-    """(keys, split): where two columns part, for pages on which they do.
+def with_split(rows: DataFrame, boxes: str, width: Column, ratio: float = 0.16) -> DataFrame:
+    """Adds ``split``: where two columns part among the boxes (l, r) of an array in the row, or null.
 
     Of boxes narrower than 48 % of the page, at least four, the largest gap between
     centres counts if two stand on either side, it reaches ``ratio`` of the page (0.08
     to 0.40), and the gutter is clear by 35 % of that.
     """
-    gap = max(0.08, min(0.40, ratio)) * width
-    narrow = boxes.withColumns({"__w": width, "__gap": gap}).where((F.col(right) - F.col(left) < 0.48 * F.col("__w")) & (F.col(right) > F.col(left))).withColumn("__c", (F.col(left) + F.col(right)) / 2)
-    order = Window.partitionBy(*keys).orderBy("__c", left, right)
-    ranked = narrow.withColumns({"__i": F.row_number().over(order), "__n": F.count(F.lit(1)).over(Window.partitionBy(*keys)), "__next": F.lead("__c").over(order)})
-    legal = ranked.where((F.col("__n") >= 4) & (F.col("__i") >= 2) & (F.col("__n") - F.col("__i") >= 2))
-    best = legal.groupBy(*keys).agg(F.max(F.struct((F.col("__next") - F.col("__c")).alias("gap"), (-F.col("__i")).alias("i"), ((F.col("__next") + F.col("__c")) / 2).alias("split"))).alias("best"), F.max("__gap").alias("least"))
-    cut = best.where(F.col("best.gap") >= F.col("least")).select(*keys, F.col("best.split").alias("split"), "least")
-    sides = narrow.join(cut, keys).groupBy(*keys).agg(F.max(F.when(F.col("__c") < F.col("split"), F.col(right))).alias("l_end"), F.min(F.when(F.col("__c") >= F.col("split"), F.col(left))).alias("r_begin"), F.max("split").alias("split"), F.max("least").alias("least"))
-    return sides.where(F.col("r_begin") - F.col("l_end") >= 0.35 * F.col("least")).select(*keys, "split")
+    least = max(0.08, min(0.40, ratio)) * width
+    narrow = F.filter(boxes, lambda x: (x["r"] - x["l"] < 0.48 * width) & (x["r"] > x["l"]))
+    rows = held(rows, "__by_centre", F.array_sort(F.transform(narrow, lambda x: F.struct(((x["l"] + x["r"]) / 2).alias("c"), x["l"].alias("l"), x["r"].alias("r")))))
+    n, at = F.size("__by_centre"), F.col("__by_centre")
+    between = lambda i: F.struct((at[i + 1]["c"] - at[i]["c"]).alias("gap"), (-i).alias("i"), ((at[i + 1]["c"] + at[i]["c"]) / 2).alias("split"))
+    rows = held(rows, "__best", F.when(n >= 4, F.array_max(F.transform(F.sequence(F.lit(1), n - 3), between))))
+    cut = F.col("__best")["split"]
+    end = F.array_max(F.transform(F.filter(at, lambda x: x["c"] < cut), lambda x: x["r"]))
+    begin = F.array_min(F.transform(F.filter(at, lambda x: x["c"] >= cut), lambda x: x["l"]))
+    return rows.withColumn("split", F.when((F.col("__best")["gap"] >= least) & (begin - end >= 0.35 * least), cut)).drop("__by_centre", "__best")
+
+
+def column_split(boxes: DataFrame, keys: list[str], left: str, right: str, width: Column, ratio: float = 0.16) -> DataFrame:
+    """(keys, split) of the groups of boxes that stand in two columns, by ``with_split``."""
+    groups = boxes.groupBy(*keys).agg(F.collect_list(F.struct(F.col(left).alias("l"), F.col(right).alias("r"))).alias("__boxes"), F.max(width).alias("__width"))
+    return with_split(groups, "__boxes", F.col("__width"), ratio).where("split is not null").select(*keys, "split")
 
 
 def reading_order(hits: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:

@@ -73,7 +73,7 @@ hl AS (SELECT {P}, ordinal, line, min(CASE WHEN kind = 'w' THEN 6.0 * (start - l
 hr AS (SELECT *, row_number() OVER (PARTITION BY {P}, ordinal ORDER BY line) - 1 AS n FROM hl WHERE l IS NOT NULL),
 hs AS (SELECT {P}, ordinal, min(start) AS start, max(stop) AS stop, max(conf) AS conf FROM hl GROUP BY ALL HAVING count(l) > 0),
 hb AS (SELECT {P}, ordinal, string_agg(printf('%.3f,%.3f,%.3f,%.3f', l, b, r, t), '|' ORDER BY line) AS boxes, min(l) AS l, min(b) AS b, max(r) AS r, max(t) AS t,
-   arg_min(l, [-t, l]) AS first_l, max(t) AS first_t FROM hr GROUP BY ALL),
+   arg_min(l, [-t, l]) AS first_l, arg_min(r, [-t, l]) AS first_r, max(t) AS first_t FROM hr GROUP BY ALL),
 h0 AS (SELECT hs.*, text AS body, page_w, page_h, substr(text, (start + 1)::INT, (stop - start)::INT) AS matched, greatest(start - 24, 0) AS c0, least(stop + 24, length(text)) AS c1 FROM hs JOIN ix USING (doc_id, page, source)),
 ht AS (SELECT h0.* EXCLUDE (body), substr(body, (c0 + 1)::INT, (c1 - c0)::INT) AS context, hb.* EXCLUDE (doc_id, page, source, ordinal),
    'psr_' || substr(sha256('doc=' || h0.doc_id || '|' || h0.page || '|' || h0.source || '|' || matched || '|' || boxes), 1, 24) AS result_id,
@@ -244,4 +244,44 @@ dx AS (SELECT doc_id, page, seq, 0 AS n, 'DETECTION_BLOCK' AS kind, token AS lab
   l + (r - l) * (k + 1) / len, t + 7.5 + CASE WHEN seq % 2 = 1 THEN 2.0 * (k + 1) / len ELSE 0 END FROM dc),
 dr AS (SELECT doc_id, page, seq, n, kind, label, {r01.format('l / 320')} AS l, {r01.format('t / 90')} AS t, {r01.format('r / 320')} AS r, {r01.format('b / 90')} AS b FROM dx)
 SELECT doc_id, page, seq, n::BIGINT AS n, kind, label, round(l, 6)::DOUBLE AS l, round(t, 6)::DOUBLE AS t, round(r, 6)::DOUBLE AS r, round(b, 6)::DOUBLE AS b FROM dr WHERE r > l AND b > t"""
+    q["protocol_matches"] = f"""WITH {CONV_PAGES}, pm AS (SELECT doc_id, page, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM cp),
+po AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id, page ORDER BY i) - length(line) - 1 AS start, count(*) FILTER (line <> '') OVER (PARTITION BY doc_id, page) AS n FROM pm)
+SELECT doc_id, 9 AS n_pages, page, page % 3 AS status, length(text)::INT AS raw_chars, n::INT AS n_matches, i::INT AS ordinal, start::INT AS start, length(line)::INT AS length, 0.0::DOUBLE AS l, 12.0::DOUBLE * i AS b, 6.0::DOUBLE * length(line) AS r, 12.0::DOUBLE * i + 12 AS t FROM po WHERE line <> ''
+ UNION ALL SELECT DISTINCT doc_id, 9, page, page % 3, length(text)::INT, 0, NULL::INT, NULL::INT, NULL::INT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM po WHERE n = 0"""
+    q["protocol_legacy"] = f"WITH {WORDS} SELECT doc_id, page::DOUBLE AS page, seq::DOUBLE AS seq, l, t, r, b, 6.0::DOUBLE AS glyph FROM wb"
+    known = f"(unicode(c) BETWEEN 33 AND 126 OR unicode(c) BETWEEN 161 AND 255)"
+    blocks = f"""{CONV_PAGES}, rl AS (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM cp),
+rc AS (SELECT doc_id, page, i, length(line) AS n, unnest(string_split(line, '')) AS c, generate_subscripts(string_split(line, ''), 1) - 1 AS k FROM rl WHERE line <> ''),
+rv AS (SELECT *, lag(c) OVER w AS pc, k - lag(k) OVER w AS d FROM rc WHERE {known} WINDOW w AS (PARTITION BY doc_id, page, i ORDER BY k)),
+ru AS (SELECT *, list_sort(list(d) FILTER (d IS NOT NULL) OVER (PARTITION BY doc_id, page, i)) AS ds FROM rv),
+rg AS (SELECT *, CASE WHEN len(ds) >= 3 THEN (ds[floor((len(ds) - 1) * 0.35 + 0.5)::INT + 1] - 0.87) / n ELSE 0 END AS base FROM ru),
+rs AS (SELECT *, coalesce(d IS NOT NULL AND NOT {_suppressed('pc', 'c')} AND (d - 0.87) / n >= greatest(0.004, 0.87 / n * CASE WHEN {_latin('pc')} AND {_latin('c')} THEN 0.42 ELSE 0.45 END, 2.6 * base), false) AS space FROM rg),
+rt AS (SELECT doc_id, page, i, string_agg(CASE WHEN space THEN ' ' || c ELSE c END, '' ORDER BY k) AS t, count(*) + count(*) FILTER (space) AS toks, count(*) AS seen, max(k) AS last_k, max(n) AS n FROM rs GROUP BY ALL),
+rp AS (SELECT doc_id, page, string_agg(t, chr(10) ORDER BY i) AS text, sum(toks) + count(*) - 1 AS n_tokens, sum(seen) AS seen, avg(0.5 + i % 8 / 16.0) AS conf, arg_max(last_k * 6 / 2, i) AS last_l, 2500 - max(14.0 * i + 1) / 2 AS last_t, count(*) - 1 AS last_line FROM rt GROUP BY ALL)"""
+    q["recognised_pages"] = f"""WITH {blocks} SELECT doc_id, page, coalesce(rp.text, '') AS text, coalesce(n_tokens, 0)::BIGINT AS n_tokens, coalesce(seen, 0)::BIGINT AS visible_chars, coalesce(seen, 0)::BIGINT AS valid_boxes, round(coalesce(conf, -1), 6)::DOUBLE AS conf, round(last_l, 6)::DOUBLE AS last_l, round(last_t, 6)::DOUBLE AS last_t, last_line::BIGINT AS last_line FROM cp LEFT JOIN rp USING (doc_id, page)"""
+    read = _norm().replace("source", f"'{READ}'")
+    q["recognised_hits"] = f"WITH {blocks}, rn AS (SELECT doc_id, page, {read} AS n FROM rp) SELECT doc_id, page, ((length(n) - length(replace(n, 'the', ''))) // 3)::BIGINT AS hits FROM rn WHERE contains(n, 'the')"
+    q["text_layer_pages"] = f"""WITH {CONV_PAGES}, tl AS (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM cp),
+tp AS (SELECT doc_id, page, string_agg(line, chr(10) ORDER BY i) AS text, sum(length(line)) AS n, count(*) AS k FROM tl WHERE line <> '' GROUP BY ALL)
+SELECT doc_id, page, coalesce(tp.text, '') AS text, CASE WHEN page % 4 = 3 THEN 1 ELSE 0 END AS status, CASE WHEN page % 4 = 3 THEN 0.0 ELSE 1.0 END::DOUBLE AS conf, coalesce(n + k - 1, 0)::BIGINT AS n_tokens, coalesce(k - 1, 0)::BIGINT AS last_line, coalesce(10.0 * n, 0)::DOUBLE AS heights FROM cp LEFT JOIN tp USING (doc_id, page)"""
+    columns = lambda rows, key: f"""fr AS ({rows}),
+fn AS (SELECT *, (x0 + x1) / 2 AS c FROM fr WHERE x1 - x0 < 0.48 AND x1 > x0),
+fk AS (SELECT *, row_number() OVER w AS i, lead(c) OVER w AS nc, count(*) OVER (PARTITION BY doc_id, page) AS n FROM fn WINDOW w AS (PARTITION BY doc_id, page ORDER BY c, x0, x1)),
+fb AS (SELECT doc_id, page, (nc + c) / 2 AS split FROM fk WHERE n >= 4 AND i >= 2 AND n - i >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY nc - c DESC, i) = 1 AND nc - c >= 0.16),
+fs AS (SELECT doc_id, page, max(split) AS split FROM fn JOIN fb USING (doc_id, page) GROUP BY ALL HAVING min(x0) FILTER (c >= split) - max(x1) FILTER (c < split) >= 0.35 * 0.16),
+fo AS (SELECT fr.*, CASE WHEN split IS NOT NULL AND (x0 + x1) / 2 >= split THEN 1 ELSE 0 END::BIGINT AS "column" FROM fr LEFT JOIN fs USING (doc_id, page)),
+fz AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, "column", y0, x0, {key}) AS rank FROM fo)"""
+    kept = f"""SELECT *, greatest(0.0, least(1.0, first_l / page_w)) AS x0, greatest(0.0, least(1.0, first_r / page_w)) AS x1, greatest(0.0, least(1.0, 1 - first_t / page_h)) AS y0 FROM hd z WHERE NOT EXISTS (SELECT 1 FROM hd a WHERE a.doc_id = z.doc_id AND a.page = z.page AND {key.format('a')} = {key.format('z')} AND a.seq < z.seq
+ AND {overlap} >= 0.65 * ((a.r - a.l) * (a.t - a.b) + (z.r - z.l) * (z.t - z.b) - {overlap}))"""
+    q["finalized_results"] = f"""WITH {_hits('the')}, hd AS (SELECT * FROM ht QUALIFY row_number() OVER (PARTITION BY doc_id, result_id ORDER BY seq) = 1), {columns(kept, 'source, result_id, ordinal')}
+SELECT {P}, ordinal, "column", rank FROM fz WHERE rank <= 20"""
+    lines = "SELECT doc_id, page, id, l / 640 AS x0, r / 640 AS x1, 1 - (2000 - t) / 2000 AS y0 FROM bx WHERE r > l"
+    q["column_order"] = f"""WITH {COLUMNS}, {columns(lines, 'id')} SELECT doc_id, page, id AS ordinal, "column", rank FROM fz"""
+    q["stored_pages"] = f"WITH {CONV_INDEX} SELECT {page_key} AS key, CASE WHEN page NOT IN (1, 2, 3, 4) THEN octet_length(encode(text)) END::BIGINT AS size FROM ix"
+    ocr_key = "CASE WHEN doc_id % 2 = 0 THEN 'doc=' || doc_id ELSE '' END || '#page=' || page || '#ocrWidth=960#namespace=default'"
+    q["ocr_keys"] = f"WITH {CONV_PAGES} SELECT doc_id, page, {ocr_key} AS key, sha256({ocr_key}) || '.ocr' AS file_name FROM cp"
+    q["kept_copies"] = f"WITH {CONV_PAGES}, kc AS (SELECT doc_id AS folder, length(text) AS size FROM cp QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page DESC) <= 4) SELECT folder, count(*) AS files, sum(size)::BIGINT AS bytes FROM kc GROUP BY folder"
+    q["cut_strings"] = """WITH cs AS (SELECT doc_id, text, encode(text) AS b FROM documents), ce AS (SELECT *, list_max(list_filter(range(1, 102), lambda k: octet_length(encode(substr(text, 1, k::INT))) <= 100)) AS k FROM cs)
+SELECT doc_id, CASE WHEN octet_length(b) <= 100 THEN text ELSE substr(text, 1, k::INT) END AS text FROM ce"""
+    q["render_sizes"] = f"WITH {CONV_INDEX} SELECT doc_id, page, floor(page_h * (1280 / page_w) + 0.5)::INT AS height, least(ceil(32 * (page_w / page_h)), 336)::INT AS line_w FROM ix WHERE source = '{LAYER}'"
     return q

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from folioscan import oracles
 from folioscan.functions import errors, geometry, ids, stats, text
 from folioscan.model import OCR, TEXT_LAYER, QueryOptions, SearchOptions
-from folioscan.operators import imaging, layout, recognition, results, search
+from folioscan.operators import assembly, imaging, layout, recognition, results, search
 from folioscan.plans import pages as plans
 from folioscan.sources import derive, protocols, shared, store
 from folioscan.streaming import pages as streaming
@@ -617,6 +617,160 @@ def protocol_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "p.page", "p.text", F.col("p.raw_chars").cast("long").alias("raw_chars"), F.col("p.n_boxed").cast("long").alias("n_boxed"))
 
 
+@query
+def protocol_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as matches in a report of numbers, every other rectangle with swapped edges; page records and rectangles come back."""
+
+    @F.pandas_udf("array<double>")
+    def pack(page: pd.Series, body: pd.Series) -> pd.Series:
+        def one(p: int, t: str) -> list[float]:
+            out: list[float] = []
+            start = n = 0
+            for i, line in enumerate(t.split("\n")):
+                box = [0, 12 * i, 6 * len(line), 12 * i + 12]
+                out += [i, start, len(line), 1, *(box if i % 2 else [box[2], box[3], box[0], box[1]])]
+                start, n = start + len(line) + 1, n + 1
+            return [float(x) for x in (protocols.TEXT_MAGIC, 1, 9, 1, p, 612, 792, p % 3, len(t), 7, 5, n, *out)]
+
+        return pd.Series([one(p, t) for p, t in zip(page, body, strict=True)])
+
+    pages = derive.conversation_pages(table(spark, sf_dir, "conversations"))
+    back = pages.select("doc_id", protocols.decode_reports(pack("page", "text")).alias("x")).select("doc_id", "x.n_pages", F.explode("x.pages").alias("p"), "x.rects")
+    rows = back.select("doc_id", "n_pages", "p.page", "p.status", "p.raw_chars", "p.n_matches", F.explode_outer("rects").alias("r"))
+    return rows.select("doc_id", "n_pages", "page", "status", "raw_chars", "n_matches", "r.ordinal", "r.start", "r.length", *(F.col(f"r.{k}").alias(k) for k in "lbrt"))
+
+
+@query
+def protocol_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as seven numbers each in one array a page, and back."""
+    numbers = F.array(F.col("page").cast("double"), F.col("seq").cast("double"), "l", "t", "r", "b", "glyph")
+    packed = word_boxes(spark, sf_dir).groupBy("doc_id", "page").agg(F.flatten(F.sort_array(F.collect_list(numbers))).alias("v"))
+    back = packed.select("doc_id", F.explode(protocols.legacy_rects(F.concat("v", F.array(F.lit(1.0))))).alias("x"))
+    return back.select("doc_id", *(F.col("x")[i].alias(c) for i, c in enumerate(("page", "seq", "l", "t", "r", "b", "glyph"))))
+
+
+#: Characters that the fixture's recogniser knows: printable ones of ASCII and Latin-1.
+KNOWN = "".join(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x100)]))
+
+
+def recognised_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as a recogniser reports them, by numbers: without their blanks, a box for each character, decoded with a dictionary file."""
+    path = shared.shared_dir(spark, "dictionary")
+    spark.createDataFrame([("\n".join(KNOWN),)], "value string").coalesce(1).write.text(path)
+    dictionary = protocols.load_dictionary(spark, path)
+
+    @F.pandas_udf("array<double>")
+    def pack(pages: pd.Series) -> pd.Series:
+        number = {c: float(i + 1) for i, c in enumerate(KNOWN)}
+
+        def one(t: str) -> list[float]:
+            out = [protocols.BLOCK_MAGIC, 2.0]
+            for i, line in enumerate(t.split("\n")):
+                seen = [(k, c) for k, c in enumerate(line) if c not in " \t"]
+                w, top = 6.0 * len(line), 14.0 * i
+                out += [4.0, float(len(seen)), 0.5 + i % 8 / 16, float(len(seen)), 0.0, top, w, top, w, top + 10, 0.0, top + 10, *(number.get(c, -1.0) for _, c in seen)]
+                out += [x for k, _ in seen for x in (k / len(line), 0.1, (k + 0.87) / len(line), 0.9)]
+                out += [0.0, 1.0]
+            return out
+
+        return pages.map(one)
+
+    pages = derive.conversation_pages(table(spark, sf_dir, "conversations"))
+    sizes = {"bitmap_w": 10_000.0, "bitmap_h": 5_000.0, "page_w": 5_000.0, "page_h": 2_500.0}
+    return pages.select("doc_id", "page", protocols.decode_blocks(pack("text"), dictionary).alias("blocks"), *(F.lit(v).alias(k) for k, v in sizes.items()))
+
+
+@query
+def recognised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page indexes of recognised lines: text with its lost spaces, tokens, counts and mean score."""
+    index = assembly.index_of_blocks(recognised_blocks(spark, sf_dir))
+    last = F.try_element_at(F.filter("tokens", lambda x: x["l"].isNotNull()), F.lit(-1))
+    return index.select("doc_id", "page", "text", F.size("tokens").cast("long").alias("n_tokens"), "visible_chars", "valid_boxes", F.round("conf", 6).alias("conf"), F.round(last["l"], 6).alias("last_l"), F.round(last["t"], 6).alias("last_t"), last["line"].cast("long").alias("last_line"))
+
+
+@query
+def recognised_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search in those indexes, across their line breaks."""
+    found = search.hits(assembly.index_of_blocks(recognised_blocks(spark, sf_dir)), "the")
+    return found.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query
+def text_layer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page indexes of characters that have lost their line breaks, some with swapped edges; every fourth page failed."""
+    pages = derive.conversation_pages(table(spark, sf_dir, "conversations"))
+    lines = pages.select("doc_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("row", "text"))
+    chars = lines.select("doc_id", "page", "row", F.posexplode(F.split("text", "")).alias("col", "char")).where("char <> ''")
+    code = F.conv(F.hex(F.encode("char", "UTF-32")), 16, 10).cast("int")
+    low, high = 1000 - 12.0 * F.col("row"), 1010 - 12.0 * F.col("row")
+    swapped = F.col("col") % 2 == 1
+    left = 6.0 * F.col("col")
+    rows = chars.select("doc_id", "page", (F.col("row") * 100000 + F.col("col")).alias("idx"), code.alias("code_point"), left.alias("l"), F.when(swapped, high).otherwise(low).alias("b"), (left + 6).alias("r"), F.when(swapped, low).otherwise(high).alias("t"))
+    n = F.char_length("text").cast("long")
+    facts = pages.select("doc_id", "page", F.lit(612.0).alias("page_w"), F.lit(792.0).alias("page_h"), F.when(F.col("page") % 4 == 3, 2).otherwise(0).alias("status"), n.alias("raw_chars"), n.alias("visible_chars"), n.alias("valid_boxes"))
+    index = assembly.index_of_characters(rows, facts)
+    total = F.aggregate("tokens", F.lit(0.0), lambda a, x: a + F.coalesce(x["t"] - x["b"], F.lit(0.0)))
+    return index.select("doc_id", "page", "text", "status", "conf", F.size("tokens").cast("long").alias("n_tokens"), F.coalesce(F.try_element_at("tokens", F.lit(-1))["line"], F.lit(0)).cast("long").alias("last_line"), total.alias("heights"))
+
+
+@query
+def finalized_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of it: distinct ids, dedup of the sources, order by columns where hits stand in two, and the first twenty."""
+    done = results.finalize(conv_hits(spark, sf_dir), SearchOptions(max_results=20))
+    return done.select("doc_id", "page", "source", "ordinal", F.col("column").cast("long").alias("column"), F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of one letter in the two-column lines, in the order in which they are read."""
+    lines = two_columns(spark, sf_dir).where("r > l")
+    box = F.array(F.struct(F.col("l"), (2000 - F.col("t") - 10).alias("b"), F.col("r"), (2000 - F.col("t")).alias("t")))
+    hits = lines.select("doc_id", "page", F.lit(TEXT_LAYER).alias("source"), F.col("id").alias("ordinal"), F.lpad(F.col("id").cast("string"), 8, "0").alias("result_id"), box.alias("rects"), F.lit(640.0).alias("page_w"), F.lit(2000.0).alias("page_h"))
+    return results.reading_order(hits).select("doc_id", "page", "ordinal", F.col("column").cast("long").alias("column"), F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sealed pages of which some were damaged, some are of another version and some are filed under another key: those are misses."""
+    pages = conv_index(spark, sf_dir)
+    key = ids.page_key(F.concat(F.lit("doc="), F.col("doc_id").cast("string")), F.col("page").cast("string"), F.col("source"))
+    entries = pages.select(key.alias("key"), F.col("text").cast("binary").alias("payload"), "page")
+    kept = store.sealed(entries.select("key", "payload")).join(entries.select("key", "page"), "key")
+    version = F.when(F.col("page") == 4, "v0").otherwise(F.col("version"))
+    payload = F.when(F.col("page") == 1, F.concat("payload", F.lit(b"x"))).otherwise(F.col("payload"))
+    filed = F.when(F.col("page") == 2, F.concat("key", F.lit("?"))).otherwise(F.col("key"))
+    found, misses = store.unsealed(entries, kept.select(filed.alias("key"), payload.alias("payload"), version.alias("version"), "size", F.when(F.col("page") == 3, F.col("crc") + 1).otherwise(F.col("crc")).alias("crc")))
+    return found.select("key", F.octet_length("payload").cast("long").alias("size")).unionByName(misses.select("key", F.lit(None).cast("long").alias("size")))
+
+
+@query
+def ocr_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = derive.conversation_pages(table(spark, sf_dir, "conversations"))
+    key = ids.ocr_page_key(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("doc="), F.col("doc_id").cast("string"))), F.col("page"), 960, None)
+    return pages.select("doc_id", "page", key.alias("key"), ids.file_name(key, ".ocr").alias("file_name"))
+
+
+@query
+def kept_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as copies of their conversation: the newest four of each stay, with what they take up."""
+    pages = derive.conversation_pages(table(spark, sf_dir, "conversations"))
+    files = pages.select(F.col("doc_id").alias("folder"), F.col("page").cast("string").alias("name"), F.char_length("text").cast("long").alias("size"), (F.col("page") * 10).alias("mtime"))
+    return store.held_bytes(store.newest(files))
+
+
+@query
+def cut_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as a store holds them that takes 100 bytes of a string."""
+    return table(spark, sf_dir, "documents").select("doc_id", store.cut_long(F.col("text"), 100).alias("text"))
+
+
+@query
+def render_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights of pages that are drawn 1,280 pixels wide, and widths of their lines as a recogniser gets them."""
+    layer = conv_index(spark, sf_dir).where(F.col("source") == TEXT_LAYER)
+    return layer.select("doc_id", "page", geometry.render_height(F.col("page_w"), F.col("page_h"), 1280).alias("height"), geometry.recognition_width(F.col("page_w"), F.col("page_h"), F.lit(10.5)).alias("line_w"))
+
+
 @query
 def incremental_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages read as a stream of files; hits and running totals of the final state."""

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the formats.
 PIX5, PIX5_VERSION = 0x50495835, 1
 TEXT_MAGIC, BLOCK_MAGIC = -41001.0, -32001.0
 MAX_PAGES, MAX_CHARS = 100_000, 5_000_000
+NO_AREA = 0.0001
 _CHAR = np.dtype([("code_point", "<i4"), ("src_idx", "<i4"), ("flags", "<i4"), ("reserved", "<i4"), ("l", "<f4"), ("b", "<f4"), ("r", "<f4"), ("t", "<f4")])
 CHAR_PAGES = "array<struct<page:int,page_w:float,page_h:float,status:int,raw_chars:int,visible_chars:int,valid_boxes:int,text:string,n_boxed:int>>"
 
@@ -60,66 +62,137 @@ def decode_pages(column: Column) -> Column:
     return run(column)
 
 
-def unpack_matches(values: Sequence[float] | None) -> list[dict]:
-    """Rectangles of the float protocol of matches; a cut record ends the reading, empty or infinite rectangles go."""
-    v = np.asarray(values if values is not None else [], float)
-    whole = lambda x: int(x) if np.isfinite(x) and x > 0 else 0
-    if len(v) < 4 or abs(v[0] - TEXT_MAGIC) > 0.01 or whole(v[1]) != 1:
-        return []
-    rows, at = [], 4
-    for _ in range(min(whole(v[3]), (len(v) - 4) // 8)):
-        if at + 8 > len(v):
+class _Cut(Exception):
+    """The values end within a record."""
+
+
+class _Values:
+    """Numbers of a packed report, taken from the front."""
+
+    def __init__(self, values: Sequence[float] | None, at: int = 0):
+        self.v, self.at = np.asarray(values if values is not None else [], float), at
+
+    def left(self) -> int:
+        return len(self.v) - self.at
+
+    def take(self, n: int) -> np.ndarray:
+        if n > self.left():
+            raise _Cut
+        self.at += n
+        return self.v[self.at - n : self.at]
+
+    @staticmethod
+    def count(x: float) -> int:
+        """The nearest whole number that is not negative; 0 for what is no number."""
+        return max(0, math.floor(x + 0.5)) if np.isfinite(x) else 0
+
+    @staticmethod
+    def whole(x: float) -> int:
+        return int(x) if np.isfinite(x) else 0
+
+
+def unpack_report(values: Sequence[float] | None) -> dict:
+    """n_pages, ``pages`` (page, size, status, counts, n_matches) and ``rects`` of the float protocol of matches.
+
+    A cut match ends the reading behind its page's record; rectangles that are not
+    finite or have no area go, swapped edges are put right.
+    """
+    out: dict = {"n_pages": 0, "pages": [], "rects": []}
+    v = _Values(values)
+    if v.left() < 4 or v.v[0] != TEXT_MAGIC or v.count(v.v[1]) != 1:
+        return out
+    _, _, n_pages, n = v.take(4)
+    out["n_pages"] = v.count(n_pages)
+    for _ in range(min(v.count(n), v.left() // 8)):
+        if v.left() < 8:
             break
-        page, declared = whole(v[at]), whole(v[at + 7])
-        at += 8
-        for _ in range(declared):
-            if at + 4 > len(v):
-                return rows
-            ordinal, start, length, n = (whole(x) for x in v[at : at + 4])
-            at += 4
-            if n > (len(v) - at) // 4:
-                return rows
-            for k in range(n):
-                left, bottom, right, top = v[at + 4 * k : at + 4 * k + 4]
-                if np.isfinite([left, bottom, right, top]).all() and right > left and top > bottom:
-                    rows.append({"page": page, "ordinal": ordinal, "start": start, "length": length, "l": left, "b": bottom, "r": right, "t": top})
-            at += 4 * n
-    return rows
+        page, w, h, *rest = v.take(8)
+        status, raw, visible, boxes, declared = map(v.count, rest)
+        row = {"page": v.count(page), "page_w": w, "page_h": h, "status": status, "raw_chars": raw, "visible_chars": visible, "valid_boxes": boxes, "n_matches": 0}
+        out["pages"].append(row)
+        try:
+            for _ in range(declared):
+                ordinal, start, length, n_rects = map(v.count, v.take(4))
+                sides = v.take(4 * n_rects).reshape(-1, 4)
+                good = sides[np.isfinite(sides).all(1) & (np.abs(sides[:, 2] - sides[:, 0]) > NO_AREA) & (np.abs(sides[:, 3] - sides[:, 1]) > NO_AREA)]
+                row["n_matches"] += bool(len(good))
+                for x0, y0, x1, y1 in good.tolist():
+                    out["rects"].append({"page": row["page"], "ordinal": ordinal, "start": start, "length": length, "l": min(x0, x1), "b": min(y0, y1), "r": max(x0, x1), "t": max(y0, y1)})
+        except _Cut:
+            break
+    return out
+
+
+def unpack_matches(values: Sequence[float] | None) -> list[dict]:
+    """The rectangles of ``unpack_report``."""
+    return unpack_report(values)["rects"]
+
+
+REPORT = "struct<n_pages:int,pages:array<struct<page:int,page_w:double,page_h:double,status:int,raw_chars:int,visible_chars:int,valid_boxes:int,n_matches:int>>,rects:array<struct<page:int,ordinal:int,start:int,length:int,l:double,b:double,r:double,t:double>>>"
+BLOCKS = "array<struct<text:string,l:double,t:double,r:double,b:double,score:double,quad:array<double>,token_boxes:array<struct<l:double,t:double,r:double,b:double>>,begins:array<int>,ends:array<int>>>"
 
 
 def unpack_blocks(values: Sequence[float] | None, dictionary: Sequence[str]) -> list[dict]:
-    """Recognised blocks of versions 1 and 2; a cut block ends the reading, blank and empty ones go."""
-    v = list(values or [])
-    version, at = 1, 0
-    if len(v) >= 2 and abs(v[0] - BLOCK_MAGIC) < 0.01:
-        version, at = max(1, int(v[1])), 2
-    head, blocks = 4 if version >= 2 else 3, []
-    while at + head <= len(v):
-        n_points, n_words, score = int(v[at]), int(v[at + 1]), v[at + 2]
-        n_boxes = int(v[at + 3]) if version >= 2 else 0
-        at += head
-        if n_points <= 0 or n_words < 0 or n_boxes < 0 or at + 2 * n_points + n_words + 4 * n_boxes + 2 > len(v):
-            break
-        xs, ys = v[at : at + 2 * n_points : 2], v[at + 1 : at + 2 * n_points : 2]
-        at += 2 * n_points
-        words = [dictionary[int(i)] if 0 <= int(i) < len(dictionary) else "" for i in v[at : at + n_words]]
-        at += n_words
-        boxes = [min(1.0, max(0.0, x)) for x in v[at : at + 4 * n_boxes]] if n_boxes == n_words and n_boxes else None
-        at += 4 * n_boxes + 2
-        text = "".join(words)
-        if text.strip("".join(map(chr, range(33)))) and max(xs) > min(xs) and max(ys) > min(ys):
-            blocks.append({"text": text, "l": min(xs), "t": min(ys), "r": max(xs), "b": max(ys), "score": score, "words": words, "boxes": boxes})
+    """Recognised blocks of versions 1 and 2; a cut block ends the reading, blank ones and those without area go.
+
+    text, l, t, r, b, score, words, and where they are told: quad (four corners), boxes
+    (four ratios a word) with the words' begins and ends in the text.
+    """
+    v, version, blocks = _Values(values), 1, []
+    if v.left() >= 2 and abs(v.v[0] - BLOCK_MAGIC) < 0.01:
+        version = max(1, v.whole(v.take(2)[1]))
+    try:
+        while v.left():
+            n_points, n_words, score, *more = v.take(4 if version >= 2 else 3).tolist()
+            n_points, n_words, n_boxes = v.whole(n_points), v.whole(n_words), v.whole(more[0]) if more else 0
+            if n_points <= 0 or n_words < 0 or n_boxes < 0:
+                break
+            points = v.take(2 * n_points).reshape(-1, 2)
+            words = [dictionary[i] if 0 <= i < len(dictionary) else "" for i in map(v.whole, v.take(n_words))]
+            boxes = np.clip(v.take(4 * n_boxes), 0, 1).tolist()
+            v.take(2)  # the orientation's label and score
+            (left, top), (right, bottom), text = points.min(0).tolist(), points.max(0).tolist(), "".join(words)
+            ends = np.cumsum([len(w) for w in words]).tolist()
+            told = n_boxes == n_words > 0
+            if text.strip("".join(map(chr, range(33)))) and right > left and bottom > top:
+                begins = [0, *ends[:-1]]
+                blocks.append({"text": text, "l": left, "t": top, "r": right, "b": bottom, "score": score, "words": words, "quad": points.ravel().tolist() if n_points == 4 else None, "boxes": boxes if told else None, "begins": begins if told else None, "ends": ends if told else None})
+    except _Cut:
+        pass
     return blocks
 
 
-def legacy_rects(values):  # noqa: ANN001, ANN201
-    """Seven floats a rectangle, as an array of arrays."""
+def decode_reports(column: Column) -> Column:
+    """``unpack_report`` of an array of numbers; null gives an empty report."""
+
+    @F.pandas_udf(REPORT.removeprefix("struct<").removesuffix(">"))
+    def run(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([unpack_report(v) for v in values], columns=["n_pages", "pages", "rects"])
+
+    return run(column)
+
+
+def decode_blocks(column: Column, dictionary: Sequence[str]) -> Column:
+    """``unpack_blocks`` of an array of numbers, as ``assembly.index_of_blocks`` takes them; null gives no blocks."""
+
+    def row(block: dict) -> dict:
+        sides = block["boxes"] and [dict(zip("ltrb", block["boxes"][k : k + 4], strict=True)) for k in range(0, len(block["boxes"]), 4)]
+        return {**block, "token_boxes": sides}
+
+    @F.pandas_udf(BLOCKS)
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: [row(b) for b in unpack_blocks(v, dictionary)])
+
+    return run(column)
+
+
+def legacy_rects(values: Column) -> Column:
+    """Seven numbers a rectangle, as an array of arrays; what is left over goes."""
     n = F.floor(F.size(values) / 7).cast("int")
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(values, i * 7 + 1, F.lit(7)))).otherwise(F.array())
 
 
-def load_dictionary(spark, path: str):  # noqa: ANN001, ANN201
-    """(token_id, token): 'blank', the lines of a text file in order, and a space."""
-    lines = [r[0] for r in spark.read.text(path, wholetext=True).collect()]
-    words = ["blank", *(lines[0].splitlines() if lines else []), " "]
-    return spark.createDataFrame(list(enumerate(words)), "token_id int, token string")
+def load_dictionary(spark: SparkSession, path: str) -> list[str]:
+    """A recogniser's tokens by their ids: 'blank', the lines of a text file in order, and a space.  A model's file, of thousands of lines."""
+    text = "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    return ["blank", *text.split("\n")[: None if text and not text.endswith("\n") else -1], " "]

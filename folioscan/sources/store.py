@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscan.model import VERSIONS
@@ -48,3 +48,45 @@ def victims(files: DataFrame, cap: int) -> DataFrame:
     newer = F.coalesce(F.sum("size").over(newest(["__second"], "mtime", "name")), F.lit(0))
     rows = rows.withColumn("__upto", F.col("by_day") + F.col("by_second") + newer + F.col("size"))
     return rows.where(F.col("__upto") > cap).select(*files.columns)
+
+
+#: Longest string of a stored recognition, in bytes of UTF-8.
+LONGEST = 2 << 20
+
+
+def cut_long(text: Column, most: int = LONGEST) -> Column:
+    """A string as a stored recognition holds it: nothing beyond ``most`` bytes, and no part of a character."""
+    head = F.substring(text.cast("binary"), 1, most + 1)
+    # A character that the cut goes through begins at most three bytes before it.
+    lead = lambda k: F.conv(F.hex(F.substring(head, most + 1 - k, 1)), 16, 10).cast("int").bitwiseAND(0xC0) != 0x80
+    whole = F.when(lead(0), most).when(lead(1), most - 1).when(lead(2), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.decode(F.substring(head, F.lit(1), whole), "UTF-8"))
+
+
+def sealed(entries: DataFrame, version: str = VERSION) -> DataFrame:
+    """Entries (key, payload) as they are stored: with format version, length and CRC-32 of key and payload."""
+    body = F.concat(F.col("key").cast("binary"), F.lit(b"\0"), F.col("payload"))
+    return entries.select("key", "payload", F.lit(version).alias("version"), F.octet_length(body).alias("size"), F.crc32(body).alias("crc"))
+
+
+def unsealed(wanted: DataFrame, stored: DataFrame, version: str = VERSION) -> tuple[DataFrame, DataFrame]:
+    """(key, payload) of the wanted keys that are stored whole, and (key) of the misses.
+
+    What fails its length or checksum, is of another version or under another key is a
+    miss as if it were not there; of several sound copies any one is read.
+    """
+    body = F.concat(F.col("key").cast("binary"), F.lit(b"\0"), F.col("payload"))
+    sound = stored.where((F.col("version") == version) & (F.octet_length(body) == F.col("size")) & (F.crc32(body) == F.col("crc"))).select("key", "payload").dropDuplicates(["key"])
+    keys = wanted.select("key").distinct()
+    return sound.join(keys, "key", "left_semi"), keys.join(sound.select("key"), "key", "left_anti")
+
+
+def newest(files: DataFrame, most: int = 4) -> DataFrame:
+    """The copies of source files (folder, name, mtime) that stay: the newest ``most`` of each folder."""
+    order = Window.partitionBy("folder").orderBy(F.desc("mtime"), F.desc("name"))
+    return files.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
+
+
+def held_bytes(files: DataFrame) -> DataFrame:
+    """(folder, files, bytes) of a store's files (folder, size)."""
+    return files.groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
