@@ -90,7 +90,8 @@ def mix_sources(
     running sum stays within its grant, so documents are whole; ``epochs`` bounds how
     often a document can come up.  Null names are the name ''.  A document without
     tokens costs nothing and is chosen with the place it falls in.  Null ids are left
-    out; repeated rows are documents of their own, with ties in the order of tokens.
+    out; repeated rows are documents of their own, with ties in the order of tokens.  Other
+    columns are left behind, whatever their names; an empty table gives no rows.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(domain, F.lit("")).alias("domain"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
@@ -102,10 +103,13 @@ def mix_sources(
     grants = materialise(budgets(leaves, F.lit(whole * percent // 100), weights, LEVELS, epochs), "mix-grants")
     placed = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("place", seeded(seed, F.col("epoch"), F.col("doc_id")))
     placed = placed.withColumn("range", F.substring("place", 1, RANGE_DIGITS))
-    # Running sums of the ranges: a fixed number of rows a leaf and epoch.
-    ranges = placed.groupBy(*LEVELS, "epoch", "range").agg(F.sum("tokens").alias("in_range"))
-    ahead = Window.partitionBy(*LEVELS).orderBy("epoch", "range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("ahead", F.coalesce(F.sum("in_range").over(ahead), F.lit(0))).drop("in_range")
+    # Running sums in two steps: 16 parts of an epoch, then the ranges of a part.
+    ranges = materialise(placed.groupBy(*LEVELS, "epoch", "range").agg(F.sum("tokens").alias("in_range")), "mix-ranges").withColumn("part", F.substring("range", 1, 1))
+    before = lambda of, *by: Window.partitionBy(*of).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranges.groupBy(*LEVELS, "epoch", "part").agg(F.sum("in_range").alias("in_part"))
+    parts = parts.select(*LEVELS, "epoch", "part", F.coalesce(F.sum("in_part").over(before(LEVELS, "epoch", "part")), F.lit(0)).alias("by_part"))
+    inside = F.coalesce(F.sum("in_range").over(before([*LEVELS, "epoch", "part"], "range")), F.lit(0))
+    ranges = ranges.withColumn("inside", inside).join(parts, [*LEVELS, "epoch", "part"]).select(*LEVELS, "epoch", "range", (F.col("by_part") + F.col("inside")).alias("ahead"))
     ranges = ranges.join(grants.select(*LEVELS, "granted"), list(LEVELS)).where("ahead <= granted")
     within = Window.partitionBy(*LEVELS, "epoch", "range").orderBy("place", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = placed.join(ranges, [*LEVELS, "epoch", "range"]).withColumn("upto", F.col("ahead") + F.sum("tokens").over(within))
