@@ -415,7 +415,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     Null texts have no words and fail the base rules, as do all texts of fewer than
     ``min_words`` words.  Documents without a language form a language of their own;
     one none of whose documents passes the base rules has no band and keeps none.
-    Repeated rows get equal verdicts.
+    Repeated rows get equal verdicts.  Other columns are left behind, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     models = train(rows)

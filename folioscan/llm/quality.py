@@ -213,6 +213,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPL
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, text: str = "text") -> AdditiveModel:
+    """Learns from at most ``sample`` labelled ids outside the held-out fold, of which the driver gets one row of features a row.
+
+    Null texts are empty ones; rows without an id or a label are left out, and repeated rows of
+    a labelled id count each.  Without any labelled row every score is 0.5.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):

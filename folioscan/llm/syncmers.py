@@ -164,7 +164,8 @@ def fingerprint_neighbours(df: DataFrame, id_col: str = "doc_id", text: str = "t
 
     The next document follows in ascending id (nulls first), rows of one id in the
     order of their texts; after the last comes the first, so a single document is
-    its own next.  Null texts are empty.  Texts are fingerprinted whole.
+    its own next.  Null texts are empty.  Texts are fingerprinted whole.  Other columns are
+    left behind, whatever their names; an empty table gives no rows.
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -38,7 +38,7 @@ def split_safely(text: str, limit: int, boundary: re.Pattern[str] = _SAFE, drop:
 
 
 def packs(texts: Sequence[str], cut: Callable[[str], list[str]], limit: int = PACK_BYTES) -> Iterator[tuple[list[int], list[str]]]:
-    """Owners and parts, in packs of about ``limit`` characters."""
+    """Owners and parts, in packs of about ``limit`` bytes."""
     owners: list[int] = []
     parts: list[str] = []
     size = 0
@@ -46,7 +46,7 @@ def packs(texts: Sequence[str], cut: Callable[[str], list[str]], limit: int = PA
         for part in cut(text):
             owners.append(i)
             parts.append(part)
-            size += len(part)
+            size += len(part) if part.isascii() else len(part.encode())
             if size >= limit:
                 yield owners, parts
                 owners, parts, size = [], [], 0

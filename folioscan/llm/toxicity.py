@@ -169,8 +169,9 @@ class Reader:
         self.tokens = tokens
         return [(i, at[i], term, edits) for i, term, edits in found]
 
-    def row(self, text: str) -> list[float]:
-        hits = self.hits(text)
+    def row(self, text: str, hits: list[tuple[int, int, int, int]] | None = None) -> list[float]:
+        """The counts of a text; ``hits`` are those that this reader has just found in it."""
+        hits = self.hits(text) if hits is None else hits
         if not hits:
             return [0.0] * len(FEATURES)
         lower = text.lower()
@@ -282,7 +283,11 @@ def choose_terms(counts: dict[str, tuple[int, int]], least: int = LEAST_SUPPORT,
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, text: str = "text", support: int = LEAST_SUPPORT) -> ToxicityModel:
     """Learns terms, edits and weights from at most ``sample`` labelled documents outside the held-out fold.
 
-    All forms that occur in ``support`` toxic documents and contexts and are precise are candidates.
+    All forms that occur in ``support`` toxic documents and contexts and are precise are candidates;
+    the driver gets those and one row of counts a sampled document.  Null texts have no
+    forms, rows without an id or a label are left out, of several labels of one id the smallest
+    counts, and repeated rows of a labelled id count each.  Without any labelled row there are
+    no terms, and every score is that of a text without hits.
     """
     rows = labelled(docs, labels, label, sample, text)
     precise = F.col("toxic") / (F.col("toxic") + F.col("other") + 0.5) >= PRECISION
@@ -294,10 +299,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     def read(batches: Iterator[pa.RecordBatch], terms: Sequence[Term]) -> Iterator[pa.RecordBatch]:
         reader = Reader(terms)
         for batch in bounded(batches):
-            texts = texts_of(batch.column(1)).to_pylist()
-            fuzzy = [sorted({h[2] for h in reader.hits(t) if h[3]}) for t in texts]
+            x, fuzzy = [], []
+            for t in texts_of(batch.column(1)).to_pylist():
+                hits = reader.hits(t)
+                x.append(reader.row(t, hits))
+                fuzzy.append(sorted({h[2] for h in hits if h[3]}))
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column(0), "x": pa.array([reader.row(t) for t in texts], pa.list_(pa.float64())), "fuzzy": pa.array(fuzzy, pa.list_(pa.int32())), "label": batch.column(2)}
+                {"doc_id": batch.column(0), "x": pa.array(x, pa.list_(pa.float64())), "fuzzy": pa.array(fuzzy, pa.list_(pa.int32())), "label": batch.column(2)}
             )
 
     def table(terms: Sequence[Term]) -> pa.Table:
@@ -357,7 +365,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
             for body in texts_of(batch.column(len(keep))).to_pylist():
                 hits = reader.hits(body)
                 terms.append([model.terms[i].text for i in sorted({h[2] for h in hits})])
-                rows.append(reader.row(body) if hits else [0.0] * len(FEATURES))
+                rows.append(reader.row(body, hits))
             score = model.score(np.array(rows, float).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(terms, pa.list_(pa.string()))], [*keep, *outs])
 

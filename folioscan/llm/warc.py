@@ -105,8 +105,8 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", uri_col
 
     Null payloads are empty ones, null addresses leave the header out, null ids never
     head a group of equal payloads unless nothing else does (then all are responses).
-    Rows that repeat the smallest id of their group are responses as well.  An empty
-    table writes no file.
+    Rows that repeat the smallest id of their group are responses as well.  Other
+    columns are left behind, whatever their names.  An empty table writes no file.
     """
     spark = pages.sparkSession
     pending = f"{root}/{PENDING}"
