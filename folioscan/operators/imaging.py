@@ -7,7 +7,7 @@ columns with their width and height and works on one image a row.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,9 @@ TOKEN_INK, LINE_INK, INK_ROWS, ROW_PAD = (0.005, 0.995), (0.0025, 0.9975), (0.02
 NOISE_AREA, STROKE_PART = 0.00012, 12
 #: Weights of blue, green and red in a grey value.
 GREY = (0.114, 0.587, 0.299)
+#: Mean and spread of the channels that a detector and a recogniser expect.
+DETECTOR_NORM = ((0.485, 0.456, 0.406), (0.229, 0.224, 0.225))
+RECOGNISER_NORM = ((0.5, 0.5, 0.5), (0.5, 0.5, 0.5))
 
 
 def components(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
@@ -352,3 +355,49 @@ def align(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*held.columns, pa.array(n, pa.int32()), *(pa.array(sides[:, k]) for k in range(4))], [*keys, "n", "l", "t", "r", "b"])
 
     return narrow.mapInArrow(run, f"{kinds}n int, l double, t double, r double, b double")
+
+
+def tensor(image: np.ndarray, norm: tuple[Sequence[float], Sequence[float]] = DETECTOR_NORM) -> np.ndarray:
+    """Channels of an image (rows, columns, channels; 0 to 255) one behind the other, less their mean and by their spread."""
+    mean, spread = (np.array(x[: image.shape[2]], np.float32) for x in norm)
+    return np.ascontiguousarray(((image.astype(np.float32) / np.float32(255) - mean) / spread).transpose(2, 0, 1))
+
+
+def _images(rows: DataFrame, keys: Sequence[str], more: Sequence[str], one: Callable[[np.ndarray, dict], list[tuple]], fields: Sequence[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """keys and ``fields`` for the tuples that each image gives (``pixels`` as bytes, width, height, channels).
+
+    Images that are null or do not fill their size give none.
+    """
+    names = ["pixels", "width", "height", "channels", *more]
+    narrow = rows.select(*keys, *names)
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in narrow.schema if f.name in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], []
+            for i, row in enumerate(batch.select(names).to_pylist()):
+                if None in row.values() or len(row["pixels"]) != row["width"] * row["height"] * row["channels"]:
+                    continue
+                found = one(np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"], row["channels"]), row)
+                at += [i] * len(found)
+                out += found
+            held = batch.select(list(keys)).take(pa.array(at, pa.int32()))
+            columns = [pa.array([x[k] for x in out], kind) for k, (_, _, kind) in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([*held.columns, *columns], [*keys, *(f[0] for f in fields)])
+
+    return narrow.mapInArrow(run, kinds + ", ".join(f"{name} {kind}" for name, kind, _ in fields))
+
+
+def crops(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, n, pixels, width, height, channels: the upright image of each quad of a page (``quads``, eight numbers each), in their order; those without extent go."""
+
+    def one(image: np.ndarray, row: dict) -> list[tuple]:
+        cut = [(n, crop(image, quad)) for n, quad in enumerate(row["quads"])]
+        return [(n, np.ascontiguousarray(c).tobytes(), c.shape[1], c.shape[0], c.shape[2]) for n, c in cut if c.size]
+
+    return _images(pages, keys, ["quads"], one, [("n", "int", pa.int32()), ("pixels", "binary", pa.binary()), ("width", "int", pa.int32()), ("height", "int", pa.int32()), ("channels", "int", pa.int32())])
+
+
+def tensors(images: DataFrame, keys: Sequence[str], norm: tuple[Sequence[float], Sequence[float]] = DETECTOR_NORM) -> DataFrame:
+    """keys and ``tensor``: the float32 bytes of ``tensor`` of each image."""
+    return _images(images, keys, [], lambda image, _: [(tensor(image, norm).tobytes(),)], [("tensor", "binary", pa.binary())])

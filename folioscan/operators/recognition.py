@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscan.operators import imaging
+
 
 def ctc_decode(steps: DataFrame, keys: list[str]) -> DataFrame:
     """Greedy decoding of (step, idx, prob): runs of one index are a token, index 0 parts runs.
@@ -55,3 +60,31 @@ def expand_distance(quad: Column, ratio: float = 2.0) -> Column:
         area = area + (x * v - u * y)
         perimeter = perimeter + F.sqrt((x - u) * (x - u) + (y - v) * (y - v))
     return F.abs(area) / 2 * ratio / perimeter
+
+
+def orientation(scores: Column, least: float = 0.9) -> Column:
+    """struct(label, score, turned) of an orientation network's scores: the first of the highest; odd labels above ``least`` are a half turn."""
+    best = F.coalesce(F.array_max(F.filter(scores, lambda x: x > 0)), F.lit(0.0).cast("double"))
+    label = F.greatest(F.array_position(scores, best) - 1, F.lit(0)).cast("int")
+    label = F.when(best > 0, label).otherwise(0)
+    return F.struct(label.alias("label"), best.alias("score"), ((label % 2 == 1) & (best > least)).alias("turned"))
+
+
+def detect_and_recognise(pages: DataFrame, keys: Sequence[str], recogniser: Callable[[pd.DataFrame], pd.Series], schema: str) -> DataFrame:
+    """keys, n, quad and what the recogniser says of each text box of a page, in the order of the boxes.
+
+    ``pages`` has the image (pixels, width, height, channels) and the detector's map
+    (scores, map_w, map_h).  ``recogniser`` takes a batch of crops (pixels, width, height,
+    channels) and returns a value of ``schema`` for each; it is loaded where it runs, one
+    call a batch, so it may be any network.
+    """
+    boxes = imaging.detect(pages.select(*keys, "scores", "map_w", "map_h", F.col("width").alias("source_w"), F.col("height").alias("source_h")), keys)
+    quads = boxes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("n", "quad")))["quad"].alias("quads"))
+    cut = imaging.crops(pages.select(*keys, "pixels", "width", "height", "channels").join(quads, list(keys)), keys)
+
+    @F.pandas_udf(schema)
+    def read(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            yield recogniser(pd.DataFrame(dict(zip(("pixels", "width", "height", "channels"), columns, strict=True))))
+
+    return cut.select(*keys, "n", read("pixels", "width", "height", "channels").alias("read")).join(boxes, [*keys, "n"])

@@ -284,4 +284,21 @@ SELECT {P}, ordinal, "column", rank FROM fz WHERE rank <= 20"""
     q["cut_strings"] = """WITH cs AS (SELECT doc_id, text, encode(text) AS b FROM documents), ce AS (SELECT *, list_max(list_filter(range(1, 102), lambda k: octet_length(encode(substr(text, 1, k::INT))) <= 100)) AS k FROM cs)
 SELECT doc_id, CASE WHEN octet_length(b) <= 100 THEN text ELSE substr(text, 1, k::INT) END AS text FROM ce"""
     q["render_sizes"] = f"WITH {CONV_INDEX} SELECT doc_id, page, floor(page_h * (1280 / page_w) + 0.5)::INT AS height, least(ceil(32 * (page_w / page_h)), 336)::INT AS line_w FROM ix WHERE source = '{LAYER}'"
+    layer_text = "CASE WHEN ss.doc_id % 3 = 0 THEN '.' ELSE body END"
+    q["fallback_states"] = f"""WITH {STATES}, sb AS (SELECT ss.*, body FROM ss JOIN st USING (doc_id, page))
+SELECT doc_id, page, route, CASE WHEN state <> 'COMPLETED' AND route = 'OCR' AND {layer_text.replace('ss.', '')} <> '' THEN 'COMPLETED' ELSE state END AS state,
+ CASE WHEN route = 'TEXT' OR (state <> 'COMPLETED' AND {layer_text.replace('ss.', '')} <> '') THEN '{LAYER}' WHEN state = 'COMPLETED' THEN '{READ}' END AS source FROM sb"""
+    q["page_error_feed"] = f"WITH {STATES} SELECT doc_id, page, 3 AS stage, 'recognition returned no text' AS message, true AS retryable FROM ss JOIN (SELECT doc_id, page, body FROM st) USING (doc_id, page) WHERE route = 'OCR' AND (state = 'FAILED' OR (state = 'COMPLETED' AND length(body) < 150))"
+    q["extracted_pages"] = f"""WITH {CONV_INDEX} SELECT doc_id, page, CASE WHEN length(text) > 200 THEN 0 ELSE 1 END AS status, CASE WHEN length(text) > 200 THEN length(text) ELSE 0 END::BIGINT AS raw_chars, CASE WHEN length(text) > 200 THEN 1.0 ELSE 0.0 END::DOUBLE AS conf FROM ix WHERE source = '{LAYER}'"""
+    q["backend_failure"] = f"""WITH {CONV_PAGES} SELECT doc_id, page, 'FAIL' AS route, 1 AS stage, 'the text backend is not available' AS message, true AS retryable, 'TEXT_ONLY' AS mode FROM cp
+ UNION ALL SELECT doc_id, page, 'OCR', NULL::INT, NULL::VARCHAR, NULL::BOOLEAN, 'TEXT_THEN_OCR' FROM cp"""
+    q["prepared_pages"] = f"""WITH {CONV_PAGES}, pp AS (SELECT *, CASE WHEN length(text) < 300 THEN 'MEMORY' WHEN contains(text, ',') THEN 'DISK' ELSE 'NONE' END AS cache_source FROM cp)
+SELECT doc_id, page, cache_source, CASE WHEN cache_source = 'NONE' THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_blocks FROM pp"""
+    channel = ", ".join(f"sum((length(line) * 7 + y * 5 + {3 * k}) % 256)::BIGINT AS c{k}" for k in range(3))
+    q["detector_tensors"] = f"WITH {CONV_PAGES}, tl AS (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS line FROM cp), ty AS (SELECT *, unnest([0, 1, 2]) AS y FROM tl) SELECT doc_id, page, {channel} FROM ty GROUP BY doc_id, page"
+    q["page_crops"] = f"""WITH {CONV_PAGES}, cl AS (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM cp),
+cx AS (SELECT doc_id, page, i, 6 * length(line) AS w, unnest(range(8)) AS y FROM cl WHERE line <> ''), cy AS (SELECT *, unnest(range(w)) AS x FROM cx)
+SELECT doc_id, page, i AS n, w::INT AS width, 8 AS height, sum((x + 2 * (12 * i + y)) % 251)::BIGINT AS total FROM cy GROUP BY ALL"""
+    q["orientation_labels"] = f"""WITH {CONV_PAGES}, oa AS (SELECT doc_id, page, (length(text) % 11) / 10.0::DOUBLE - 0.3::DOUBLE AS a, (length(text) % 21) / 20.0::DOUBLE AS b FROM cp)
+SELECT doc_id, page, CASE WHEN b > a AND b > 0 THEN 1 ELSE 0 END AS label, round(greatest(a, b, 0), 6)::DOUBLE AS score, b > a AND b > 0.9 AS turned FROM oa"""
     return q

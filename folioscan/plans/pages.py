@@ -7,7 +7,7 @@ import dataclasses
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.model import OCR, TEXT_LAYER, SearchOptions
+from folioscan.model import OCR, STAGES, TEXT_LAYER, SearchOptions
 
 
 def target_pages(pages: DataFrame, options: SearchOptions) -> DataFrame:
@@ -106,6 +106,37 @@ def resolve(index: DataFrame, options: SearchOptions, current: Column | None = N
     return rows.select("doc_id", "page", "route", state.alias("state"))
 
 
+def resolve_with_fallback(index: DataFrame, options: SearchOptions, current: Column | None = None) -> DataFrame:
+    """``resolve`` with ``source``: pages that recognition leaves out or fails on keep their text layer where it can be searched."""
+    layer = index.where((F.col("source") == TEXT_LAYER) & searchable()).select("doc_id", "page", F.lit(True).alias("kept"))
+    rows = resolve(index, options, current).join(layer, ["doc_id", "page"], "left")
+    falls_back = (F.col("route") == "OCR") & (F.col("state") != "COMPLETED") & F.col("kept").isNotNull()
+    source = F.when(falls_back | F.col("route").isin("TEXT", "BOTH"), TEXT_LAYER).when(F.col("state") == "COMPLETED", OCR)
+    return rows.select("doc_id", "page", "route", F.when(falls_back, "COMPLETED").otherwise(F.col("state")).alias("state"), source.alias("source"))
+
+
+def extracted(missing: DataFrame, found: DataFrame) -> DataFrame:
+    """The index of the pages that an extractor was asked for: what it found, and for each page that it did not return one that failed, without extent or text."""
+    empty = {"page_w": 0.0, "page_h": 0.0, "source": TEXT_LAYER, "text": "", "status": 1, "raw_chars": 0, "visible_chars": 0, "valid_boxes": 0, "conf": 0.0}
+    rows = missing.select("doc_id", "page").distinct().join(found.select("doc_id", "page", *empty), ["doc_id", "page"], "left")
+    return rows.select("doc_id", "page", *(F.coalesce(c, F.lit(v)).alias(c) for c, v in empty.items()))
+
+
+def backend_failed(pages: DataFrame, options: SearchOptions) -> DataFrame:
+    """(doc_id, page, route, stage, message, retryable) of pages whose text backend failed: to recognition, or an error of the text stage that may be tried again."""
+    fails = options.mode == "TEXT_ONLY" or not options.page_level_fallback or not options.fallback_when_not_found
+    rows = pages.select("doc_id", "page", F.lit("FAIL" if fails else "OCR").alias("route"))
+    told = {"stage": F.lit(STAGES["TEXT"]), "message": F.lit("the text backend is not available"), "retryable": F.lit(True)}
+    return rows.withColumns({k: v if fails else F.lit(None).cast({"stage": "int", "message": "string", "retryable": "boolean"}[k]) for k, v in told.items()})
+
+
+def page_errors(states: DataFrame) -> DataFrame:
+    """(doc_id, page, stage, message, retryable) of the failed pages: the others are delivered all the same."""
+    ocr = F.col("route") == "OCR"
+    told = [F.when(ocr, STAGES["OCR"]).otherwise(STAGES["TEXT"]).alias("stage"), F.when(ocr, "recognition returned no text").otherwise("the text layer cannot be searched").alias("message"), ocr.alias("retryable")]
+    return states.where("state = 'FAILED'").select("doc_id", "page", *told)
+
+
 def summary(states: DataFrame, hits: DataFrame, limit: int = 0) -> DataFrame:
     """One row for each document: target, completed, failed, skipped, results, limited, complete."""
     counts = states.groupBy("doc_id").agg(F.count(F.lit(1)).alias("target"), *(F.count_if(F.col("state") == s).alias(s.lower()) for s in ("COMPLETED", "FAILED", "SKIPPED")))

@@ -771,6 +771,95 @@ def render_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layer.select("doc_id", "page", geometry.render_height(F.col("page_w"), F.col("page_h"), 1280).alias("height"), geometry.recognition_width(F.col("page_w"), F.col("page_h"), F.lit(10.5)).alias("line_w"))
 
 
+@query
+def fallback_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.resolve_with_fallback(conv_index(spark, sf_dir), RESOLVE, F.pmod(F.col("doc_id"), F.lit(10)).cast("int"))
+
+
+@query
+def page_error_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognition came back without text for pages of fewer than 150 characters."""
+    lost = (F.col("source") == OCR) & (F.col("raw_chars") < 150)
+    index = conv_index(spark, sf_dir).withColumn("text", F.when(lost, "").otherwise(F.col("text")))
+    return plans.page_errors(plans.resolve(index, RESOLVE, F.pmod(F.col("doc_id"), F.lit(10)).cast("int")))
+
+
+@query
+def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extractor that returned long pages only; the others are in the index as failed ones."""
+    layer = conv_index(spark, sf_dir).where(F.col("source") == TEXT_LAYER)
+    return plans.extracted(layer, layer.where("raw_chars > 200")).select("doc_id", "page", "status", F.col("raw_chars").cast("long").alias("raw_chars"), "conf")
+
+
+@query
+def backend_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = derive.conversation_pages(table(spark, sf_dir, "conversations"))
+    routed = [plans.backend_failed(pages, SearchOptions(mode=m)).withColumn("mode", F.lit(m)) for m in ("TEXT_ONLY", "TEXT_THEN_OCR")]
+    return routed[0].unionByName(routed[1])
+
+
+@query
+def prepared_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of which the short ones are in memory and those with a comma on disk."""
+    pages = derive.conversation_pages(table(spark, sf_dir, "conversations")).withColumn("blocks", F.split("text", "\n", -1))
+    rows = store.prepared(pages.select("doc_id", "page"), pages.where("length(text) < 300"), pages.where("contains(text, ',')"))
+    return rows.select("doc_id", "page", "cache_source", F.coalesce(F.size("blocks"), F.lit(0)).cast("long").alias("n_blocks"))
+
+
+@query
+def detector_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column of three pixels for each line, as a detector gets it: each channel's pixels, found again in the tensor and added up."""
+
+    @F.pandas_udf("binary")
+    def draw(pages: pd.Series) -> pd.Series:
+        def one(t: str) -> bytes:
+            n = np.array([len(x) for x in t.split("\n")])
+            y, x, c = np.mgrid[:3, : len(n), :3]
+            return ((n[x] * 7 + y * 5 + c * 3) % 256).astype(np.uint8).tobytes()
+
+        return pages.map(one)
+
+    @F.pandas_udf("array<long>")
+    def sums(tensors: pd.Series) -> pd.Series:
+        mean, spread = (np.array(x)[:, None] for x in imaging.DETECTOR_NORM)
+        return tensors.map(lambda b: np.rint((np.frombuffer(b, "<f4").reshape(3, -1) * spread + mean) * 255).sum(1).astype(int).tolist())
+
+    pages = derive.conversation_pages(table(spark, sf_dir, "conversations"))
+    images = pages.select("doc_id", "page", draw("text").alias("pixels"), F.size(F.split("text", "\n", -1)).alias("width"), F.lit(3).alias("height"), F.lit(3).alias("channels"))
+    found = imaging.tensors(images, ["doc_id", "page"]).select("doc_id", "page", sums("tensor").alias("m"))
+    return found.select("doc_id", "page", *(F.col("m")[k].alias(f"c{k}") for k in range(3)))
+
+
+@query
+def page_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines cut out of a drawn page: their size and the sum of their pixels."""
+
+    @F.pandas_udf("pixels binary, width int, height int, quads array<array<int>>")
+    def draw(pages: pd.Series) -> pd.DataFrame:
+        rows = []
+        for lines in (t.split("\n") for t in pages):
+            width, height = 6 * max(1, max(map(len, lines))), 12 * len(lines)
+            y, x = np.mgrid[:height, :width]
+            quads = [[0, 12 * i, 6 * len(line), 12 * i, 6 * len(line), 12 * i + 8, 0, 12 * i + 8] for i, line in enumerate(lines)]
+            rows.append((((x + 2 * y) % 251).astype(np.uint8).tobytes(), width, height, quads))
+        return pd.DataFrame(rows, columns=["pixels", "width", "height", "quads"])
+
+    @F.pandas_udf("long")
+    def total(pixels: pd.Series) -> pd.Series:
+        return pixels.map(lambda b: int(np.frombuffer(b, np.uint8).sum(dtype=np.int64)))
+
+    pages = derive.conversation_pages(table(spark, sf_dir, "conversations")).select("doc_id", "page", draw("text").alias("d")).select("doc_id", "page", "d.*", F.lit(1).alias("channels"))
+    return imaging.crops(pages, ["doc_id", "page"]).select("doc_id", "page", F.col("n").cast("long").alias("n"), "width", "height", total("pixels").alias("total"))
+
+
+@query
+def orientation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = derive.conversation_pages(table(spark, sf_dir, "conversations"))
+    n = F.char_length("text")
+    x = recognition.orientation(F.array((n % 11) / 10.0 - 0.3, (n % 21) / 20.0))
+    return pages.select("doc_id", "page", x.alias("x")).select("doc_id", "page", "x.label", F.round("x.score", 6).alias("score"), "x.turned")
+
+
 @query
 def incremental_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages read as a stream of files; hits and running totals of the final state."""

@@ -90,3 +90,11 @@ def newest(files: DataFrame, most: int = 4) -> DataFrame:
 def held_bytes(files: DataFrame) -> DataFrame:
     """(folder, files, bytes) of a store's files (folder, size)."""
     return files.groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+
+
+def prepared(wanted: DataFrame, memory: DataFrame, disk: DataFrame) -> DataFrame:
+    """Wanted pages (doc_id, page) with ``blocks`` and ``cache_source``: from the first store that has them, else NONE and to be recognised."""
+    key = ["doc_id", "page"]
+    rows = wanted.join(memory.select(*key, F.col("blocks").alias("__memory")), key, "left").join(disk.select(*key, F.col("blocks").alias("__disk")), key, "left")
+    source = F.when(F.col("__memory").isNotNull(), "MEMORY").when(F.col("__disk").isNotNull(), "DISK").otherwise("NONE")
+    return rows.withColumns({"blocks": F.coalesce("__memory", "__disk"), "cache_source": source}).drop("__memory", "__disk")

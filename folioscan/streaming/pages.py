@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,3 +23,20 @@ def deliver(pages: DataFrame, n_hits: Column, out: str, checkpoint: str) -> None
 def cumulative(delivered: DataFrame) -> DataFrame:
     """Adds ``total``: a document's hits up to each page."""
     return delivered.dropDuplicates(["doc_id", "page"]).withColumn("total", F.sum("n_hits").over(Window.partitionBy("doc_id").orderBy("page")))
+
+
+@contextlib.contextmanager
+def request(spark: SparkSession, document: str) -> Iterator[None]:
+    """What runs inside belongs to a document's request; a new request for it ends the jobs of the one before."""
+    context, tag = spark.sparkContext, f"folioscan-{document}"
+    cancel(spark, document)
+    context.addJobTag(tag)
+    try:
+        yield
+    finally:
+        context.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, document: str) -> None:
+    """Ends the running jobs of a document's request; other requests go on."""
+    spark.sparkContext.cancelJobsWithTag(f"folioscan-{document}")
