@@ -10,7 +10,8 @@
    shingle come from a table that its hash indexes, for each of a ladder of weights.
 4. Texts that agree in all rows of a band meet in a bucket.  Each bucket links its
    members to one of them, never to each other, and links are verified by the exact
-   weighted Jaccard similarity of the texts.
+   weighted Jaccard similarity of the texts.  Members of hot buckets find their centre
+   without being brought together.
 5. Verified links give classes.  A bucket whose members are all in one class is
    done.  In the others, members outside the largest class are compared with the
    members of other classes inside the bucket, in blocks and by the same exact
@@ -38,8 +39,10 @@ BANDS, ROWS = 14, 3
 #: Cells of the document-frequency table, of the table of draws, and steps of the weight ladder.
 CELLS, DRAWS, STEP = 1 << 20, 1 << 16, 1.1
 IDF_SPREAD = 0.25
-#: Text of one side of the pairs that a task compares within an unsettled bucket.
-BLOCK_BYTES = 2 << 20
+#: Text and members of one side of the pairs that a task compares within an unsettled bucket.
+BLOCK_BYTES, BLOCK_ROWS = 2 << 20, 512
+#: A bucket is hot that has so many members and this part of all of a band's; there are ``BANDS`` * ``HOT_PART`` such at most.
+HOT_ROWS, HOT_PART = 256, 4096
 
 
 def shingles(column: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -254,6 +257,25 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def in_buckets(rows: DataFrame, facts: DataFrame, n: str, all_rows: int) -> DataFrame:
+    """Rows (band, key, ...) with the facts of their bucket, for buckets that have any; ``n`` is a bucket's number of members.
+
+    Rows of hot buckets find their facts in a broadcast table of a bounded number of rows, so
+    none of them is brought together; the others are joined by bucket.  Both inputs are
+    read twice and should be tables.
+    """
+    least = max(HOT_ROWS, all_rows // BANDS // HOT_PART)
+    hot = F.broadcast(facts.where(F.col(n) >= least))
+    cold = rows.join(hot.select("band", "key"), ["band", "key"], "left_anti").join(facts.where(F.col(n) < least).hint("merge"), ["band", "key"])
+    return rows.join(hot, ["band", "key"]).unionByName(cold)
+
+
+def met(dealt: DataFrame) -> DataFrame:
+    """(band, key, a, rep) of the members of buckets with more than one, ``a`` being the smallest."""
+    sizes = dealt.groupBy("band", "key").agg(F.min("rep").alias("a"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("n")).where("a <> top").select("band", "key", "a", "n")
+    return in_buckets(dealt, materialise(sizes, "near-sizes"), "n", dealt.count()).select("band", "key", "a", "rep")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, class): the smallest node that the links lead to, for every linked node.
 
@@ -276,7 +298,7 @@ def components(links: DataFrame) -> DataFrame:
             return small.select(F.col("u").alias("node"), F.col("v").alias("class")).union(small.select(F.col("v").alias("node"), F.col("v").alias("class")).distinct())
 
 
-def _unsettled(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def _unsettled(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float, all_rows: int) -> DataFrame:
     """(a, b): verified links between different classes of one bucket, enough to join all that should be one.
 
     ``members`` has band, key, rep and class.  In a bucket of more than one class the
@@ -287,9 +309,11 @@ def _unsettled(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold:
     held = texts.sparkSession.sparkContext.broadcast(idf)
     sized = members.join(texts.select("rep", F.octet_length("text").alias("size")), "rep")
     by_class = sized.groupBy("band", "key", "class").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    mixed = by_class.groupBy("band", "key").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "class"))["class"].alias("major"), F.sum("size").alias("all"), F.max(F.struct("n", "class", "size"))["size"].alias("major_size"))
-    blocks = mixed.where("classes > 1").select("band", "key", "major", F.ceil(F.col("all") / BLOCK_BYTES + 1e-9).cast("int").alias("rights"), F.ceil((F.col("all") - F.col("major_size")) / BLOCK_BYTES + 1e-9).cast("int").alias("lefts"))
-    rows = members.join(blocks, ["band", "key"]).withColumn("right", F.pmod(F.xxhash64("rep"), "rights").cast("int")).withColumn("left", F.when(F.col("class") != F.col("major"), F.pmod(F.xxhash64("rep"), "lefts").cast("int")))
+    mixed = by_class.groupBy("band", "key").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "class", "size")).alias("major"), F.sum("size").alias("all"), F.sum("n").alias("members"))
+    many = lambda size, n: F.greatest(F.ceil(size / BLOCK_BYTES + 1e-9), F.ceil(n / BLOCK_ROWS)).cast("int")
+    lefts = many(F.col("all") - F.col("major.size"), F.col("members") - F.col("major.n"))
+    blocks = mixed.where("classes > 1").select("band", "key", "members", F.col("major.class").alias("major"), many(F.col("all"), F.col("members")).alias("rights"), lefts.alias("lefts"))
+    rows = in_buckets(members, materialise(blocks, "near-blocks"), "members", all_rows).withColumn("right", F.pmod(F.xxhash64("rep"), "rights").cast("int")).withColumn("left", F.when(F.col("class") != F.col("major"), F.pmod(F.xxhash64("rep"), "lefts").cast("int")))
     as_right = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).select("band", "key", "i", F.col("right").alias("j"), "rep", "class", F.lit(False).alias("is_left"))
     as_left = rows.where("left is not null").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).select("band", "key", F.col("left").alias("i"), "j", "rep", "class", F.lit(True).alias("is_left"))
     dealt = as_right.union(as_left).join(texts, "rep")
@@ -334,7 +358,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """doc_id, class_id (the smallest id of its group) and representative (whether it is that one), a row for each document.
 
     Null texts are empty; texts without words are copies of each other, a text of
-    fewer than five words is one shingle.  Rows that repeat an id and its text are
+    fewer than five words is one shingle.  Other columns are left behind, whatever their names.  Rows that repeat an id and its text are
     copies; of rows that share an id but not the text the class is that of the first
     to be found.  Null ids are left out, as nothing could refer to them.
     """
@@ -345,23 +369,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # Signatures are taken of every row and then kept for one row a text: ids are shuffled, not texts.
     signed = materialise(signatures(rows.withColumnRenamed("doc_id", "rep"), idf).join(reps, "rep", "left_semi").dropDuplicates(["rep"]), "near-codes")
     dealt = materialise(buckets(signed), "near-buckets")
-    centres = dealt.groupBy("band", "key").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).where("a <> top").select("band", "key", "a")
-    shared = materialise(dealt.join(centres, ["band", "key"]).select("band", "key", "a", "rep"), "near-shared")
+    shared = materialise(met(dealt), "near-shared")
     stars = shared.where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
     wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
     involved = materialise(rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text"), "near-texts")
     links = materialise(verified(stars, involved, idf, threshold), "near-links")
     classes = components(links)
     placed = shared.select("band", "key", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("class", "rep").alias("class"))
-    more = materialise(_unsettled(placed, involved, idf, threshold), "near-more")
+    more = materialise(_unsettled(materialise(placed, "near-placed"), involved, idf, threshold, dealt.count()), "near-more")
     if not more.isEmpty():
         classes = components(links.union(more))
     out = members.join(classes, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("class", "rep").alias("class_id"))
     return out.withColumn("representative", F.col("doc_id") == F.col("class_id"))
 
 
-def keep_representatives(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose document represents its group, once for each document."""
+def keep_representatives(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose document represents its group, once for each document.
+
+    Of rows that share an id the one whose text has the smallest hash stays, the same in
+    every run.  Rows without an id represent no group and are left out.
+    """
     chosen = groups.where("representative").select(F.col("doc_id").alias("__chosen")).distinct()
-    return docs.join(chosen, F.col(id_col) == F.col("__chosen"), "left_semi").dropDuplicates([id_col])
+    kept = docs.join(chosen, F.col(id_col) == F.col("__chosen"), "left_semi")
+    first = F.min(F.struct(F.xxhash64(F.col(text)).alias("h"), F.struct(*(F.col(c) for c in docs.columns)).alias("row")))
+    return kept.groupBy(F.col(id_col).alias("__id")).agg(first.alias("x")).select("x.row.*")
 
