@@ -9,21 +9,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.operators import imaging
+from folioscan.sources.derive import held
 
 
-def ctc_decode(steps: DataFrame, keys: list[str]) -> DataFrame:
-    """Greedy decoding of (step, idx, prob): runs of one index are a token, index 0 parts runs.
+def with_ctc(rows: DataFrame, steps: str) -> DataFrame:
+    """Adds ``tokens``, ``begins``, ``ends`` (last step) and ``conf`` of greedy decoding of an array of (step, idx, prob) in their order.
 
-    keys, text positions as arrays: tokens, begins, ends (last step), and ``conf``, the
-    mean of the tokens' mean probabilities.
+    Runs of one index are a token, index 0 parts runs; ``conf`` is the mean of the
+    tokens' mean probabilities.  All within the row.
     """
-    order = Window.partitionBy(*keys).orderBy("step")
-    changed = F.coalesce((F.col("idx") != F.lag("idx").over(order)).cast("int"), F.lit(1))
-    runs = steps.withColumn("run", F.sum(changed).over(order)).where("idx <> 0")
-    tokens = runs.groupBy(*keys, "run").agg(F.min("step").alias("begin"), F.max("step").alias("end"), F.max("idx").alias("idx"), F.avg("prob").alias("p"))
-    rows = tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("begin", "end", "idx", "p"))).alias("x"))
-    mean = F.aggregate("x", F.lit(0.0), lambda a, t: a + t["p"]) / F.size("x")
-    return rows.select(*keys, F.col("x.idx").alias("tokens"), F.col("x.begin").alias("begins"), F.col("x.end").alias("ends"), mean.alias("conf"))
+    at, n = F.col(steps), F.size(steps)
+    first = F.transform(at, lambda x, i: F.when((i == 0) | (x["idx"] != F.get(at, i - 1)["idx"]), i))
+    rows = held(rows, "__starts", F.array_compact(first))
+    end = lambda j: F.coalesce(F.get("__starts", j + 1), n) - 1
+    mean = lambda s, e: F.aggregate(F.slice(at, s + 1, e - s + 1), F.lit(0.0), lambda a, x: a + x["prob"]) / (e - s + 1)
+    runs = F.transform("__starts", lambda s, j: F.struct(at[s]["step"].alias("begin"), at[end(j)]["step"].alias("end"), at[s]["idx"].alias("idx"), F.when(at[s]["idx"] != 0, mean(s, end(j))).alias("p")))
+    rows = held(rows, "__runs", F.filter(runs, lambda x: x["idx"] != 0))
+    conf = F.when(F.size("__runs") > 0, F.aggregate("__runs", F.lit(0.0), lambda a, x: a + x["p"]) / F.size("__runs"))
+    parts = {"tokens": F.col("__runs.idx"), "begins": F.col("__runs.begin"), "ends": F.col("__runs.end"), "conf": conf}
+    return rows.withColumns(parts).drop("__starts", "__runs")
+
+
+def ctc_decode(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, tokens, begins, ends and conf of ``with_ctc`` for rows of (step, idx, prob); what has blanks alone has no row."""
+    lines = steps.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("step", "idx", "prob"))).alias("__steps"))
+    return with_ctc(lines.where(F.exists("__steps", lambda x: x["idx"] != 0)), "__steps").select(*keys, "tokens", "begins", "ends", "conf")
 
 
 def cell_bounds(tokens: DataFrame, keys: list[str], n_steps: Column) -> DataFrame:

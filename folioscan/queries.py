@@ -529,10 +529,12 @@ def _all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decoded(lines: DataFrame, by: list[str]) -> DataFrame:
-    chars = lines.select(*by, F.posexplode(F.split("line", "")).alias("i", "c")).where("c <> ''")
-    steps = chars.select(*by, "i", F.explode(F.sequence(F.lit(0), F.ascii("c") % 3 + 1)).alias("k"), (F.ascii("c") % 3 + 1).alias("n"), F.ascii("c").alias("code"))
-    steps = steps.select(*by, (F.col("i") * 8 + F.col("k")).alias("step"), F.when(F.col("k") < F.col("n"), F.col("code")).otherwise(0).alias("idx"), (0.5 + (F.col("i") % 32) / 64).alias("prob"))
-    done = recognition.ctc_decode(steps, by)
+    def steps(c: Column, i: Column) -> Column:
+        n = F.ascii(c) % 3 + 1
+        return F.transform(F.sequence(F.lit(0), n), lambda k: F.struct((i * 8 + k).alias("step"), F.when(k < n, F.ascii(c)).otherwise(0).alias("idx"), (0.5 + (i % 32) / 64).alias("prob")))
+
+    chars = lines.where("line <> ''").select(*by, F.flatten(F.transform(F.filter(F.split("line", ""), lambda c: c != ""), steps)).alias("steps"))
+    done = recognition.with_ctc(chars, "steps")
     return done.select(*by, F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",").alias("codes"), F.round("conf", 6).alias("conf"))
 
 
