@@ -244,8 +244,14 @@ def exact_normalizer(options: QueryOptions):  # noqa: ANN201
     return run
 
 
-def visible_count(text: Column) -> Column:
-    return F.char_length(F.regexp_replace(text, "[\\s\\p{Cc}]", ""))
+#: What is not visible, as a character class: all white space and control characters; for a text layer's counts, no more than these.
+UNSEEN = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in SPACES + "\u2028\u2029") + "\\p{Cc}]"
+UNSEEN_IN_LAYER = "[\\x00-\\x20\\x7f-\\x9f]"
+
+
+def visible_count(text: Column, in_layer: bool = False) -> Column:
+    """Characters that can be seen; a text layer's extractor takes blanks beyond ASCII for visible."""
+    return F.char_length(F.regexp_replace(text, UNSEEN_IN_LAYER if in_layer else UNSEEN, ""))
 
 
 def dedup_key(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import geometry, stats
+from folioscan.functions.text import UNSEEN, visible_count
 from folioscan.operators.results import column_split
 from folioscan.sources.derive import held
 
@@ -19,11 +20,11 @@ MIXED, WESTERN, EASTERN, OTHER = 0.30, 0.42, 0.52, 0.45
 
 
 def first_visible(text: Column) -> Column:
-    return F.substring(F.regexp_replace(text, "[\\s\\p{Cc}]", ""), 1, 1)
+    return F.substring(F.regexp_replace(text, UNSEEN, ""), 1, 1)
 
 
 def last_visible(text: Column) -> Column:
-    return F.substring(F.regexp_replace(text, "[\\s\\p{Cc}]", ""), -1, 1)
+    return F.substring(F.regexp_replace(text, UNSEEN, ""), -1, 1)
 
 
 def spacing_factor(before: Column, after: Column) -> Column:
@@ -157,9 +158,9 @@ def glyph_width(text: Column, tokens: Column, width: Column) -> Column:
 
     ``tokens`` has (token, l, r, b, t) in ratios of the line, or is null.
     """
-    seen = F.filter(tokens, lambda x: ~F.rlike(x["token"], F.lit("^[\\s\\p{Cc}]*$")) & (x["r"] > x["l"]) & (x["b"] > x["t"]))
+    seen = F.filter(tokens, lambda x: ~F.rlike(x["token"], F.lit(f"^{UNSEEN}*$")) & (x["r"] > x["l"]) & (x["b"] > x["t"]))
     middle = stats.median(F.transform(seen, lambda x: x["r"] - x["l"]))
-    visible = F.char_length(F.regexp_replace(text, "[\\s\\p{Cc}]", ""))
+    visible = visible_count(text)
     return F.when(width <= 0, 0.0).when(middle > 0, middle * width).when(visible > 0, width / visible).otherwise(0.0)
 
 

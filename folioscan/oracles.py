@@ -301,4 +301,17 @@ cx AS (SELECT doc_id, page, i, 6 * length(line) AS w, unnest(range(8)) AS y FROM
 SELECT doc_id, page, i AS n, w::INT AS width, 8 AS height, sum((x + 2 * (12 * i + y)) % 251)::BIGINT AS total FROM cy GROUP BY ALL"""
     q["orientation_labels"] = f"""WITH {CONV_PAGES}, oa AS (SELECT doc_id, page, (length(text) % 11) / 10.0::DOUBLE - 0.3::DOUBLE AS a, (length(text) % 21) / 20.0::DOUBLE AS b FROM cp)
 SELECT doc_id, page, CASE WHEN b > a AND b > 0 THEN 1 ELSE 0 END AS label, round(greatest(a, b, 0), 6)::DOUBLE AS score, b > a AND b > 0.9 AS turned FROM oa"""
+    q["block_search"] = f"""WITH {blocks}, bt AS (SELECT doc_id, page, i, n, k, row_number() OVER w - 1 AS p, string_agg(c, '') OVER (PARTITION BY doc_id, page, i) AS line, c, lag(k) OVER w AS pk, lead(k, 3) OVER w AS nk, lead(k, 2) OVER w AS k2 FROM rv WINDOW w AS (PARTITION BY doc_id, page, i ORDER BY k)),
+bl AS (SELECT doc_id, page, i, string_agg(c, '' ORDER BY k) AS line FROM rv GROUP BY ALL),
+bm AS (SELECT doc_id, page, i, unnest(string_split(lower(line), 'the')) AS part, generate_subscripts(string_split(lower(line), 'the'), 1) AS g, len(string_split(lower(line), 'the')) AS parts FROM bl),
+bs AS (SELECT doc_id, page, i, sum(length(part)) OVER (PARTITION BY doc_id, page, i ORDER BY g) + 3 * (g - 1) AS p, g < parts AS hit FROM bm),
+bh AS (SELECT bs.doc_id, bs.page, bs.i, bs.p, n, k / n::DOUBLE AS l, (k2 + 0.87) / n AS r, coalesce(((pk + pk + 0.87) / n / 2 + (k + k + 0.87) / n / 2) / 2, 0) AS low, coalesce(((k2 + k2 + 0.87) / n / 2 + (nk + nk + 0.87) / n / 2) / 2, 1) AS high FROM bs JOIN bt ON bs.doc_id = bt.doc_id AND bs.page = bt.page AND bs.i = bt.i AND bs.p = bt.p WHERE hit),
+bw AS (SELECT *, least(0.6 / (6 * n), 0.04 * (least(r, high) - greatest(l, low))) AS pad FROM bh)
+SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY i, p) - 1 AS ordinal, p::BIGINT AS start, round(6 * n * greatest(low, greatest(l, low) - pad) / 2, 6)::DOUBLE AS l, round(2500 - (14.0 * i + 9) / 2, 6)::DOUBLE AS b, round(6 * n * least(high, least(r, high) + pad) / 2, 6)::DOUBLE AS r, round(2500 - (14.0 * i + 1) / 2, 6)::DOUBLE AS t FROM bw"""
+    q["visible_counts"] = f"""SELECT doc_id, length(regexp_replace(translate(text, 'a,' , ''), '[ \\t\\n]', '', 'g'))::BIGINT AS seen, length(regexp_replace(replace(text, ',', ''), '[ \\t\\n]', '', 'g'))::BIGINT AS in_layer FROM documents"""
+    q["search_as_written"] = q["search_case"]
+    norm = _norm().replace("source", f"'{LAYER}'")
+    q["progress_feed"] = f"""WITH {CONV_PAGES}, ic AS (SELECT doc_id, page, ((length(n) - length(replace(n, 'the', ''))) // 3)::BIGINT AS n_hits FROM (SELECT *, {norm} AS n FROM cp))
+SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS done, count(*) OVER (PARTITION BY doc_id) AS pages, n_hits, (sum(n_hits) OVER (PARTITION BY doc_id ORDER BY page))::BIGINT AS total FROM ic"""
+    q["scanned_range"] = f"WITH {DOC_INDEX} SELECT doc_id, page, length(text)::BIGINT AS raw_chars, 0 AS status FROM ix WHERE source = '{LAYER}' AND page BETWEEN 2 AND 5"
     return q

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from folioscan import oracles
 from folioscan.functions import errors, geometry, ids, stats, text
 from folioscan.model import OCR, TEXT_LAYER, QueryOptions, SearchOptions
-from folioscan.operators import assembly, imaging, layout, recognition, results, search
+from folioscan.operators import assembly, blocks, imaging, layout, recognition, results, search
 from folioscan.plans import pages as plans
 from folioscan.sources import derive, protocols, shared, store
 from folioscan.streaming import pages as streaming
@@ -697,6 +697,42 @@ def recognised_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("hits"))
 
 
+@query
+def block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches in recognised lines one by one, with the rectangles of their tokens."""
+    found = blocks.block_hits(recognised_blocks(spark, sf_dir), "The")
+    return found.select("doc_id", "page", F.col("ordinal").cast("long").alias("ordinal"), "start", *(F.round(k, 6).alias(k) for k in "lbrt"))
+
+
+@query
+def visible_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What can be seen of texts with ideographic and no-break blanks, by the rule of recognised text and by a text layer's."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.replace(F.translate("text", "ae", "\u3000\xa0"), F.lit(","), F.lit("\x85")))
+    return docs.select("doc_id", text.visible_count(F.col("text")).cast("long").alias("seen"), text.visible_count(F.col("text"), True).cast("long").alias("in_layer"))
+
+
+@query
+def search_as_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An older request that asks for its own case."""
+    asked = SearchOptions(ignore_case=False).effective_query()
+    return search.matches(doc_pages(spark, sf_dir), "The", asked).select("doc_id", "page", "ordinal", "m_start")
+
+
+@query
+def progress_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's turn, how many are done and to come, and the hits so far."""
+    pages = derive.conversation_pages(table(spark, sf_dir, "conversations"))
+    found = search.matches(pages.withColumn("source", F.lit(TEXT_LAYER)), KEYWORD).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n_hits"))
+    return streaming.progress(pages.select("doc_id", "page").join(found, ["doc_id", "page"], "left").fillna(0, ["n_hits"]))
+
+
+@query
+def scanned_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third to the sixth page of each document, with what was counted there."""
+    layer = doc_index(spark, sf_dir).where(F.col("source") == TEXT_LAYER)
+    return derive.scan(derive.extracted_or_fail(layer), 2, 5).select("doc_id", "page", F.col("raw_chars").cast("long").alias("raw_chars"), "status")
+
+
 @query
 def text_layer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page indexes of characters that have lost their line breaks, some with swapped edges; every fourth page failed."""

@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.model import OCR, TEXT_LAYER
@@ -56,6 +56,19 @@ def held(df: DataFrame, name: str, column: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(column)).alias(name))
 
 
+def scan(index: DataFrame, start: int = 0, end: int = -1) -> DataFrame:
+    """The pages of a range, as far as each document has them; an end below 0 is its last page, and a range that begins behind its end has none."""
+    last = F.max("page").over(Window.partitionBy("doc_id"))
+    return index.withColumn("__last", last).where(F.col("page").between(F.lit(max(0, start)), F.least(F.col("__last"), F.lit(end)) if end >= 0 else F.col("__last"))).drop("__last")
+
+
+def extracted_or_fail(index: DataFrame) -> DataFrame:
+    """The index, or an error if the extractor gave nothing at all."""
+    if index.isEmpty():
+        raise RuntimeError("the text layer's extractor returned no page")
+    return index
+
+
 TOKENS = "array<struct<text:string,start:bigint,line:int,conf:double,l:double,b:double,r:double,t:double>>"
 
 

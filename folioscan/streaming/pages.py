@@ -25,6 +25,13 @@ def cumulative(delivered: DataFrame) -> DataFrame:
     return delivered.dropDuplicates(["doc_id", "page"]).withColumn("total", F.sum("n_hits").over(Window.partitionBy("doc_id").orderBy("page")))
 
 
+def progress(delivered: DataFrame) -> DataFrame:
+    """(doc_id, page, done, pages, n_hits, total) for pages (doc_id, page, n_hits): what a reader is told when each is completed, the first time."""
+    rows = delivered.dropDuplicates(["doc_id", "page"])
+    run, whole = Window.partitionBy("doc_id").orderBy("page"), Window.partitionBy("doc_id")
+    return rows.select("doc_id", "page", F.row_number().over(run).cast("long").alias("done"), F.count(F.lit(1)).over(whole).alias("pages"), "n_hits", F.sum("n_hits").over(run).alias("total"))
+
+
 @contextlib.contextmanager
 def request(spark: SparkSession, document: str) -> Iterator[None]:
     """What runs inside belongs to a document's request; a new request for it ends the jobs of the one before."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioscan.model import OCR, TEXT_LAYER, SearchOptions
 from folioscan.operators import imaging, recognition
 from folioscan.plans import pages as plans
-from folioscan.sources import store
+from folioscan.sources import derive, store
 from folioscan.streaming import pages as streaming
 
 INDEX = "doc_id long, page int, source string, text string, page_w double, page_h double, status int, raw_chars int, visible_chars int, valid_boxes int, conf double"
@@ -111,3 +111,24 @@ def test_a_stopped_delivery_goes_on_behind_its_last_page(spark, tmp_path):
         done = spark.read.parquet(where[1])
         assert done.count() == done.dropDuplicates(["doc_id", "page"]).count()
     assert [r.total for r in streaming.cumulative(spark.read.parquet(where[1])).orderBy("page").collect()] == [6, 12, 18, 24]
+
+
+def test_ranges_of_pages(spark):
+    index = spark.createDataFrame([(d, p) for d, n in ((1, 3), (2, 6)) for p in range(n)], "doc_id int, page int")
+    got = lambda *r: sorted(tuple(x) for x in derive.scan(index, *r).collect())
+    assert got(-3, 0) == [(1, 0), (2, 0)] and got(2) == [(1, 2), (2, 2), (2, 3), (2, 4), (2, 5)] and got(4, 99) == [(2, 4), (2, 5)] and got(3, 1) == []
+    assert derive.extracted_or_fail(index) is index
+    with pytest.raises(RuntimeError):
+        derive.extracted_or_fail(index.limit(0))
+
+
+def test_a_write_that_fails_leaves_the_store_as_it_was(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = spark.createDataFrame([(1, 0, TEXT_LAYER, "a"), (1, 0, OCR, "b")], "doc_id long, page int, source string, text string")
+    store.save(rows, path)
+    broken = rows.withColumn("text", F.when(F.col("source") == OCR, F.raise_error(F.lit("lost")).cast("string")).otherwise("new"))
+    with pytest.raises(Exception, match="lost"):
+        store.save(broken, path)
+    assert sorted(r.text for r in store.load(spark, path).collect()) == ["a", "b"]
+    store.save(rows.where(F.col("source") == OCR).withColumn("text", F.lit("new")), path)
+    assert sorted(r.text for r in store.load(spark, path).collect()) == ["a", "new"]
