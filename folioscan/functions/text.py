@@ -76,20 +76,30 @@ def needs_fold(text: Column) -> Column:
     """Whether a page's normal form takes more than the expression: other characters, or a hyphen before several breaks."""
     # Runs of ASCII go first: the long class is then tried on the few characters that are left.
     beyond = F.regexp_replace(text, "[\\t\\n -~]+", "")
-    return F.rlike(beyond, F.lit(f"[^{_plain_class()}]")) | F.rlike(text, F.lit("-[ \\t]*\\n[ \\t]*\\n"))
+    hyphened = (F.contains(text, F.lit("-\n")) | F.contains(text, F.lit("- ")) | F.contains(text, F.lit("-\t"))) & F.rlike(text, F.lit("-[ \\t]*\\n[ \\t]*\\n"))
+    return F.rlike(beyond, F.lit(f"[^{_plain_class()}]")) | hyphened
 
 
 def expressed(text: Column, source: Column, options: QueryOptions) -> Column:
     """The normal form of a page that needs no fold."""
-    hyphen = "(?:-[ \\t]*)?" if options.join_hyphens else ""
+    # What a page has none of is looked for first: that costs far less than a pattern.
+    holds = lambda *parts: functools.reduce(lambda a, b: a | b, (F.contains(text, F.lit(p)) for p in parts))
+    out = text
     if options.cross_line:
-        text = F.regexp_replace(text, f"[ \\t]*{hyphen}\\n[ \\t]*", "")
+        hyphen = "(?:-[ \\t]*)?" if options.join_hyphens else ""
+        edges = holds(" \n", "\t\n", "-\n", "\n ", "\n\t")
+        out = F.when(edges, F.regexp_replace(out, f"[ \\t]*{hyphen}\\n[ \\t]*", "")).otherwise(F.replace(out, F.lit("\n"), F.lit("")))
     else:
         if options.join_hyphens:
-            text = F.regexp_replace(text, "[ \\t]*-[ \\t]*\\n[ \\t]*", "")
-        text = F.regexp_replace(text, "[ \\t]*\\n" if options.join_hyphens else "\\n", BARRIER)
-    text = F.regexp_replace(text, "[ \\t]+" if options.collapse_whitespace or options.ignore_whitespace else "[ \\t]", "" if options.ignore_whitespace else " ")
-    return fold_zero(text if options.case_sensitive else F.lower(text), source, options)
+            out = F.when(holds("-\n", "- ", "-\t"), F.regexp_replace(out, "[ \\t]*-[ \\t]*\\n[ \\t]*", "")).otherwise(out)
+        out = F.regexp_replace(out, "[ \\t]*\\n" if options.join_hyphens else "\\n", BARRIER)
+    if options.ignore_whitespace:
+        out = F.translate(out, " \t", "")
+    elif options.collapse_whitespace:
+        out = F.when(holds("  ", "\t"), F.regexp_replace(out, "[ \\t]+", " ")).otherwise(out)
+    else:
+        out = F.translate(out, "\t", " ")
+    return fold_zero(out if options.case_sensitive else F.lower(out), source, options)
 
 
 def normalize_page(text: Column, source: Column, options: QueryOptions = QueryOptions()) -> Column:
