@@ -209,7 +209,7 @@ def levels(counts: DataFrame) -> DataFrame:
     out = level
     for order in range(ORDER - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND(F.lit((1 << BITS * order) - 1))
-        level = materialise(level.groupBy("lang", suffix.alias("gram")).agg(F.count(F.lit(1)).alias("n")).select("lang", F.lit(order).alias("order"), "gram", "n"), "grams")
+        level = level.groupBy("lang", suffix.alias("gram")).agg(F.count(F.lit(1)).alias("n")).select("lang", F.lit(order).alias("order"), "gram", "n")
         out = out.unionByName(level)
     return out
 
@@ -236,7 +236,7 @@ def probabilities(counted: DataFrame) -> DataFrame:
         else:
             mine = mine.join(lower, ["lang", "suffix"])
         done = mine.select("lang", "gram", (F.col("own") + F.col("weight") * F.col("below")).alias("p"))
-        if order < ORDER:
+        if order == ORDER - 1:  # the shorter ones are small enough to be had twice
             done = materialise(done, "gram-p")
         lower = done.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below"))
         parts.append(done.select("lang", F.lit(False).alias("backoff"), F.lit(order).alias("order"), "gram", F.log("p").alias("value")))
@@ -251,7 +251,7 @@ def train(docs: DataFrame) -> str:
     shard having those of its upper bits, and float values.  Repeated rows count as often
     as they stand there; null and empty texts add nothing, an empty table gives no rows.
     """
-    values = probabilities(levels(materialise(count_grams(docs), "grams")))
+    values = probabilities(materialise(levels(materialise(count_grams(docs), "grams")), "grams-of-all-orders"))
     hashed = pa.schema([("lang", pa.string()), ("backoff", pa.bool_()), ("order", pa.int32()), ("shard", pa.int32()), ("hash", pa.int64()), ("value", pa.float32())])
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
