@@ -222,7 +222,10 @@ def probabilities(counted: DataFrame) -> DataFrame:
     cut = lambda k, most: F.least(F.lit(most), F.greatest(F.lit(0.1), F.when((F.col(f"c{k}") > 0) & (F.col(f"c{k + 1}") > 0), k - (k + 1) * y * F.col(f"c{k + 1}") / F.col(f"c{k}")).otherwise(0.5)))
     discounts = spread.select("lang", "order", cut(1, 0.95).alias("d1"), cut(2, 1.9).alias("d2"), cut(3, 2.9).alias("d3"))
     taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rated = counted.join(discounts, ["lang", "order"]).select("lang", "order", "gram", F.shiftright("gram", BITS).alias("context"), "n", taken.alias("taken"))
+    # A language's order has four values for millions of n-grams: these meet them in many places.
+    discounts = discounts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(CLASSES - 1))))
+    salted = counted.withColumn("salt", F.col("gram").bitwiseAND(F.lit(CLASSES - 1)).cast("int"))
+    rated = salted.join(discounts, ["lang", "order", "salt"]).select("lang", "order", "gram", F.shiftright("gram", BITS).alias("context"), "n", taken.alias("taken"))
     totals = rated.groupBy("lang", "order", "context").agg(F.sum("n").alias("total"), F.sum("taken").alias("freed"))
     totals = totals.select("lang", "order", "context", "total", (F.col("freed") / F.col("total")).alias("weight"))
     rated = rated.join(totals, ["lang", "order", "context"]).select("lang", "order", "gram", "weight", ((F.col("n") - F.col("taken")) / F.col("total")).alias("own"))
