@@ -200,7 +200,7 @@ def _discounts(n: np.ndarray) -> np.ndarray:
 
 
 #: Shards of a language's arrays, by the upper bits of the hash.
-SHARD_BITS = 4
+SHARD_BITS = 6
 
 
 def levels(counts: DataFrame) -> DataFrame:
