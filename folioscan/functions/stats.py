@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,9 +17,10 @@ def median(values: Column) -> Column:
 
 
 def lower_quantile(values: Column, q: float) -> Column:
-    """The value of nearest rank round((n - 1) * q), not interpolated."""
+    """The value of nearest rank round((n - 1) * q), not interpolated; ``q`` is taken as it is written, so a half is a half (90 * 0.35 is one)."""
     xs = F.array_sort(values)
-    return F.when(F.size(xs) > 0, F.element_at(xs, F.floor((F.size(xs) - 1) * q + 0.5).cast("int") + 1))
+    rank = F.floor((F.size(xs) - 1) * F.lit(Decimal(str(q))) + F.lit(Decimal("0.5"))).cast("int")
+    return F.when(F.size(xs) > 0, F.element_at(xs, rank + 1))
 
 
 def weighted_quantile_index(counts: Column, q: float) -> Column:

@@ -141,6 +141,12 @@ def test_statistics(spark):
     assert tuple(row) == (2.0, 1.0, 2)
 
 
+@pytest.mark.parametrize(("n", "rank"), [(91, 32), (171, 60), (331, 116), (351, 123), (11, 4), (90, 31)])
+def test_half_ranks_go_up(spark, n, rank):
+    row = spark.range(1).select(stats.lower_quantile(F.sequence(F.lit(0), F.lit(n - 1)), 0.35)).first()
+    assert row[0] == rank
+
+
 def test_ctc_collapses_runs(spark):
     steps = [(1, s, i, 0.5) for s, i in enumerate([0, 5, 5, 0, 5, 7, 7, 0])]
     row = recognition.ctc_decode(spark.createDataFrame(steps, "k int, step int, idx int, prob double"), ["k"]).first()
