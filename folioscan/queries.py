@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import dataclasses
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -523,6 +524,20 @@ def weighted_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- recognition, protocols, streaming ---------------------------------------
+def _drawn(keys: list[str], column: str, one: Callable[[str], tuple], fields: list[tuple[str, pa.DataType]], rows: int = 1) -> imaging.Drawn:
+    """Turns batches with a text column into batches of so many rows, with what ``one`` draws for each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                values = zip(*map(one, part.column(column).to_pylist()), strict=True)
+                drawn = [pa.array(list(v), kind) for v, (_, kind) in zip(values, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *drawn], [*keys, *(f for f, _ in fields)])
+
+    return run
+
+
 def _all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of a page, with its number in the page."""
     return derive.conversation_pages(table(spark, sf_dir, "conversations")).select("doc_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("at_line", "line"))
@@ -560,20 +575,18 @@ def ctc_cells_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detect_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines drawn into a detector's map of half the page's resolution, and found again."""
 
-    @F.pandas_udf("scores binary, map_w int, map_h int")
-    def draw(pages: pd.Series) -> pd.DataFrame:
-        rows = []
-        for lines in (p.split("\n") for p in pages):
-            scores = np.full((24 * len(lines) + 32, 6 * max(map(len, lines)) + 40), 0.1, "<f4")
-            for i, line in enumerate(lines):
-                scores[24 * i + 8 : 24 * i + 16, 8 : 8 + 6 * len(line)] = 0.9
-            rows.append((scores.tobytes(), scores.shape[1], scores.shape[0]))
-        return pd.DataFrame(rows, columns=["scores", "map_w", "map_h"])
+    def draw(page: str) -> tuple:
+        lines = page.split("\n")
+        scores = np.full((24 * len(lines) + 32, 6 * max(map(len, lines)) + 40), 0.1, "<f4")
+        for i, line in enumerate(lines):
+            scores[24 * i + 8 : 24 * i + 16, 8 : 8 + 6 * len(line)] = 0.9
+        h, w = scores.shape
+        return scores.tobytes(), w, h, 2 * w, 2 * h
 
     pages = derive.conversation_pages(table(spark, sf_dir, "conversations"))
-    maps = pages.select("doc_id", "page", draw("text").alias("m")).select("doc_id", "page", "m.*", (F.col("m.map_w") * 2).alias("source_w"), (F.col("m.map_h") * 2).alias("source_h"))
+    drawn = _drawn(["doc_id", "page"], "text", draw, [("scores", pa.binary()), *((k, pa.int32()) for k in ("map_w", "map_h", "source_w", "source_h"))])
     sides = [F.col("quad")[k].cast("long").alias(c) for c, k in (("l", 0), ("t", 1), ("r", 4), ("b", 5))]
-    return imaging.detect(maps, ["doc_id", "page"]).select("doc_id", "page", *sides)
+    return imaging.detect(pages, ["doc_id", "page"], drawn).select("doc_id", "page", *sides)
 
 
 def _ink_boxes(lines: DataFrame, by: list[str]) -> DataFrame:

@@ -1,8 +1,10 @@
 """Detector maps, crops, ink and token boxes on small images."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from folioscan import queries
 from folioscan.operators import imaging
 
 
@@ -104,3 +106,28 @@ def test_images_that_do_not_fill_their_size_have_no_boxes(spark):
     assert imaging.detect(maps, ["id"]).count() == 0
     lines = spark.createDataFrame([(1, None, 1, 1, [0], [0], 4, False), (2, b"x", 1, 1, [0], [0], 4, False)], "id int, pixels binary, width int, height int, begins array<int>, ends array<int>, steps int, turned boolean")
     assert [r["id"] for r in imaging.align(lines, ["id"]).collect()] == [2]
+
+
+def test_maps_are_drawn_one_by_one():
+    pages = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(["ab"] * 9)], ["doc_id", "text"])
+    drawn = queries._drawn(["doc_id"], "text", lambda t: (t.encode(), len(t)), [("pixels", pa.binary()), ("width", pa.int32())])
+    assert [b.to_pylist() for b in drawn(iter([pages]))] == [[{"doc_id": i, "pixels": b"ab", "width": 2}] for i in range(9)]
+
+
+def test_maps_drawn_on_the_spot_have_the_boxes_of_stored_ones(spark):
+    scores = np.full((40, 100), 0.1, "<f4")
+    scores[10:20, 10:60] = 0.9
+    row = (scores.tobytes(), 100, 40, 200, 80)
+    fields = [("scores", pa.binary()), *((k, pa.int32()) for k in ("map_w", "map_h", "source_w", "source_h"))]
+    stored = spark.createDataFrame([(1, *row), (2, *row)], "id int, scores binary, map_w int, map_h int, source_w int, source_h int")
+    texts = spark.createDataFrame([(1, "x"), (2, "y")], "id int, text string")
+    boxes = [sorted(map(tuple, found.collect())) for found in (imaging.detect(stored, ["id"]), imaging.detect(texts, ["id"], queries._drawn(["id"], "text", lambda _: row, fields)))]
+    assert boxes[0] == boxes[1] and [b[:2] for b in boxes[0]] == [(1, 0), (2, 0)]
+
+
+def test_results_leave_in_small_batches():
+    one = lambda b: [[0, 1], [b, b[:9]]]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array([*[bytes([i]) * (1 << 20) for i in range(11)], None])], ["id", "pixels"])
+    got = list(imaging.in_batches(iter([rows]), ["id"], ["pixels"], one, [("n", "int", pa.int32()), ("cut", "binary", pa.binary())]))
+    assert len(got) > 1 and max(b.nbytes for b in got) < imaging.BATCH_BYTES + (2 << 20)
+    assert [(r["id"], r["n"], r["cut"][:1], len(r["cut"])) for b in got for r in b.to_pylist()] == [(i, n, bytes([i]), (1 << 20, 9)[n]) for i in range(11) for n in (0, 1)]
