@@ -590,21 +590,16 @@ def detect_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ink_boxes(lines: DataFrame, by: list[str]) -> DataFrame:
-    @F.pandas_udf("pixels binary, begins array<int>, ends array<int>")
-    def draw(lines: pd.Series) -> pd.DataFrame:
-        rows = []
-        for line in lines:
-            image = np.full((12, 6 * len(line)), 255, np.uint8)
-            seen = [i for i, c in enumerate(line) if not c.isspace()]
-            for i in seen:
-                if ord(line[i]) % 5:
-                    image[2:10, 6 * i + 1 : 6 * i + 5] = 0
-            rows.append((image.tobytes(), [8 * i + 2 for i in seen], [8 * i + 5 for i in seen]))
-        return pd.DataFrame(rows, columns=["pixels", "begins", "ends"])
-
-    n = F.char_length("line")
-    drawn = lines.where("line <> ''").select(*by, draw("line").alias("d"), (n * 6).alias("width"), F.lit(12).alias("height"), (n * 8).alias("steps"), F.lit(False).alias("turned"))
-    boxes = imaging.align(drawn.select(*by, "d.*", "width", "height", "steps", "turned"), by)
+    def draw(line: str) -> tuple:
+        image = np.full((12, 6 * len(line)), 255, np.uint8)
+        seen = [i for i, c in enumerate(line) if not c.isspace()]
+        inked = 6 * np.array([i for i in seen if ord(line[i]) % 5], int)[:, None] + np.arange(1, 5)
+        image[2:10, inked.ravel()] = 0
+        return image.tobytes(), 6 * len(line), 12, [8 * i + 2 for i in seen], [8 * i + 5 for i in seen], 8 * len(line), False
+
+    ints = pa.list_(pa.int32())
+    drawn = _drawn(by, "line", draw, [("pixels", pa.binary()), ("width", pa.int32()), ("height", pa.int32()), ("begins", ints), ("ends", ints), ("steps", pa.int32()), ("turned", pa.bool_())], 32)
+    boxes = imaging.align(lines.where("line <> ''").select(*by, "line"), by, drawn)
     return boxes.select(*by, F.col("n").cast("long").alias("n"), *(F.round(c, 6).alias(c) for c in "ltrb"))
 
 
