@@ -880,22 +880,20 @@ def detector_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines cut out of a drawn page: their size and the sum of their pixels."""
 
-    @F.pandas_udf("pixels binary, width int, height int, quads array<array<int>>")
-    def draw(pages: pd.Series) -> pd.DataFrame:
-        rows = []
-        for lines in (t.split("\n") for t in pages):
-            width, height = 6 * max(1, max(map(len, lines))), 12 * len(lines)
-            y, x = np.mgrid[:height, :width]
-            quads = [[0, 12 * i, 6 * len(line), 12 * i, 6 * len(line), 12 * i + 8, 0, 12 * i + 8] for i, line in enumerate(lines)]
-            rows.append((((x + 2 * y) % 251).astype(np.uint8).tobytes(), width, height, quads))
-        return pd.DataFrame(rows, columns=["pixels", "width", "height", "quads"])
-
-    @F.pandas_udf("long")
-    def total(pixels: pd.Series) -> pd.Series:
-        return pixels.map(lambda b: int(np.frombuffer(b, np.uint8).sum(dtype=np.int64)))
-
-    pages = derive.conversation_pages(table(spark, sf_dir, "conversations")).select("doc_id", "page", draw("text").alias("d")).select("doc_id", "page", "d.*", F.lit(1).alias("channels"))
-    return imaging.crops(pages, ["doc_id", "page"]).select("doc_id", "page", F.col("n").cast("long").alias("n"), "width", "height", total("pixels").alias("total"))
+    def draw(page: str) -> tuple:
+        lines = page.split("\n")
+        width, height = 6 * max(1, max(map(len, lines))), 12 * len(lines)
+        y, x = np.ogrid[:height, :width]
+        quads = [[0, 12 * i, 6 * len(line), 12 * i, 6 * len(line), 12 * i + 8, 0, 12 * i + 8] for i, line in enumerate(lines)]
+        return ((x + 2 * y) % 251).astype(np.uint8).tobytes(), width, height, 1, quads
+
+    @F.arrow_udf("long")
+    def total(pixels: pa.Array) -> pa.Array:
+        return pa.array([int(np.frombuffer(b.as_buffer(), np.uint8).sum(dtype=np.int64)) for b in pixels], pa.int64())
+
+    pages = derive.conversation_pages(table(spark, sf_dir, "conversations"))
+    drawn = _drawn(["doc_id", "page"], "text", draw, [("pixels", pa.binary()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("quads", pa.list_(pa.list_(pa.int32())))])
+    return imaging.crops(pages, ["doc_id", "page"], drawn).select("doc_id", "page", F.col("n").cast("long").alias("n"), "width", "height", total("pixels").alias("total"))
 
 
 @query
