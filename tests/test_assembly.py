@@ -1,5 +1,6 @@
 """Page indexes from characters and from blocks, reports of numbers, and the sealed store, on small cases."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,19 @@ def test_blocks_keep_quads_and_offsets():
     assert protocols.unpack_blocks([*two[:-1]], words) == []
 
 
+def test_pages_of_blocks_become_rows():
+    words = ["blank", "a", "bc", " "]
+    quad = [0, 0, 9, 1, 9, 5, 0, 4]
+    two = [protocols.BLOCK_MAGIC, 2.0, 4, 3, 0.9, 3, *quad, 1, 2, 99, *[0.0, -1.0, 0.5, 1.0] * 3, 0.0, 1.0]
+    one = [3, 1, 0.5, 0, 0, 9, 0, 9, 5, 2, 0, 1]
+    got = protocols.block_rows(pa.array([None, two, [], one, two], pa.list_(pa.float64())), words).to_pylist()
+    box = {"l": 0.0, "t": 0.0, "r": 0.5, "b": 1.0}
+    assert [len(p) for p in got] == [0, 1, 0, 1, 1] and got[1] == got[4]
+    assert (got[1][0]["token_boxes"], got[1][0]["begins"], got[1][0]["quad"]) == ([box] * 3, [0, 1, 3], [float(x) for x in quad])
+    assert [got[3][0][k] for k in ("text", "r", "score", "quad", "token_boxes", "begins", "ends")] == ["bc", 9.0, 0.5, None, None, None, None]
+    assert protocols.block_rows(pa.array([], pa.list_(pa.float64())), words).to_pylist() == []
+
+
 def test_decoders_of_columns(spark):
     df = spark.createDataFrame([(1, [protocols.TEXT_MAGIC, 1.0, 1.0, 0.0]), (2, None), (3, [])], "k int, v array<double>")
     assert [(r.k, r.x.n_pages, r.x.pages, r.x.rects) for r in df.select("k", protocols.decode_reports(F.col("v")).alias("x")).collect()] == [(1, 1, [], []), (2, 0, [], []), (3, 0, [], [])]
