@@ -20,6 +20,8 @@ from folioscan.sources.derive import PAGE, held, with_tokens
 
 #: Most text of keywords that one pass over the pages looks for; a larger table takes several passes.
 KEYWORD_BYTES = 4 << 20
+#: Pages whose tokens are looked at together.
+HIT_PAGES = 64
 _HITS = "array<struct<ordinal:int,start:bigint,stop:bigint,conf:double,rects:array<struct<l:double,b:double,r:double,t:double>>>>"
 _RECT = pa.struct([(k, pa.float64()) for k in "lbrt"])
 _HIT = pa.list_(pa.struct([("ordinal", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("conf", pa.float64()), ("rects", pa.list_(_RECT))]))
@@ -90,6 +92,11 @@ def _place(keyword: str, options: QueryOptions):  # noqa: ANN202
 
     @F.arrow_udf(_HITS)
     def run(tokens: pa.Array, sources: pa.Array) -> pa.Array:
+        # A token takes some hundred bytes in plain Python, so few pages are opened at a time.
+        parts = [found(tokens.slice(at, HIT_PAGES), sources.slice(at, HIT_PAGES)) for at in range(0, len(tokens), HIT_PAGES)]
+        return pa.concat_arrays(parts) if parts else pa.array([], _HIT)
+
+    def found(tokens: pa.Array, sources: pa.Array) -> pa.Array:
         cut = np.concatenate([[0], np.cumsum(tokens.value_lengths().fill_null(0).to_numpy())])
         flat = tokens.flatten()
         column = dict(zip([f.name for f in flat.type], flat.flatten(), strict=True))

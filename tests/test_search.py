@@ -3,8 +3,10 @@
 import dataclasses
 import itertools
 import random
+import tracemalloc
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +133,19 @@ def test_keywords_in_blocks_and_of_any_length(spark):
     for size in (1, 3, 1 << 20):
         assert {(r.item_id, r.doc_id, r.n) for r in search.multi_keyword(pages, keys, size).collect()} == want
     assert search.multi_keyword(pages, keys.limit(0)).count() == 0
+
+
+def test_tokens_are_opened_a_few_pages_at_a_time():
+    n = 300
+    page = [{"text": "the" if i % 100 == 7 else "ab", "start": 3 * i, "line": i // 50, "conf": 0.5 + i / 1000, "l": 1.5 * i, "b": 0.1, "r": 1.5 * i + 1, "t": 1.1} for i in range(n)]
+    kind = pa.struct([("text", pa.string()), ("start", pa.int64()), ("line", pa.int32()), *((k, pa.float64()) for k in ("conf", *"lbrt"))])
+    one = pa.array([page], pa.list_(kind))
+    tokens, sources = pa.concat_arrays([one] * 600), pa.array([OCR] * 600)
+    place = search._place("the", QueryOptions()).func
+    assert len(place(tokens[:0], sources[:0])) == 0
+    tracemalloc.start()
+    got = place(tokens, sources)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12_000_000
+    assert len(got) == 600 and [[h["start"] for h in got[k].as_py()] for k in (0, 63, 64, 599)] == [[21, 321, 621]] * 4
