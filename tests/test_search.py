@@ -135,7 +135,7 @@ def test_keywords_in_blocks_and_of_any_length(spark):
     assert search.multi_keyword(pages, keys.limit(0)).count() == 0
 
 
-def test_tokens_are_opened_a_few_pages_at_a_time():
+def test_tokens_are_opened_a_few_pages_at_a_time(spark):
     n = 300
     page = [{"text": "the" if i % 100 == 7 else "ab", "start": 3 * i, "line": i // 50, "conf": 0.5 + i / 1000, "l": 1.5 * i, "b": 0.1, "r": 1.5 * i + 1, "t": 1.1} for i in range(n)]
     kind = pa.struct([("text", pa.string()), ("start", pa.int64()), ("line", pa.int32()), *((k, pa.float64()) for k in ("conf", *"lbrt"))])
