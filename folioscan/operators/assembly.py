@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import geometry, stats
-from folioscan.functions.text import visible_count
-from folioscan.model import OCR, TEXT_LAYER
-from folioscan.operators import layout
-from folioscan.operators.results import with_split
+from folioscan.model import TEXT_LAYER
+from folioscan.operators import block_index, layout
 from folioscan.sources.derive import held
 
 PAGE = ["doc_id", "page"]
@@ -61,6 +61,13 @@ def index_of_characters(chars: DataFrame, pages: DataFrame) -> DataFrame:
     return out.select(*PAGE, F.lit(TEXT_LAYER).alias("source"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("tokens", F.array().cast(_NO_TOKENS)).alias("tokens"), "page_w", "page_h", failed.cast("int").alias("status"), "raw_chars", "visible_chars", "valid_boxes", F.when(failed, 0.0).otherwise(1.0).alias("conf"))
 
 
+def index_schema(pages: DataFrame) -> str:
+    """The columns of ``block_index.indexed`` for pages with such keys and sizes."""
+    kind = dict(pages.dtypes)
+    own = lambda *names: ", ".join(f"{c} {kind[c]}" for c in names)
+    return f"{own(*PAGE)}, source string, text string, tokens {_NO_TOKENS}, {own('page_w', 'page_h')}, status int, raw_chars bigint, visible_chars bigint, valid_boxes bigint, conf double"
+
+
 def index_of_blocks(pages: DataFrame, detect_columns: bool = True, column_gap: float = 0.16) -> DataFrame:
     """The page index of recognised pages: blocks in reading order, with what stands between them, and their tokens in page points.
 
@@ -68,47 +75,9 @@ def index_of_blocks(pages: DataFrame, detect_columns: bool = True, column_gap: f
     (text, l, t, r, b, score, quad, token_boxes, begins, ends): bitmap pixels, y down; boxes
     in ratios of the line and code point offsets, or null.  A block without sound boxes
     shares its width evenly.  Spaces that a line has lost come back.  Pages without an
-    extent have no index, pages without blocks an empty one of confidence -1.
+    extent have no index, pages without blocks an empty one of confidence -1.  All within
+    the row: nothing is shuffled, and the tokens of a page never leave their worker for a join.
     """
     sizes = ["bitmap_w", "bitmap_h", "page_w", "page_h"]
     sound = pages.where("bitmap_w > 0 and bitmap_h > 0 and page_w > 0 and page_h > 0").select(*PAGE, *sizes, "blocks")
-    placed = lambda x: x["l"].isNotNull() & x["t"].isNotNull() & x["r"].isNotNull() & x["b"].isNotNull()
-    split = sound.withColumn("split", F.lit(None).cast("double"))
-    if detect_columns:
-        split = with_split(held(sound, "__boxes", F.transform(F.filter("blocks", placed), lambda x: F.struct(x["l"].alias("l"), x["r"].alias("r")))), "__boxes", F.col("bitmap_w"), column_gap)
-    blocks = split.select(*PAGE, *sizes, "split", F.posexplode("blocks").alias("id", "x")).where(placed(F.col("x"))).select(*PAGE, *sizes, "split", "id", "x.*")
-    ranked = layout.ranked_blocks(blocks, PAGE, F.col("bitmap_w"), 0.0).where("text <> ''")
-    n = F.char_length("text")
-    same = F.coalesce((F.size("token_boxes") == F.size("begins")) & (F.size("begins") == F.size("ends")) & (F.size("token_boxes") > 0), F.lit(False))
-
-    def token(x: Column, i: Column) -> Column:
-        begin = F.least(F.greatest(x["begins"], F.lit(0)), n)
-        end = F.least(F.greatest(x["ends"], begin), n)
-        inside = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
-        return F.struct(i.alias("seq"), F.substring("text", begin + 1, end - begin).alias("token"), *(inside(x["token_boxes"][k]).alias(k) for k in "ltrb"))
-
-    ranked = held(ranked, "own", F.when(same, F.filter(F.transform(F.arrays_zip("token_boxes", "begins", "ends"), token), lambda x: x["token"] != "")))
-    ranked = ranked.withColumn("glyph", layout.glyph_width(F.col("text"), F.col("own"), F.col("r") - F.col("l")))
-    rows = layout.with_lost_spaces(layout.separators(ranked, PAGE, "rank", F.col("bitmap_w")), "own")
-
-    in_page = lambda *sides: geometry.bitmap_to_pdf(*sides, *(F.col(c) for c in sizes))
-    no_box = in_page(*(F.lit(0.0),) * 4)  # without area
-    part = lambda text, box, breaks=False: F.struct(text.alias("text"), box.alias("box"), F.col("score").alias("conf"), F.lit(breaks).alias("breaks"))
-    none = F.array(part(F.lit(""), no_box)).cast("array<struct<text:string,box:struct<l:double,b:double,r:double,t:double>,conf:double,breaks:boolean>>")
-    none = F.slice(none, 1, 0)
-    # In two steps, as a lambda computes what it uses twice twice.
-    sides = lambda x: F.when((x["r"] > x["l"]) & (x["b"] > x["t"]), F.struct(*(c.alias(k) for c, k in zip(layout.token_sides(x), "ltrb", strict=True))))
-    rows = held(rows, "sides", F.transform("own", sides))
-    rows = held(rows, "boxes", F.transform("sides", lambda x: in_page(*(x[k] for k in "ltrb"))))
-    boxed = F.flatten(F.zip_with("own", "boxes", lambda x, box: F.concat(F.when(F.array_contains("spaced", x["seq"]), F.array(part(F.lit(" "), no_box))).otherwise(none), F.array(part(x["token"], box)))))
-    even = F.transform(layout.even_tokens(F.col("text"), F.col("l"), F.col("r")), lambda x: part(x["token"], in_page(x["l"], F.col("t"), x["r"], F.col("b"))))
-    before = F.when(F.col("separator") == "LINE_BREAK", F.array(part(F.lit("\n"), no_box, True))).when(F.col("separator") == "SPACE", F.array(part(F.lit(" "), no_box))).otherwise(none)
-    rows = held(rows, "parts", F.concat(before, F.when(same, boxed).otherwise(even)))
-    seen = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + visible_count(x["text"]))
-    # A token of an evenly shared block counts as boxed even if nothing is left of its box.
-    with_box = F.when(same, seen(F.filter("parts", lambda x: x["box"].isNotNull()))).otherwise(seen(F.col("parts")))
-    grouped = rows.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("rank", "parts"))).alias("x"), F.sum(seen(F.col("parts"))).alias("visible_chars"), F.sum(with_box).alias("valid_boxes"), F.avg("score").alias("conf"))
-    whole = _indexed(grouped.select(*PAGE, "visible_chars", "valid_boxes", "conf", F.flatten("x.parts").alias("parts"))).drop("parts")
-    out = sound.select(*PAGE, "page_w", "page_h").join(whole, PAGE, "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return out.select(*PAGE, F.lit(OCR).alias("source"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("tokens", F.array().cast(_NO_TOKENS)).alias("tokens"), "page_w", "page_h", F.lit(0).alias("status"), zero(F.char_length("text")).alias("raw_chars"), zero(F.col("visible_chars")).alias("visible_chars"), zero(F.col("valid_boxes")).alias("valid_boxes"), F.coalesce("conf", F.lit(-1.0)).alias("conf"))
+    return sound.mapInArrow(partial(block_index.indexed, detect_columns=detect_columns, column_gap=column_gap), index_schema(sound))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from folioscan import oracles
 from folioscan.functions import errors, geometry, ids, stats, text
 from folioscan.model import OCR, TEXT_LAYER, QueryOptions, SearchOptions
-from folioscan.operators import assembly, blocks, imaging, layout, recognition, results, search
+from folioscan.operators import assembly, block_index, blocks, imaging, layout, recognition, results, search
 from folioscan.plans import pages as plans
 from folioscan.sources import derive, protocols, shared, store
 from folioscan.streaming import pages as streaming
@@ -663,42 +663,64 @@ def protocol_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 KNOWN = "".join(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x100)]))
 
 
-def recognised_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: A page of lines as the fixture's recogniser reports it: its bitmap and its extent in points.
+READ_SIZES = {"bitmap_w": 10_000.0, "bitmap_h": 5_000.0, "page_w": 5_000.0, "page_h": 2_500.0}
+
+
+def _reader(spark: SparkSession) -> imaging.Drawn:
     """Lines as a recogniser reports them, by numbers: without their blanks, a box for each character, decoded with a dictionary file."""
     path = shared.shared_dir(spark, "dictionary")
     spark.createDataFrame([("\n".join(KNOWN),)], "value string").coalesce(1).write.text(path)
     dictionary = protocols.load_dictionary(spark, path)
 
-    number = {c: float(i + 1) for i, c in enumerate(KNOWN)}
+    number = np.full(0x101, -1.0)
+    number[[ord(c) for c in KNOWN]] = np.arange(1.0, len(KNOWN) + 1)
 
     def pack(page: str) -> tuple:
-        out = [protocols.BLOCK_MAGIC, 2.0]
+        out: list = [[protocols.BLOCK_MAGIC, 2.0]]
         for i, line in enumerate(page.split("\n")):
-            seen = [(k, c) for k, c in enumerate(line) if c not in " \t"]
-            w, top = 6.0 * len(line), 14.0 * i
-            out += [4.0, float(len(seen)), 0.5 + i % 8 / 16, float(len(seen)), 0.0, top, w, top, w, top + 10, 0.0, top + 10, *(number.get(c, -1.0) for _, c in seen)]
-            out += [x for k, _ in seen for x in (k / len(line), 0.1, (k + 0.87) / len(line), 0.9)]
-            out += [0.0, 1.0]
-        return (out,)
+            codes = np.frombuffer(line.encode("utf-32-le"), "<u4")
+            at = np.flatnonzero((codes != 0x20) & (codes != 0x09))
+            w, top, n = 6.0 * len(line), 14.0 * i, max(1, len(line))
+            boxes = np.full((len(at), 4), (0.0, 0.1, 0.0, 0.9))
+            boxes[:, 0], boxes[:, 2] = at / n, (at + 0.87) / n
+            out += [[4.0, float(len(at)), 0.5 + i % 8 / 16, float(len(at)), 0.0, top, w, top, w, top + 10, 0.0, top + 10], number[np.minimum(codes[at], 0x100)], boxes.ravel(), [0.0, 1.0]]
+        return (np.concatenate(out),)
 
     packed = _drawn(["doc_id", "page"], "text", pack, [("numbers", pa.list_(pa.float64()))], protocols.BLOCK_ROWS)
 
     # Numbers are packed and read back in one pass: forty bytes a character need not go through the JVM.
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in packed(batches):
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["page"], protocols.block_rows(batch["numbers"], dictionary)], ["doc_id", "page", "blocks"])
+            sizes = [pa.array(np.full(batch.num_rows, v)) for v in READ_SIZES.values()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["page"], protocols.block_rows(batch["numbers"], dictionary), *sizes], ["doc_id", "page", "blocks", *READ_SIZES])
+
+    return read
+
 
-    pages = derive.conversation_pages(table(spark, sf_dir, "conversations")).mapInArrow(read, f"doc_id long, page int, blocks {protocols.BLOCKS}")
-    sizes = {"bitmap_w": 10_000.0, "bitmap_h": 5_000.0, "page_w": 5_000.0, "page_h": 2_500.0}
-    return pages.select("doc_id", "page", "blocks", *(F.lit(v).alias(k) for k, v in sizes.items()))
+def _blocks_schema() -> str:
+    return f"doc_id long, page int, blocks {protocols.BLOCKS}, " + ", ".join(f"{k} double" for k in READ_SIZES)
+
+
+def recognised_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.conversation_pages(table(spark, sf_dir, "conversations")).mapInArrow(_reader(spark), _blocks_schema())
 
 
 @query
 def recognised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page indexes of recognised lines: text with its lost spaces, tokens, counts and mean score."""
-    index = assembly.index_of_blocks(recognised_blocks(spark, sf_dir))
-    last = F.try_element_at(F.filter("tokens", lambda x: x["l"].isNotNull()), F.lit(-1))
-    return index.select("doc_id", "page", "text", F.size("tokens").cast("long").alias("n_tokens"), "visible_chars", "valid_boxes", F.round("conf", 6).alias("conf"), F.round(last["l"], 6).alias("last_l"), F.round(last["t"], 6).alias("last_t"), last["line"].cast("long").alias("last_line"))
+    read = _reader(spark)
+
+    # The pages' tokens are counted where they are made.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in block_index.indexed(read(batches)):
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in ("doc_id", "page", "text", "visible_chars", "valid_boxes", "conf")), *block_index.last_boxed(batch["tokens"])], ["doc_id", "page", "text", "visible_chars", "valid_boxes", "conf", "n_tokens", "last_l", "last_t", "last_line"])
+
+    # Pages that lack a part of their id have no index, as in the SQL.
+    named = F.col("doc_id").isNotNull() & F.col("page").isNotNull()
+    pages = derive.conversation_pages(table(spark, sf_dir, "conversations")).withColumn("text", F.when(named, F.col("text")).otherwise(""))
+    index = pages.mapInArrow(run, "doc_id long, page int, text string, visible_chars long, valid_boxes long, conf double, n_tokens long, last_l double, last_t double, last_line long")
+    return index.select("doc_id", "page", "text", "n_tokens", "visible_chars", "valid_boxes", *(F.round(c, 6).alias(c) for c in ("conf", "last_l", "last_t")), "last_line")
 
 
 @query

@@ -4,8 +4,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.functions import geometry, ids
-from folioscan.operators import assembly, layout, search
+from folioscan import queries
+from folioscan.functions import geometry, ids, text
+from folioscan.operators import assembly, block_index, layout, search
 from folioscan.sources import protocols, store
 
 CHARS = "doc_id long, page int, idx int, code_point int, l double, b double, r double, t double"
@@ -75,6 +76,48 @@ def test_pages_without_extent_or_blocks(spark):
     assert sorted(got) == [1, 2, 3] and all((r.text, r.tokens, r.conf, r.raw_chars) == ("", [], -1.0, 0) for r in got.values())
 
 
+def test_pages_of_blocks_are_never_broadcast_or_shuffled(spark):
+    indexes = [assembly.index_of_blocks(spark.createDataFrame([(1, 0, 9.0, 9.0, 9.0, 9.0, [block("a", 0, 0, 1, 1)])], PAGES)), queries.recognised_pages(spark, "/root/testdata/sf0.001")]
+    for df in indexes:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Exchange", "Join", "Window", "Aggregate"))
+
+
+def test_pages_are_indexed_in_parts(spark, monkeypatch):
+    boxes = [(0.02, 0.10), (0.11, 0.19), (0.20, 0.28), (0.34, 0.43), (0.44, 0.53)]
+    lines = [[block("OCR扫描", 0, 0, 100, 20, boxes=boxes), block(f"ab{k}", 120, 1, 180, 21)] for k in range(4)]
+    rows = [(k, 0, 1000.0, 1000.0, 500.0, 500.0, x) for k, x in enumerate([*lines[:2], None, *lines[2:], []])]
+    (batch,) = spark.createDataFrame(rows, PAGES).coalesce(1).toArrow().combine_chunks().to_batches()
+    whole = [r for b in block_index.indexed([batch]) for r in b.to_pylist()]
+    monkeypatch.setattr(block_index, "PART_BYTES", 1)
+    parts = list(block_index.indexed([batch]))
+    assert len(parts) > 2 and [r for b in parts for r in b.to_pylist()] == whole
+    assert [r["text"] for r in whole] == ["OCR 扫描 ab0", "OCR 扫描 ab1", "", "OCR 扫描 ab2", "OCR 扫描 ab3", ""]
+    assert [x.to_pylist() for x in block_index.last_boxed(pa.concat_arrays([b["tokens"] for b in parts]))][0] == [10, 10, 0, 10, 10, 0]
+
+
+def test_a_recognised_block_among_others(spark):
+    """Even shares beside recognised boxes: the space between the blocks is judged by the widths of the recognised tokens."""
+    row = index(spark, block("ab", 0, 0, 100, 20, boxes=[(0.0, 0.5), (0.5, 1.0)]), block("cd", 104, 0, 108, 20), block("ef", 150, 0, 250, 20, boxes=[(0.0, 0.5), (0.5, 1.0)]))
+    assert row.text == "abcd ef" and [t.l for t in row.tokens] == [0.0, 25.0, 52.0, 53.0, None, 75.0, 100.0]
+
+
+def test_characters_are_known_as_to_java(spark):
+    wanted = {"cjk": (layout.CJK, block_index.IS_CJK), "latin": (layout.LATIN, block_index.IS_LATIN), "unseen": (text.UNSEEN, block_index.UNSEEN), "blank": ("\\s", block_index.BLANK)}
+    chars = spark.range(0x110000).select("id", assembly.character(F.col("id")).alias("c")).where("c is not null")
+    for pattern, bit in wanted.values():
+        told = [r[0] for r in chars.where(F.rlike("c", F.lit(pattern))).select("id").orderBy("id").collect()]
+        assert told == (block_index.kinds() & bit).nonzero()[0].tolist()
+    for held, bit in ((layout.OPENING + layout.TIGHT, block_index.NO_SPACE_AFTER), (layout.CLOSING + layout.TIGHT, block_index.NO_SPACE_BEFORE)):
+        assert sorted(set(map(ord, held))) == (block_index.kinds() & bit).nonzero()[0].tolist()
+
+
+def test_pages_without_an_id_have_no_recognised_text(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "The end"), (None, 0, "The end"), (1, None, "x"), (2, 0, None)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(((r.doc_id, r.page, r.text, r.n_tokens, r.conf) for r in queries.recognised_pages(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(1, 0, "The end", 7, 0.5), (None, 0, "", 0, -1.0), (1, None, "", 0, -1.0), (2, 0, "", 0, -1.0)], key=repr)
+
+
 def test_search_in_an_assembled_index(spark):
     pages = spark.createDataFrame([(1, 0, 1000.0, 1000.0, 500.0, 500.0, [block("search-", 10, 10, 90, 40), block("ENGINE", 10, 70, 90, 100)])], PAGES)
     (hit,) = search.hits(assembly.index_of_blocks(pages), "searchengine").collect()
