@@ -170,16 +170,19 @@ def _lost_spaces(flags: np.ndarray, owner: np.ndarray, begin: np.ndarray, end: n
     return found
 
 
-def _through_quad(quad: np.ndarray, l: np.ndarray, t: np.ndarray, r: np.ndarray, b: np.ndarray) -> list[np.ndarray]:  # noqa: E741
-    """Left, top, right and bottom of boxes of the line, each through its quad (a row of eight numbers)."""
-
-    def axis(k: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        upper = quad[:, k] + (quad[:, 2 + k] - quad[:, k]) * x
-        lower = quad[:, 6 + k] + (quad[:, 4 + k] - quad[:, 6 + k]) * x
-        return upper + (lower - upper) * y
-
-    corners = [(l, t), (r, t), (r, b), (l, b)]
-    xs, ys = ([axis(k, *c) for c in corners] for k in (0, 1))
+def _through_quad(quad: np.ndarray, owner: np.ndarray, l: np.ndarray, t: np.ndarray, r: np.ndarray, b: np.ndarray) -> list[np.ndarray]:  # noqa: E741
+    """Left, top, right and bottom of boxes of the line, each through the quad of its owner (a row of eight numbers)."""
+
+    def axis(k: int) -> list[np.ndarray]:
+        begin, across, under, along = quad[:, k], quad[:, 2 + k] - quad[:, k], quad[:, 6 + k], quad[:, 4 + k] - quad[:, 6 + k]
+        begin, across, under, along = (x[owner] for x in (begin, across, under, along))
+        ends = []
+        for x in (l, r):
+            upper = begin + across * x
+            ends.append((upper, under + along * x - upper))
+        return [ends[x][0] + ends[x][1] * y for x, y in ((0, t), (1, t), (1, b), (0, b))]
+
+    xs, ys = axis(0), axis(1)
     return [functools.reduce(f, side) for f in (np.fmin, np.fmax) for side in (xs, ys)]
 
 
@@ -203,7 +206,8 @@ def _indexed(batch: pa.RecordBatch, detect_columns: bool, column_gap: float) ->
         of_page += [p] * len(kept)
     page = np.array(of_page, np.int64)
     texts = [told[i] for i in order]
-    column = {k: v.take(pa.array(order, pa.int64())) for k, v in column.items() if k != "text"}
+    if order != list(range(len(flat))):
+        column = {k: v.take(pa.array(order, pa.int64())) for k, v in column.items()}
     L, T, R, B = (_floats(column[k]) for k in "ltrb")
     score = column["score"].cast(pa.float64())
 
@@ -231,7 +235,7 @@ def _indexed(batch: pa.RecordBatch, detect_columns: bool, column_gap: float) ->
     skew = column["quad"].value_lengths().fill_null(-1).to_numpy() == 8
     if len(turned := np.flatnonzero(skew[own])):
         quads = _floats(column["quad"].filter(pa.array(skew)).flatten()).reshape(-1, 8)
-        through = _through_quad(quads[(np.cumsum(skew) - 1)[own[turned]]], l[turned], t[turned], r[turned], b[turned])
+        through = _through_quad(quads, (np.cumsum(skew) - 1)[own[turned]], l[turned], t[turned], r[turned], b[turned])
         for side, x in zip(bitmap, through, strict=True):
             side[turned] = x
     seen = _upto(flags & UNSEEN == 0)
